@@ -6,12 +6,17 @@ from .views_sql import (
     BRIDGE,
     CALLS,
     CONVERTED,
+    FILES,
     FLAGS,
     PRICED,
     PRICES,
     RATES,
     RECEIPTS,
+    REQUESTED_CALLS,
+    RESPONSES,
     RESULTS,
+    STATUS,
+    request_kinds,
 )
 
 FIRST, LAST = "1995-07-01", "2001-06-30"
@@ -259,5 +264,299 @@ def anomalies() -> dict[str, str]:
     }
 
 
+def requests() -> dict[str, str]:
+    return {
+        "query_validation": _with(request_kinds("customer", "c_custkey")) + """
+            select spec_id, error, from_day, to_day, wanted, needle,
+              cast(min_total as double) as min_total, cast(max_total as double) as max_total
+            from read""",
+        "query_batch": _with(
+            RECEIPTS, BRIDGE, RATES, CONVERTED, request_kinds("supplier", "s_suppkey")
+        ) + """,
+            lists as (select receipt_id, list(category) as names from bridge group by 1),
+            answers as (
+              select q.spec_id, c.currency, count(*) as receipts,
+                cast(sum(total_amount) as double) as total,
+                cast(coalesce(sum(total_eur), 0) as double) as total_eur,
+                count(*) - count(total_eur) as unconverted
+              from read q join converted c on c.receipt_date between q.from_day and q.to_day
+              left join lists l on l.receipt_id = c.id
+              where q.error is null and c.status = 'completed' and c.total_amount is not null
+                and (q.wanted is null or list_has_any(l.names, string_split(q.wanted, '|')))
+                and (q.needle is null or contains(lower(c.merchant), lower(q.needle)))
+                and (q.min_total is null or c.total_amount >= q.min_total)
+                and (q.max_total is null or c.total_amount <= q.max_total)
+              group by 1, 2)
+            select q.spec_id, q.error, a.currency, a.receipts, a.total, a.total_eur, a.unconverted
+            from read q left join answers a on a.spec_id = q.spec_id""",
+        "period_report": _with(RECEIPTS, BRIDGE, RATES, CONVERTED) + r""",
+            quarters as (
+              select distinct date_trunc('quarter', o_orderdate)::date as first from orders),
+            spans as (
+              select year(first) * 10 + quarter(first) as n, first,
+                (first + interval 3 month - interval 1 day)::date as last from quarters),
+            periods as (
+              select n as period_id, first, last from spans
+              union all select n + 100000, (first + interval 100 year)::date,
+                (last + interval 100 year)::date from spans
+              union all select n + 200000, last, first from spans),
+            rows_in as (
+              select p.period_id, c.*, strftime(receipt_date, '%Y-%m') as month
+              from periods p join converted c on c.receipt_date between p.first and p.last
+              where status = 'completed' and total_amount is not null),
+            amounts as (
+              select period_id, month, currency, count(*) as n, sum(total_amount) as total
+              from rows_in group by 1, 2, 3),
+            month_lines as (
+              select period_id, string_agg(concat(E'\n- ', month, ': ',
+                cast(cast(total as decimal(38,2)) as varchar), coalesce(' ' || currency, ''),
+                ' over ', n, ' receipt', case when n = 1 then '' else 's' end), ''
+                order by month, currency nulls last) as body from amounts group by 1),
+            category_amounts as (
+              select period_id, category, currency, count(*) as n, sum(total_amount) as total
+              from rows_in join bridge on receipt_id = id group by 1, 2, 3),
+            category_lines as (
+              select period_id, string_agg(concat(E'\n- ', category, ': ',
+                cast(cast(total as decimal(38,2)) as varchar), coalesce(' ' || currency, ''),
+                ' over ', n, ' receipt', case when n = 1 then '' else 's' end), ''
+                order by total desc, category, currency nulls last) as body
+              from category_amounts group by 1),
+            eur_amounts as (
+              select period_id, month, count(total_eur) as n, count(*) - count(total_eur) as left_out,
+                coalesce(sum(total_eur), 0) as total from rows_in group by 1, 2),
+            eur_lines as (
+              select period_id, sum(n) as converted, string_agg(concat(E'\n- ', month, ': ',
+                cast(cast(total as decimal(38,2)) as varchar), ' EUR over ', n, ' receipt',
+                case when n = 1 then '' else 's' end,
+                case when left_out = 1 then ' (1 receipt could not be converted and is left out)'
+                     when left_out > 1 then concat(' (', left_out,
+                       ' receipts could not be converted and are left out)') else '' end), ''
+                order by month) as body from eur_amounts group by 1)
+            select p.period_id,
+              case when first > last then '"from" must not be later than "to".' end as error,
+              case when first > last then null
+                when m.body is null then
+                  'No completed receipts fall in this period, so there is nothing to report on.'
+                else concat('Period: ', strftime(first, '%Y-%m-%d'), ' to ',
+                  strftime(last, '%Y-%m-%d'), ' (inclusive).',
+                  E'\n\nTotals per month, one line per month and currency. These count each',
+                  E'\nreceipt exactly once, so they are the only lines that may be added up:',
+                  m.body,
+                  E'\n\nTotals per category, one line per category and currency. A receipt with',
+                  E'\nmore than one category is counted in full under each of them, so these',
+                  E'\nlines overlap and must never be summed into a total:', c.body,
+                  case when e.converted > 0 then concat(
+                    E'\n\nTotals per month with every currency converted to EUR at the ECB rate on',
+                    E'\neach receipt''s date. This is the same spending as the month lines above,',
+                    E'\nnot additional spending. Each receipt is counted once, so these lines may',
+                    E'\nbe added up, and they are the only figures that combine currencies:',
+                    e.body) else '' end) end as report
+            from periods p left join month_lines m using (period_id)
+            left join category_lines c using (period_id) left join eur_lines e using (period_id)
+            """,
+    }
+
+
+_WEEKEND_OF = """case dayofweek({day}) when 6 then 'Issued on a Saturday.'
+    when 0 then 'Issued on a Sunday.' end"""
+
+
+def intake() -> dict[str, str]:
+    weekend = _WEEKEND_OF.format(day="receipt_date")
+    return {
+        "media_types": _with(FILES) + "select id, image_type as media_type, bytes = 0 as is_pdf from seen",
+        "upload_checks": _with(FILES) + """
+            select id, reject_reason, case when reject_reason is null then
+              case when kind = 'pdf' then 'application/pdf' else image_type end end as media_type
+            from checked""",
+        "file_intake": _with(FILES) + """
+            select c.id, 'pending' as status, kind as source_type,
+              concat('file-', c.id) as source_filename,
+              case bytes when 0 then 9 when 1 then 8 when 2 then 10 when 3 then 8 when 4 then 16
+                when 8 then 8 end + octet_length(encode(d.text)) as source_bytes
+            from checked c join documents d on d.doc_id = c.id where reject_reason is null""",
+        "text_intake": """
+            select doc_id as id, 'pending' as status, 'text' as source_type,
+              md5(text) as text_md5 from documents where length(text) between 1 and 10000""",
+        "typed_parse": _with(BRIDGE, RESPONSES) + """
+            select id, case when id % 41 = 0 or id % 43 = 1 or id % 47 = 2 or id % 79 = 7
+                or id % 83 = 8 then null else concat('INV ', id) end as invoice_number,
+              case when id % 41 = 0 or id % 43 = 1 or id % 47 = 2 or id % 79 = 7
+                or id % 83 = 8 then 0
+                else (select count(*) from labelled_items i where i.id = e.id) end as items
+            from extracted e""",
+        "response_triage": _with(BRIDGE, RESPONSES) + """
+            select id, case when failure_reason = 'A value does not fit its column.' then null
+              else failure_reason end as failure_reason from extracted""",
+        "merged_categories": _with(BRIDGE, RESPONSES) + """
+            select id, categories from extracted
+            where failure_reason is null or failure_reason = 'A value does not fit its column.'""",
+        "completion_cast": _with(BRIDGE, RESPONSES) + f""",
+            flagged as (select *, {weekend} as weekend from extracted)
+            select id, case when failure_reason is null then 'completed' else 'failed' end as status,
+              failure_reason,
+              case when failure_reason is null then receipt_date end as receipt_date,
+              case when failure_reason is null then cast(total_amount as double) end as total_amount,
+              case when failure_reason is null then currency end as currency,
+              case when failure_reason is null then cast(confidence_score as double) end
+                as confidence_score,
+              case when failure_reason is null then categories end as categories,
+              case when failure_reason is null then base_flag or weekend is not null end
+                as is_suspicious,
+              case when failure_reason is not null then null
+                when weekend is null then base_reason
+                else concat_ws(' ', case when trim(base_reason) <> ''
+                  then trim(base_reason) || '.' end, weekend) end as flag_reason
+            from flagged""",
+        "latest_status": _with(RECEIPTS, STATUS) + """
+            select id, arg_max(status, (updated_at, status <> 'pending')) as status,
+              cast(epoch(max(updated_at)) as bigint) as updated_at from status_events group by 1""",
+        "category_bridge": _with(BRIDGE) + "select receipt_id, category from bridge",
+        "category_dimension": _with(BRIDGE) + """,
+            fresh as (select distinct category from bridge
+                      where category not in ('Food', 'Other', 'Travel & Accommodation'))
+            select name, is_new, 3 + (select count(*) from fresh) as last_id,
+              3 + (select count(*) from fresh) as ids
+            from (select category as name, true as is_new from fresh
+                  union all select * from (values ('Food', false), ('Other', false),
+                                           ('Travel & Accommodation', false)))""",
+        "ledger_rows": _with(CALLS, REQUESTED_CALLS) + """
+            select *, count(*) over (partition by request_id) as calls_in_request from requested""",
+        "price_seed": """
+            with listed as (
+              select concat(lower(replace(p_brand, '#', '-')), '-', p_partkey % 400) as model_prefix,
+                date '2000-01-01' + p_size as valid_from, p_retailprice as input, p_size
+              from part),
+            seed as (select model_prefix, valid_from, max(input) as input from listed group by 1, 2),
+            stored as (select model_prefix, valid_from, min(input) / 2 as input from listed
+                       where p_size > 25 group by 1, 2)
+            select model_prefix, valid_from, round(cast(input as double), 4) as input from stored
+            union all
+            select model_prefix, valid_from, round(cast(input as double), 4) from seed s
+            where not exists (select 1 from stored t where t.model_prefix = s.model_prefix
+                              and t.valid_from = s.valid_from)""",
+        "schema_backfill": _with(RECEIPTS) + """
+            select cast(id as varchar) as id, merchant, status, 'text' as source_type,
+              false as is_suspicious, cast(null as varchar) as flag_reason,
+              cast(null as bigint) as source_bytes, cast(total_amount as double) as total_amount
+            from receipts""",
+        "delete_propagation": _with(RECEIPTS, BRIDGE, CALLS) + """,
+            deleted as (select id from receipts where id % 80 = 0)
+            select 'receipts' as part, id as key, '' as detail,
+              case when id >= 100000000 and id < 200000000
+                and id - 100000000 not in (select id from deleted) then id - 100000000 end as reference
+            from receipts where id not in (select id from deleted)
+            union all
+            select 'bridge', receipt_id, category, null from bridge
+            where receipt_id not in (select id from deleted)
+            union all
+            select 'calls', id, '', case when endpoint in ('text', 'pdf', 'image')
+              and id not in (select id from deleted) then id end from calls""",
+    }
+
+
+_RATES_OF = """case when tp + fp = 0 then 0.0 else tp / (tp + fp) end as precision,
+  case when tp + fn = 0 then 0.0 else tp / (tp + fn) end as recall"""
+
+_MARKED = """
+scored as (select * from results where skipped is null),
+marked as (
+  select id, source, category, max(e) = 1 as e, max(g) = 1 as g from (
+    select id, source, unnest(expected) as category, 1 as e, 0 as g from scored
+    union all select id, source, unnest(got), 0, 1 from scored) group by all),
+counts as (
+  select category, count(*) filter (where e and g) as tp, count(*) filter (where g and not e) as fp,
+    count(*) filter (where e and not g) as fn from marked group by 1)
+"""
+
+_F1 = "case when precision + recall = 0 then 0.0 else 2 * precision * recall / (precision + recall) end"
+
+_EXACT = "(skipped is null and error is null and expected = got)"
+
+
+def scoring() -> dict[str, str]:
+    base = (BRIDGE, RESULTS)
+    side = f"""select {{name}} as side, count(*) as cases,
+              avg(case when {{t}}.exact then 1.0 else 0.0 end) as exact_rate,
+              sum(len(list_intersect({{t}}.expected, {{t}}.got))) as tp,
+              sum(len({{t}}.got) - len(list_intersect({{t}}.expected, {{t}}.got))) as fp,
+              sum(len({{t}}.expected) - len(list_intersect({{t}}.expected, {{t}}.got))) as fn"""
+    pair_parts = f""",
+            judged as (select *, {_EXACT} as exact from results),
+            image_side as (select * from judged where source = 'image' and same_as is not null),
+            text_side as (select * from judged where skipped is null),
+            joined as (select i.*, t.id as text_id, t.exact as t_exact, t.expected as t_expected,
+                         t.got as t_got
+                       from image_side i left join text_side t on t.id = i.same_as),
+            complete as (select * from joined where skipped is null and text_id is not null),
+            sides as (
+              select 'photo' as side, exact, expected, got from complete
+              union all select 'text', t_exact, t_expected, t_got from complete),
+            sums as (
+              {side.format(name="side", t="sides")} from sides group by 1),
+            rated as (select *, {_RATES_OF} from sums),
+            summaries as (select side, cases, exact_rate, {_F1} as micro_f1 from rated)
+            """
+    return {
+        "category_scores": _with(*base, _MARKED) + f"""
+            select category, tp + fn as support, tp, fp, fn, round(precision, 6) as precision,
+              round(recall, 6) as recall, round({_F1}, 6) as f1
+            from (select *, {_RATES_OF} from counts)""",
+        "micro_scores": _with(*base, _MARKED) + f"""
+            select tp, fp, fn, round(precision, 6) as precision, round(recall, 6) as recall,
+              round({_F1}, 6) as f1
+            from (select *, {_RATES_OF} from (select cast(sum(tp) as bigint) as tp,
+              cast(sum(fp) as bigint) as fp, cast(sum(fn) as bigint) as fn from counts))""",
+        "exact_match": _with(*base) + f"""
+            select count(*) filter (where skipped is null) as cases,
+              count(*) filter (where {_EXACT}) as exact,
+              count(*) filter (where skipped is null and error is not null) as errors,
+              count(*) filter (where skipped is not null) as skipped,
+              round(count(*) filter (where {_EXACT}) / count(*) filter (where skipped is null), 6)
+                as exact_rate
+            from results""",
+        "source_summary": _with(*base) + f""",
+            judged as (select *, {_EXACT} as exact from results where skipped is null),
+            sums as ({side.format(name="judged.source", t="judged")} from judged group by 1)
+            select side as source, cases, round(exact_rate, 6) as exact_rate,
+              round({_F1}, 6) as micro_f1
+            from (select *, {_RATES_OF} from sums)""",
+        "flag_scores": _with(FLAGS) + f"""
+            select labelled, tp, fp, fn, tn, round(precision, 6) as precision,
+              round(recall, 6) as recall, round({_F1}, 6) as f1,
+              round((tp + tn) / labelled, 6) as accuracy
+            from (select *, {_RATES_OF} from (
+              select count(*) as labelled,
+                count(*) filter (where expected_suspicious and suspicious) as tp,
+                count(*) filter (where not expected_suspicious and suspicious) as fp,
+                count(*) filter (where expected_suspicious and not suspicious) as fn,
+                count(*) filter (where not expected_suspicious and not suspicious) as tn
+              from flag_results where expected_suspicious is not null))""",
+        "flag_mismatches": _with(FLAGS) + """
+            select id, expected_suspicious, suspicious from flag_results
+            where expected_suspicious <> suspicious""",
+        "pair_listing": _with(*base) + pair_parts + """
+            select id, same_as as text_id, skipped is null and text_id is not null as paired
+            from joined""",
+        "pair_scores": _with(*base) + pair_parts + """
+            select side, cases, round(exact_rate, 6) as exact_rate, round(micro_f1, 6) as micro_f1
+            from summaries""",
+        "pair_delta": _with(*base) + pair_parts + """
+            select round(sum(case side when 'photo' then exact_rate else -exact_rate end), 6)
+                as exact_delta,
+              round(sum(case side when 'photo' then micro_f1 else -micro_f1 end), 6) as f1_delta
+            from summaries""",
+        "mismatches": _with(*base) + f"""
+            select id, array_to_string(expected, '|') as expected, array_to_string(got, '|') as got,
+              array_to_string(list_sort(list_filter(expected, lambda x: not list_contains(got, x))), '|')
+                as missing,
+              array_to_string(list_sort(list_filter(got, lambda x: not list_contains(expected, x))), '|')
+                as spurious, error
+            from results where skipped is null and not {_EXACT}""",
+        "first_cases": """
+            select o_orderkey as id from orders order by o_orderkey limit 100""",
+    }
+
+
 def all_checks() -> dict[str, str]:
-    return {**totals(), **usage(), **anomalies()}
+    return {**totals(), **usage(), **anomalies(), **requests(), **intake(), **scoring()}

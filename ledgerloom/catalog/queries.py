@@ -4,9 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..operators import anomalies, duplicates, filters, fx, pricing, spreads, totals
+from ..functions.files import image_type, is_pdf
+from ..operators import (
+    anomalies,
+    categories,
+    duplicates,
+    extraction,
+    filters,
+    fx,
+    lifecycle,
+    pricing,
+    scoring,
+    spreads,
+    totals,
+    uploads,
+)
 from ..operators.categories import with_categories
-from ..plans import insights
+from ..plans import insights, requests
+from ..plans.score_report import score_report as score_lines
+from ..schemas import RECEIPTS
 from ..sources.tables import Tables
 from .checks_sql import CALL_FIRST, CALL_LAST, FIRST, LAST
 
@@ -237,6 +253,253 @@ def verdict_snapshot(spark, folder):
     return verdict_rows(anomalies.verdicts(t.batch(), t.history(), t.receipt_categories()))
 
 
+# requests and reports ---------------------------------------------------------
+
+
+def query_validation(spark, folder):
+    rows = requests.parse_requests(Tables(spark, folder).requests("customer", "c_custkey"))
+    return rows.select(
+        "spec_id", "error", "from_day", "to_day", joined("wanted"), "needle",
+        number("min_total"), number("max_total"),
+    )
+
+
+def query_batch(spark, folder):
+    t = Tables(spark, folder)
+    answers = requests.answer_requests(
+        t.requests("supplier", "s_suppkey"), converted(t), t.receipt_categories()
+    )
+    lines = answers.select("spec_id", "error", F.explode_outer("result").alias("line"))
+    return lines.select("spec_id", "error", "line.*").select(
+        "spec_id", "error", "currency", "receipts", number("total"), number("total_eur"),
+        "unconverted",
+    )
+
+
+def period_report(spark, folder):
+    t = Tables(spark, folder)
+    return insights.period_reports(t.periods(), converted(t), t.receipt_categories())
+
+
+# intake and life-cycle --------------------------------------------------------
+
+
+def media_types(spark, folder):
+    content = F.col("content")
+    return Tables(spark, folder).uploads().select(
+        "id", image_type(content).alias("media_type"), is_pdf(content).alias("is_pdf")
+    )
+
+
+def upload_checks(spark, folder):
+    checked = uploads.check_uploads(Tables(spark, folder).uploads())
+    return checked.select("id", "reject_reason", "media_type")
+
+
+def file_intake(spark, folder):
+    checked = uploads.check_uploads(Tables(spark, folder).uploads())
+    return uploads.pending_uploads(checked, F.lit("prompt")).select(
+        "id", "status", "source_type", "source_filename",
+        F.col("source_bytes").cast("bigint").alias("source_bytes"),
+    )
+
+
+def text_intake(spark, folder):
+    texts = Tables(spark, folder).table("documents").select(
+        F.col("doc_id").alias("id"), "text",
+        F.lit("2024-01-01 00:00:00").cast("timestamp").alias("created_at"),
+    )
+    return uploads.pending_texts(texts, F.lit("prompt")).select(
+        "id", "status", "source_type", F.md5("raw_text").alias("text_md5")
+    )
+
+
+def typed_parse(spark, folder):
+    rows = extraction.parse(Tables(spark, folder).responses())
+    items = F.coalesce(F.size("extraction.line_items"), F.lit(0))
+    return rows.select(
+        "id", "extraction.invoice_number",
+        F.when(F.col("extraction").isNull(), 0).otherwise(items).cast("bigint").alias("items"),
+    )
+
+
+def triaged(spark, folder) -> DataFrame:
+    return extraction.triage(extraction.parse(Tables(spark, folder).responses()))
+
+
+def response_triage(spark, folder):
+    return triaged(spark, folder).select("id", "failure_reason")
+
+
+def merged_categories(spark, folder):
+    return extraction.usable(triaged(spark, folder)).select("id", joined("categories"))
+
+
+def completion_cast(spark, folder):
+    rows = extraction.complete(Tables(spark, folder).responses())
+    return rows.select(
+        "id", "status", "failure_reason", "receipt_date", number("total_amount"), "currency",
+        number("confidence_score"), joined("categories"), "is_suspicious", "flag_reason",
+    )
+
+
+def latest_status(spark, folder):
+    rows = lifecycle.latest_status(Tables(spark, folder).status_events())
+    return rows.select("id", "status", F.unix_timestamp("updated_at").alias("updated_at"))
+
+
+def untidy_bridge(t: Tables) -> DataFrame:
+    """Category lists with blanks, outer spaces and repeats, back as a clean bridge."""
+    lists = categories.category_lists(t.receipt_categories())
+    padded = F.transform("categories", lambda c: F.concat(F.lit(" "), c, F.lit("  ")))
+    untidy = lists.withColumn("categories", F.concat("categories", padded, F.array(F.lit("  "))))
+    return categories.bridge_from_lists(untidy)
+
+
+def stored_dimension(spark) -> DataFrame:
+    rows = [(1, "Food"), (2, "Other"), (3, "Travel & Accommodation")]
+    return spark.createDataFrame(rows, "id int, name string")
+
+
+def category_bridge(spark, folder):
+    bridge = untidy_bridge(Tables(spark, folder))
+    dimension = categories.extend_dimension(stored_dimension(spark), bridge)
+    return categories.named_bridge(categories.bridge_ids(bridge, dimension), dimension)
+
+
+def category_dimension(spark, folder):
+    bridge = untidy_bridge(Tables(spark, folder))
+    dimension = categories.extend_dimension(stored_dimension(spark), bridge)
+    ids = dimension.agg(F.max("id").alias("last"), F.count_distinct("id").alias("ids"))
+    last, count = ids.select("last").scalar(), ids.select("ids").scalar()
+    return dimension.select(
+        "name", (F.col("id") > 3).alias("is_new"), last.cast("bigint").alias("last_id"),
+        count.alias("ids"),
+    )
+
+
+def ledger_rows(spark, folder):
+    made = lifecycle.with_request_ids(Tables(spark, folder).call_requests(), "request_no")
+    rows = lifecycle.ledger_rows(made)
+    sizes = rows.groupBy("request_id").agg(F.count("*").alias("calls_in_request"))
+    return rows.join(sizes, "request_id").drop("created_at")
+
+
+def price_seed(spark, folder):
+    listed = Tables(spark, folder).part_prices()
+    rest = ["output", "cache_read", "cache_write"]
+    key = ["model_prefix", "valid_from"]
+
+    def one_per_key(rows: DataFrame, price: Column) -> DataFrame:
+        return rows.groupBy(*key).agg(price.alias("input"), *[F.max(c).alias(c) for c in rest])
+
+    seed = one_per_key(listed, F.max("input"))
+    stored = one_per_key(listed.filter("p_size > 25"), F.min("input") / 2)
+    rows = lifecycle.seed_prices(stored, seed)
+    return rows.select(*key, F.round(F.col("input").cast("double"), 4).alias("input"))
+
+
+def schema_backfill(spark, folder):
+    older = Tables(spark, folder).receipts().drop("is_suspicious", "flag_reason")
+    return lifecycle.to_schema(older, RECEIPTS).select(
+        "id", "merchant", "status", "source_type", "is_suspicious", "flag_reason",
+        F.col("source_bytes").cast("bigint").alias("source_bytes"), number("total_amount"),
+    )
+
+
+def delete_propagation(spark, folder):
+    t = Tables(spark, folder)
+    original = F.when(
+        (F.col("id") >= 100_000_000) & (F.col("id") < 200_000_000), F.col("id") - 100_000_000
+    )
+    receipts = t.receipts().withColumn("duplicate_of", original)
+    of_receipt = F.when(F.col("endpoint").isin("text", "pdf", "image"), F.col("id"))
+    calls = t.calls().withColumn("receipt_id", of_receipt)
+    deleted = receipts.filter("id % 80 = 0").select("id")
+    left = lifecycle.delete_receipts(receipts, t.receipt_categories(), calls, deleted)
+
+    def rows(part: str, key: str, detail: Column, reference: Column) -> DataFrame:
+        return left[part].select(
+            F.lit(part).alias("part"), F.col(key).alias("key"), detail.alias("detail"),
+            reference.cast("bigint").alias("reference"),
+        )
+
+    none = F.lit(None)
+    return (
+        rows("receipts", "id", F.lit(""), F.col("duplicate_of"))
+        .unionByName(rows("bridge", "receipt_id", F.col("category"), none))
+        .unionByName(rows("calls", "id", F.lit(""), F.col("receipt_id")))
+    )
+
+
+# scoring ----------------------------------------------------------------------
+
+
+def rounded(rows: DataFrame, *names: str) -> DataFrame:
+    return rows.withColumns({n: F.round(n, 6) for n in names})
+
+
+def category_scores(spark, folder):
+    rows = scoring.label_scores(Tables(spark, folder).results())
+    return rounded(rows, "precision", "recall", "f1")
+
+
+def micro_scores(spark, folder):
+    labels = scoring.label_scores(Tables(spark, folder).results())
+    return rounded(scoring.micro_scores(labels), "precision", "recall", "f1")
+
+
+def exact_match(spark, folder):
+    return rounded(scoring.exact_matches(Tables(spark, folder).results()), "exact_rate")
+
+
+def source_summary(spark, folder):
+    results = scoring.compared(scoring.unskipped(Tables(spark, folder).results()))
+    return rounded(scoring.subset_summary(results, "source"), "exact_rate", "micro_f1")
+
+
+def flag_scores(spark, folder):
+    rows = scoring.flag_scores(Tables(spark, folder).flag_results())
+    return rounded(rows, "precision", "recall", "f1", "accuracy")
+
+
+def flag_mismatches(spark, folder):
+    rows = scoring.flag_mismatches(Tables(spark, folder).flag_results())
+    return rows.select("id", "expected_suspicious", "suspicious")
+
+
+def pair_listing(spark, folder):
+    return scoring.pairs(Tables(spark, folder).results()).select("id", "text_id", "paired")
+
+
+def pair_scores(spark, folder):
+    rows = scoring.pair_scores(scoring.pairs(Tables(spark, folder).results()))
+    return rounded(rows, "exact_rate", "micro_f1")
+
+
+def pair_delta(spark, folder):
+    scores = scoring.pair_scores(scoring.pairs(Tables(spark, folder).results()))
+    return rounded(scoring.pair_delta(scores), "exact_delta", "f1_delta")
+
+
+def mismatches(spark, folder):
+    rows = scoring.mismatches(Tables(spark, folder).results())
+    lists = [joined(c) for c in ("expected", "got", "missing", "spurious")]
+    return rows.select("id", *lists, "error")
+
+
+def first_cases(spark, folder):
+    cases = Tables(spark, folder).table("orders").select(
+        F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("position")
+    )
+    return filters.first_cases(cases, 100).select("id")
+
+
+def score_report(spark, folder):
+    t = Tables(spark, folder)
+    return score_lines(t.results(), "whole table", t.flag_results())
+
+
 def all_queries():
     functions = [
         month_totals, category_totals, month_totals_eur, query_totals, query_totals_filtered,
@@ -245,5 +508,12 @@ def all_queries():
         category_spread, category_spread_by_currency, outliers, outliers_snapshot,
         duplicates_replay, duplicates_snapshot, weekend_flags, missing_fields,
         reconcile_totals, verdict, verdict_snapshot,
+        query_validation, query_batch, period_report,
+        media_types, upload_checks, file_intake, text_intake, typed_parse, response_triage,
+        merged_categories, completion_cast, latest_status, category_bridge, category_dimension,
+        ledger_rows, price_seed, schema_backfill, delete_propagation,
+        category_scores, micro_scores, exact_match, source_summary, flag_scores,
+        flag_mismatches, pair_listing, pair_scores, pair_delta, mismatches, first_cases,
+        score_report,
     ]
     return {f.__name__: f for f in functions}

@@ -146,3 +146,121 @@ flag_results as (
     n_chars < 400 as suspicious
   from documents d left join labels l on d.doc_id = l.doc_id)
 """
+
+# What the broken responses of ``Tables.responses`` must come to, stated from the orders.
+RESPONSES = """
+response_items as (
+  select id, list_sort(list(distinct category)) as names from labelled_items group by 1),
+responses as (
+  select o_orderkey as id, o_orderdate, o_totalprice, o_orderpriority, c_nationkey % 4 as nation,
+    coalesce(i.names, []) as names,
+    case when o_orderkey % 41 = 0 then 'The response was cut off before the receipt was finished.'
+         when o_orderkey % 43 = 1 then 'The extraction was declined.'
+         when o_orderkey % 47 = 2 or o_orderkey % 79 = 7 or o_orderkey % 83 = 8
+           then 'The response holds no usable extraction.'
+         when o_orderkey % 53 <> 0 and o_orderkey % 59 = 3
+           then 'A value does not fit its column.'
+         when o_orderkey % 61 <> 0 and o_orderkey % 67 = 4
+           then 'A value does not fit its column.'
+         when o_orderkey % 71 = 5 or o_orderkey % 73 = 6
+           then 'A value does not fit its column.' end as failure_reason
+  from orders join customer on o_custkey = c_custkey left join response_items i on i.id = o_orderkey),
+taxonomy as (
+  select * from (values (1, 'Food'), (2, 'Home & Kitchen'), (3, 'Household Supplies'),
+    (4, 'Personal Care'), (5, 'Health'), (6, 'Clothing'), (7, 'Transportation'),
+    (8, 'Travel & Accommodation'), (9, 'Housing'), (10, 'Electronics'), (11, 'Leisure'),
+    (12, 'Education'), (13, 'Services & Fees'), (14, 'Prepared food or drinks'), (15, 'Other'))
+  as t(place, name)),
+extracted as (
+  select r.*,
+    (select coalesce(string_agg(name, '|' order by place), '') from taxonomy t
+     where list_contains(r.names, t.name) or (t.name = 'Other' and r.id % 9 = 0)) as categories,
+    case when id % 53 <> 0 then cast(o_orderdate as date) end as receipt_date,
+    case when id % 61 <> 0 then cast(o_totalprice as decimal(12,2)) end as total_amount,
+    case nation when 0 then 'EUR' when 1 then 'USD' when 2 then 'JPY' end as currency,
+    (id % 4) * 0.25 as confidence_score,
+    o_orderpriority in ('1-URGENT', '2-HIGH', '5-LOW') as base_flag,
+    case o_orderpriority when '1-URGENT' then 'The total is high for these items'
+      when '2-HIGH' then '  ' end as base_reason
+  from responses r)
+"""
+
+FILES = """
+files as (
+  select doc_id as id, doc_id % 9 as bytes, case when doc_id % 2 = 0 then 'pdf' else 'image' end as kind,
+    case doc_id % 5 when 0 then 'application/pdf' when 1 then 'image/jpeg' when 2 then 'image/png'
+      when 3 then 'image/webp' else 'text/plain' end as declared_type,
+    doc_id % 11 = 0 as too_large
+  from documents),
+seen as (
+  select *, case when bytes = 1 then 'image/jpeg' when bytes = 2 then 'image/png'
+    when bytes in (3, 8) then 'image/gif' when bytes = 4 then 'image/webp' end as image_type
+  from files),
+checked as (
+  select *, case
+    when bytes = 7 then concat('No ', noun, ' was uploaded. Send the file as multipart/form-data',
+                               ' under the field name "file".')
+    when too_large then concat('The ', noun, ' is larger than the 10 MB limit.')
+    when bytes = 6 then concat('The uploaded ', noun, ' is empty.')
+    when kind = 'pdf' and declared_type <> 'application/pdf' then concat(
+      'Only application/pdf is accepted, but the upload declared "', declared_type, '".')
+    when kind = 'image' and declared_type not in ('image/jpeg', 'image/png', 'image/webp') then concat(
+      'Only image/jpeg, image/png, image/gif, image/webp are accepted, but the upload declared "',
+      declared_type, '".')
+    when kind = 'pdf' and bytes <> 0
+      then 'The uploaded file is not a PDF: it does not start with the PDF signature.'
+    when kind = 'image' and image_type is null then concat('The uploaded file is not a JPEG, PNG,',
+      ' WebP or GIF image: its contents match none of those formats.')
+    end as reject_reason
+  from (select *, case when kind = 'pdf' then 'PDF' else 'image' end as noun from seen))
+"""
+
+
+def request_kinds(table: str, key: str) -> str:
+    """What each kind of ``sources.tables.request_json`` must be read as."""
+    return f"""
+requests as (
+  select {key} as spec_id, {key} % 20 as kind,
+    date '1995-01-01' + cast({key} * 7 % 2000 as int) as first,
+    date '1995-01-01' + cast({key} * 7 % 2000 + 20 + {key} % 60 as int) as last
+  from {table}),
+read as (
+  select spec_id,
+    case when kind in (0, 1, 18) then 'The arguments must be an object.'
+      when kind = 2 then 'Unknown argument(s): sql, also.'
+      when kind in (3, 4) then '"from" and "to" must be real dates written as YYYY-MM-DD.'
+      when kind = 5 then '"from" must not be later than "to".'
+      when kind = 6 then concat('"categories" must be null or a list drawn from: Food, ',
+        'Home & Kitchen, Household Supplies, Personal Care, Health, Clothing, Transportation, ',
+        'Travel & Accommodation, Housing, Electronics, Leisure, Education, Services & Fees, ',
+        'Prepared food or drinks, Other.')
+      when kind = 7 then '"merchant" must be a string or null.'
+      when kind = 8 then '"merchant" must be at most 100 characters.'
+      when kind in (9, 10) then '"min_total" and "max_total" must be null or non-negative numbers.'
+      when kind = 11 then '"min_total" must not be larger than "max_total".' end as error,
+    case when kind in (12, 13, 14, 15, 16, 17, 19) then first end as from_day,
+    case when kind in (12, 13, 14, 15, 16, 17, 19) then last end as to_day,
+    case kind when 13 then 'Food|Health' when 17 then 'Leisure' end as wanted,
+    case kind when 14 then 'CUSTOMER#0000' when 17 then '9' end as needle,
+    case kind when 15 then 150000.5 when 17 then 1000 end as min_total,
+    case kind when 16 then 90000 when 17 then 400000.25 end as max_total
+  from requests)
+"""
+
+
+STATUS = """
+status_events as (
+  select id, 'pending' as status, created_at as updated_at from receipts
+  union all
+  select id, status, created_at + to_hours(id % 3) from receipts where status <> 'pending')
+"""
+
+REQUESTED_CALLS = """
+numbered as (select *, id // 3 as request_no from calls),
+requested as (
+  select md5(concat('{"request_no":"', request_no, '"}')) as request_id,
+    case when request_no % 2 = 0 then cast(request_no as varchar) end as receipt_id,
+    case when request_no % 2 = 0 then 'text' else 'ask' end as endpoint,
+    model, input_tokens, output_tokens, cache_read_input_tokens, cache_creation_input_tokens
+  from numbered where request_no % 50 <> 0)
+"""

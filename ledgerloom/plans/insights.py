@@ -1,12 +1,39 @@
-"""The period summary and its text report."""
+"""The period summary, and text reports for many periods at once."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.dates import month_key
-from ..operators.filters import Day
-from ..operators.totals import category_totals, eur_columns, period
+from ..functions.dates import day_text, month_key
+from ..functions.text import money_text, plural
+from ..operators.categories import by_category
+from ..operators.filters import Day, reportable
+from ..operators.totals import category_totals, period
+from .requests import REVERSED
+
+# The lines around the figures of a period report.
+EMPTY_PERIOD = "No completed receipts fall in this period, so there is nothing to report on."
+MONTH_HEADING = (
+    "",
+    "Totals per month, one line per month and currency. These count each",
+    "receipt exactly once, so they are the only lines that may be added up:",
+)
+CATEGORY_HEADING = (
+    "",
+    "Totals per category, one line per category and currency. A receipt with",
+    "more than one category is counted in full under each of them, so these",
+    "lines overlap and must never be summed into a total:",
+)
+EUR_HEADING = (
+    "",
+    "Totals per month with every currency converted to EUR at the ECB rate on",
+    "each receipt's date. This is the same spending as the month lines above,",
+    "not additional spending. Each receipt is counted once, so these lines may",
+    "be added up, and they are the only figures that combine currencies:",
+)
+
+
+# one period ---------------------------------------------------------------------
 
 
 def month_lines(receipts: DataFrame, first: Day, last: Day) -> DataFrame:
@@ -43,23 +70,166 @@ def spending_summary(
 
 def summary_rows(summary: dict[str, DataFrame]) -> DataFrame:
     """The summary as one frame, a section name on every row."""
-    none = F.lit(None).cast("bigint").alias("unconverted")
-    months = summary["months"].select(
-        F.lit("month").alias("section"), F.col("month").alias("name"), "currency", "receipts",
-        F.col("total").cast("double").alias("total"), none,
-    )
-    eur = summary["months_eur"].select(
-        F.lit("month_eur").alias("section"), F.col("month").alias("name"),
-        F.lit("EUR").alias("currency"), "receipts",
-        F.col("total_eur").cast("double").alias("total"), "unconverted",
-    )
-    categories = summary["categories"].select(
-        F.lit("category").alias("section"), F.col("category").alias("name"), "currency",
-        "receipts", F.col("total").cast("double").alias("total"), none,
-    )
+    none = F.lit(None).cast("bigint")
+
+    def rows(part: str, section: str, name: str, currency: Column, total: str, left_out: Column):
+        return summary[part].select(
+            F.lit(section).alias("section"),
+            F.col(name).alias("name"),
+            currency.alias("currency"),
+            "receipts",
+            F.col(total).cast("double").alias("total"),
+            left_out.alias("unconverted"),
+        )
+
+    months = rows("months", "month", "month", F.col("currency"), "total", none)
+    eur = rows("months_eur", "month_eur", "month", F.lit("EUR"), "total_eur", F.col("unconverted"))
+    categories = rows("categories", "category", "category", F.col("currency"), "total", none)
     return months.unionByName(eur).unionByName(categories)
 
 
 def is_empty(summary: dict[str, DataFrame]) -> bool:
     """Nothing completed in the period: no month rows."""
     return summary["months"].isEmpty()
+
+
+# many periods -------------------------------------------------------------------
+
+
+def daily_totals(receipts: DataFrame) -> DataFrame:
+    """Sums per day and currency: all that month lines of any period need.
+
+    Its size follows the calendar, so the periods are joined to it and not to receipts.
+    """
+    dated = reportable(receipts).filter(F.col("receipt_date").isNotNull())
+    return dated.groupBy("receipt_date", "currency").agg(
+        F.count("*").alias("receipts"),
+        F.sum("total_amount").alias("total"),
+        F.count("total_eur").alias("converted"),
+        F.sum("total_eur").alias("total_eur"),
+    )
+
+
+def daily_category_totals(receipts: DataFrame, bridge: DataFrame) -> DataFrame:
+    dated = reportable(receipts).filter(F.col("receipt_date").isNotNull())
+    slim = dated.select("id", "receipt_date", "currency", "total_amount")
+    return by_category(slim, bridge).groupBy("receipt_date", "category", "currency").agg(
+        F.count("*").alias("receipts"), F.sum("total_amount").alias("total")
+    )
+
+
+def in_periods(periods: DataFrame, daily: DataFrame) -> DataFrame:
+    """Day rows with every period (period_id, first, last) they fall in, by month."""
+    months = F.sequence(
+        F.trunc("first", "month"), F.trunc("last", "month"), F.expr("interval 1 month")
+    )
+    spread = periods.filter(F.col("first") <= F.col("last")).withColumn("month", F.explode(months))
+    on_month = F.trunc("receipt_date", "month") == F.col("month")
+    inside = F.col("receipt_date").between(F.col("first"), F.col("last"))
+    return daily.join(spread, on_month & inside).drop("month")
+
+
+def _in_order(*keys: Column, line: Column) -> Column:
+    """Lines of a period, ordered by the keys (their number follows the calendar)."""
+    rank = F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)], line.alias("line"))
+    return F.transform(F.array_sort(F.collect_list(rank)), lambda x: x.getField("line"))
+
+
+def _currency_last() -> tuple[Column, Column]:
+    return F.col("currency").isNull(), F.col("currency")
+
+
+def _over(name: str, amount: str, currency: Column) -> Column:
+    return F.concat(
+        F.lit("- "),
+        F.col(name),
+        F.lit(": "),
+        money_text(F.col(amount), currency),
+        F.lit(" over "),
+        plural(F.col("receipts"), "receipt"),
+    )
+
+
+def _section(heading: tuple[str, ...], lines: Column) -> Column:
+    return F.concat(F.array(*[F.lit(h) for h in heading]), lines)
+
+
+def _left_out(count: Column) -> Column:
+    note = F.concat(
+        F.lit(" ("),
+        plural(count, "receipt"),
+        F.lit(" could not be converted and "),
+        F.when(count == 1, "is").otherwise("are"),
+        F.lit(" left out)"),
+    )
+    return F.when(count > 0, note).otherwise("")
+
+
+def _month_parts(periods: DataFrame, receipts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Month lines and EUR lines of every period, from the same day sums."""
+    month = month_key(F.col("receipt_date")).alias("month")
+    per_month = in_periods(periods, daily_totals(receipts)).groupBy(
+        "period_id", month, "currency"
+    ).agg(*[F.sum(c).alias(c) for c in ("receipts", "total", "converted", "total_eur")])
+    months = per_month.groupBy("period_id").agg(
+        _in_order(
+            F.col("month"), *_currency_last(), line=_over("month", "total", F.col("currency"))
+        ).alias("month_lines")
+    )
+    per_month_eur = per_month.groupBy("period_id", "month").agg(
+        (F.sum("receipts") - F.sum("converted")).alias("unconverted"),
+        F.sum("converted").alias("receipts"),
+        F.coalesce(F.sum("total_eur"), F.lit(0)).alias("total_eur"),
+    )
+    line = F.concat(_over("month", "total_eur", F.lit("EUR")), _left_out(F.col("unconverted")))
+    eur = per_month_eur.groupBy("period_id").agg(
+        _in_order(F.col("month"), line=line).alias("eur_lines"),
+        F.sum("receipts").alias("converted"),
+    )
+    return months, eur
+
+
+def _category_part(periods: DataFrame, receipts: DataFrame, bridge: DataFrame) -> DataFrame:
+    per_category = in_periods(periods, daily_category_totals(receipts, bridge)).groupBy(
+        "period_id", "category", "currency"
+    ).agg(F.sum("receipts").alias("receipts"), F.sum("total").alias("total"))
+    line = _over("category", "total", F.col("currency"))
+    return per_category.groupBy("period_id").agg(
+        _in_order(-F.col("total"), F.col("category"), *_currency_last(), line=line).alias(
+            "category_lines"
+        )
+    )
+
+
+def period_reports(periods: DataFrame, receipts: DataFrame, bridge: DataFrame) -> DataFrame:
+    """Per period (period_id, first, last): ``error`` or the text block ``report``."""
+    months, eur = _month_parts(periods, receipts)
+    categories = _category_part(periods, receipts, bridge)
+    none = F.array().cast("array<string>")
+    heading = F.concat(
+        F.lit("Period: "),
+        day_text(F.col("first")),
+        F.lit(" to "),
+        day_text(F.col("last")),
+        F.lit(" (inclusive)."),
+    )
+    block = F.concat(
+        F.array(heading),
+        _section(MONTH_HEADING, F.col("month_lines")),
+        _section(CATEGORY_HEADING, F.coalesce("category_lines", none)),
+        F.when(F.col("converted") > 0, _section(EUR_HEADING, F.col("eur_lines"))).otherwise(none),
+    )
+    joined = (
+        periods.join(months, "period_id", "left")
+        .join(categories, "period_id", "left")
+        .join(eur, "period_id", "left")
+    )
+    is_reversed = F.col("first") > F.col("last")
+    report = F.when(F.col("month_lines").isNull(), EMPTY_PERIOD).otherwise(
+        F.array_join(block, "\n")
+    )
+    return joined.select(
+        "period_id",
+        F.when(is_reversed, REVERSED).alias("error"),
+        F.when(~is_reversed, report).alias("report"),
+    )

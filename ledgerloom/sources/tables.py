@@ -230,6 +230,168 @@ class Tables:
             (F.col("n_chars") < 400).alias("suspicious"),
         )
 
+    # requests, responses, files, rows to write -----------------------------------
+
+    def requests(self, table: str, key: str) -> DataFrame:
+        """Rows of a table as JSON requests."""
+        return self.table(table).select(
+            F.col(key).alias("spec_id"), F.expr(request_json(key)).alias("input")
+        )
+
+    def periods(self) -> DataFrame:
+        """Every quarter with an order, the same quarter a century later, and one reversed."""
+        quarter = F.trunc("o_orderdate", "quarter")
+        quarters = self.table("orders").select(quarter.alias("first")).distinct().withColumn(
+            "last", F.date_sub(F.add_months("first", 3), 1)
+        )
+        number = (F.year("first") * 10 + F.quarter("first")).cast("bigint")
+        later = lambda c: F.add_months(F.col(c), 1200)
+        forms = F.array(
+            F.struct(number.alias("period_id"), F.col("first"), F.col("last")),
+            F.struct((number + 100_000).alias("period_id"), later("first").alias("first"), later("last").alias("last")),
+            F.struct((number + 200_000).alias("period_id"), F.col("last").alias("first"), F.col("first").alias("last")),
+        )
+        return quarters.select(F.inline(forms))
+
+    def responses(self) -> DataFrame:
+        """Orders as stored extraction JSON, some of it broken in known ways."""
+        key = F.col("o_orderkey")
+        item = F.struct(
+            F.concat_ws(" ", F.lit("item"), F.col("l_linenumber").cast("string")).alias("description"),
+            F.col("l_quantity").alias("quantity"),
+            "category",
+        )
+        items = self.labelled_items().groupBy("l_orderkey").agg(
+            F.array_sort(F.collect_list(item)).alias("line_items")
+        )
+        customers = self.table("customer").select("c_custkey", "c_name", "c_nationkey")
+        orders = self.table("orders")
+        rows = orders.join(customers, orders.o_custkey == customers.c_custkey).join(
+            items, orders.o_orderkey == items.l_orderkey, "left"
+        )
+        nation = F.col("c_nationkey") % 4
+        none = F.lit(None).cast("string")
+        listed = F.coalesce("line_items", F.array().cast("array<struct<description:string,quantity:double,category:string>>"))
+        names = F.array_sort(F.array_distinct(F.transform(listed, lambda i: i.getField("category"))))
+        own = F.array_compact(
+            F.array(
+                F.try_element_at(names, F.lit(1)),
+                F.when(key % 9 == 0, F.lit("Other")),
+                F.when(key % 83 == 8, F.lit("Dinners")),
+            )
+        )
+        record = F.struct(
+            F.col("c_name").alias("merchant"),
+            none.alias("merchant_details"),
+            none.alias("merchant_vatNumber"),
+            none.alias("merchant_phone"),
+            F.concat(F.lit("INV "), key.cast("string")).alias("invoice_number"),
+            none.alias("location"),
+            F.when(key % 53 == 0, none)
+            .when(key % 59 == 3, "1997-02-30")
+            .otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
+            .alias("date"),
+            F.when(key % 61 == 0, F.lit(None).cast("double"))
+            .when(key % 67 == 4, F.lit(99_999_999_999.0))
+            .otherwise(F.col("o_totalprice"))
+            .alias("total_amount"),
+            F.when(key % 71 == 5, "EURO")
+            .when(nation == 0, "EUR")
+            .when(nation == 1, "USD")
+            .when(nation == 2, "JPY")
+            .alias("currency"),
+            F.col("o_orderpriority").alias("payment_method"),
+            listed.alias("line_items"),
+            F.lit("items").alias("category_evidence"),
+            own.alias("categories"),
+            F.when(key % 73 == 6, F.lit(10.5)).otherwise((key % 4) * 0.25).alias("confidence_score"),
+            F.lit("none").alias("anomaly_evidence"),
+            F.col("o_orderpriority").isin("1-URGENT", "2-HIGH", "5-LOW").alias("is_suspicious"),
+            F.when(F.col("o_orderpriority") == "1-URGENT", "The total is high for these items")
+            .when(F.col("o_orderpriority") == "2-HIGH", "  ")
+            .alias("flag_reason"),
+        )
+        raw = F.to_json(record, {"ignoreNullFields": "false"})
+        broken = (
+            F.when(key % 41 == 0, F.left(raw, F.length(raw) - 5))
+            .when(key % 43 == 1, none)
+            .when(key % 47 == 2, F.replace(raw, F.lit('"invoice_number"'), F.lit('"invoice_no"')))
+            .when(key % 79 == 7, F.regexp_replace(raw, '"is_suspicious":(true|false)', '"is_suspicious":"yes"'))
+            .otherwise(raw)
+        )
+        stop = F.when(key % 41 == 0, "max_tokens").when(key % 43 == 1, "refusal").otherwise("end_turn")
+        return rows.select(key.alias("id"), broken.alias("raw_response"), stop.alias("stop_reason"))
+
+    def uploads(self) -> DataFrame:
+        """Documents as uploaded files: nine kinds of leading bytes, five declared types."""
+        key = F.col("doc_id")
+        kind = key % 9
+        start = lambda text: F.unhex(F.lit(text))
+        head = (
+            F.when(kind == 0, start("255044462D312E370A"))
+            .when(kind == 1, start("FFD8FFE000104A46"))
+            .when(kind == 2, start("89504E470D0A1A0A0000"))
+            .when(kind == 3, start("4749463839610100"))
+            .when(kind == 4, start("52494646240000005745425056503820"))
+            .when(kind == 5, start("524946462400000057415645666D7420"))
+            .when(kind == 8, start("4749463837610100"))
+        )
+        content = F.when(kind == 6, F.unhex(F.lit(""))).otherwise(
+            F.concat(head, F.encode("text", "UTF-8"))
+        )
+        types = ["application/pdf", "image/jpeg", "image/png", "image/webp", "text/plain"]
+        declared = F.element_at(F.array(*[F.lit(t) for t in types]), (key % 5 + 1).cast("int"))
+        return self.table("documents").select(
+            key.alias("id"),
+            F.concat(F.lit("file-"), key.cast("string")).alias("filename"),
+            F.when(key % 2 == 0, "pdf").otherwise("image").alias("kind"),
+            declared.alias("declared_type"),
+            F.when(key % 11 == 0, F.lit(10 * 1024 * 1024 + 1).cast("bigint"))
+            .otherwise(F.length(content).cast("bigint"))
+            .alias("declared_size"),
+            content.alias("content"),
+            F.lit("2024-01-01 00:00:00").cast("timestamp").alias("created_at"),
+        )
+
+    def status_events(self) -> DataFrame:
+        """A pending event per receipt, and a final one, sometimes at the same moment."""
+        later = F.col("created_at") + F.make_interval(hours=(F.col("id") % 3).cast("int"))
+        pending = F.struct(F.lit("pending").alias("status"), F.col("created_at").alias("updated_at"))
+        final = F.struct(F.col("status"), later.alias("updated_at"))
+        both = F.array_compact(F.array(pending, F.when(F.col("status") != "pending", final)))
+        return self.receipts().select("id", F.inline(both))
+
+    def call_requests(self) -> DataFrame:
+        """Events in threes as one request's parallel arrays; some requests made no call."""
+        number = F.expr("id div 3")
+        call = F.struct("id", "model", "input_tokens", "output_tokens",
+                        "cache_read_input_tokens", "cache_creation_input_tokens")
+        grouped = self.calls().withColumn("request_no", number).groupBy("request_no").agg(
+            F.array_sort(F.collect_list(call)).alias("made"), F.min("created_at").alias("created_at")
+        )
+        made = F.when(F.col("request_no") % 50 == 0, F.filter("made", lambda x: F.lit(False))).otherwise(F.col("made"))
+        part = lambda name: F.transform("made", lambda x: x.getField(name)).alias(name)
+        return grouped.withColumn("made", made).select(
+            "request_no",
+            F.when(F.col("request_no") % 2 == 0, F.col("request_no").cast("string")).alias("receipt_id"),
+            F.when(F.col("request_no") % 2 == 0, "text").otherwise("ask").alias("endpoint"),
+            "created_at",
+            *[part(c) for c in ("model", "input_tokens", "output_tokens",
+                                "cache_read_input_tokens", "cache_creation_input_tokens")],
+        )
+
+    def part_prices(self) -> DataFrame:
+        """Parts as a price list; the stored list is the one of parts larger than 25."""
+        return self.table("part").select(
+            F.concat(F.lower(F.replace("p_brand", F.lit("#"), F.lit("-"))), F.lit("-"), (F.col("p_partkey") % 400).cast("string")).alias("model_prefix"),
+            F.date_add(F.lit("2000-01-01").cast("date"), F.col("p_size")).alias("valid_from"),
+            F.col("p_retailprice").cast("decimal(10,4)").alias("input"),
+            F.lit(Decimal("1.0000")).alias("output"),
+            F.lit(Decimal("0.1000")).alias("cache_read"),
+            F.lit(Decimal("1.2500")).alias("cache_write"),
+            "p_size",
+        )
+
 
 def category_of_part() -> Column:
     kind = F.col("p_type")
@@ -241,3 +403,38 @@ def category_of_part() -> Column:
         .when(kind == "LARGE", "Electronics")
         .otherwise("Transportation")
     )
+
+
+def request_json(key: str) -> str:
+    """SQL text (Spark and DuckDB) of the JSON request that the row ``key`` plays.
+
+    Every twentieth kind is one way to be right or wrong.
+    """
+    first = f"date '1995-01-01' + cast({key} * 7 % 2000 as int)"
+    last = f"date '1995-01-01' + cast({key} * 7 % 2000 + 20 + {key} % 60 as int)"
+    days = f"""'"from":"', cast({first} as string), '","to":"', cast({last} as string), '"'"""
+    object_with = lambda rest: f"concat('{{', {days}, '{rest}', '}}')"
+    kinds = [
+        "'[]'",
+        f"concat('\"from ', cast({first} as string), '\"')",
+        object_with(',"sql":"x","also":1'),
+        """'{"from":"01/06/1996","to":"1996-07-01"}'""",
+        """'{"from":"1996-02-01","to":"1996-02-30"}'""",
+        f"""concat('{{"from":"', cast({last} as string), '","to":"', cast({first} as string), '"}}')""",
+        object_with(',"categories":["Food","Dinners"]'),
+        object_with(',"merchant":42'),
+        f"concat('{{', {days}, ',\"merchant\":\"', repeat('x', 101), '\"}}')",
+        object_with(',"min_total":-1'),
+        object_with(',"max_total":1e999'),
+        object_with(',"min_total":50,"max_total":10'),
+        object_with(',"categories":[],"merchant":"   "'),
+        object_with(',"categories":["Food","Health"]'),
+        object_with(',"merchant":" CUSTOMER#0000 "'),
+        object_with(',"min_total":150000.5'),
+        object_with(',"max_total":90000'),
+        object_with(',"categories":["Leisure"],"merchant":"9","min_total":1000,"max_total":400000.25'),
+        f"concat('{{', {days})",
+        object_with(""),
+    ]
+    whens = " ".join(f"when {i} then {text}" for i, text in enumerate(kinds))
+    return f"case {key} % 20 {whens} end"
