@@ -13,14 +13,13 @@ def taxonomy() -> Column:
 
 def in_taxonomy(labels: Column) -> Column:
     """True when every label is a taxonomy name (an empty list is fine)."""
-    known = F.forall(labels, lambda x: F.coalesce(x.isin(*TAXONOMY), F.lit(False)))
-    return F.coalesce(known, F.lit(False))
+    unknown = F.array_except(labels, taxonomy())
+    return F.coalesce(F.size(unknown) == 0, F.lit(False))
 
 
 def merged(receipt_labels: Column, item_labels: Column) -> Column:
     """Labels of the receipt and of its items together, in taxonomy order."""
-    assigned = F.array_union(receipt_labels, item_labels)
-    return F.filter(taxonomy(), lambda name: F.array_contains(assigned, name))
+    return F.array_intersect(taxonomy(), F.array_union(receipt_labels, item_labels))
 
 
 def missing(expected: Column, got: Column) -> Column:

@@ -77,13 +77,18 @@ def verdicts(
     Adds ``duplicate_of``; ``is_suspicious`` and ``flag_reason`` carry the union.
     """
     far_above = outliers(receipts, history, bridge, leave_self_out=leave_self_out)
-    checked = match_earliest(receipts, history).join(far_above, "id", "left")
-    united = with_reasons(
+    return united(match_earliest(receipts, history), far_above)
+
+
+def united(matched: DataFrame, far_above: DataFrame) -> DataFrame:
+    """All checks in one verdict, from receipts with their match and the outliers."""
+    checked = matched.join(far_above, "id", "left")
+    verdict = with_reasons(
         checked,
         weekend_reason(F.col("receipt_date")),
         duplicate_reason(F.col("match_id"), F.col("match_at")),
         outlier_reason(F.col("total_amount"), F.col("currency")),
     )
-    return united.withColumn("duplicate_of", F.col("match_id")).drop(
+    return verdict.withColumn("duplicate_of", F.col("match_id")).drop(
         "match_id", "match_at", "category", "sample_size", "p90"
     )

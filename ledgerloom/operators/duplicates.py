@@ -33,23 +33,25 @@ def keyed(receipts: DataFrame) -> DataFrame:
     )
 
 
-def earliest(history: DataFrame) -> DataFrame:
+def earliest(history: DataFrame, order: tuple[str, ...] = ("created_at", "id")) -> DataFrame:
     """The earliest completed receipt of each key; combined before the shuffle."""
     rows = keyed(history.filter((F.col("status") == COMPLETED) & complete_key()))
-    first = F.min(F.struct("created_at", "id"))
+    first = F.min(F.struct(*order))
     return rows.groupBy(*KEY).agg(first.alias("first")).select(
         *KEY, F.col("first.id").alias("match_id"), F.col("first.created_at").alias("match_at")
     )
 
 
-def match_earliest(receipts: DataFrame, history: DataFrame) -> DataFrame:
+def match_earliest(
+    receipts: DataFrame, history: DataFrame, order: tuple[str, ...] = ("created_at", "id")
+) -> DataFrame:
     """Every receipt with ``match_id`` and ``match_at`` of its earlier copy, or nulls.
 
     A group of copies may be a large part of the input: its rows are spread over
     salted sub-keys, and nothing but the earliest row of the group is ever gathered.
     """
     rows = keyed(receipts)
-    matched = salted_lookup(rows, earliest(history), KEY, "id")
+    matched = salted_lookup(rows, earliest(history, order), KEY, "id")
     usable = complete_key() & (F.col("match_id") != F.col("id"))
     return matched.withColumns(
         {

@@ -50,9 +50,10 @@ def parse(responses: DataFrame) -> DataFrame:
         & in_taxonomy(F.transform(items, lambda i: i.getField("category")))
     )
     record = F.struct(*[F.col(f"_parsed.{f.name}") for f in EXTRACTION.fields])
-    return parsed.withColumn(
-        "extraction", F.when(F.coalesce(whole, F.lit(False)), record)
-    ).drop("_parsed")
+    judged = parsed.withColumn("_whole", F.explode(F.array(F.coalesce(whole, F.lit(False)))))
+    return judged.withColumn("extraction", F.when(F.col("_whole"), record)).drop(
+        "_parsed", "_whole"
+    )
 
 
 def triage(responses: DataFrame) -> DataFrame:

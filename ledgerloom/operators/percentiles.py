@@ -63,10 +63,12 @@ def values_at(
             "ranks",
         )
     )
+    # Null-safe throughout: a plain equality would add a filter to this use of the
+    # counts alone, and the counts would be computed twice instead of reused.
     same = reduce(
         lambda a, b: a & b,
         [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in groups],
-        bucket == F.col("_bucket"),
+        bucket.eqNullSafe(F.col("_bucket")),
     )
     inner = Window.partitionBy(*groups, "_bucket").orderBy("cents").rowsBetween(
         Window.unboundedPreceding, Window.currentRow

@@ -28,10 +28,15 @@ def category_spreads(
     Currencies are mixed unless ``by_currency`` is set. Only taxonomy names count, so
     the result has at most one row per name (and currency).
     """
+    counts = spread_counts(history, bridge, by_currency)
+    return percentile_points(counts, groups_of(by_currency), OUTLIER_QUANTILE)
+
+
+def spread_counts(history: DataFrame, bridge: DataFrame, by_currency: bool = False) -> DataFrame:
+    """How often each total occurs per category: a rollup that can be kept and added to."""
     known = bridge.filter(F.col("category").isin(*TAXONOMY))
     slim = reportable(history).select("id", "currency", "total_amount")
-    counts = value_counts(by_category(slim, known), groups_of(by_currency), "total_amount")
-    return percentile_points(counts, groups_of(by_currency), OUTLIER_QUANTILE)
+    return value_counts(by_category(slim, known), groups_of(by_currency), "total_amount")
 
 
 def spread_view(spreads: DataFrame) -> DataFrame:
@@ -79,8 +84,15 @@ def outliers(
     tested = receipts.filter(F.col("total_amount") > 0).select(
         "id", "total_amount", "currency", "status"
     )
-    spreads = category_spreads(history, bridge, by_currency)
     pairs = by_category(tested, bridge)
+    spreads = category_spreads(history, bridge, by_currency)
+    return compare(pairs, spreads, by_currency, leave_self_out)
+
+
+def compare(
+    pairs: DataFrame, spreads: DataFrame, by_currency: bool = False, leave_self_out: bool = False
+) -> DataFrame:
+    """Outliers among (id, total_amount, currency, status, category) rows."""
     if by_currency:
         spreads = broadcast_within(
             spreads.withColumnRenamed("currency", "spread_currency"), MAX_BROADCAST_SPREADS

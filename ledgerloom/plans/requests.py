@@ -96,7 +96,8 @@ def parse_requests(requests: DataFrame) -> DataFrame:
     Accepted requests get typed arguments, where null always means "no filter": a
     blank merchant and an empty category list do too.
     """
-    checked = read_arguments(requests).withColumn("error", first_problem())
+    # Through explode as well: filters on ``error`` then stay simple column filters.
+    checked = read_arguments(requests).withColumn("error", F.explode(F.array(first_problem())))
     usable = lambda value: F.when(F.col("error").isNull(), value)
     bound = lambda c: F.when(F.col(c) > BOUND, F.lit(BOUND)).otherwise(F.col(c))
     return checked.select(

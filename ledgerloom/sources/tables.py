@@ -27,9 +27,14 @@ class Tables:
         pin_utc(spark)
         self.spark = spark
         self.folder = folder
+        self._read: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(os.path.join(self.folder, f"{name}.parquet"))
+        """One reader per table, so its footer is looked at once per query."""
+        if name not in self._read:
+            path = os.path.join(self.folder, f"{name}.parquet")
+            self._read[name] = self.spark.read.parquet(path)
+        return self._read[name]
 
     # receipts -----------------------------------------------------------------
 
