@@ -118,6 +118,15 @@ def usage() -> dict[str, str]:
         "usage_total": _with(CALLS, PRICES, PRICED, lines) + """
             select cast(coalesce(round(sum(cost_usd), 6), 0) as double) as total_cost_usd,
               cast(coalesce(sum(unpriced_calls), 0) as bigint) as unpriced_calls from lines""",
+        "usage_stream": _with(CALLS, PRICES, PRICED) + f"""
+            select cast(created_at as date) as day, endpoint, model, count(*) as calls,
+              cast(sum(input_tokens) as bigint) as input_tokens,
+              cast(sum(output_tokens) as bigint) as output_tokens,
+              cast(sum(cache_read_input_tokens) as bigint) as cache_read_input_tokens,
+              cast(sum(cache_creation_input_tokens) as bigint) as cache_creation_input_tokens,
+              cast(round({_COST}, 6) as double) as cost_usd,
+              count(*) filter (where model_prefix is null) as unpriced_calls
+            from priced group by 1, 2, 3""",
         "price_function": _with(CALLS, PRICES, PRICED) + """
             select model, cast(created_at as date) as day, any_value(model_prefix) as model_prefix,
               cast(any_value(input) as double) as input, count(*) as calls
@@ -209,6 +218,21 @@ _IN_HISTORY = "and r.id < 100000000"
 _IN_BATCH = "and (r.status = 'pending' or r.id >= 100000000)"
 
 
+# Completed responses as receipts, and their categories as the bridge: what the shared
+# anomaly fragments need, over the responses instead of the orders.
+_TAKEN_IN = """
+receipts as (
+  select id, c_name as merchant, receipt_date, total_amount, currency,
+    case when o_orderstatus = 'P' then 'pending' else 'completed' end as status,
+    cast(o_orderdate as timestamp) as created_at, base_flag as is_suspicious,
+    base_reason as flag_reason
+  from extracted where failure_reason is null),
+taken_bridge as (
+  select id as receipt_id, unnest(string_split(categories, '|')) as category
+  from extracted where failure_reason is null and categories <> '')
+"""
+
+
 def anomalies() -> dict[str, str]:
     spread_all, spread_history = _SPREAD.format(only=""), _SPREAD.format(only=_IN_HISTORY)
     points_all, points_batch = _POINTS.format(tested=""), _POINTS.format(tested=_IN_BATCH)
@@ -230,6 +254,30 @@ def anomalies() -> dict[str, str]:
             where status = 'completed' and total_amount is not null group by 1, 2""",
         "outliers": _with(RECEIPTS, BRIDGE, spread_all, points_all) + fired,
         "outliers_snapshot": _with(RECEIPTS, BRIDGE, spread_history, points_batch) + fired,
+        "outliers_replay": _with(RECEIPTS, BRIDGE) + """,
+            rows_in as (
+              select r.id, r.currency, r.total_amount, b.category, cast(created_at as date) as day,
+                r.status = 'completed' and r.total_amount is not null as counts
+              from receipts r join bridge b on b.receipt_id = r.id),
+            asked as (select distinct category, day from rows_in where total_amount > 0),
+            spreads as (
+              select a.category, a.day, count(*) as sample_size,
+                quantile_cont(cast(h.total_amount as double), 0.9) as p90
+              from asked a join rows_in h on h.category = a.category and h.day < a.day and h.counts
+              group by 1, 2),
+            best as (
+              select id, currency, total_amount, arg_min(category, (-p90, category)) as category,
+                arg_min(sample_size, (-p90, category)) as sample_size, max(p90) as p90
+              from rows_in join spreads using (category, day)
+              where total_amount > 0 and sample_size >= 8 and p90 > 0 group by 1, 2, 3),
+            fired as (
+              select *, coalesce(' ' || currency, '') as cur,
+                cast(p90 as decimal(18,3)) as exact from best where total_amount > 4 * p90)
+            select id, category, sample_size, round(p90, 6) as p90,
+              concat('Total ', cast(cast(total_amount as decimal(38,2)) as varchar), cur,
+                ' is more than 4x the ', cast(cast(exact as decimal(38,2)) as varchar), cur,
+                ' 90th percentile of ', sample_size, ' earlier ', category, ' receipts.') as reason
+            from fired""",
         "duplicates_replay": _with(RECEIPTS, firsts_all) + """
             select id, match_id as duplicate_of, cast(match_at as date) as submitted
             from matches where id in (select id from receipts where status = 'completed')""",
@@ -408,6 +456,19 @@ def intake() -> dict[str, str]:
                 else concat_ws(' ', case when trim(base_reason) <> ''
                   then trim(base_reason) || '.' end, weekend) end as flag_reason
             from flagged""",
+        "intake_in_two_batches": _with(
+            BRIDGE, RESPONSES, _TAKEN_IN, RATES, CONVERTED,
+            _SPREAD.format(only="").replace("join bridge", "join taken_bridge"),
+            _POINTS.format(tested="and r.status = 'pending'").replace("join bridge", "join taken_bridge"),
+            _FIRSTS.format(only="and false"),
+        ) + "," + _VERDICT.format(under_test="").replace(
+            "select id, is_suspicious or fired",
+            """, stored as (select id, is_suspicious or fired""",
+        ) + """)
+            select e.id, case when failure_reason is null then 'completed' else 'failed' end as status,
+              case when failure_reason is null then cast(e.total_amount as double) end as total_amount,
+              cast(c.total_eur as double) as total_eur, s.is_suspicious, s.flag_reason, s.duplicate_of
+            from extracted e left join stored s on s.id = e.id left join converted c on c.id = e.id""",
         "latest_status": _with(RECEIPTS, STATUS) + """
             select id, arg_max(status, (updated_at, status <> 'pending')) as status,
               cast(epoch(max(updated_at)) as bigint) as updated_at from status_events group by 1""",

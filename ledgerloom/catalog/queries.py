@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.files import image_type, is_pdf
@@ -14,16 +16,19 @@ from ..operators import (
     fx,
     lifecycle,
     pricing,
+    replay,
     scoring,
     spreads,
     totals,
     uploads,
 )
 from ..operators.categories import with_categories
-from ..plans import insights, requests
+from ..plans import insights, intake, requests
 from ..plans.score_report import score_report as score_lines
 from ..schemas import RECEIPTS
+from ..session import shared_dir
 from ..sources.tables import Tables
+from ..streaming.usage import current_usage, start_daily_usage
 from .checks_sql import CALL_FIRST, CALL_LAST, FIRST, LAST
 
 TODAY = "2001-12-31"
@@ -166,6 +171,21 @@ def price_function(spark, folder):
     )
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A folder of its own for one run, where every executor can reach it."""
+    return f"{shared_dir(spark)}/ledgerloom/{uuid.uuid4().hex}"
+
+
+def usage_stream(spark, folder):
+    t, root = Tables(spark, folder), new_folder(spark)
+    run = start_daily_usage(
+        t.arriving_calls(), t.prices(), root, f"{root}/checkpoint", mode="update"
+    )
+    run.awaitTermination()
+    rows = current_usage(spark.read.parquet(f"{root}/usage"))
+    return rows.withColumn("cost_usd", F.col("cost_usd").cast("double"))
+
+
 # anomalies --------------------------------------------------------------------
 
 
@@ -206,6 +226,12 @@ def outliers_snapshot(spark, folder):
     return outlier_rows(t.batch(), rows)
 
 
+def outliers_replay(spark, folder):
+    t = Tables(spark, folder)
+    rows = replay.replayed_outliers(t.receipts(), t.receipts(), t.receipt_categories())
+    return outlier_rows(t.receipts(), rows)
+
+
 def duplicate_rows(rows: DataFrame) -> DataFrame:
     return rows.select(
         "id", F.col("match_id").alias("duplicate_of"), F.to_date("match_at").alias("submitted")
@@ -343,6 +369,19 @@ def completion_cast(spark, folder):
     )
 
 
+def intake_in_two_batches(spark, folder):
+    """Responses stored in two batches: open orders are judged against all others."""
+    t, root = Tables(spark, folder), new_folder(spark)
+    is_open = F.col("o_orderstatus") == "P"
+    for batch, rows in enumerate((t.responses().filter(~is_open), t.responses().filter(is_open))):
+        intake.take_in(rows, t.fx_rates(), root, batch)
+    return spark.read.parquet(f"{root}/receipts").select(
+        F.col("id").cast("bigint").alias("id"), "status", number("total_amount"),
+        number("total_eur"), "is_suspicious", "flag_reason",
+        F.col("duplicate_of").cast("bigint").alias("duplicate_of"),
+    )
+
+
 def latest_status(spark, folder):
     rows = lifecycle.latest_status(Tables(spark, folder).status_events())
     return rows.select("id", "status", F.unix_timestamp("updated_at").alias("updated_at"))
@@ -479,7 +518,7 @@ def pair_scores(spark, folder):
 
 def pair_delta(spark, folder):
     scores = scoring.pair_scores(scoring.pairs(Tables(spark, folder).results()))
-    return rounded(scoring.pair_delta(scores), "exact_delta", "f1_delta")
+    return rounded(scoring.pair_delta(scores), "exact_delta", "f1_delta").drop("pairs")
 
 
 def mismatches(spark, folder):
@@ -504,13 +543,13 @@ def all_queries():
     functions = [
         month_totals, category_totals, month_totals_eur, query_totals, query_totals_filtered,
         receipts_with_categories, spending_summary, fx_asof, eur_conversion, response_view,
-        price_asof, usage_summary, usage_total, price_function,
-        category_spread, category_spread_by_currency, outliers, outliers_snapshot,
+        price_asof, usage_summary, usage_total, price_function, usage_stream,
+        category_spread, category_spread_by_currency, outliers, outliers_snapshot, outliers_replay,
         duplicates_replay, duplicates_snapshot, weekend_flags, missing_fields,
         reconcile_totals, verdict, verdict_snapshot,
         query_validation, query_batch, period_report,
         media_types, upload_checks, file_intake, text_intake, typed_parse, response_triage,
-        merged_categories, completion_cast, latest_status, category_bridge, category_dimension,
+        merged_categories, completion_cast, intake_in_two_batches, latest_status, category_bridge, category_dimension,
         ledger_rows, price_seed, schema_backfill, delete_propagation,
         category_scores, micro_scores, exact_match, source_summary, flag_scores,
         flag_mismatches, pair_listing, pair_scores, pair_delta, mismatches, first_cases,

@@ -152,7 +152,8 @@ RESPONSES = """
 response_items as (
   select id, list_sort(list(distinct category)) as names from labelled_items group by 1),
 responses as (
-  select o_orderkey as id, o_orderdate, o_totalprice, o_orderpriority, c_nationkey % 4 as nation,
+  select o_orderkey as id, o_orderdate, o_totalprice, o_orderpriority, o_orderstatus, c_name,
+    c_nationkey % 4 as nation,
     coalesce(i.names, []) as names,
     case when o_orderkey % 41 = 0 then 'The response was cut off before the receipt was finished.'
          when o_orderkey % 43 = 1 then 'The extraction was declined.'

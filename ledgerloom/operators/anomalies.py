@@ -77,15 +77,13 @@ def verdicts(
     Adds ``duplicate_of``; ``is_suspicious`` and ``flag_reason`` carry the union.
     """
     far_above = outliers(receipts, history, bridge, leave_self_out=leave_self_out)
-    return united(match_earliest(receipts, history), far_above)
+    return united(weekend_flags(match_earliest(receipts, history)), far_above)
 
 
 def united(matched: DataFrame, far_above: DataFrame) -> DataFrame:
-    """All checks in one verdict, from receipts with their match and the outliers."""
-    checked = matched.join(far_above, "id", "left")
+    """The history checks on top of a verdict that already holds the weekend check."""
     verdict = with_reasons(
-        checked,
-        weekend_reason(F.col("receipt_date")),
+        matched.join(far_above, "id", "left"),
         duplicate_reason(F.col("match_id"), F.col("match_at")),
         outlier_reason(F.col("total_amount"), F.col("currency")),
     )

@@ -151,7 +151,10 @@ def pair_scores(paired: DataFrame) -> DataFrame:
 
 
 def pair_delta(scores: DataFrame) -> DataFrame:
-    """What photographs cost: photo minus text, in exact rate and micro F1."""
+    """What photographs cost: photo minus text, in exact rate and micro F1.
+
+    ``pairs`` is the number of complete pairs; with none both differences are zero.
+    """
 
     def of(name: str, side: str) -> Column:
         return F.coalesce(F.max(F.when(F.col("side") == side, F.col(name))), F.lit(0.0))
@@ -159,4 +162,5 @@ def pair_delta(scores: DataFrame) -> DataFrame:
     return scores.agg(
         (of("exact_rate", "photo") - of("exact_rate", "text")).alias("exact_delta"),
         (of("micro_f1", "photo") - of("micro_f1", "text")).alias("f1_delta"),
+        F.coalesce(F.max("cases"), F.lit(0)).alias("pairs"),
     )

@@ -78,6 +78,7 @@ def take_in(responses: DataFrame, rates: DataFrame, root: str, batch: int) -> No
     their lineage with files every executor can read again.
     """
     spark = responses.sparkSession
+    responses = responses.withColumn("id", F.col("id").cast("string"))
     parsed = complete(responses).join(responses.select("id", "created_at"), "id")
     write_table(parsed, root, "parsed", batch)
     rows = spark.read.schema(parsed.schema).parquet(f"{root}/parsed/batch={batch}")

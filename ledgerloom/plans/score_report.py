@@ -106,7 +106,7 @@ def pair_section(results: DataFrame) -> list[DataFrame]:
     )
     half = F.when(F.col("half") > 0, F.when(some, "  excluded, only one side ran:").otherwise("  incomplete pairs:"))
     only = lambda text: F.when(some, text)
-    with_pairs = scoring.pair_delta(sides).join(counts.filter(some).select("complete"), F.lit(True))
+    with_pairs = scoring.pair_delta(sides).filter("pairs > 0")
     return [
         _lines(
             counts, 30, F.lit(""), F.lit(""), F.lit("=== Photo vs text ==="), F.lit(""),

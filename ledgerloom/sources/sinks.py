@@ -21,7 +21,8 @@ def write_receipts(receipts: DataFrame, root: str, batch: str | int) -> None:
     """Receipts by month of their date, so that date ranges prune whole folders."""
     month = F.coalesce(month_key(F.col("receipt_date")), F.lit(NO_MONTH))
     rows = receipts.withColumn("receipt_month", month)
-    rows.write.mode("overwrite").partitionBy("receipt_month").parquet(
+    # Few files per month, and a hot month still written by many tasks.
+    rows.hint("rebalance", F.col("receipt_month")).write.mode("overwrite").partitionBy("receipt_month").parquet(
         _folder(root, "receipts", batch)
     )
 
@@ -29,7 +30,7 @@ def write_receipts(receipts: DataFrame, root: str, batch: str | int) -> None:
 def write_calls(calls: DataFrame, root: str, batch: str | int) -> None:
     """Ledger rows by day of the call."""
     rows = calls.withColumn("call_day", F.to_date("created_at"))
-    rows.write.mode("overwrite").partitionBy("call_day").parquet(_folder(root, "calls", batch))
+    rows.hint("rebalance", F.col("call_day")).write.mode("overwrite").partitionBy("call_day").parquet(_folder(root, "calls", batch))
 
 
 def write_table(rows: DataFrame, root: str, table: str, batch: str | int) -> None:

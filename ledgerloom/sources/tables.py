@@ -136,8 +136,17 @@ class Tables:
 
     def calls(self) -> DataFrame:
         """Events as calls of the usage ledger."""
+        return self.calls_of(self.table("events"))
+
+    def arriving_calls(self) -> DataFrame:
+        """The same calls as a stream over the file of events."""
+        stream = self.spark.readStream.schema(self.table("events").schema)
+        return self.calls_of(stream.option("pathGlobFilter", "events.parquet").parquet(self.folder))
+
+    @staticmethod
+    def calls_of(events: DataFrame) -> DataFrame:
         kind, user = F.col("event_type"), F.col("user_id") % 4
-        return self.table("events").select(
+        return events.select(
             F.col("event_id").alias("id"),
             F.when(kind == "view", "text")
             .when(kind == "click", "pdf")
@@ -325,7 +334,13 @@ class Tables:
             .otherwise(raw)
         )
         stop = F.when(key % 41 == 0, "max_tokens").when(key % 43 == 1, "refusal").otherwise("end_turn")
-        return rows.select(key.alias("id"), broken.alias("raw_response"), stop.alias("stop_reason"))
+        return rows.select(
+            key.alias("id"),
+            broken.alias("raw_response"),
+            stop.alias("stop_reason"),
+            F.col("o_orderdate").cast("timestamp").alias("created_at"),
+            "o_orderstatus",
+        )
 
     def uploads(self) -> DataFrame:
         """Documents as uploaded files: nine kinds of leading bytes, five declared types."""

@@ -133,7 +133,7 @@ def test_every_reason_is_joined(spark):
         [("1", "Food", 30, Decimal("25"))],
         "id string, category string, sample_size bigint, p90 decimal(20,4)",
     )
-    row = anomalies.united(matched, far).first()
+    row = anomalies.united(anomalies.weekend_flags(matched), far).first()
     assert (row.is_suspicious, row.duplicate_of) == (True, "earlier")
     assert row.flag_reason == (
         "A steak at 450. Issued on a Saturday. Same merchant, date and total as receipt earlier, "
@@ -156,3 +156,48 @@ def test_missing_and_unreconciled(spark):
         "receipt_id string, amount decimal(12,2)",
     )
     assert [r.id for r in anomalies.unreconciled(rows, items).collect()] == ["d"]
+
+
+def test_replayed_outliers_match_recomputing(spark):
+    import random
+
+    from ledgerloom.operators.replay import replayed_outliers
+    from tests.test_percentiles import interpolated
+
+    rng = random.Random(11)
+    rows, pairs = [], []
+    for i in range(400):
+        # Wide range of magnitudes, many receipts on one day, some negative or uncounted.
+        usual, large = rng.randint(-300, 3000), rng.randint(10**4, 10**11)
+        cents = large if i % 17 == 0 else usual
+        total = None if i % 37 == 0 else Decimal(cents) / 100
+        status = "failed" if i % 29 == 0 else "completed"
+        at = dt.datetime(2026, 1, 1) + dt.timedelta(days=rng.choice([0, 3, rng.randint(0, 30)]), hours=i % 24)
+        rows.append((str(i), "m", DAY, total, "EUR", status, at))
+        pairs += [(str(i), c) for c in rng.sample(["Food", "Health", "Leisure"], rng.randint(0, 3))]
+    receipts = spark.createDataFrame(rows, RECEIPT)
+    bridge = spark.createDataFrame(pairs, "receipt_id string, category string")
+    labels = {}
+    for id, category in pairs:
+        labels.setdefault(id, []).append(category)
+    expected = {}
+    for id, _, _, total, _, _, at in rows:
+        if total is None or total <= 0:
+            continue
+        best = None
+        for category in labels.get(id, []):
+            earlier = [
+                r[3] for r in rows
+                if r[3] is not None and r[5] == "completed" and r[6].date() < at.date()
+                and category in labels.get(r[0], [])
+            ]
+            if len(earlier) >= 8 and interpolated(earlier) > 0:
+                found = (-interpolated(earlier), category, len(earlier))
+                best = found if best is None else min(best, found)
+        if best and total > -best[0] * 4:
+            expected[id] = (best[1], best[2], -best[0])
+    got = {
+        r.id: (r.category, r.sample_size, r.p90)
+        for r in replayed_outliers(receipts, receipts, bridge).collect()
+    }
+    assert got == expected and expected

@@ -40,10 +40,10 @@ def plan_of(spark, name):
 @pytest.mark.parametrize("name", list(registry.queries()))
 def test_no_cross_joins_and_no_python(spark, name):
     plan = plan_of(spark, name)
-    assert "CartesianProduct" not in plan and "Python" not in plan and "InPandas" not in plan
-    # Only the SQL function keeps its prefix condition as a nested loop, and one-row frames
-    # are attached to the score report; neither side follows the data.
-    if name not in ("price_function", "score_report"):
+    assert "CartesianProduct" not in plan
+    assert "Python" not in plan and "InPandas" not in plan
+    # Only the SQL function keeps its prefix condition as a nested loop, over days of calls.
+    if name != "price_function":
         assert "NestedLoop" not in plan
 
 
