@@ -85,6 +85,11 @@ def totals() -> dict[str, str]:
         "eur_conversion": _with(RECEIPTS, RATES, CONVERTED) + """
             select id, currency, cast(total_amount as double) as total_amount,
               cast(total_eur as double) as total_eur from converted""",
+        "receipt_lookup": _with(RECEIPTS, BRIDGE) + """
+            select r.id, merchant, cast(total_amount as double) as total_amount, status,
+              (select coalesce(string_agg(category, '|' order by category), '') from bridge b
+               where b.receipt_id = r.id) as categories
+            from receipts r where r.id in (select doc_id from labels)""",
         "response_view": _with(RECEIPTS, BRIDGE, RATES, CONVERTED) + """
             select c.id, merchant, strftime(receipt_date, '%Y-%m-%d') as date,
               cast(total_amount as double) as total_amount, currency,

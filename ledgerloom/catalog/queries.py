@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.files import image_type, is_pdf
@@ -26,7 +24,7 @@ from ..operators.categories import with_categories
 from ..plans import insights, intake, requests
 from ..plans.score_report import score_report as score_lines
 from ..schemas import RECEIPTS
-from ..session import shared_dir
+from ..sources.sinks import new_folder, written
 from ..sources.tables import Tables
 from ..streaming.usage import current_usage, start_daily_usage
 from .checks_sql import CALL_FIRST, CALL_LAST, FIRST, LAST
@@ -128,6 +126,14 @@ def response_view(spark, folder):
     )
 
 
+def receipt_lookup(spark, folder):
+    """A list of ids looked up at once: every labelled document names a receipt here."""
+    t = Tables(spark, folder)
+    wanted = t.table("labels").select(F.col("doc_id").alias("id"))
+    found = with_categories(filters.by_ids(t.receipts(), wanted), t.receipt_categories())
+    return found.select("id", "merchant", number("total_amount"), "status", joined("categories"))
+
+
 # usage ------------------------------------------------------------------------
 
 
@@ -171,11 +177,6 @@ def price_function(spark, folder):
     )
 
 
-def new_folder(spark: SparkSession) -> str:
-    """A folder of its own for one run, where every executor can reach it."""
-    return f"{shared_dir(spark)}/ledgerloom/{uuid.uuid4().hex}"
-
-
 def usage_stream(spark, folder):
     t, root = Tables(spark, folder), new_folder(spark)
     run = start_daily_usage(
@@ -536,13 +537,14 @@ def first_cases(spark, folder):
 
 def score_report(spark, folder):
     t = Tables(spark, folder)
-    return score_lines(t.results(), "whole table", t.flag_results())
+    # The report reads the results many times, so they are stored once.
+    return score_lines(written(t.results()), "whole table", t.flag_results())
 
 
 def all_queries():
     functions = [
         month_totals, category_totals, month_totals_eur, query_totals, query_totals_filtered,
-        receipts_with_categories, spending_summary, fx_asof, eur_conversion, response_view,
+        receipts_with_categories, spending_summary, fx_asof, eur_conversion, response_view, receipt_lookup,
         price_asof, usage_summary, usage_total, price_function, usage_stream,
         category_spread, category_spread_by_currency, outliers, outliers_snapshot, outliers_replay,
         duplicates_replay, duplicates_snapshot, weekend_flags, missing_fields,

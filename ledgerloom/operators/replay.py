@@ -9,12 +9,10 @@ groups, never by the number of receipts. The result is exact.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..schemas import OUTLIER_QUANTILE, TAXONOMY
-from ..session import shared_dir
+from ..sources.sinks import written
 from .categories import by_category
 from .filters import reportable
 from .percentiles import between, fraction, rank_below, value_counts
@@ -24,17 +22,6 @@ from .spreads import above_benchmark
 WIDTHS = (1_000_000_000, 1_000_000, 1_000, 1)
 
 
-def written(rows: DataFrame) -> DataFrame:
-    """Write to the cluster's shared folder and read back.
-
-    Later steps start from files that outlive any executor, and their real size is known
-    to the planner.
-    """
-    path = f"{shared_dir(rows.sparkSession)}/ledgerloom/{uuid.uuid4().hex}"
-    rows.write.parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
-
-
 def arrival_day() -> Column:
     """The UTC day a receipt came in, as a day number."""
     return F.unix_date(F.to_date("created_at")).alias("day")

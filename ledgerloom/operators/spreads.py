@@ -4,14 +4,21 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import money_text
 from ..schemas import OUTLIER_MIN_RECEIPTS, OUTLIER_MULTIPLE, OUTLIER_QUANTILE, TAXONOMY
 from .categories import by_category
 from .filters import reportable
 from .joining import broadcast_within
-from .percentiles import cents, percentile_points, percentile_without, value_counts
+from .percentiles import (
+    between,
+    cents,
+    fraction,
+    percentile_points,
+    percentile_without,
+    value_counts,
+)
 
 MAX_BROADCAST_SPREADS = 20_000
 
@@ -46,6 +53,22 @@ def spread_view(spreads: DataFrame) -> DataFrame:
     )
 
 
+def with_floor(spreads: DataFrame) -> DataFrame:
+    """Add the lowest percentile any receipt can meet as its benchmark.
+
+    Leaving a receipt out lowers a percentile at most to that of its two lower
+    neighbours. A handful of rows: one per taxonomy name (and currency).
+    """
+    lowest = F.col("percentile")
+    if "out_a" in spreads.columns:
+        without = between(
+            F.col("out_a"), F.col("out_b"), fraction(F.col("size") - 1, OUTLIER_QUANTILE)
+        )
+        lowest = F.least(lowest, without)
+    counted = F.when(F.col("size") >= OUTLIER_MIN_RECEIPTS, lowest)
+    return spreads.withColumn("floor", F.min(counted).over(Window.partitionBy()))
+
+
 def _limit(p90: Column) -> Column:
     return p90 * F.lit(Decimal(OUTLIER_MULTIPLE))
 
@@ -93,6 +116,7 @@ def compare(
     pairs: DataFrame, spreads: DataFrame, by_currency: bool = False, leave_self_out: bool = False
 ) -> DataFrame:
     """Outliers among (id, total_amount, currency, status, category) rows."""
+    spreads = with_floor(spreads)
     if by_currency:
         spreads = broadcast_within(
             spreads.withColumnRenamed("currency", "spread_currency"), MAX_BROADCAST_SPREADS
@@ -105,6 +129,9 @@ def compare(
     else:
         # At most one row per taxonomy name.
         joined = pairs.join(F.broadcast(spreads), "category")
+    # No benchmark lies below the floor, so what this drops cannot be an outlier; what is
+    # left for the aggregation per receipt is a small part of the rows.
+    joined = joined.filter(F.col("total_amount") > _limit(F.col("floor")))
     sample, p90 = F.col("size"), F.col("percentile")
     if leave_self_out:
         counted = reportable_flag()

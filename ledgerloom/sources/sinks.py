@@ -6,9 +6,12 @@ that is run again after a failure leaves one copy of its rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.dates import month_key
+from ..session import shared_dir
 
 NO_MONTH = "undated"
 
@@ -17,6 +20,22 @@ def _folder(root: str, table: str, batch: str | int) -> str:
     return f"{root.rstrip('/')}/{table}/batch={batch}"
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A folder of its own for one run, where every executor can reach it."""
+    return f"{shared_dir(spark)}/ledgerloom/{uuid.uuid4().hex}"
+
+
+def written(rows: DataFrame) -> DataFrame:
+    """Write to the cluster's shared folder and read back.
+
+    Later steps start from files that outlive any executor, and their real size is known
+    to the planner.
+    """
+    path = new_folder(rows.sparkSession)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def write_receipts(receipts: DataFrame, root: str, batch: str | int) -> None:
     """Receipts by month of their date, so that date ranges prune whole folders."""
     month = F.coalesce(month_key(F.col("receipt_date")), F.lit(NO_MONTH))
