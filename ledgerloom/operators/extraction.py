@@ -71,10 +71,14 @@ def merged_categories() -> Column:
     return merged(F.col("extraction.categories"), items)
 
 
-def flattened(triaged: DataFrame) -> DataFrame:
-    """Extraction fields as columns, categories merged and the weekend check applied."""
+def flattened(triaged: DataFrame, *kept: str) -> DataFrame:
+    """Extraction fields as columns, categories merged and the weekend check applied.
+
+    ``kept`` names columns of the response to carry along.
+    """
     flat = triaged.select(
         "id",
+        *kept,
         "raw_response",
         "failure_reason",
         *[
@@ -136,18 +140,19 @@ STORED = {
 }
 
 
-def complete(responses: DataFrame) -> DataFrame:
+def complete(responses: DataFrame, *kept: str) -> DataFrame:
     """Every response once: a completed receipt, or a failed row with only its reason.
 
     Row-local from end to end: one scan and no shuffle. A failed row keeps none of its
-    values, because its completion never happened.
+    values, because its completion never happened; ``kept`` columns stay on every row.
     """
-    typed = fitted(flattened(triage(parse(responses))))
+    typed = fitted(flattened(triage(parse(responses)), *kept))
     reason = F.coalesce("failure_reason", F.when(~F.col("fits"), DOES_NOT_FIT))
     judged = typed.withColumn("failure_reason", reason)
     done = F.col("failure_reason").isNull()
     return judged.select(
         "id",
+        *kept,
         *[F.when(done, F.col(source)).alias(name) for name, source in STORED.items()],
         F.when(done, F.col("raw_response")).alias("raw_response"),
         F.when(done, COMPLETED).otherwise(FAILED).alias("status"),

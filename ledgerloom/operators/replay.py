@@ -1,10 +1,10 @@
 """Outliers as they stood on the day each receipt came in.
 
 The 90th percentile of "everything completed before this day" is needed for every
-category and day. It is found three digits of the value at a time, by counting per digit
-group, category and day. Spark counts and shuffles; each group that reaches a task holds
-one count per day and digit group, so it is bounded by the calendar and a thousand digit
-groups, never by the number of receipts. The result is exact.
+category and day. It is found by narrowing the range of the value in four steps, counting
+per part of the range, category and day. Spark counts and shuffles; each group that reaches
+a task holds one count per day and part, so it is bounded by the calendar and the number of
+parts, never by the number of receipts. The result is exact.
 """
 
 from __future__ import annotations
@@ -18,8 +18,9 @@ from .filters import reportable
 from .percentiles import between, fraction, rank_below, value_counts
 from .spreads import above_benchmark
 
-# A decimal(12,2) has at most twelve digits of cents: four groups of three.
-WIDTHS = (1_000_000_000, 1_000_000, 1_000, 1)
+# A decimal(12,2) has at most twelve digits of cents. Each step splits a range into at most
+# a thousand parts, the last one into its five thousand cents.
+WIDTHS = (1_000_000_000, 1_000_000, 5_000, 1)
 
 
 def arrival_day() -> Column:
@@ -65,8 +66,8 @@ def descender():
     def descend(targets, points):
         """Bucket and rest rank of the targets of one (category, prefix).
 
-        ``points`` are counts per day and bucket: at most a thousand buckets (twice that
-        around zero) and one row per day, so the matrix is bounded by the calendar.
+        ``points`` are counts per day and bucket: at most five thousand buckets (twice
+        that around zero), and the matrix has a row per asked day only.
         """
         import numpy as np
 
@@ -87,7 +88,7 @@ def descender():
 
 
 def narrow(targets: DataFrame, counts: DataFrame, outer: int, width: int) -> DataFrame:
-    """One more digit group: the bucket of each target and its rank inside that bucket."""
+    """One step: the part of the range each target lies in, and its rank inside that part."""
     prefix = F.lit(0).cast("bigint") if outer > WIDTHS[0] else _div(outer)
     wanted = targets.select("category", "prefix").distinct()
     points = (
@@ -106,7 +107,7 @@ def spreads_before(counts: DataFrame, asked: DataFrame) -> DataFrame:
     """Size and percentile of all earlier days for every asked (category, day)."""
     counts = written(counts)
     targets = written(targets_of(counts, asked))
-    outer = WIDTHS[0] * 1000
+    outer = WIDTHS[0] * 1_000
     for width in WIDTHS:
         targets = written(narrow(targets, counts, outer, width))
         outer = width

@@ -79,7 +79,7 @@ def take_in(responses: DataFrame, rates: DataFrame, root: str, batch: int) -> No
     """
     spark = responses.sparkSession
     responses = responses.withColumn("id", F.col("id").cast("string"))
-    parsed = complete(responses).join(responses.select("id", "created_at"), "id")
+    parsed = complete(responses, "created_at")
     write_table(parsed, root, "parsed", batch)
     rows = spark.read.schema(parsed.schema).parquet(f"{root}/parsed/batch={batch}")
     fresh = with_eur(rows.filter(F.col("status") == COMPLETED), rates)
