@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 HOT_SHARE = 0.001
@@ -10,17 +12,8 @@ SKETCH_ITEMS = 10_000
 SALTS = 64
 
 
-def broadcast_within(small: DataFrame, max_rows: int) -> DataFrame:
-    """Hint a broadcast only once a bounded count has shown the side is small.
-
-    Beyond ``max_rows`` the frame is returned unhinted, so the join shuffles.
-    """
-    if small.isStreaming:
-        return small
-    return F.broadcast(small) if fits(small, max_rows) else small
-
-
 def fits(small: DataFrame, max_rows: int) -> bool:
+    """Whether a side may be broadcast: a bounded count, never a guess from statistics."""
     return small.limit(max_rows + 1).count() <= max_rows
 
 
@@ -50,21 +43,30 @@ def salted_lookup(
     lookup: DataFrame,
     keys: list[str],
     spread_by: str,
+    extra: Column | None = None,
     hot: list[int] | None = None,
     salts: int = SALTS,
 ) -> DataFrame:
-    """Left join of ``rows`` to ``lookup`` (one row per key), hot keys split.
+    """Left join of ``rows`` to a much smaller ``lookup`` on equal keys, hot keys split.
 
     Rows of a hot key are spread over ``salts`` sub-keys by ``spread_by``; only the
-    lookup rows of hot keys are repeated for each of them. Every row is kept.
+    lookup rows of hot keys are repeated for each of them. Every row is kept. ``extra``
+    is a further condition on columns of both sides.
     """
     if hot is None:
         hot = hot_hashes(rows, keys)
-    if not hot:
-        return rows.join(lookup, keys, "left")
-    is_hot: Column = F.xxhash64(*keys).isin(hot)
-    salt = F.when(is_hot, F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
-    every = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    left = rows.withColumn("_salt", F.coalesce(salt, F.lit(0)))
-    right = lookup.withColumn("_salt", F.explode(every))
-    return left.join(right, [*keys, "_salt"], "left").drop("_salt")
+    names = {k: f"_{k}" for k in keys}
+    right = lookup.select(*[F.col(c).alias(names.get(c, c)) for c in lookup.columns])
+    same = reduce(lambda a, b: a & b, [F.col(k) == F.col(n) for k, n in names.items()])
+    if extra is not None:
+        same = same & extra
+    if hot:
+        spread = F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int")
+        every = F.sequence(F.lit(0), F.lit(salts - 1))
+        is_hot = lambda columns: F.coalesce(F.xxhash64(*columns).isin(hot), F.lit(False))
+        rows = rows.withColumn("_row_salt", F.when(is_hot(names), spread).otherwise(0))
+        right = right.withColumn(
+            "_salt", F.explode(F.when(is_hot(names.values()), every).otherwise(F.array(F.lit(0))))
+        )
+        same = same & (F.col("_row_salt") == F.col("_salt"))
+    return rows.join(right, same, "left").drop(*names.values(), "_row_salt", "_salt")

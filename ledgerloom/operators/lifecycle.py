@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..schemas import PENDING, PRICES, RECEIPT_DEFAULTS, TOKEN_PRICES
+from .joining import salted_lookup
 
 
 def latest_status(events: DataFrame) -> DataFrame:
@@ -65,15 +66,13 @@ def _forget(rows: DataFrame, reference: str, deleted: DataFrame) -> DataFrame:
     """Null out references to deleted ids.
 
     Rows without a reference skip the join: their common null key would otherwise put
-    them all into one partition.
+    them all into one partition. Many copies of one original are spread as well.
     """
-    gone = deleted.select(F.col("id").alias("_gone")).distinct()
-    linked = rows.filter(F.col(reference).isNotNull()).join(
-        gone, F.col(reference) == F.col("_gone"), "left"
-    )
+    gone = deleted.select(F.col("id").alias(reference), F.lit(True).alias("gone")).distinct()
+    linked = salted_lookup(rows.filter(F.col(reference).isNotNull()), gone, [reference], "id")
     kept = linked.withColumn(
-        reference, F.when(F.col("_gone").isNull(), F.col(reference))
-    ).drop("_gone")
+        reference, F.when(F.col("gone").isNull(), F.col(reference))
+    ).drop("gone")
     return rows.filter(F.col(reference).isNull()).unionByName(kept)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from ..functions.numbers import per_million
 from ..schemas import TOKEN_PRICES
 from .filters import Day, called_between
-from .joining import broadcast_within
+from .joining import fits, salted_lookup
 
 MAX_BROADCAST_INTERVALS = 100_000
 PRICE_COLUMNS = list(TOKEN_PRICES.values())
@@ -51,22 +51,28 @@ def price_intervals(models: DataFrame, prices: DataFrame) -> DataFrame:
 
 
 def in_force(day: Column) -> Column:
-    return (
-        (F.col("model") == F.col("priced_model"))
-        & (day >= F.col("starts"))
-        & (F.col("ends").isNull() | (day < F.col("ends")))
-    )
+    return (day >= F.col("starts")) & (F.col("ends").isNull() | (day < F.col("ends")))
+
+
+def of_model() -> Column:
+    return F.col("model") == F.col("priced_model")
 
 
 def price_calls(calls: DataFrame, prices: DataFrame, models: DataFrame | None = None) -> DataFrame:
     """Each call with the price in force when it was made; unpriced calls stay, with nulls.
 
     A price starts at midnight UTC, so the call's day decides. The interval table has
-    models x price changes rows; it is broadcast when a bounded count shows it is small.
+    models x price changes rows; it is broadcast when a bounded count shows it is small,
+    and otherwise joined on the model with the calls of hot models spread.
     """
     models = calls.select("model").distinct() if models is None else models
-    intervals = broadcast_within(price_intervals(models, prices), MAX_BROADCAST_INTERVALS)
-    joined = calls.join(intervals, in_force(F.to_date("created_at")), "left")
+    intervals = price_intervals(models, prices)
+    on_day = in_force(F.to_date("created_at"))
+    if fits(intervals, MAX_BROADCAST_INTERVALS):
+        joined = calls.join(F.broadcast(intervals), of_model() & on_day, "left")
+    else:
+        by_model = intervals.withColumnRenamed("priced_model", "model")
+        joined = salted_lookup(calls, by_model, ["model"], "id", extra=on_day)
     return joined.drop("priced_model", "starts", "ends")
 
 
@@ -84,7 +90,7 @@ def daily_usage(calls: DataFrame) -> DataFrame:
 
 def priced_days(daily: DataFrame, prices: DataFrame) -> DataFrame:
     intervals = price_intervals(daily.select("model").distinct(), prices)
-    return daily.join(intervals, in_force(F.col("day")), "left")
+    return daily.join(intervals, of_model() & in_force(F.col("day")), "left")
 
 
 def cost(tokens: dict[str, str] = TOKEN_PRICES) -> Column:

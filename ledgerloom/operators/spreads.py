@@ -10,7 +10,7 @@ from ..functions.text import money_text
 from ..schemas import OUTLIER_MIN_RECEIPTS, OUTLIER_MULTIPLE, OUTLIER_QUANTILE, TAXONOMY
 from .categories import by_category
 from .filters import reportable
-from .joining import broadcast_within
+from .joining import fits, salted_lookup
 from .percentiles import (
     between,
     cents,
@@ -53,6 +53,18 @@ def spread_view(spreads: DataFrame) -> DataFrame:
     )
 
 
+def pairs_in_currency(pairs: DataFrame, spreads: DataFrame) -> DataFrame:
+    """Pairs with the spread of their category in their own currency, a missing one too."""
+    key = ["category", "code", "no_code"]
+    coded = lambda rows: rows.withColumns(
+        {"code": F.coalesce("currency", F.lit("")), "no_code": F.col("currency").isNull()}
+    )
+    rows, lookup = coded(pairs), coded(spreads).drop("currency")
+    if fits(lookup, MAX_BROADCAST_SPREADS):
+        return rows.join(F.broadcast(lookup), key)
+    return salted_lookup(rows, lookup, key, "id").filter(F.col("size").isNotNull())
+
+
 def with_floor(spreads: DataFrame) -> DataFrame:
     """Add the lowest percentile any receipt can meet as its benchmark.
 
@@ -118,14 +130,7 @@ def compare(
     """Outliers among (id, total_amount, currency, status, category) rows."""
     spreads = with_floor(spreads)
     if by_currency:
-        spreads = broadcast_within(
-            spreads.withColumnRenamed("currency", "spread_currency"), MAX_BROADCAST_SPREADS
-        )
-        same = F.col("currency").eqNullSafe(F.col("spread_currency"))
-        joined = pairs.join(
-            spreads.withColumnRenamed("category", "spread_category"),
-            (F.col("category") == F.col("spread_category")) & same,
-        )
+        joined = pairs_in_currency(pairs, spreads)
     else:
         # At most one row per taxonomy name.
         joined = pairs.join(F.broadcast(spreads), "category")

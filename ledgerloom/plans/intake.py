@@ -10,7 +10,7 @@ from ..operators.categories import bridge_from_lists, by_category
 from ..operators.duplicates import KEY, keyed, match_earliest
 from ..operators.extraction import complete
 from ..operators.fx import with_eur
-from ..operators.joining import broadcast_within
+from ..operators.joining import fits
 from ..operators.percentiles import percentile_points
 from ..operators.spreads import compare, spread_counts
 from ..schemas import COMPLETED, OUTLIER_QUANTILE
@@ -41,12 +41,17 @@ def possible_copies(history: DataFrame, rows: DataFrame) -> DataFrame:
     """Earlier receipts that share a key with the new rows.
 
     The month of the date is a folder of the stored receipts, so only the months of the
-    new rows are read; a small set of new keys is broadcast instead of shuffling history.
+    new rows are read. A small set of new keys is broadcast; with a larger one the months
+    are taken whole (their list is bounded by the calendar) and the aggregation to the
+    earliest row per key, which combines before its shuffle, does the reduction.
     """
     month = F.coalesce(month_key(F.col("receipt_date")), F.lit(NO_MONTH))
     keys = keyed(rows.withColumn("receipt_month", month)).select("receipt_month", *KEY).distinct()
-    small = broadcast_within(keys, MAX_BROADCAST_KEYS)
-    return keyed(history).join(small, ["receipt_month", *KEY], "left_semi").select(*HISTORY)
+    if fits(keys, MAX_BROADCAST_KEYS):
+        same = ["receipt_month", *KEY]
+        return keyed(history).join(F.broadcast(keys), same, "left_semi").select(*HISTORY)
+    months = F.broadcast(keys.select("receipt_month").distinct())
+    return history.join(months, "receipt_month", "left_semi").select(*HISTORY)
 
 
 def judge(

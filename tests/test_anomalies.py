@@ -201,3 +201,22 @@ def test_replayed_outliers_match_recomputing(spark):
         for r in replayed_outliers(receipts, receipts, bridge).collect()
     }
     assert got == expected and expected
+
+
+@pytest.mark.parametrize("most", [spreads.MAX_BROADCAST_SPREADS, 0])
+def test_outliers_within_their_currency(spark, monkeypatch, most):
+    monkeypatch.setattr(spreads, "MAX_BROADCAST_SPREADS", most)
+    rows = [receipt(f"e{i}", total="10") for i in range(9)]
+    rows += [receipt(f"j{i}", total="5000", currency="JPY") for i in range(9)]
+    rows += [receipt(f"n{i}", total="20", currency=None) for i in range(9)]
+    history = spark.createDataFrame(rows, RECEIPT)
+    tested = [("x", "50", "EUR"), ("y", "5000", "JPY"), ("z", "90", None), ("w", "70", None), ("u", "9", "USD")]
+    batch = spark.createDataFrame(
+        [receipt(i, total=t, currency=c, status="pending") for i, t, c in tested], RECEIPT
+    )
+    ids = [r[0] for r in rows] + [t[0] for t in tested]
+    bridge = spark.createDataFrame([(i, "Food") for i in ids], "receipt_id string, category string")
+    found = spreads.outliers(batch, history, bridge, by_currency=True).collect()
+    assert {r.id: (r.sample_size, r.p90) for r in found} == {"x": (9, 10), "z": (9, 20)}
+    mixed = spreads.outliers(batch, history, bridge).collect()
+    assert mixed == []
