@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup
+from . import decontaminate, exact_dedup, url_filter
 from .common import table
 
 
@@ -33,11 +33,105 @@ from t
 """
 
 
+# The host rules of the query, as (host, path, verdict).
+URL_RULES = (
+    ("net", "/", "block"),
+    ("example.net", "/en/", "allow"),
+    ("example.com", "/de/", "block"),
+    ("org", "/fr/", "allow"),
+)
+
+
+def op6_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    rules = [url_filter.host_rule(*rule) for rule in URL_RULES] + url_filter.spam_rules()
+    return url_filter.judge_urls(table(spark, folder, "pages"), rules).withColumnRenamed("key", "page_id").select(
+        "page_id", "host", "path", "rule", "verdict", "pattern"
+    )
+
+
+def _op6_sql() -> str:
+    rules = ", ".join(f"('{host}', '{path}', '{verdict}')" for host, path, verdict in URL_RULES)
+    words = ", ".join(f"('{word}')" for word in url_filter.SPAM_WORDS)
+    return rf"""
+with p as (
+    select row_number() over () as n, page_id,
+           translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1),
+                     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+           regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) as path
+    from pages
+), rules(h, p, verdict) as (values {rules}), words(word) as (values {words}),
+hosts as (
+    select n, max(struct_pack(length := length(h || r.p), rule := h || r.p, verdict := verdict)) as best
+    from p join rules r on (p.host = h or ends_with(p.host, '.' || h)) and starts_with(p.path, r.p)
+    group by n
+), spam as (
+    select n, max(word) as pattern
+    from p join words on regexp_matches(host || path, '(?i)(?:^|[./_-])' || word || '(?:[./_-]|$)')
+    group by n
+)
+select page_id, host, path, best.rule as rule,
+       coalesce(best.verdict, case when pattern is not null then 'block' else 'allow' end) as verdict,
+       case when best is null then pattern end as pattern
+from p left join hosts using (n) left join spam using (n)
+"""
+
+
+def op9_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    n_hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
+    return found.select(
+        F.col("key").alias("doc_id"),
+        "n_words",
+        n_hit.alias("n_hit"),
+        F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        (n_hit > 0).alias("contaminated"),
+    )
+
+
+OP9_SQL = r"""
+with d as (
+    select row_number() over () as n, doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+    from documents
+), b as (
+    select cast(item_id as varchar) as item, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+    from benchmark
+), wins as (
+    select distinct item, least(10, len(w)) as m, array_to_string(w[i : i + least(10, len(w)) - 1], ' ') as win
+    from (select item, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) as i from b where len(w) > 0)
+), lens as (select distinct m from wins),
+cuts as (
+    select n, m, i, array_to_string(w[i : i + m - 1], ' ') as win
+    from (select n, w, m, unnest(range(1, len(w) - m + 2)) as i from d, lens where len(w) >= m)
+), hits as (select n, i, m, item from cuts join wins using (m, win)),
+covered as (
+    select n, count(*) as n_hit
+    from (select distinct n, unnest(range(i, i + m)) as at from (select distinct n, i, m from hits)) group by n
+), named as (
+    select n, count(*) as n_items, string_agg(item, ',' order by item) as items
+    from (select distinct n, item from hits) group by n
+)
+select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+       sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join covered using (n) left join named using (n)
+"""
+
+
+QUERIES = {
+    "op4_exact_dedup": op4_exact_dedup,
+    "op6_url_filter": op6_url_filter,
+    "op9_decontaminate": op9_decontaminate,
+}
+CHECKS = {"op4_exact_dedup": OP4_SQL, "op6_url_filter": _op6_sql(), "op9_decontaminate": OP9_SQL}
+
+
 def llm_queries() -> dict:
-    return {
-        "op4_exact_dedup": op4_exact_dedup,
-    }
+    return dict(QUERIES)
 
 
 def llm_checks() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4_SQL}
+    return dict(CHECKS)
