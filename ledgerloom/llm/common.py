@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..sources.sinks import written
 
-__all__ = ["ASCII_SPACES", "FOLD", "held_out", "ranked", "table", "written"]
+__all__ = ["ASCII_SPACES", "FOLD", "held_out", "ranked", "table", "words_of", "written"]
 
 # The ASCII white space of the contracts, as a Java and RE2 class.
 ASCII_SPACES = r"[\x20\x09-\x0D]+"
@@ -15,6 +15,16 @@ ASCII_SPACES = r"[\x20\x09-\x0D]+"
 FOLD = 3
 
 
+#: Lower case for A-Z, a space for every other ASCII character that is no letter or digit.
+_FOLD = bytes(
+    c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256)
+)
+
+
+def words_of(text: bytes | None) -> list[bytes]:
+    return text.translate(_FOLD).split() if text else []
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

@@ -21,18 +21,11 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .common import words_of
+
 WINDOW = 10
 BLOCK_BYTES = 1 << 20
 
-#: Lower case for A-Z, a space for every other ASCII character that is no letter or digit.
-_FOLD = bytes(
-    c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256)
-)
-
-
-def words_of(text: bytes | None) -> list[bytes]:
-    return text.translate(_FOLD).split() if text else []
-
 
 class Matcher:
     """All pattern sets of a block of items."""

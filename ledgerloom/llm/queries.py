@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, exact_dedup, url_filter
-from .common import table
+from . import decontaminate, exact_dedup, quality, toxicity, url_filter
+from .common import held_out, table
 
 
 def op4_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -121,10 +121,32 @@ from d left join covered using (n) left join named using (n)
 """
 
 
+def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    model = quality.fit(documents, table(spark, folder, "labels"), ~held_out(F.col("key")))
+    return quality.scores(documents, model).select(
+        F.col("key").alias("doc_id"),
+        held_out(F.col("key")).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Grades are those that ``labels.toxic`` holds; a text counts as toxic from half a grade on."""
+    documents = table(spark, folder, "documents")
+    model = toxicity.fit(documents, table(spark, folder, "labels"), ~held_out(F.col("key")))
+    return toxicity.severities(documents, model).select(
+        F.col("key").alias("doc_id"), "severity", "grade", (F.col("severity") >= 0.5).alias("toxic")
+    )
+
+
 QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
     "op6_url_filter": op6_url_filter,
+    "op7_toxicity": op7_toxicity,
     "op9_decontaminate": op9_decontaminate,
+    "op10_quality": op10_quality,
 }
 CHECKS = {"op4_exact_dedup": OP4_SQL, "op6_url_filter": _op6_sql(), "op9_decontaminate": OP9_SQL}
 
