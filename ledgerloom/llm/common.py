@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..sources.sinks import written
 
-__all__ = ["ASCII_SPACES", "FOLD", "held_out", "ranked", "table", "words_of", "written"]
+__all__ = ["ASCII_SPACES", "components", "held_out", "ranked", "table", "with_group", "words_of", "written"]
 
 # The ASCII white space of the contracts, as a Java and RE2 class.
 ASCII_SPACES = r"[\x20\x09-\x0D]+"
@@ -51,3 +51,56 @@ def ranked(rows: DataFrame, *order: str) -> DataFrame:
         total += row["count"]
     start = F.create_map(*starts)[part] if starts else F.lit(0)
     return placed.withColumn("rank", (start + inside).cast("bigint")).drop("_place")
+
+
+#: Groups of more than this share of all rows are met by a broadcast instead of a shuffle.
+HOT_GROUPS = 1000
+
+
+def with_group(rows: DataFrame, groups: DataFrame, key: str, size: str = "size") -> DataFrame:
+    """Inner join of ``rows`` on ``key`` with the stored ``groups``, one row per key, hot keys apart.
+
+    ``size`` says how many of the rows a group has. Those with more than a thousandth of all are
+    fewer than a thousand, whatever the input, so they are broadcast; the others are joined as Spark sees fit.
+    """
+    total = groups.agg(F.sum(size).alias("all")).first()["all"] or 0
+    hot = F.col(size) > total / HOT_GROUPS
+    names = [c for c in groups.columns if c != key]
+    large, small = groups.where(hot), groups.where(~hot)
+    packed = large.select(key, F.struct(*names).alias("_group"))
+    tagged = rows.join(F.broadcast(packed), key, "left")
+    met = tagged.where("_group is not null").select(*rows.columns, "_group.*")
+    rest = tagged.where("_group is null").select(*rows.columns).join(small, key)
+    return met.unionByName(rest.select(*met.columns))
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """Connected components of links (a, b): one row (node, root) per linked node but the roots, where root
+    is the smallest node that can be reached.
+
+    Large-star and small-star steps in turn, each written to the shared folder, until the links are
+    stars round the roots. Counting a node's links and finding its smallest neighbour are aggregations;
+    a node with very many links is no hot task.
+    """
+    low, high = F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")
+    links = written(edges.where("a <> b").select(high, low).distinct())
+    mark = _mark(links)
+    while mark[0]:
+        both = written(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+        least = written(both.groupBy("a").agg(F.least("a", F.min("b")).alias("low"), F.count("*").alias("size")))
+        large = written(
+            with_group(both, least, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
+        )
+        least = written(large.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("size")))
+        lower = with_group(large, least, "a").where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
+        links = written(lower.unionByName(least.select("a", F.col("low").alias("b"))).distinct())
+        before, mark = mark, _mark(links)
+        if before == mark:
+            break
+    return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
+
+
+def _mark(links: DataFrame) -> tuple:
+    """Count and checksum of a set of links."""
+    seen = links.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("sum")).first()
+    return seen.n, seen["sum"]

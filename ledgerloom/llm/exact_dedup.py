@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import ASCII_SPACES, written
+from .common import ASCII_SPACES, with_group, written
 
 BLOCK_BITS = 32_768  # of one bitmap of Spark's bitmap functions: 4 KB
 BITS_PER_ROW = 16
@@ -88,12 +88,10 @@ def duplicate_groups(rows: DataFrame, key: str = "doc_id", text: str = "text") -
     )
     suspects = tested.where("maybe")
     order = F.struct(F.col("key").isNull().alias("last"), "key", "place")
-    groups = suspects.groupBy(F.col("digest").alias("of")).agg(
+    groups = suspects.groupBy("digest").agg(
         F.min(order).alias("first"), F.count("*").alias("group_size")
     )
-    # A hot group is one key of this join; its left side has no grouping above, so Spark's
-    # adaptive skew handling splits it.
-    grouped = suspects.join(groups, F.col("digest") == F.col("of")).select(
+    grouped = with_group(suspects, written(groups), "digest", "group_size").select(
         "key",
         F.col("first.key").alias("keep_id"),
         "group_size",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, exact_dedup, quality, toxicity, url_filter
+from . import decontaminate, exact_dedup, quality, simhash, toxicity, url_filter
 from .common import held_out, table
 
 
@@ -121,6 +121,16 @@ from d left join covered using (n) left join named using (n)
 """
 
 
+def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, folder, "documents"))
+    return found.select(
+        F.col("key").alias("doc_id"),
+        F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+        F.col("component").alias("component_id"),
+        "size",
+    )
+
+
 def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")
     model = quality.fit(documents, table(spark, folder, "labels"), ~held_out(F.col("key")))
@@ -142,6 +152,7 @@ def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_simhash": op2_simhash,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_url_filter": op6_url_filter,
     "op7_toxicity": op7_toxicity,
