@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, exact_dedup, quality, simhash, toxicity, url_filter
+from . import decontaminate, exact_dedup, line_dedup, quality, simhash, toxicity, url_filter
 from .common import held_out, table
 
 
@@ -121,6 +121,40 @@ from d left join covered using (n) left join named using (n)
 """
 
 
+def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = line_dedup.without_repeated_lines(table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_removed", F.col("text").alias("kept_text"))
+
+
+OP8_SQL = rf"""
+with raw as (select doc_id, text, string_split(text, chr(10)) as lines from documents),
+parts as (
+    select doc_id, i, lines[i] as line, regexp_replace(lines[i], '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') as trimmed
+    from (select doc_id, lines, unnest(range(1, len(lines) + 1)) as i from raw)
+), solid as (
+    select doc_id, i, trimmed, row_number() over (partition by doc_id order by i) as n from parts where trimmed <> ''
+), windows as (
+    select doc_id, n, [trimmed, {", ".join(f"lead(trimmed, {k}) over w" for k in range(1, line_dedup.RUN))}] as win,
+           lead(n, {line_dedup.RUN - 1}) over w as upto
+    from solid window w as (partition by doc_id order by n)
+), ordered as (
+    select doc_id, n, row_number() over (partition by win order by doc_id, n) as occurrence from windows where upto is not null
+), gone as (
+    select distinct doc_id, unnest(range(n, n + {line_dedup.RUN})) as n from ordered where occurrence > 1
+), marked as (
+    select p.doc_id, p.i, p.line, s.n is not null as is_line, g.n is not null as is_gone
+    from parts p left join solid s using (doc_id, i) left join gone g on p.doc_id = g.doc_id and s.n = g.n
+)
+select r.doc_id, coalesce(n_lines, 0) as n_lines, coalesce(n_removed, 0) as n_removed,
+       case when r.text is null then null else coalesce(kept, '') end as kept_text
+from raw r left join (
+    select doc_id, count_if(is_line) as n_lines, count_if(is_gone) as n_removed,
+           string_agg(line, chr(10) order by i) filter (where not is_gone) as kept
+    from marked group by doc_id
+) m on r.doc_id = m.doc_id
+"""
+
+
 def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, folder, "documents"))
     return found.select(
@@ -156,10 +190,16 @@ QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
     "op6_url_filter": op6_url_filter,
     "op7_toxicity": op7_toxicity,
+    "op8_line_dedup": op8_line_dedup,
     "op9_decontaminate": op9_decontaminate,
     "op10_quality": op10_quality,
 }
-CHECKS = {"op4_exact_dedup": OP4_SQL, "op6_url_filter": _op6_sql(), "op9_decontaminate": OP9_SQL}
+CHECKS = {
+    "op4_exact_dedup": OP4_SQL,
+    "op6_url_filter": _op6_sql(),
+    "op8_line_dedup": OP8_SQL,
+    "op9_decontaminate": OP9_SQL,
+}
 
 
 def llm_queries() -> dict:
