@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, exact_dedup, line_dedup, quality, simhash, toxicity, url_filter
+from . import decontaminate, exact_dedup, line_dedup, pieces, quality, simhash, toxicity, url_filter
 from .common import held_out, table
 
 
@@ -165,6 +165,22 @@ def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+#: Where the public vocabulary files lie; every executor has them.
+TOKENIZERS = "/opt/tokenizers"
+PIECE_MODEL = "piece_bpe_32k.model"
+
+
+def op5_sentencepiece(spark: SparkSession, folder: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    model_file = f"{tokenizers}/{PIECE_MODEL}"
+    rows = pieces.decoded(pieces.encoded(table(spark, folder, "documents"), model_file), model_file)
+    return rows.select(
+        F.col("key").alias("doc_id"),
+        F.coalesce(F.size("ids"), F.lit(0)).cast("bigint").alias("n_ids"),
+        "ids",
+        F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"),
+    )
+
+
 def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")
     model = quality.fit(documents, table(spark, folder, "labels"), ~held_out(F.col("key")))
@@ -189,6 +205,7 @@ QUERIES = {
     "op2_simhash": op2_simhash,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_url_filter": op6_url_filter,
+    "op5_sentencepiece": op5_sentencepiece,
     "op7_toxicity": op7_toxicity,
     "op8_line_dedup": op8_line_dedup,
     "op9_decontaminate": op9_decontaminate,
