@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, exact_dedup, line_dedup, pieces, quality, simhash, toxicity, url_filter
+from . import decontaminate, exact_dedup, html_text, line_dedup, pieces, quality, simhash, toxicity, url_filter
 from .common import held_out, table
 
 
+def op1_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    found = html_text.main_text(table(spark, folder, "pages"))
+    n_chars = F.length("text").cast("bigint").alias("n_chars")
+    return found.select(F.col("key").alias("page_id"), "url", "text", n_chars, "n_lines", "n_shared")
+
+
 def op4_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = exact_dedup.duplicate_groups(table(spark, folder, "documents"))
     return found.select(
@@ -202,6 +208,7 @@ def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_html_text": op1_html_text,
     "op2_simhash": op2_simhash,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_url_filter": op6_url_filter,
