@@ -110,7 +110,7 @@ def _pass(bench, window: int, first: bool, last: bool):
                 spans.append([{"start": a, "end": b} for a, b in merged(seen)])
                 items.append(sorted(names))
             columns = {
-                "key": batch.column("key"),
+                "row": batch.column("row"),
                 "n_words": pa.array(n_words, pa.int64()),
                 "spans": pa.array(spans, SPANS),
                 "items": pa.array(items, pa.list_(pa.string())),
@@ -134,6 +134,21 @@ def contamination(
 ) -> DataFrame:
     """One row per document: key, n_words, spans (merged word spans of all occurrences), items (ids as
     text, sorted)."""
+    found = with_contamination(documents, benchmark, [key], text, item, item_text, window, block_bytes)
+    return found.select(F.col("row")[key].alias("key"), "n_words", "spans", "items")
+
+
+def with_contamination(
+    documents: DataFrame,
+    benchmark: DataFrame,
+    keep: list[str],
+    text: str = "text",
+    item: str = "item_id",
+    item_text: str = "text",
+    window: int = WINDOW,
+    block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
+    """As ``contamination``, with the columns ``keep`` of the documents as a struct ``row``."""
     spark = documents.sparkSession
     items = benchmark.select(
         F.coalesce(F.col(item).cast("string"), F.lit("")).alias("name"), F.col(item_text).cast("binary").alias("body")
@@ -141,12 +156,12 @@ def contamination(
     size = items.agg(F.sum(F.length("body")).alias("bytes")).first()["bytes"] or 0
     blocks = max(1, -(-size // block_bytes))
     items = items.withColumn("block", F.pmod(F.xxhash64("name", "body"), F.lit(blocks)))
-    rows = documents.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("body"))
-    kind = dict(rows.dtypes)["key"]
+    rows = documents.select(F.struct(*keep).alias("row"), F.col(text).cast("binary").alias("body"))
+    kind = dict(rows.dtypes)["row"]
     for number in range(blocks):
         block = [(r.name, words_of(bytes(r.body))) for r in items.where(F.col("block") == number).toLocalIterator()]
         bench = spark.sparkContext.broadcast(block)
         last = number == blocks - 1
-        schema = f"key {kind}, {FOUND}" + ("" if last else ", body binary")
+        schema = f"row {kind}, {FOUND}" + ("" if last else ", body binary")
         rows = rows.mapInArrow(_pass(bench, window, number == 0, last), schema)
     return rows

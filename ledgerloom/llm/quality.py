@@ -197,13 +197,18 @@ def fit(
 
 def scores(documents: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: key, score from 0 to 1, the likelihood that the text is good."""
+    return with_score(documents, model, [key], text).select(F.col("row")[key].alias("key"), "score")
+
+
+def with_score(documents: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
+    """As ``scores``, with the columns ``keep`` of the documents as a struct ``row``."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
-    rows = documents.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("body"))
+    rows = documents.select(F.struct(*keep).alias("row"), F.col(text).cast("binary").alias("body"))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = _sizes(shared.value)
         for batch in batches:
             found = [score(body, shared.value, *sizes) for body in batch.column("body").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(found, pa.float64())], ["key", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(found, pa.float64())], ["row", "score"])
 
-    return rows.mapInArrow(scored, f"key {dict(rows.dtypes)['key']}, score double")
+    return rows.mapInArrow(scored, f"row {dict(rows.dtypes)['row']}, score double")

@@ -13,6 +13,11 @@ distance to the parent, and a search follows only edges within the radius. A tas
 spanning forest of the links it finds, never all pairs. The trees are not sent through the driver: that
 would gather the fingerprints of all documents there.
 
+``similar_texts`` finds groups by the similarity of their shingle sets instead, 0.8 or more, which a radius of two
+bits would mostly miss. There a text belongs to shards by pairs of its smallest shingle hashes under several
+permutations, the trees are searched with a wide radius, and what they find is confirmed by the
+share of equal values in sketches of ``SKETCH`` permutations.
+
 Defined cases: a null, empty or blank text has fingerprint zero and is linked like any other; a text of
 fewer words than a shingle is one shingle; null keys sort after all others, so a component has a null
 id only if all its keys are null; repeated rows have one fingerprint; an empty table gives an empty
@@ -35,30 +40,38 @@ RADIUS = 2
 SHINGLE = 3
 SEED = 42
 TREE = 2048
-PIECE = 1 << 16
+PIECE = 1 << 13
 
 
-def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
-    """The signed 64-bit fingerprint of a text in UTF-8."""
+def shingle_hashes(text: bytes | None, shingle: int) -> Iterator[np.ndarray]:
+    """Hashes of all word shingles, in pieces of bounded size."""
     words = text.lower().split() if text else []  # bytes know ASCII letters and spaces only
-    if not words:
-        return 0
     line = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
+    starts = ends - [len(w) for w in words]
     if len(words) > shingle:
         starts, ends = starts[: 1 - shingle], ends[shingle - 1 :]
     else:
         starts, ends = starts[:1], ends[-1:]
     digest = xxhash.xxh64_intdigest
-    counts = np.zeros(64, np.int64)
     for i in range(0, len(starts), PIECE):
         cuts = zip(starts[i : i + PIECE].tolist(), ends[i : i + PIECE].tolist())
-        hashes = np.array([digest(line[a:b], SEED) for a, b in cuts], np.uint64)
+        yield np.array([digest(line[a:b], SEED) for a, b in cuts], np.uint64)
+
+
+def majority(pieces: list[np.ndarray] | Iterator[np.ndarray]) -> int:
+    """The signed 64-bit number whose bits are those set in over half the hashes."""
+    counts, total = np.zeros(64, np.int64), 0
+    for hashes in pieces:
         bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         counts += bits.sum(axis=0, dtype=np.int64)
-    majority = np.packbits(counts * 2 > len(starts), bitorder="little")
-    return int(majority.view(np.int64)[0])
+        total += len(hashes)
+    return int(np.packbits(counts * 2 > total, bitorder="little").view(np.int64)[0])
+
+
+def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
+    """The signed 64-bit fingerprint of a text in UTF-8."""
+    return majority(shingle_hashes(text, shingle))
 
 
 class BKTree:
@@ -205,3 +218,139 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
     )
     named = with_group(rooted, sums, "root", "prints").select("fp", "size", "component", "documents")
     return with_group(prints, written(named), "fp").select("key", "fp", "component", F.col("documents").alias("size"))
+
+
+# groups by the similarity of shingle sets ------------------------------------------------
+
+SKETCH = 256
+BANDS = 8
+WIDE_RADIUS = 20
+SIMILARITY = 0.8
+_random = np.random.default_rng(SEED)
+_TIMES = _random.integers(1, 1 << 63, SKETCH, dtype=np.uint64) | np.uint64(1)
+_FLIP = _random.integers(1, 1 << 63, SKETCH, dtype=np.uint64)
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def sketch(pieces: list[np.ndarray]) -> tuple[list[int], bytes]:
+    """Shard keys from pairs of smallest values, and two bytes of the smallest value of each permutation."""
+    least = np.full(SKETCH, np.iinfo(np.uint64).max, np.uint64)
+    for hashes in pieces:
+        for i in range(0, len(hashes), 1024):
+            part = np.unique(hashes[i : i + 1024])
+            least = np.minimum(least, ((part[None, :] ^ _FLIP[:, None]) * _TIMES[:, None]).min(axis=1))
+    keys = [xxhash.xxh64_intdigest(least[2 * b : 2 * b + 2].tobytes(), b) - (1 << 63) for b in range(BANDS)]
+    return keys, ((least * _MIX) >> np.uint64(48)).astype(np.uint16).tobytes()
+
+
+def similar_links(fps: list[int], sketches: list[bytes], members: list[bool], radius: int, similarity: float) -> list[tuple[int, int]]:
+    """Numbers of pairs that link the nodes of a shard: near fingerprints, and sketches that agree enough."""
+    tree, numbers = BKTree(), []
+    for i, member in enumerate(members):
+        if member:
+            tree.add(fps[i])
+            numbers.append(i)
+    table = np.frombuffer(b"".join(sketches), np.uint16).reshape(len(fps), -1)
+    group, pairs = list(range(len(fps))), []
+
+    def root(i: int) -> int:
+        while group[i] != i:
+            group[i] = group[group[i]]
+            i = group[i]
+        return i
+
+    for i, fp in enumerate(fps):
+        near = np.array([numbers[j] for j in tree.near(fp, radius)], np.int64)
+        if len(near):
+            for j in near[(table[near] == table[i]).mean(axis=1) >= similarity].tolist():
+                a, b = root(i), root(j)
+                if a != b:
+                    group[max(a, b)] = min(a, b)
+                    pairs.append((i, j))
+    return pairs
+
+
+def _similar(radius: int, similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, nodes, fps, sketches, members = None, [], [], [], []
+
+        def done():
+            if len(nodes) < 2:
+                return []
+            return [(nodes[i], nodes[j]) for i, j in similar_links(fps, sketches, members, radius, similarity)]
+
+        def batch_of(pairs):
+            sides = [pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)]
+            return pa.RecordBatch.from_arrays(sides, ["a", "b"])
+
+        for batch in batches:
+            pairs = []
+            columns = (batch.column(c).to_pylist() for c in ("shard", "cut", "member", "node", "fp", "sketch"))
+            for shard, cut, member, node, fp, values in zip(*columns):
+                if (shard, cut) != last:
+                    pairs += done()
+                    last, nodes, fps, sketches, members = (shard, cut), [], [], [], []
+                nodes.append(node), fps.append(fp & ((1 << 64) - 1)), sketches.append(values), members.append(member)
+            yield batch_of(pairs)
+        yield batch_of(done())
+
+    return run
+
+
+def _link_texts(nodes: DataFrame, radius: int, similarity: float, tree: int) -> DataFrame:
+    """(a, b): links between distinct texts that spread over each shard's groups."""
+    keyed = written(nodes.select("node", F.posexplode("bands").alias("band", "shard")))
+    sizes = keyed.groupBy("shard").agg(F.count("*").alias("size")).where("size > 1")
+    dealt = with_group(keyed, written(sizes), "shard")
+    large = F.col("size") > tree
+    # A shard too large for a tree is divided by each other band of its texts.
+    hot = dealt.where(large).select("node", "band", "shard").join(nodes.select("node", "bands"), "node")
+    finer = hot.select("node", F.col("band").alias("of"), "shard", F.posexplode("bands").alias("band", "value")).where("band <> of")
+    finer = written(finer.select("node", F.xxhash64("shard", "band", "value").alias("shard")))
+    finer_sizes = finer.groupBy("shard").agg(F.count("*").alias("size")).where("size > 1")
+    finer = with_group(finer, written(finer_sizes), "shard")
+    cuts = F.ceil(F.col("size") / tree).cast("int")
+    every = dealt.where(~large).select("node", "shard", "size").unionByName(finer.select("node", "shard", "size"))
+    own = F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int")
+    spread = every.withColumn("cuts", cuts).select("node", "shard", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("cut"))
+    rows = spread.select("node", "shard", "cut", (F.col("cut") == F.col("own")).alias("member"))
+    rows = rows.join(nodes.select("node", "fp", "sketch"), "node").repartition("shard", "cut")
+    rows = rows.sortWithinPartitions("shard", "cut", "node")
+    return rows.mapInArrow(_similar(radius, similarity), "a bigint, b bigint")
+
+
+def similar_texts(
+    documents: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = SIMILARITY, radius: int = WIDE_RADIUS, tree: int = TREE
+) -> DataFrame:
+    """One row per document: key, mark (hash of its text), component (smallest key of its group), kept (whether
+    it is the document that stays: the smallest key, then the smallest mark), size."""
+    rows = documents.select(F.col(key).alias("key"), F.xxhash64(text).alias("mark"), F.col(text).cast("binary").alias("body"))
+
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, fps, bands, values = [], [], [], []
+            for body in batch.column("body").to_pylist():
+                pieces = list(shingle_hashes(body, shingle))
+                keys, small = sketch(pieces)
+                words = b" ".join(body.lower().split()) if body else b""
+                nodes.append(xxhash.xxh64_intdigest(words) - (1 << 63))
+                fps.append(majority(pieces)), bands.append(keys), values.append(small)
+            columns = [pa.array(nodes, pa.int64()), pa.array(fps, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(values, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("mark"), *columns], ["key", "mark", "node", "fp", "bands", "sketch"])
+
+    kind = dict(rows.dtypes)["key"]
+    made = written(rows.mapInArrow(sketched, f"key {kind}, mark bigint, node bigint, fp bigint, bands array<bigint>, sketch binary"))
+    # Copies of a text are one node.
+    order = F.struct(F.col("key").isNull().alias("last"), "key", "mark")
+    nodes = written(
+        made.groupBy("node").agg(
+            F.min(order).alias("least"), F.count("*").alias("size"), F.min("fp").alias("fp"), F.min("bands").alias("bands"), F.min("sketch").alias("sketch")
+        )
+    )
+    joined = components(_link_texts(nodes, radius, similarity, tree))
+    rooted = written(nodes.join(joined, "node", "left").select("node", "least", "size", F.coalesce("root", "node").alias("root")))
+    sums = rooted.groupBy("root").agg(F.min("least").alias("first"), F.sum("size").alias("documents"), F.count("*").alias("texts"))
+    named = with_group(rooted, written(sums), "root", "texts").select("node", "size", "first", "documents")
+    found = with_group(made.select("key", "mark", "node"), written(named), "node")
+    kept = F.col("key").eqNullSafe(F.col("first.key")) & (F.col("mark") == F.col("first.mark"))
+    return found.select("key", "mark", F.col("first.key").alias("component"), kept.alias("kept"), F.col("documents").alias("size"))
