@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, exact_dedup, html_text, line_dedup, pieces, quality, simhash, toxicity, url_filter
+from . import decontaminate, exact_dedup, html_text, line_dedup, pieces, quality, simhash, suffix_dedup, toxicity, url_filter
 from .common import held_out, table
 
 
@@ -14,6 +14,19 @@ def op1_html_text(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("key").alias("page_id"), "url", "text", n_chars, "n_lines", "n_shared")
 
 
+def op3_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = suffix_dedup.without_repeated_strings(table(spark, folder, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
+    return found.select(
+        F.col("key").alias("doc_id"),
+        "n_bytes",
+        removed.alias("n_removed"),
+        F.size("spans").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+        "spans",
+    )
+
+
 def op4_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = exact_dedup.duplicate_groups(table(spark, folder, "documents"))
     return found.select(
@@ -210,6 +223,7 @@ def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_html_text": op1_html_text,
     "op2_simhash": op2_simhash,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_url_filter": op6_url_filter,
     "op5_sentencepiece": op5_sentencepiece,
