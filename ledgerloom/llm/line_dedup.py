@@ -45,7 +45,7 @@ def _windows(documents: DataFrame, key: str, text: str, run: int) -> DataFrame:
 
     def window(of: Column, place: Column) -> Column:
         parts = [of[f"l{i}"] for i in range(run)]
-        low = F.least(*[p["hash"] for p in parts])
+        low = F.array_min(F.array(*[p["hash"] for p in parts]))
         inside = F.lit(0)
         for i, part in enumerate(parts):
             inside = F.when(part["hash"] == low, i).otherwise(inside)
