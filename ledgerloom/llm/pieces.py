@@ -12,8 +12,8 @@ the model's space mark, while a space mark in the text itself, like every charac
 is spelt in byte pieces. So decoding gives back each text exactly.
 
 No piece reaches over the start of a word (a run of blanks and what follows it), so the lattice falls
-apart into words; the filtered lattice of a short word is kept for the next time, in a table of
-bounded size. Whole texts are encoded; a word may be of any length.
+apart into words. The distinct words of a group of rows are filtered together, and all its words are
+sampled together, one piece a step. Whole texts are encoded; a word may be of any length.
 
 Defined cases: a null text has null ids and decodes to null, an empty one has none; a null key seeds like
 the word "null"; rows that repeat a key and text get the same ids; an empty table gives an empty
@@ -23,12 +23,8 @@ result; other columns are ignored.
 from __future__ import annotations
 
 import math
-import random
 import re
-from array import array
-from bisect import bisect_left
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -40,15 +36,10 @@ SHARPNESS = 0.5
 SEED = 20_240_229
 SPACE_MARK = "▁"
 WORD = re.compile(" *[^ ]+| +")
-KEPT_WORDS = 40_000
-KEPT_LENGTH = 48
-ROWS_AT_ONCE = 256
-
-Node = tuple[tuple[float, ...], tuple[tuple[int, tuple[int, ...]], ...]]
-
+CHUNK_CHARACTERS = 2_000_000
 
 class Vocabulary:
-    """Pieces of a model file with their log weights, and what each id decodes to."""
+    """Pieces of a model file as a trie with log weights, and what each id decodes to."""
 
     def __init__(self, model_file: str, sharpness: float = SHARPNESS):
         model = sentencepiece.SentencePieceProcessor(model_file=model_file)
@@ -57,85 +48,177 @@ class Vocabulary:
         plain = [i for i in range(size) if not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i) or model.is_byte(i))]
         by_rank = all(scores[i] <= 0 and scores[i] == int(scores[i]) for i in plain)
         weigh = (lambda s: -math.log(2 - s)) if by_rank else (lambda s: s)
-        self.pieces: dict[str, tuple[float, tuple[int, ...]]] = {}
-        self.spelling: dict[int, int] = {}
+        self.pieces: dict[str, tuple[float, int]] = {}
+        self.spelling = np.zeros(256, np.int32)
         self.meaning = [b""] * size
+        spelt = 0
         for i in range(size):
             if model.is_byte(i):
                 value = int(model.id_to_piece(i)[3:-1], 16)
                 self.spelling[value] = i
                 self.meaning[i] = bytes([value])
+                spelt += 1
+        if spelt < 256:
+            raise ValueError("lossless encoding needs a model with byte pieces")
         for i in plain:
             raw = model.id_to_piece(i).replace(SPACE_MARK, " ")
             self.meaning[i] = raw.encode()
             if WORD.fullmatch(raw):  # else it would reach over the start of a word
-                self.pieces[raw] = sharpness * weigh(scores[i]), (i,)
-        if len(self.spelling) < 256:
-            raise ValueError("lossless encoding needs a model with byte pieces")
-        self.longest = max(map(len, self.pieces))
-        least = min(weight for weight, _ in self.pieces.values())
-        self.byte_weight = least - math.log(256)
-
-    def spelt(self, character: str) -> tuple[float, tuple[int, ...]]:
-        ids = tuple(self.spelling[b] for b in character.encode())
-        return self.byte_weight * len(ids), ids
-
-
-class Sampler:
-    def __init__(self, vocabulary: Vocabulary):
-        self.vocabulary = vocabulary
-        self.kept: dict[str, list[Node]] = {}
-
-    def filtered(self, word: str) -> list[Node]:
-        """For every end position: cumulative shares of the pieces that may end there, and the pieces."""
-        pieces, longest = self.vocabulary.pieces, self.vocabulary.longest
-        sums, nodes = [0.0], []
-        for end in range(1, len(word) + 1):
-            ways, logs = [], []
-            for start in range(max(0, end - longest), end):
-                found = pieces.get(word[start:end])
-                if found:
-                    logs.append(sums[start] + found[0])
-                    ways.append((start, found[1]))
-            if not ways or ways[-1][0] != end - 1:  # the last character has no piece of its own
-                weight, ids = self.vocabulary.spelt(word[end - 1])
-                logs.append(sums[end - 1] + weight)
-                ways.append((end - 1, ids))
-            if len(ways) == 1:
-                sums.append(logs[0])
-                nodes.append(((1.0,), tuple(ways)))
-                continue
-            top = max(logs)
-            shares = [math.exp(x - top) for x in logs]
-            total = sum(shares)
-            sums.append(top + math.log(total))
-            cumulative = list(accumulate(share / total for share in shares))
-            cumulative[-1] = 1.0
-            nodes.append((tuple(cumulative), tuple(ways)))
-        return nodes
-
-    def nodes(self, word: str) -> list[Node]:
-        found = self.kept.get(word)
-        if found is None:
-            found = self.filtered(word)
-            if len(word) <= KEPT_LENGTH:
-                if len(self.kept) >= KEPT_WORDS:
-                    self.kept.clear()
-                self.kept[word] = found
-        return found
-
-    def encode(self, text: str, seed: int) -> array:
-        """Ids of one sampled segmentation."""
-        draw, ids = random.Random(seed).random, array("i")
-        for word in WORD.findall(text):
-            nodes, end, back = self.nodes(word), len(word), []
-            while end:
-                cumulative, ways = nodes[end - 1]
-                end, part = ways[bisect_left(cumulative, draw())] if len(ways) > 1 else ways[0]
-                back.append(part)
-            for part in reversed(back):
-                ids.extend(part)
-        return ids
+                self.pieces[raw] = sharpness * weigh(scores[i]), i
+        self.byte_weight = min(weight for weight, _ in self.pieces.values()) - math.log(256)
+        self._build_trie()
+
+    def _build_trie(self) -> None:
+        nodes, edges = {"": 0}, {}
+        for piece in self.pieces:
+            for end in range(1, len(piece) + 1):
+                if piece[:end] not in nodes:
+                    nodes[piece[:end]] = len(nodes)
+                    edges[nodes[piece[: end - 1]] << 21 | ord(piece[end - 1])] = nodes[piece[:end]]
+        self.edge = np.array(sorted(edges), np.int64)
+        self.child = np.array([edges[e] for e in self.edge.tolist()], np.int64)
+        self.node_id = np.full(len(nodes), -1, np.int32)
+        self.node_weight = np.zeros(len(nodes))
+        for piece, (weight, number) in self.pieces.items():
+            self.node_id[nodes[piece]] = number
+            self.node_weight[nodes[piece]] = weight
+
+
+class Lattice:
+    """The lattices of distinct words side by side, filtered forward.
+
+    Positions of all words are numbered on: word w begins at ``begin[w]`` and ends at ``end[w]``. The ways into
+    a position lie together in ``start`` (where the piece starts) and ``piece`` (its id, or minus one minus the
+    character for one that is spelt in bytes); ``bound`` holds position * 2**33 plus the cumulative share in units of
+    2**-32, as integers, so that a draw does not depend on which words lie beside each other.
+    """
+
+    def __init__(self, words: list[str], vocabulary: Vocabulary):
+        sizes = np.array([len(w) for w in words], np.int64)
+        text = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        self.end = np.cumsum(sizes + 1) - 1
+        self.begin = self.end - sizes
+        word = np.repeat(np.arange(len(words)), sizes)
+        place = np.arange(len(text)) + word  # position before each character
+        starts, ends, ids, weights = [], [], [], []
+        single = np.zeros(len(text), bool)
+        at, node, offset = np.arange(len(text)), np.zeros(len(text), np.int64), 0
+        while len(at):  # all substrings that begin some piece, longer by one character each time
+            key = node << 21 | text[at + offset]
+            found = np.minimum(np.searchsorted(vocabulary.edge, key), len(vocabulary.edge) - 1)
+            hit = vocabulary.edge[found] == key
+            at, node = at[hit], vocabulary.child[found[hit]]
+            number = vocabulary.node_id[node]
+            whole = number >= 0
+            starts.append(place[at[whole]])
+            ends.append(place[at[whole]] + offset + 1)
+            ids.append(number[whole])
+            weights.append(vocabulary.node_weight[node[whole]])
+            if offset == 0:
+                single[at[whole]] = True
+            offset += 1
+            on = place[at] + offset < self.end[word[at]]
+            at, node = at[on], node[on]
+        alone = np.flatnonzero(~single)
+        code = text[alone]
+        n_bytes = 1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000)
+        start = np.concatenate([*starts, place[alone]])
+        end = np.concatenate([*ends, place[alone] + 1])
+        piece = np.concatenate([*ids, -1 - code])
+        weight = np.concatenate([*weights, n_bytes * vocabulary.byte_weight])
+        order = np.lexsort((start, end))
+        self.start, self.piece = start[order], piece[order]
+        self._filter(end[order], weight[order])
+
+    def _filter(self, end: np.ndarray, weight: np.ndarray) -> None:
+        """Sums of all ways to each position, position by position for all words at once."""
+        first = np.flatnonzero(np.r_[True, end[1:] != end[:-1]][: len(end)])
+        position, count = end[first], np.diff(np.r_[first, len(end)])
+        total = np.zeros(int(self.end[-1]) + 1 if len(self.end) else 0)
+        depth = position - self.begin[np.searchsorted(self.end, position)]
+        share = np.zeros(len(end))
+        by_depth = np.argsort(depth, kind="stable")
+        cuts = np.flatnonzero(np.r_[True, np.diff(depth[by_depth]) > 0, True]) if len(depth) else []
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            group = by_depth[a:b]
+            counts = count[group]
+            heads = np.cumsum(counts) - counts
+            rows = np.repeat(first[group] - heads, counts) + np.arange(counts.sum())
+            logs = total[self.start[rows]] + weight[rows]
+            top = np.maximum.reduceat(logs, heads)
+            parts = np.exp(logs - np.repeat(top, counts))
+            sums = np.add.reduceat(parts, heads)
+            total[position[group]] = top + np.log(sums)
+            share[rows] = parts / np.repeat(sums, counts)
+        rank = np.arange(len(end)) - np.repeat(first, count)
+        for n in range(1, int(count.max()) if len(count) else 0):
+            rows = np.flatnonzero(rank == n)
+            share[rows] += share[rows - 1]
+        bound = (np.minimum(share, 1.0) * 2.0**32).astype(np.int64)
+        bound[first + count - 1] = 1 << 32
+        self.bound = (end << 33) + bound
+
+
+_STEP, _PLACE = 0x9E3779B97F4A7C15, np.uint64(0xD1342543DE82EF95)
+
+
+def draws(seed: np.ndarray, place: np.ndarray, step: int) -> np.ndarray:
+    """32 random bits for each word of a row and step of its segmentation, from these numbers alone."""
+    h = seed + place.astype(np.uint64) * _PLACE + np.uint64((step + 1) * _STEP % 2**64)
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return ((h ^ (h >> np.uint64(31))) >> np.uint64(32)).astype(np.int64)
+
+
+def sampled(texts: list[str], seeds: list[int], vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of one sampled segmentation of each text, one after the other, and how many each has."""
+    number: dict[str, int] = {}
+    parts = [WORD.findall(t) for t in texts]
+    words = np.array([number.setdefault(w, len(number)) for part in parts for w in part], np.int64)
+    per_text = np.array([len(part) for part in parts], np.int64)
+    if not len(words):
+        return np.zeros(0, np.int32), per_text
+    lattice = Lattice(list(number), vocabulary)
+    text = np.repeat(np.arange(len(texts)), per_text)
+    seed = np.array(seeds, np.uint64)[text]
+    place = np.arange(len(words)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
+    # Backward sampling: one piece less for every word that is not yet at its start.
+    open_words, at, stop = np.arange(len(words)), lattice.end[words], lattice.begin[words]
+    taken, length = [], np.zeros(len(words), np.int64)
+    while len(open_words):
+        drawn = draws(seed[open_words], place[open_words], len(taken))
+        way = np.searchsorted(lattice.bound, (at << 33) + drawn, side="right")
+        taken.append((open_words, way))
+        length[open_words] += 1
+        at = lattice.start[way]
+        going = at > stop[open_words]
+        open_words, at = open_words[going], at[going]
+    after = np.cumsum(length)
+    piece = np.zeros(int(after[-1]), np.int64)
+    for step, (word, way) in enumerate(taken):
+        piece[after[word] - 1 - step] = lattice.piece[way]
+    owner = np.repeat(text, length)
+    spelt = np.flatnonzero(piece < 0)
+    if not len(spelt):
+        return piece.astype(np.int32), np.bincount(owner, minlength=len(texts))
+    spellings = [vocabulary.spelling[list(chr(-1 - c).encode())] for c in piece[spelt].tolist()]
+    width = np.ones(len(piece), np.int64)
+    width[spelt] = [len(x) for x in spellings]
+    ids = np.repeat(piece, width).astype(np.int32)
+    ids[np.repeat(piece < 0, width)] = np.concatenate(spellings)
+    return ids, np.bincount(np.repeat(owner, width), minlength=len(texts))
+
+
+def _chunks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    """Rows in groups of bounded length."""
+    start, size = 0, 0
+    for i, text in enumerate(texts):
+        size += len(text or "")
+        if size > CHUNK_CHARACTERS:
+            yield start, i + 1
+            start, size = i + 1, 0
+    if start < len(texts):
+        yield start, len(texts)
 
 
 def row_seed(key: object, seed: int) -> int:
@@ -147,20 +230,17 @@ def encoded(documents: DataFrame, model_file: str, key: str = "doc_id", text: st
     rows = documents.select(F.col(key).alias("key"), F.col(text).alias("text"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler = Sampler(Vocabulary(model_file, sharpness))
+        vocabulary = Vocabulary(model_file, sharpness)
         for whole in batches:
-            for start in range(0, whole.num_rows, ROWS_AT_ONCE):
-                batch = whole.slice(start, ROWS_AT_ONCE)
-                flat, ends, missing = array("i"), [0], []
-                for k, t in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist()):
-                    if t:
-                        flat.extend(sampler.encode(t, row_seed(k, seed)))
-                    ends.append(len(flat))
-                    missing.append(t is None)
-                ids = pa.ListArray.from_arrays(
-                    pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, np.int32)) if flat else pa.array([], pa.int32()), mask=pa.array(missing)
-                )
-                yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("text"), ids], ["key", "text", "ids"])
+            texts = whole.column("text").to_pylist()
+            seeds = [row_seed(k, seed) for k in whole.column("key").to_pylist()]
+            for a, b in _chunks(texts):
+                batch = whole.slice(a, b - a)
+                ids, counts = sampled([t or "" for t in texts[a:b]], seeds[a:b], vocabulary)
+                missing = pa.array([t is None for t in texts[a:b]])
+                ends = pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32))
+                lists = pa.ListArray.from_arrays(ends, pa.array(ids, pa.int32()), mask=missing)
+                yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("text"), lists], ["key", "text", "ids"])
 
     return rows.mapInArrow(encode, f"key {dict(rows.dtypes)['key']}, text string, ids array<int>")
 
