@@ -23,13 +23,13 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from .common import ranked, written
-from .markup import MAIN, OUTSIDE, lines_of, shared
+from .markup import MAIN, OPEN, lines_of, shared
 from .url_filter import host_of, path_of
 
-LINES = "lines array<struct<text: string, kind: int>>"
 ROWS_AT_ONCE = 256
 
 
@@ -52,14 +52,39 @@ def _hash_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*columns, pa.array(hashes, pa.list_(pa.int64()))], ["key", "mark", "host", "path", "hashes"])
 
 
-def _cut_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([("text", pa.string()), ("kind", pa.int32())]))
+def _pack_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines with their kinds, compressed; a line that mark-up has settled to go leaves only its place."""
+    pack = zstandard.ZstdCompressor(level=3).compress
     for whole in batches:
         for start in range(0, whole.num_rows, ROWS_AT_ONCE):
             batch = whole.slice(start, ROWS_AT_ONCE)
-            lines = [[{"text": t, "kind": k} for t, k in lines_of(p)] for p in batch.column("page").to_pylist()]
+            packed, kinds = [], []
+            for page in batch.column("page").to_pylist():
+                lines = lines_of(page)
+                wanted = MAIN if any(kind == MAIN for _, kind in lines) else OPEN
+                # White space inside a line is one blank, so line ends are free to separate lines.
+                packed.append(pack("\n".join(text if kind == wanted else "" for text, kind in lines).encode()))
+                kinds.append(bytes(kind for _, kind in lines))
             columns = [batch.column(c) for c in ("key", "mark", "url")]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(lines, kind)], ["key", "mark", "url", "lines"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(packed, pa.binary()), pa.array(kinds, pa.binary())], ["key", "mark", "url", "packed", "kinds"])
+
+
+def _join_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    unpack = zstandard.ZstdDecompressor().decompress
+    for batch in batches:
+        texts, counts, met = [], [], []
+        columns = (batch.column(c).to_pylist() for c in ("packed", "kinds", "shared"))
+        for packed, kinds, shared_places in zip(*columns):
+            lines, gone = unpack(packed).decode().split("\n"), set(shared_places or ())
+            if MAIN in kinds:
+                kept = [line for line, kind in zip(lines, kinds) if kind == MAIN]
+            else:
+                kept = [line for i, (line, kind) in enumerate(zip(lines, kinds)) if kind == OPEN and i not in gone]
+            texts.append("\n".join(kept))
+            counts.append(len(kinds))
+            met.append(len(gone))
+        columns = [batch.column("key"), batch.column("url"), pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(met, pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, ["key", "url", "text", "n_lines", "n_shared"])
 
 
 def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,20 +129,7 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", page: st
     kind = dict(rows.dtypes)["key"]
     gone = shared_lines(rows).where(F.size("shared") > 0)
     gone = gone.select(F.col("key").alias("gone_key"), F.col("mark").alias("gone_mark"), "shared")
-    cut = rows.mapInArrow(_cut_lines, f"key {kind}, mark bigint, url string, {LINES}")
-    met = cut.join(gone, F.col("key").eqNullSafe(F.col("gone_key")) & (F.col("mark") == F.col("gone_mark")), "left")
-    numbered = F.transform("lines", lambda line, i: F.struct(line["text"].alias("text"), line["kind"].alias("kind"), i.alias("at")))
-    differing = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.coalesce("shared", F.array().cast("array<int>")))
-    # Places that differ, as a set of the line numbers that stay wherever mark-up does not decide.
-    has_article = F.exists("lines", lambda line: line["kind"] == MAIN)
-    inside = F.filter(numbered, lambda line: line["kind"] == MAIN)
-    open_lines = F.filter(F.transform(differing, lambda i: F.get("lines", i)), lambda line: line["kind"] != OUTSIDE)
-    kept = F.when(has_article, F.transform(inside, lambda x: x["text"])).otherwise(F.transform(open_lines, lambda x: x["text"]))
-    text = F.when(F.size("lines") == 0, "").otherwise(F.array_join(kept, "\n"))
-    return met.select(
-        "key",
-        "url",
-        text.alias("text"),
-        F.size("lines").cast("bigint").alias("n_lines"),
-        F.coalesce(F.size("shared"), F.lit(0)).cast("bigint").alias("n_shared"),
-    )
+    packed = rows.mapInArrow(_pack_lines, f"key {kind}, mark bigint, url string, packed binary, kinds binary")
+    met = packed.join(gone, F.col("key").eqNullSafe(F.col("gone_key")) & (F.col("mark") == F.col("gone_mark")), "left")
+    met = met.select("key", "url", "packed", "kinds", "shared")
+    return met.mapInArrow(_join_lines, f"key {kind}, url string, text string, n_lines bigint, n_shared bigint")
