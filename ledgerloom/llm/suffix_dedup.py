@@ -11,12 +11,16 @@ equal windows do alike, and one byte in thirteen is enough. The steps are those
    and misses none.
 2. Triples. A covered position with a repeated name becomes a triple: the bytes before, the gram, the bytes after, as
    far as a window that holds the gram can reach. Triples are sorted by name and content; equal triples are
-   neighbours, and the smallest document that has one is its owner. All others that have it lose it.
+   neighbours, and the smallest document that has one is its owner. Every other document loses it. Before the
+   shuffle each group of documents drops all but its smallest key, so a passage that very many documents
+   share is one record per group; what comes back to a document are the places that it owns.
 3. Remaining suffixes. Every window start between covered positions is ordered through the covered position
-   it reaches: the windows of different triples of one name are sorted.
+   it reaches: the windows of owned triples with the same name but other neighbours are sorted.
 4. Adjacent prefixes of ``LENGTH`` bytes are compared; where an owner meets a smaller document, it loses that window.
 
-A name with more than ``MOST_TRIPLES`` different triples is not held in one task; its windows are grouped by Spark.
+Triples are sorted by 48 bits of a hash of their bytes, next to the 47 bits of the name; windows are compared
+themselves. A name with more than ``MOST_TRIPLES`` different triples is not held in one task; its windows are
+grouped by Spark.
 
 Keys are integers. Defined cases: a null text is empty; a null key comes after all others; rows of equal keys are
 never earlier than each other; texts shorter than ``LENGTH`` bytes stay whole; an empty table gives an
@@ -29,7 +33,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -44,7 +47,9 @@ NAME_BITS = 47
 MOST_TRIPLES = 50_000
 #: The bit map of repeated names grows with the input up to this bound, 64 MB.
 MOST_FILTER_BITS = 1 << 29
-PIECE_BYTES = 1 << 21
+PIECE_BYTES = 1 << 18
+GROUP_BYTES = 1 << 23
+ROWS_AT_ONCE = 256
 NO_KEY = (1 << 63) - 1
 
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -65,9 +70,11 @@ def _words(data: np.ndarray) -> np.ndarray:
 def _hash(words: np.ndarray, offsets: list[int], width: int) -> np.ndarray:
     """Hash of the strings that the words at these offsets make up, from ``width`` positions on."""
     h = np.zeros(words.shape[:-1] + (width,), np.uint64)
-    for n, at in enumerate(offsets):
-        h = _mixed(h + words[..., at : at + width] * _M1 + np.uint64(n))
-    return h
+    for at in offsets:
+        h += words[..., at : at + width]
+        h *= _M1
+        h ^= h >> np.uint64(32)
+    return _mixed(h)
 
 
 def _slid(values: np.ndarray, width: int, pick) -> np.ndarray:
@@ -102,49 +109,129 @@ def covered(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, names[at]
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Rows in groups of bounded size, with their bytes joined and the ends of each."""
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Rows in groups of bounded size, with their bodies."""
     for batch in batches:
-        sizes = np.array([len(b) for b in batch.column("body").to_pylist()], np.int64)
-        start = 0
-        while start < len(sizes):
-            reach = np.cumsum(sizes[start:])
-            count = max(1, int(np.searchsorted(reach, PIECE_BYTES, side="right")))
-            rows = batch.slice(start, count)
-            data = np.frombuffer(b"".join(rows.column("body").to_pylist()), np.uint8)
-            yield rows, data, reach[:count]
-            start += count
+        bodies = batch.column("body").to_pylist()
+        start = size = 0
+        for i, body in enumerate(bodies):
+            size += len(body)
+            if size > GROUP_BYTES or i == len(bodies) - 1:
+                yield batch.slice(start, i + 1 - start), bodies[start : i + 1]
+                start, size = i + 1, 0
+
+
+def _marked(bodies: list[bytes], chosen=None, cut: bool = False) -> tuple:
+    """Covered positions of documents: document number, place in it, name, and if ``cut`` its triple: the bytes
+    that reach to either side before it and after, and the context padded with zeros, as a row of bytes.
+
+    ``chosen`` takes names and says which to return. Documents are joined into pieces that fit a cache."""
+    found, start = [], 0
+    while start < len(bodies):
+        stop, size = start, 0
+        while stop < len(bodies) and (stop == start or size + len(bodies[stop]) <= PIECE_BYTES):
+            size += len(bodies[stop])
+            stop += 1
+        data = np.frombuffer(b"".join(bodies[start:stop]), np.uint8)
+        ends = np.cumsum([len(b) for b in bodies[start:stop]])
+        at, names = covered(data, ends)
+        if chosen is not None:
+            met = chosen(names)
+            at, names = at[met], names[met]
+        document = np.searchsorted(ends, at, side="right")
+        starts = np.r_[0, ends[:-1]]
+        columns = [document + start, at - starts[document], names]
+        if cut:
+            left = np.minimum(at - starts[document], SIDE)
+            right = np.minimum(ends[document] - at - GRAM, SIDE)
+            padded = np.concatenate([np.zeros(SIDE, np.uint8), data, np.zeros(SIDE, np.uint8)])
+            table = np.zeros((len(at), CONTEXT + 2), np.uint8)
+            if len(at):
+                table[:, 2:] = np.lib.stride_tricks.sliding_window_view(padded, CONTEXT)[at]
+            table[:, 0], table[:, 1] = left, right
+            edge = np.flatnonzero((left < SIDE) | (right < SIDE))
+            column = np.arange(CONTEXT)
+            outside = (column < (SIDE - left[edge])[:, None]) | (column >= (SIDE + GRAM + right[edge])[:, None])
+            table[edge, 2:] = np.where(outside, 0, table[edge, 2:])
+            columns.append(table)
+        found.append(columns)
+        start = stop
+    return tuple(np.concatenate(c) for c in zip(*found))
+
+
+def _in_map(bit_map: bytes, bits: int, width: int):
+    """Whether the leading bits of numbers of ``width`` bits are set in the map."""
+    known, shift = np.frombuffer(bit_map, np.uint8), np.uint64(width - (bits.bit_length() - 1))
+
+    def test(numbers: np.ndarray) -> np.ndarray:
+        place = (numbers >> shift).astype(np.int64)
+        return (known[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+
+    return test
+
+
+def _gathered(found: DataFrame, parts: int, bits: int) -> bytes:
+    """A bit map from its parts (part, bits), one after the other."""
+    whole, size = bytearray(bits // 8), bits // 8 // parts
+    for row in found.toLocalIterator():
+        whole[row.part * size : (row.part + 1) * size] = row.bits
+    return bytes(whole)
 
 
 # 1. names --------------------------------------------------------------------------------
 
 
+def _blocks(part: np.ndarray, size: int, pack) -> pa.RecordBatch:
+    """One row (part, block) for each part that sorted ``part`` numbers hold."""
+    number, first = np.unique(part, return_index=True)
+    blocks = [pack(a, b) for a, b in zip(first, [*first[1:], size])]
+    return pa.RecordBatch.from_arrays([pa.array(number, pa.int64()), pa.array(blocks, pa.binary())], ["part", "block"])
+
+
 def _name_blocks(parts: int):
     shift = np.uint64(NAME_BITS - (parts.bit_length() - 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, ends in _pieces(batches):
-            at, names = covered(data, ends)
-            document = np.searchsorted(ends, at, side="right")
+        for _, bodies in _groups(batches):
+            document, _, names = _marked(bodies)
             order = np.lexsort((document, names))
             names, document = names[order], document[order]
             fresh = np.r_[True, (names[1:] != names[:-1]) | (document[1:] != document[:-1])][: len(names)]
             names, counts = np.unique(names[fresh], return_counts=True)
             # The lowest bit says that the name is known to be in several documents.
             packed = (names << np.uint64(1)) | (counts > 1).astype(np.uint64)
-            part = (names >> shift).astype(np.int64)
-            number, first = np.unique(part, return_index=True)
             raw = packed.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-            blocks = [raw[a:b].tobytes() for a, b in zip(first, [*first[1:], len(packed)])]
-            yield pa.RecordBatch.from_arrays([pa.array(number, pa.int64()), pa.array(blocks, pa.binary())], ["part", "block"])
+            yield _blocks((names >> shift).astype(np.int64), len(names), lambda a, b: raw[a:b].tobytes())
 
     return run
 
 
-def _repeated_bits(parts: int, bits: int):
-    per_part = bits // parts
+def _by_part(column: str, names: list[str], finish):
+    """Gathers the rows of each part, which come one after the other, and yields what ``finish`` makes of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, []
+        for rows in batches:
+            for part, value in zip(rows.column("part").to_pylist(), rows.column(column).to_pylist()):
+                if part != last and last is not None:
+                    yield pa.RecordBatch.from_arrays(finish(last, held), names)
+                    held = []
+                last = part
+                held.append(value)
+        if last is not None:
+            yield pa.RecordBatch.from_arrays(finish(last, held), names)
+
+    return run
 
-    def bit_map(blocks: list[bytes], part: int) -> bytes:
+
+def _bits_of(places: np.ndarray, part: int, per_part: int) -> list[pa.Array]:
+    flags = np.zeros(per_part, np.uint8)
+    flags[places - part * per_part] = 1
+    return [pa.array([part], pa.int64()), pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())]
+
+
+def _repeated_bits(parts: int, bits: int):
+    def finish(part: int, blocks: list[bytes]) -> list[pa.Array]:
         raw = np.frombuffer(b"".join(blocks), np.uint8).reshape(-1, 6)
         packed = np.zeros((len(raw), 8), np.uint8)
         packed[:, :6] = raw
@@ -152,104 +239,156 @@ def _repeated_bits(parts: int, bits: int):
         names = packed >> np.uint64(1)
         same = names[1:] == names[:-1]
         repeated = np.concatenate([names[1:][same], names[(packed & np.uint64(1)) == 1]])
-        places = (repeated >> np.uint64(NAME_BITS - (bits.bit_length() - 1))).astype(np.int64) - part * per_part
-        flags = np.zeros(per_part, np.uint8)
-        flags[places] = 1
-        return np.packbits(flags, bitorder="little").tobytes()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def batch(part, blocks):
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([bit_map(blocks, part)], pa.binary())], ["part", "bits"])
-
-        last, blocks = None, []
-        for rows in batches:
-            for part, block in zip(rows.column("part").to_pylist(), rows.column("block").to_pylist()):
-                if part != last and last is not None:
-                    yield batch(last, blocks)
-                    blocks = []
-                last = part
-                blocks.append(block)
-        if last is not None:
-            yield batch(last, blocks)
+        return _bits_of((repeated >> np.uint64(NAME_BITS - (bits.bit_length() - 1))).astype(np.int64), part, bits // parts)
 
-    return run
+    return _by_part("block", ["part", "bits"], finish)
 
 
 def _power_of_two(least: int) -> int:
     return 1 << max(0, least - 1).bit_length()
 
 
-def repeated_names(rows: DataFrame, total: int) -> tuple[bytes, int]:
-    """A bit map over the leading bits of names: set where a name is in several documents."""
+def _sizes(total: int) -> tuple[int, int]:
+    """Bits of a map and number of parts for so many bytes of text."""
     bits = min(max(_power_of_two(total // 8), 1 << 16), MOST_FILTER_BITS)
-    parts = min(_power_of_two(max(8, total >> 22)), bits // 8)
+    return bits, min(_power_of_two(max(8, total >> 22)), bits // 8)
+
+
+def repeated_names(rows: DataFrame, bits: int, parts: int) -> bytes:
+    """A bit map over the leading bits of names: set where a name is in several documents."""
     blocks = rows.select("body").mapInArrow(_name_blocks(parts), "part bigint, block binary")
     dealt = blocks.repartition(parts, "part").sortWithinPartitions("part")
-    found = dealt.mapInArrow(_repeated_bits(parts, bits), "part bigint, bits binary")
-    whole = bytearray(bits // 8)
-    per_part = bits // 8 // parts
-    for row in found.toLocalIterator():
-        whole[row.part * per_part : (row.part + 1) * per_part] = row.bits
-    return bytes(whole), bits
+    return _gathered(dealt.mapInArrow(_repeated_bits(parts, bits), "part bigint, bits binary"), parts, bits)
 
 
 # 2. triples ------------------------------------------------------------------------------
 
-TRIPLE = "name bigint, triple binary, least bigint, keys array<bigint>, marks array<int>, places array<int>"
+OWNERS = "key bigint, mark int, place int, spot bigint"
+
 
+def spots(key: np.ndarray, mark: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """A number for each place of each document."""
+    h = _mixed(key.astype(np.uint64) * _M1 + mark.astype(np.uint64))
+    return _mixed(h + place.astype(np.uint64) * _M2)
 
-def _triples(shared, bits: int):
-    shift = np.uint64(NAME_BITS - (bits.bit_length() - 1))
+
+def _triple_blocks(shared, bits: int, parts: int):
+    """The triples with repeated names of each group of documents, of equal ones those of the smallest key."""
+    shift = np.uint64(NAME_BITS - (parts.bit_length() - 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.frombuffer(shared.value, np.uint8)
-        for rows, data, ends in _pieces(batches):
-            at, names = covered(data, ends)
-            place = (names >> shift).astype(np.int64)
-            met = (known[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
-            at, names = at[met], names[met]
-            document = np.searchsorted(ends, at, side="right")
-            starts = np.r_[0, ends[:-1]]
-            left = np.minimum(at - starts[document], SIDE)
-            right = np.minimum(ends[document] - at - GRAM, SIDE)
-            padded = np.concatenate([np.zeros(SIDE, np.uint8), data, np.zeros(SIDE, np.uint8)])
-            table = np.zeros((len(at), CONTEXT + 2), np.uint8)
-            table[:, 2:] = np.lib.stride_tricks.sliding_window_view(padded, CONTEXT)[at] if len(at) else 0
-            table[:, 0], table[:, 1] = left, right
-            column = np.arange(CONTEXT)
-            outside = (column < (SIDE - left)[:, None]) | (column >= (SIDE + GRAM + right)[:, None])
-            table[:, 2:][outside] = 0
+        compress = zstandard.ZstdCompressor(level=3).compress
+        chosen = _in_map(shared.value, bits, NAME_BITS)
+        for rows, bodies in _groups(batches):
+            document, place, name, table = _marked(bodies, chosen, True)
+            triple = _hash(_words(table), [*range(0, CONTEXT - 6, 8), CONTEXT - 6], 1)[:, 0] >> np.uint64(16)
             key = rows.column("key").to_numpy()[document]
             mark = rows.column("mark").to_numpy()[document]
-            yield _grouped(names, table, key, mark, (at - starts[document]))
+            order = np.lexsort((place, key, triple, name))
+            name, triple, key, mark, place = (x[order] for x in (name, triple, key, mark, place))
+            keep = _owned(name, triple, key)
+            name, triple, key, mark, place = (x[keep] for x in (name, triple, key, mark, place))
+
+            def pack(a, b):
+                steps = np.diff(name[a:b], prepend=np.uint64(0))
+                narrow = triple[a:b].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+                columns = [steps.astype("<u8"), narrow, key[a:b].astype("<i8"), mark[a:b].astype("<i4"), place[a:b].astype("<i4")]
+                # Bytes of equal weight lie together, so that small numbers shrink.
+                return compress(b"".join(x.view(np.uint8).reshape(b - a, -1).T.tobytes() for x in columns))
+
+            yield _blocks((name >> shift).astype(np.int64), len(name), pack)
 
     return run
 
 
-def _grouped(names, table, key, mark, place) -> pa.RecordBatch:
-    """One row per distinct triple with all its places."""
-    whole = np.ascontiguousarray(table).view(f"V{table.shape[1]}").ravel()
-    hashed = _hash(_words(table), [*range(0, table.shape[1] - 8, 8), table.shape[1] - 8], 1)[:, 0] if len(table) else names
-    order = np.lexsort((key, hashed))
-    names, whole, hashed, key, mark, place = (x[order] for x in (names, whole, hashed, key, mark, place))
-    # Where the bytes differ although hashes agree, a new row starts.
-    first = np.flatnonzero(np.r_[True, whole[1:] != whole[:-1]][: len(whole)])
-    offsets = pa.array(np.r_[first, len(whole)].astype(np.int32))
-    lists = [pa.ListArray.from_arrays(offsets, pa.array(x, kind)) for x, kind in ((key, pa.int64()), (mark, pa.int32()), (place.astype(np.int32), pa.int32()))]
-    columns = [
-        pa.array(names[first].astype(np.int64)),
-        pa.array([w.tobytes() for w in whole[first]], pa.binary()),
-        pa.array(key[first], pa.int64()),
-        *lists,
-    ]
-    return pa.RecordBatch.from_arrays(columns, ["name", "triple", "least", "keys", "marks", "places"])
+def _unpacked(block: bytes) -> list[np.ndarray]:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(block), np.uint8)
+    rows = len(raw) // 30
+    columns, at = [], 0
+    for width, kind in ((8, "<u8"), (6, "<u8"), (8, "<i8"), (4, "<i4"), (4, "<i4")):
+        part = np.zeros((rows, np.dtype(kind).itemsize), np.uint8)
+        part[:, :width] = raw[at : at + width * rows].reshape(width, rows).T
+        columns.append(part.view(kind).ravel())
+        at += width * rows
+    columns[0] = np.cumsum(columns[0], dtype=np.uint64)
+    return columns
+
+
+def _owned(name: np.ndarray, triple: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Of rows sorted by name, triple and key: those with the smallest key of their triple."""
+    first = np.r_[True, (name[1:] != name[:-1]) | (triple[1:] != triple[:-1])][: len(name)]
+    return key == key[np.flatnonzero(first)][np.cumsum(first) - 1] if len(name) else first
+
+
+def _find_owners(part: int, blocks: list[bytes]) -> list[pa.Array]:
+    name, triple, key, mark, place = (np.concatenate(c) for c in zip(*map(_unpacked, blocks)))
+    order = np.lexsort((key, triple, name))
+    name, triple, key, mark, place = (x[order] for x in (name, triple, key, mark, place))
+    keep = _owned(name, triple, key)
+    # A name with several triples: their windows have to be compared.
+    lowest = np.r_[True, name[1:] != name[:-1]]
+    head = np.flatnonzero(lowest)
+    several = np.maximum.reduceat(triple, head) != np.minimum.reduceat(triple, head)
+    several = several[np.cumsum(lowest) - 1][keep]
+    key, mark, place = key[keep], mark[keep], place[keep]
+    spot = pa.array((spots(key, mark, place) >> np.uint64(1)).astype(np.int64), mask=~several)
+    return [pa.array(key), pa.array(mark), pa.array(place), spot]
+
+
+def triple_owners(rows: DataFrame, shared, bits: int, parts: int) -> DataFrame:
+    """The places of triples in the smallest document that has them: key, mark, place, and where the name has
+    other triples too the number ``spot`` of that place."""
+    blocks = rows.mapInArrow(_triple_blocks(shared, bits, parts), "part bigint, block binary")
+    dealt = blocks.repartition(parts, "part").sortWithinPartitions("part")
+    return dealt.mapInArrow(_by_part("block", ["key", "mark", "place", "spot"], _find_owners), OWNERS)
+
+
+def _spot_bits(parts: int, bits: int):
+    shift = np.uint64(63 - (bits.bit_length() - 1))
+
+    def finish(part: int, found: list[int]) -> list[pa.Array]:
+        return _bits_of((np.array(found, np.uint64) >> shift).astype(np.int64), part, bits // parts)
+
+    return _by_part("spot", ["part", "bits"], finish)
+
+
+def spot_map(owners: DataFrame, bits: int, parts: int) -> bytes:
+    """A bit map over the leading bits of the spots."""
+    part = F.shiftright("spot", 63 - (parts.bit_length() - 1)).alias("part")
+    dealt = owners.where("spot is not null").select(part, "spot").repartition(parts, "part").sortWithinPartitions("part")
+    return _gathered(dealt.mapInArrow(_spot_bits(parts, bits), "part bigint, bits binary"), parts, bits)
 
 
 # 3. and 4. remaining suffixes, adjacent prefixes -------------------------------------------
 
+CONTEXTS = "name bigint, triple binary, key bigint, mark int, place int"
 LOST = "key bigint, mark int, place int, starts int, triple binary"
 
 
+def _contexts(names, marked_spots, bits: int):
+    """The triples whose windows have to be compared, with their bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chosen, asked = _in_map(names.value, bits, NAME_BITS), _in_map(marked_spots.value, bits, 63)
+        for rows, bodies in _groups(batches):
+            document, place, name, table = _marked(bodies, chosen, True)
+            key = rows.column("key").to_numpy()[document]
+            mark = rows.column("mark").to_numpy()[document]
+            met = np.flatnonzero(asked(spots(key, mark, place) >> np.uint64(1)))
+            whole = np.ascontiguousarray(table[met]).tobytes()
+            size = CONTEXT + 2
+            columns = [
+                pa.array(name[met].astype(np.int64)),
+                pa.array([whole[i : i + size] for i in range(0, len(whole), size)], pa.binary()),
+                pa.array(key[met]),
+                pa.array(mark[met]),
+                pa.array(place[met].astype(np.int32)),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["name", "triple", "key", "mark", "place"])
+
+    return run
+
+
 def _valid(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Which of the window starts round a gram lie inside the document, per triple."""
     start = np.arange(STARTS)
@@ -260,9 +399,9 @@ def _as_bits(flags: np.ndarray) -> np.ndarray:
     return (flags.astype(np.int64) << np.arange(STARTS)).sum(axis=1).astype(np.int32)
 
 
-def smaller_owners(name: np.ndarray, table: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """For triples (rows of ``table``) and window starts: whether a triple of the same name, owned by a smaller
-    document, has the same window."""
+def met_before(name: np.ndarray, table: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """For triples (rows of ``table``) and window starts: whether a triple of the same name in a smaller
+    document has the same window."""
     valid = _valid(table[:, 0].astype(np.int64), table[:, 1].astype(np.int64))
     words = _words(table[:, 2:])
     offsets = [*range(0, LENGTH - 8, 8), LENGTH - 8]
@@ -280,30 +419,17 @@ def smaller_owners(name: np.ndarray, table: np.ndarray, owner: np.ndarray) -> np
     return found
 
 
-def _owners_and_losses(rows: pa.RecordBatch, deferred: bool) -> pa.RecordBatch:
-    """What documents lose by rows that hold their names' triples whole, sorted by name, triple and document.
-
-    If ``deferred``, the windows of owners are not compared here; their places come out with the triple."""
-    names = rows.column("name").to_numpy()
-    triples = np.frombuffer(b"".join(rows.column("triple").to_pylist()), np.uint8).reshape(-1, CONTEXT + 2)
-    whole = triples.view(f"V{CONTEXT + 2}").ravel()
-    alike = (whole[1:] == whole[:-1]) & (names[1:] == names[:-1])
-    first, number = np.flatnonzero(np.r_[True, ~alike]), np.cumsum(np.r_[0, ~alike])
-    table, name, owner = triples[first], names[first], rows.column("least").to_numpy()[first]
-    full = _as_bits(_valid(table[:, 0].astype(np.int64), table[:, 1].astype(np.int64)))
-    own = np.zeros(len(first), np.int32)
-    beside = name[1:] == name[:-1]
-    several = np.r_[beside, False] | np.r_[False, beside]
-    if several.any() and not deferred:
-        own[several] = _as_bits(smaller_owners(name[several], table[several], owner[several]))
-    of = np.repeat(number, pc.list_value_length(rows.column("keys")).to_numpy())
-    key, mark, place = (rows.column(c).flatten().to_numpy() for c in ("keys", "marks", "places"))
-    is_owner = key == owner[of]
-    starts = np.where(is_owner, own[of], full[of])
-    take = (starts != 0) | (is_owner & deferred)
-    texts = [table[i].tobytes() if deferred and o else None for i, o in zip(of[take], is_owner[take])]
-    columns = [pa.array(x[take]) for x in (key, mark, place, starts)]
-    return pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.binary())], ["key", "mark", "place", "starts", "triple"])
+def _losses(rows: pa.RecordBatch, deferred: bool) -> pa.RecordBatch:
+    """What documents lose, from rows that hold all triples of their names; if ``deferred``, the rows as they are."""
+    key, mark, place = (rows.column(c) for c in ("key", "mark", "place"))
+    if deferred:
+        columns = [key, mark, place, pa.nulls(len(key), pa.int32()), rows.column("triple")]
+        return pa.RecordBatch.from_arrays(columns, ["key", "mark", "place", "starts", "triple"])
+    table = np.frombuffer(b"".join(rows.column("triple").to_pylist()), np.uint8).reshape(-1, CONTEXT + 2)
+    starts = _as_bits(met_before(rows.column("name").to_numpy(), table, key.to_numpy()))
+    take = np.flatnonzero(starts)
+    columns = [key.take(pa.array(take)), mark.take(pa.array(take)), place.take(pa.array(take)), pa.array(starts[take])]
+    return pa.RecordBatch.from_arrays([*columns, pa.nulls(len(take), pa.binary())], ["key", "mark", "place", "starts", "triple"])
 
 
 def _compare(most: int):
@@ -316,39 +442,22 @@ def _compare(most: int):
             names = rows.column("name").to_numpy()
             cut = int(np.searchsorted(names, names[-1]))
             done, rest = rows.slice(0, cut), rows.slice(cut)
-            if cut and deferred is not None:
+            if deferred is not None and cut:
                 end = int(np.searchsorted(names[:cut], deferred, side="right"))
-                yield _owners_and_losses(done.slice(0, end), True)
+                yield _losses(done.slice(0, end), True)
                 done, deferred = done.slice(end), None
             if done.num_rows:
-                yield _owners_and_losses(done, False)
+                yield _losses(done, False)
             if rest.num_rows > most or deferred is not None:
-                triples = rest.column("triple").to_pylist()
-                start = triples.index(triples[-1])  # triples are sorted
-                if start:
-                    deferred = int(names[-1])
-                    yield _owners_and_losses(rest.slice(0, start), True)
-                    rest = rest.slice(start)
-                # Of one very frequent triple only the owner's rows are waited with.
-                owns = int(np.searchsorted(rest.column("least").to_numpy(), rest.column("least")[0].as_py(), side="right"))
-                if owns < rest.num_rows:
-                    yield _all_lost(rest.slice(owns))
-                    rest = rest.slice(0, owns)
+                deferred = int(names[-1])
+                yield _losses(rest, True)
+                rest = None
         if rest is not None and rest.num_rows:
-            yield _owners_and_losses(rest, deferred is not None)
+            yield _losses(rest, False)
 
     return run
 
 
-def _all_lost(rows: pa.RecordBatch) -> pa.RecordBatch:
-    """Rows of one triple without those of its owner."""
-    head = np.frombuffer(rows.column("triple")[0].as_py()[:2], np.uint8).astype(np.int64)
-    full = _as_bits(_valid(head[:1], head[1:]))
-    key, mark, place = (rows.column(c).flatten() for c in ("keys", "marks", "places"))
-    starts = pa.array(np.full(len(key), full[0], np.int32))
-    return pa.RecordBatch.from_arrays([key, mark, place, starts, pa.nulls(len(key), pa.binary())], ["key", "mark", "place", "starts", "triple"])
-
-
 def _deferred_losses(waiting: DataFrame) -> DataFrame:
     """The same comparison for names with very many triples: windows are grouped by Spark."""
     byte = lambda at: F.conv(F.hex(F.substring("triple", at, 1)), 16, 10).cast("int")
@@ -365,38 +474,50 @@ def _deferred_losses(waiting: DataFrame) -> DataFrame:
 # documents -------------------------------------------------------------------------------
 
 
-def cut_spans(size: int, places: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Maximal runs of bytes that lost windows cover, as rows of (start, end)."""
-    depth = np.zeros(size + 1, np.int32)
-    row, start = np.nonzero((starts[:, None] >> np.arange(STARTS)) & 1)
-    begin = places[row] - SIDE + start
-    np.add.at(depth, begin, 1)
-    np.add.at(depth, begin + LENGTH, -1)
-    inside = np.r_[False, np.cumsum(depth[:size]) > 0, False]
-    edges = np.flatnonzero(inside[1:] != inside[:-1])
-    return edges.reshape(-1, 2)
-
-
 RESULT = "key {kind}, n_bytes bigint, spans array<struct<start: bigint, end: bigint>>, kept binary"
 
 
-def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _remove(shared, bits: int):
     spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    unpack = zstandard.ZstdDecompressor()
-    for batch in batches:
-        sizes, all_spans, kept = [], [], []
-        lists = (batch.column(c).to_pylist() for c in ("packed", "lost"))
-        for packed, lost in zip(*lists):
-            body, spans = unpack.decompress(packed), []
-            if lost:
-                found = np.array([(x["place"], x["starts"]) for x in lost], np.int64)
-                spans = cut_spans(len(body), found[:, 0], found[:, 1]).tolist()
-            sizes.append(len(body))
-            all_spans.append([{"start": a, "end": b} for a, b in spans])
-            edges = [0, *(x for span in spans for x in span), len(body)]
-            kept.append(b"".join(body[a:b] for a, b in zip(edges[::2], edges[1::2])))
-        columns = [batch.column("key"), pa.array(sizes, pa.int64()), pa.array(all_spans, spans_type), pa.array(kept, pa.binary())]
-        yield pa.RecordBatch.from_arrays(columns, ["key", "n_bytes", "spans", "kept"])
+    window = np.arange(STARTS)
+
+    def cut(body: bytes, places: np.ndarray, met: list | None) -> list[list[int]]:
+        found = np.array([(x["place"], x["starts"]) for x in met or ()], np.int64).reshape(-1, 2)
+        # A covered place with a repeated name is its owner's or lost.
+        lost = np.setdiff1d(places, found[found[:, 1] == 0, 0])
+        full = _as_bits(_valid(np.minimum(lost, SIDE), np.minimum(len(body) - lost - GRAM, SIDE)))
+        part = found[found[:, 1] != 0]
+        if not len(lost) and not len(part):
+            return []
+        starts = np.concatenate([full.astype(np.int64), part[:, 1]])
+        row, start = np.nonzero((starts[:, None] >> window) & 1)
+        begin = np.concatenate([lost, part[:, 0]])[row] - SIDE + start
+        depth = np.zeros(len(body) + 1, np.int32)
+        np.add.at(depth, begin, 1)
+        np.add.at(depth, begin + LENGTH, -1)
+        inside = np.r_[False, np.cumsum(depth[:-1]) > 0, False]
+        return np.flatnonzero(inside[1:] != inside[:-1]).reshape(-1, 2).tolist()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        chosen = _in_map(shared.value, bits, NAME_BITS)
+        for batch in batches:
+            for first in range(0, batch.num_rows, ROWS_AT_ONCE):
+                rows = batch.slice(first, ROWS_AT_ONCE)
+                bodies = [unpack(p) for p in rows.column("packed").to_pylist()]
+                document, place, _ = _marked(bodies, chosen)
+                edges = np.searchsorted(document, np.arange(len(bodies) + 1))
+                all_spans, kept = [], []
+                for i, (body, met) in enumerate(zip(bodies, rows.column("met").to_pylist())):
+                    spans = cut(body, place[edges[i] : edges[i + 1]], met)
+                    ends = [0, *(x for span in spans for x in span), len(body)]
+                    all_spans.append([{"start": a, "end": b} for a, b in spans])
+                    kept.append(b"".join(body[a:b] for a, b in zip(ends[::2], ends[1::2])))
+                sizes = pa.array([len(b) for b in bodies], pa.int64())
+                columns = [rows.column("key"), sizes, pa.array(all_spans, spans_type), pa.array(kept, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "n_bytes", "spans", "kept"])
+
+    return run
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -411,20 +532,25 @@ def without_repeated_strings(documents: DataFrame, key: str = "doc_id", text: st
     """One row per document: key, n_bytes, spans (maximal removed runs of bytes), kept (the remaining bytes)."""
     spark: SparkSession = documents.sparkSession
     body = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
-    mark = F.xxhash64(F.col(key), F.col(text)).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
     order = F.coalesce(F.col(key).cast("bigint"), F.lit(NO_KEY))
-    rows = documents.select(F.col(key).alias("key"), order.alias("order"), mark.alias("mark"), body.alias("body"))
+    counts = documents.select(order.alias("order")).groupBy("order").count().agg(F.max("count").alias("most")).first()
+    # Rows that share a key are told apart by their text; else the mark is constant and costs nothing.
+    mark = F.xxhash64(F.col(key), F.col(text)).bitwiseAND(F.lit(0x7FFFFFFF)) if (counts.most or 0) > 1 else F.lit(0)
+    rows = documents.select(F.col(key).alias("key"), order.alias("order"), mark.cast("int").alias("mark"), body.alias("body"))
     kind = dict(rows.dtypes)["key"]
     total = rows.agg(F.sum(F.length("body")).alias("total")).first().total or 0
-    bit_map, bits = repeated_names(rows, total)
-    shared = spark.sparkContext.broadcast(bit_map)
+    bits, parts = _sizes(total)
+    context = spark.sparkContext
+    names = context.broadcast(repeated_names(rows, bits, parts))
     numbered = rows.select(F.col("order").alias("key"), "mark", "body")
-    triples = numbered.mapInArrow(_triples(shared, bits), TRIPLE).repartition("name")
-    lost = triples.sortWithinPartitions("name", "triple", "least").mapInArrow(_compare(most_triples), LOST)
-    lost = written(lost)
+    owners = written(triple_owners(numbered, names, bits, parts))
+    asked = context.broadcast(spot_map(owners, bits, parts))
+    contexts = numbered.mapInArrow(_contexts(names, asked, bits), CONTEXTS).repartition("name").sortWithinPartitions("name")
+    lost = written(contexts.mapInArrow(_compare(most_triples), LOST))
     late = _deferred_losses(lost.where("triple is not null"))
-    every = lost.where("triple is null").drop("triple").unionByName(late)
-    by_document = every.groupBy(F.col("key").alias("order"), "mark").agg(F.collect_list(F.struct("place", "starts")).alias("lost"))
+    part = lost.where("triple is null").drop("triple").unionByName(late)
+    met = owners.select("key", "mark", "place", F.lit(0).alias("starts")).unionByName(part)
+    by_document = met.groupBy(F.col("key").alias("order"), "mark").agg(F.collect_list(F.struct("place", "starts")).alias("met"))
     packed = rows.mapInArrow(_pack, f"key {kind}, order bigint, mark int, packed binary")
-    met = packed.join(by_document, ["order", "mark"], "left").select("key", "packed", "lost")
-    return met.mapInArrow(_remove, RESULT.format(kind=kind))
+    joined = packed.join(by_document, ["order", "mark"], "left").select("key", "packed", "met")
+    return joined.mapInArrow(_remove(names, bits), RESULT.format(kind=kind))
