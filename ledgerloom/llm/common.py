@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..sources.sinks import written
 
-__all__ = ["ASCII_SPACES", "components", "held_out", "ranked", "table", "with_group", "words_of", "written"]
+__all__ = ["ASCII_SPACES", "bodies", "components", "held_out", "kept_and_body", "ranked", "table", "with_group", "words_of", "written"]
 
 # The ASCII white space of the contracts, as a Java and RE2 class.
 ASCII_SPACES = r"[\x20\x09-\x0D]+"
@@ -104,3 +106,16 @@ def _mark(links: DataFrame) -> tuple:
     """Count and checksum of a set of links."""
     seen = links.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("sum")).first()
     return seen.n, seen["sum"]
+
+
+def kept_and_body(documents: DataFrame, keep: list[str], text: str) -> DataFrame:
+    """The columns ``keep`` as a struct ``row``, and the text as bytes in ``body`` unless it is one of them."""
+    row = F.struct(*keep).alias("row")
+    return documents.select(row) if text in keep else documents.select(row, F.col(text).cast("binary").alias("body"))
+
+
+def bodies(batch: pa.RecordBatch, text: str) -> list[bytes | None]:
+    """The texts of a batch of ``kept_and_body``, as bytes."""
+    if "body" in batch.schema.names:
+        return batch.column("body").to_pylist()
+    return pc.struct_field(batch.column("row"), text).cast(pa.binary()).to_pylist()

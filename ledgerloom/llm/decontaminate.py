@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import words_of
+from .common import bodies, kept_and_body, words_of
 
 WINDOW = 10
 BLOCK_BYTES = 1 << 20
@@ -94,13 +94,13 @@ SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 FOUND = "n_words bigint, spans array<struct<start: bigint, end: bigint>>, items array<string>"
 
 
-def _pass(bench, window: int, first: bool, last: bool):
+def _pass(bench, text: str, window: int, first: bool, last: bool):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(bench.value, window)
         for batch in batches:
             n_words, spans, items = [], [], []
-            for i, text in enumerate(batch.column("body").to_pylist()):
-                words = words_of(text)
+            for i, body in enumerate(bodies(batch, text)):
+                words = words_of(body)
                 seen, numbers = matcher.search(words)
                 names = {matcher.names[k] for k in numbers}
                 if not first:
@@ -115,7 +115,7 @@ def _pass(bench, window: int, first: bool, last: bool):
                 "spans": pa.array(spans, SPANS),
                 "items": pa.array(items, pa.list_(pa.string())),
             }
-            if not last:
+            if not last and "body" in batch.schema.names:
                 columns["body"] = batch.column("body")
             yield pa.RecordBatch.from_pydict(columns)
 
@@ -156,12 +156,12 @@ def with_contamination(
     size = items.agg(F.sum(F.length("body")).alias("bytes")).first()["bytes"] or 0
     blocks = max(1, -(-size // block_bytes))
     items = items.withColumn("block", F.pmod(F.xxhash64("name", "body"), F.lit(blocks)))
-    rows = documents.select(F.struct(*keep).alias("row"), F.col(text).cast("binary").alias("body"))
+    rows = kept_and_body(documents, keep, text)
     kind = dict(rows.dtypes)["row"]
     for number in range(blocks):
         block = [(r.name, words_of(bytes(r.body))) for r in items.where(F.col("block") == number).toLocalIterator()]
         bench = spark.sparkContext.broadcast(block)
         last = number == blocks - 1
-        schema = f"row {kind}, {FOUND}" + ("" if last else ", body binary")
-        rows = rows.mapInArrow(_pass(bench, window, number == 0, last), schema)
+        schema = f"row {kind}, {FOUND}" + ("" if last or text in keep else ", body binary")
+        rows = rows.mapInArrow(_pass(bench, text, window, number == 0, last), schema)
     return rows

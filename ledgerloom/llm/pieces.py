@@ -36,7 +36,7 @@ SHARPNESS = 0.5
 SEED = 20_240_229
 SPACE_MARK = "▁"
 WORD = re.compile(" *[^ ]+| +")
-CHUNK_CHARACTERS = 2_000_000
+CHUNK_CHARACTERS = 500_000
 
 class Vocabulary:
     """Pieces of a model file as a trie with log weights, and what each id decodes to."""

@@ -24,6 +24,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import bodies, kept_and_body
+
 BLOCK = 2048
 LEVEL = 3
 DICTIONARY_BYTES = 112 << 10
@@ -203,12 +205,12 @@ def scores(documents: DataFrame, model: Model, key: str = "doc_id", text: str =
 def with_score(documents: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
     """As ``scores``, with the columns ``keep`` of the documents as a struct ``row``."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
-    rows = documents.select(F.struct(*keep).alias("row"), F.col(text).cast("binary").alias("body"))
+    rows = kept_and_body(documents, keep, text)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = _sizes(shared.value)
         for batch in batches:
-            found = [score(body, shared.value, *sizes) for body in batch.column("body").to_pylist()]
+            found = [score(body, shared.value, *sizes) for body in bodies(batch, text)]
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(found, pa.float64())], ["row", "score"])
 
     return rows.mapInArrow(scored, f"row {dict(rows.dtypes)['row']}, score double")
