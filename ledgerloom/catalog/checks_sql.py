@@ -429,15 +429,45 @@ def intake() -> dict[str, str]:
                 when 8 then 8 end + octet_length(encode(d.text)) as source_bytes
             from checked c join documents d on d.doc_id = c.id where reject_reason is null""",
         "text_intake": """
-            select doc_id as id, 'pending' as status, 'text' as source_type,
-              md5(text) as text_md5 from documents where length(text) between 1 and 10000""",
-        "typed_parse": _with(BRIDGE, RESPONSES) + """
-            select id, case when id % 41 = 0 or id % 43 = 1 or id % 47 = 2 or id % 79 = 7
-                or id % 83 = 8 then null else concat('INV ', id) end as invoice_number,
-              case when id % 41 = 0 or id % 43 = 1 or id % 47 = 2 or id % 79 = 7
-                or id % 83 = 8 then 0
-                else (select count(*) from labelled_items i where i.id = e.id) end as items
-            from extracted e""",
+            with texts as (select doc_id as id, case doc_id % 7
+                when 1 then repeat(chr(129534), 9990) || substr(text, 1, 10)
+                when 2 then repeat(chr(129534), 10000) || substr(text, 1, 10) else text end as text
+              from documents),
+            judged as (select *, case when coalesce(text, '') = '' then 'The text is empty.'
+                when length(text) > 10000 then 'The text is longer than 10000 characters.' end as reject_reason
+              from texts)
+            select id, case when reject_reason is null then 'pending' else 'refused' end as status,
+              'text' as source_type, md5(text) as text_md5, reject_reason from judged""",
+        "typed_parse": _with(BRIDGE, RESPONSES) + """,
+            bad as (select id from extracted where failure_reason is not null
+              and failure_reason <> 'A value does not fit its column.'),
+            items as (select id, string_agg(concat('item ', n, '/', cast(quantity as bigint), '/',
+                category), '|' order by concat('item ', n, '/', cast(quantity as bigint), '/', category))
+                as line_items
+              from labelled_items group by 1)
+            select e.id, case when b.id is null then c_name end as merchant,
+              cast(null as varchar) as merchant_details, cast(null as varchar) as "merchant_vatNumber",
+              cast(null as varchar) as merchant_phone,
+              case when b.id is null then concat('INV ', e.id) end as invoice_number,
+              cast(null as varchar) as location,
+              case when b.id is not null or e.id % 53 = 0 then null when e.id % 59 = 3 then '1997-02-30'
+                when e.id % 107 = 13 then strftime(cast(o_orderdate as date), '%Y-%m')
+                when e.id % 109 = 14 then strftime(cast(o_orderdate as date), '%Y')
+                else strftime(cast(o_orderdate as date), '%Y-%m-%d') end as date,
+              case when b.id is not null or e.id % 61 = 0 then null when e.id % 67 = 4 then 99999999999.0
+                else cast(o_totalprice as double) end as total_amount,
+              case when b.id is null then case when e.id % 71 = 5 then 'EURO' else currency end end as currency,
+              case when b.id is null then o_orderpriority end as payment_method,
+              case when b.id is null then 'items' end as category_evidence,
+              case when b.id is null then case when e.id % 73 = 6 then 10.5 else cast((e.id % 4) * 0.25 as double) end end
+                as confidence_score,
+              case when b.id is null then 'none' end as anomaly_evidence,
+              case when b.id is null then base_flag end as is_suspicious,
+              case when b.id is null then base_reason end as flag_reason,
+              case when b.id is null then array_to_string(list_concat(e.names[1:1],
+                case when e.id % 9 = 0 then ['Other'] else [] end), '|') end as categories,
+              case when b.id is null then coalesce(line_items, '') end as line_items
+            from extracted e left join bad b using (id) left join items using (id)""",
         "response_triage": _with(BRIDGE, RESPONSES) + """
             select id, case when failure_reason = 'A value does not fit its column.' then null
               else failure_reason end as failure_reason from extracted""",

@@ -23,7 +23,7 @@ from ..operators import (
 from ..operators.categories import with_categories
 from ..plans import insights, intake, requests
 from ..plans.score_report import score_report as score_lines
-from ..schemas import RECEIPTS
+from ..schemas import EXTRACTION, RECEIPTS
 from ..sources.sinks import new_folder, written
 from ..sources.tables import Tables
 from ..streaming.usage import current_usage, start_daily_usage
@@ -332,21 +332,33 @@ def file_intake(spark, folder):
 
 
 def text_intake(spark, folder):
+    """Documents as texts, some of them stretched to the limit by characters outside the basic plane."""
+    pad = F.when(F.col("doc_id") % 7 == 1, 9_990).when(F.col("doc_id") % 7 == 2, 10_000).otherwise(0)
+    text = F.when(pad == 0, F.col("text")).otherwise(
+        F.concat(F.repeat(F.lit("\U0001F9FE"), pad), F.substring("text", 1, 10))
+    )
     texts = Tables(spark, folder).table("documents").select(
-        F.col("doc_id").alias("id"), "text",
+        F.col("doc_id").alias("id"), text.alias("text"),
         F.lit("2024-01-01 00:00:00").cast("timestamp").alias("created_at"),
     )
-    return uploads.pending_texts(texts, F.lit("prompt")).select(
-        "id", "status", "source_type", F.md5("raw_text").alias("text_md5")
+    taken = uploads.pending_texts(texts, F.lit("prompt")).select(
+        "id", "status", "source_type", F.md5("raw_text").alias("text_md5"), F.lit(None).cast("string").alias("reject_reason")
+    )
+    refused = uploads.rejected(uploads.check_texts(texts)).select(
+        "id", F.lit("refused").alias("status"), F.lit("text").alias("source_type"), F.md5("text").alias("text_md5"), "reject_reason"
     )
+    return taken.unionByName(refused)
 
 
 def typed_parse(spark, folder):
+    """Every field of the record; all null for a response that breaks the shape."""
     rows = extraction.parse(Tables(spark, folder).responses())
-    items = F.coalesce(F.size("extraction.line_items"), F.lit(0))
+    plain = [f.name for f in EXTRACTION.fields if f.name not in ("line_items", "categories")]
+    items = F.array_sort(F.transform("extraction.line_items", lambda i: F.concat_ws(
+        "/", i["description"], i["quantity"].cast("bigint").cast("string"), i["category"])))
     return rows.select(
-        "id", "extraction.invoice_number",
-        F.when(F.col("extraction").isNull(), 0).otherwise(items).cast("bigint").alias("items"),
+        "id", *[F.col(f"extraction.{name}") for name in plain],
+        F.array_join("extraction.categories", "|").alias("categories"), F.array_join(items, "|").alias("line_items"),
     )
 
 

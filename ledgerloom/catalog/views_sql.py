@@ -35,7 +35,7 @@ _CATEGORY = """case p_type when 'ECONOMY' then 'Food' when 'MEDIUM' then 'Home &
 
 BRIDGE = f"""
 labelled_items as (
-  select l_orderkey as id, l_linenumber as n, {_CATEGORY} as category
+  select l_orderkey as id, l_linenumber as n, l_quantity as quantity, {_CATEGORY} as category
   from lineitem join part on l_partkey = p_partkey),
 bridge as (select distinct id as receipt_id, category from labelled_items)
 """
@@ -158,8 +158,11 @@ responses as (
     case when o_orderkey % 41 = 0 then 'The response was cut off before the receipt was finished.'
          when o_orderkey % 43 = 1 then 'The extraction was declined.'
          when o_orderkey % 47 = 2 or o_orderkey % 79 = 7 or o_orderkey % 83 = 8
+             or o_orderkey % 89 in (9, 19) or len(coalesce(i.names, [])) > 0
+               and (o_orderkey % 97 = 10 or o_orderkey % 101 = 11 or o_orderkey % 103 = 12)
            then 'The response holds no usable extraction.'
-         when o_orderkey % 53 <> 0 and o_orderkey % 59 = 3
+         when o_orderkey % 53 <> 0
+             and (o_orderkey % 59 = 3 or o_orderkey % 107 = 13 or o_orderkey % 109 = 14)
            then 'A value does not fit its column.'
          when o_orderkey % 61 <> 0 and o_orderkey % 67 = 4
            then 'A value does not fit its column.'

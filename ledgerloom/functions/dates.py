@@ -21,6 +21,11 @@ def real_day(text: Column) -> Column:
     return F.when(text.rlike(DAY_SHAPE), F.try_to_date(text, "yyyy-MM-dd"))
 
 
+def stored_day(text: Column) -> Column:
+    """The day of a full date, which a time may follow; null for a year or month alone."""
+    return F.when(text.rlike(r"^\s*\d{4}-\d{2}-\d{2}([T ].*)?$"), F.try_to_date(F.substring(F.ltrim(text), 1, 10), "yyyy-MM-dd"))
+
+
 def weekend_name(day: Column) -> Column:
     """``Saturday`` or ``Sunday``, otherwise null."""
     return F.when(F.dayofweek(day).isin(1, 7), F.date_format(day, "EEEE"))

@@ -92,3 +92,8 @@ def contains_ignoring_case(text: Column, needle: Column) -> Column:
 def escape_wildcards(needle: Column) -> Column:
     """The needle as an ILIKE pattern part, for callers that write SQL patterns."""
     return F.regexp_replace(needle, r"([\\%_])", r"\\$1")
+
+
+def utf16_length(text: Column) -> Column:
+    """Length in UTF-16 units."""
+    return (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("bigint")

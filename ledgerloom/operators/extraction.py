@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..functions.dates import real_day
+from ..functions.dates import real_day, stored_day
 from ..functions.labels import in_taxonomy, merged
 from ..functions.numbers import to_money
 from ..schemas import COMPLETED, EXTRACTION, EXTRACTION_NOT_NULL, FAILED
 from .anomalies import weekend_reason, with_reasons
 
-CORRUPT = "_corrupt"
 # Stop reasons that make a response unusable whatever it contains.
 TRUNCATED, REFUSED = "max_tokens", "refusal"
 
@@ -21,39 +20,44 @@ UNREADABLE = "The response holds no usable extraction."
 DOES_NOT_FIT = "A value does not fit its column."
 
 
+def _type_pattern(kind: T.DataType, nullable: bool) -> str:
+    """What the schema text of a JSON value of this kind may look like."""
+    if isinstance(kind, T.ArrayType):
+        return "ARRAY<(STRING|VOID)>" if isinstance(kind.elementType, T.StringType) else "ARRAY<.*>"
+    name = {"string": "STRING", "boolean": "BOOLEAN", "double": r"(BIGINT|DOUBLE|DECIMAL\(\d+,\d+\))"}[kind.simpleString()]
+    return f"({name}|VOID)" if nullable else name
+
+
+def _shape(fields: list[tuple[str, T.DataType, bool]]) -> str:
+    """An object with exactly these keys; schema texts list keys in order."""
+    inside = ", ".join(f"{name}: {_type_pattern(kind, nullable)}" for name, kind, nullable in sorted(fields))
+    return f"^OBJECT<{inside}>$"
+
+
+RECORD_SHAPE = _shape([(f.name, f.dataType, f.name not in EXTRACTION_NOT_NULL) for f in EXTRACTION.fields])
+ITEM_SHAPE = _shape([(f.name, f.dataType, f.name == "quantity") for f in EXTRACTION["line_items"].dataType.elementType.fields])
+
+
 def parse(responses: DataFrame) -> DataFrame:
     """Add ``extraction``: the typed record, or null when the JSON breaks the shape.
 
-    Every key must be present, no other key may be, no value may have another type,
-    and every label must be a taxonomy name. Broken rows stay, with a null.
+    Every key must be present, no other key may be, no value may have another type, in the
+    record and in each of its items, and every label must be a taxonomy name. Broken rows stay,
+    with a null.
     """
-    shape = T.StructType([*EXTRACTION.fields, T.StructField(CORRUPT, T.StringType())])
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
     # Through explode, so that the columns below refer to one parse of each text.
-    once = F.explode(F.array(F.from_json("raw_response", shape, options)))
-    parsed = responses.withColumn("_parsed", once)
-    keys = F.array(*[F.lit(f.name) for f in sorted(EXTRACTION.fields, key=lambda f: f.name)])
-    whole = F.col(f"_parsed.{CORRUPT}").isNull() & (
-        F.array_sort(F.json_object_keys("raw_response")) == keys
-    )
-    for name in EXTRACTION_NOT_NULL:
-        whole = whole & F.col(f"_parsed.{name}").isNotNull()
-    items = F.col("_parsed.line_items")
-    item_fields = F.forall(
-        items,
-        lambda i: F.coalesce(i.getField("description").isNotNull(), F.lit(False)),
-    )
-    whole = (
-        whole
-        & item_fields
-        & in_taxonomy(F.col("_parsed.categories"))
-        & in_taxonomy(F.transform(items, lambda i: i.getField("category")))
-    )
-    record = F.struct(*[F.col(f"_parsed.{f.name}") for f in EXTRACTION.fields])
-    judged = parsed.withColumn("_whole", F.explode(F.array(F.coalesce(whole, F.lit(False)))))
-    return judged.withColumn("extraction", F.when(F.col("_whole"), record)).drop(
-        "_parsed", "_whole"
+    parsed = responses.withColumn("_json", F.explode(F.array(F.try_parse_json("raw_response"))))
+    shaped = F.col("_json").isNotNull() & F.schema_of_variant("_json").rlike(RECORD_SHAPE)
+    whole = F.when(shaped, F.col("_json"))
+    items = F.try_variant_get(whole, "$.line_items", "array<variant>")
+    whole_items = F.forall(items, lambda i: F.coalesce(F.schema_of_variant(i).rlike(ITEM_SHAPE), F.lit(False)))
+    record = F.try_variant_get(whole, "$", EXTRACTION.simpleString())
+    typed = parsed.withColumn("_typed", F.explode(F.array(F.when(whole_items, record))))
+    good = in_taxonomy(F.col("_typed.categories")) & in_taxonomy(
+        F.transform("_typed.line_items", lambda i: i.getField("category"))
     )
+    extraction = F.when(F.coalesce(good, F.lit(False)), F.col("_typed"))
+    return typed.withColumn("extraction", extraction).drop("_json", "_typed")
 
 
 def triage(responses: DataFrame) -> DataFrame:
@@ -103,7 +107,7 @@ def fitted(extracted: DataFrame) -> DataFrame:
     code = F.when(F.length(F.rtrim("currency")) <= 3, F.substring("currency", 1, 3))
     typed = extracted.withColumns(
         {
-            "receipt_date": F.col("date").try_cast("date"),
+            "receipt_date": stored_day(F.col("date")),
             "total_cents": to_money(F.col("total_amount")),
             "code": code,
             "confidence": F.col("confidence_score").try_cast("decimal(3,2)"),

@@ -27,18 +27,19 @@ NOT_IMAGE = (
 )
 
 
-def utf16_length(text: Column) -> Column:
-    """Length in UTF-16 units, in which the limits are stated."""
-    return (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("bigint")
-
-
 def text_problem(text: Column) -> Column:
+    """Why a text is refused, or null; the limit counts code points."""
     return F.when(text.isNull() | (text == ""), "The text is empty.").when(
-        utf16_length(text) > MAX_TEXT_CHARS,
+        F.length(text) > MAX_TEXT_CHARS,
         f"The text is longer than {MAX_TEXT_CHARS} characters.",
     )
 
 
+def check_texts(texts: DataFrame) -> DataFrame:
+    """Add ``reject_reason`` to texts, null for those that are accepted."""
+    return texts.withColumn("reject_reason", text_problem(F.col("text")))
+
+
 def rejection(kind: str) -> Column:
     """Why a file of this kind is refused, or null; the first failing check wins.
 
@@ -81,8 +82,8 @@ def rejected(checked: DataFrame) -> DataFrame:
 
 
 def pending_texts(texts: DataFrame, prompt: Column) -> DataFrame:
-    """One pending row per acceptable text (columns id, text, created_at)."""
-    return texts.filter(text_problem(F.col("text")).isNull()).select(
+    """One pending row per acceptable text (columns id, text, created_at); see ``check_texts`` for the rest."""
+    return accepted(check_texts(texts)).select(
         "id",
         F.col("text").alias("raw_text"),
         prompt.alias("prompt_used"),

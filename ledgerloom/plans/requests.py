@@ -12,7 +12,7 @@ from ..operators.categories import with_categories
 from ..operators.filters import reportable
 from ..operators.joining import SALTS, fits
 from ..operators.totals import eur_columns
-from ..operators.uploads import utf16_length
+from ..functions.text import utf16_length
 from ..schemas import MAX_MERCHANT_CHARS, TAXONOMY
 
 # Argument names and the sentences that refuse a request.
@@ -28,8 +28,6 @@ BAD_AMOUNTS = '"min_total" and "max_total" must be null or non-negative numbers.
 MIN_ABOVE_MAX = '"min_total" must not be larger than "max_total".'
 
 NUMBER_TYPES = r"^(BIGINT|DECIMAL.*|DOUBLE|FLOAT|INT|SMALLINT|TINYINT)$"
-# Above every amount a decimal(12,2) can hold; a larger bound acts the same.
-BOUND = 1e12
 MAX_BROADCAST_REQUEST_MONTHS = 500_000
 
 RESULT_TYPE = (
@@ -99,7 +97,6 @@ def parse_requests(requests: DataFrame) -> DataFrame:
     # Through explode as well: filters on ``error`` then stay simple column filters.
     checked = read_arguments(requests).withColumn("error", F.explode(F.array(first_problem())))
     usable = lambda value: F.when(F.col("error").isNull(), value)
-    bound = lambda c: F.when(F.col(c) > BOUND, F.lit(BOUND)).otherwise(F.col(c))
     return checked.select(
         "spec_id",
         "input",
@@ -108,8 +105,8 @@ def parse_requests(requests: DataFrame) -> DataFrame:
         usable(F.col("to_day")).alias("to_day"),
         usable(F.when(F.size("listed") > 0, F.col("listed"))).alias("wanted"),
         usable(F.when(F.col("needle") != "", F.col("needle"))).alias("needle"),
-        usable(bound("low")).cast("decimal(28,10)").alias("min_total"),
-        usable(bound("high")).cast("decimal(28,10)").alias("max_total"),
+        usable(F.col("low")).alias("min_total"),
+        usable(F.col("high")).alias("max_total"),
     )
 
 

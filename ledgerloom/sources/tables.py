@@ -303,6 +303,8 @@ class Tables:
             none.alias("location"),
             F.when(key % 53 == 0, none)
             .when(key % 59 == 3, "1997-02-30")
+            .when(key % 107 == 13, F.date_format("o_orderdate", "yyyy-MM"))
+            .when(key % 109 == 14, F.date_format("o_orderdate", "yyyy"))
             .otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
             .alias("date"),
             F.when(key % 61 == 0, F.lit(None).cast("double"))
@@ -331,6 +333,11 @@ class Tables:
             .when(key % 43 == 1, none)
             .when(key % 47 == 2, F.replace(raw, F.lit('"invoice_number"'), F.lit('"invoice_no"')))
             .when(key % 79 == 7, F.regexp_replace(raw, '"is_suspicious":(true|false)', '"is_suspicious":"yes"'))
+            .when(key % 89 == 9, F.regexp_replace(raw, '"merchant":"[^"]*"', '"merchant":42'))
+            .when(key % 89 == 19, F.regexp_replace(raw, '"merchant":"[^"]*"', '"merchant":{"a":1}'))
+            .when(key % 97 == 10, F.replace(raw, F.lit('"quantity"'), F.lit('"price":1,"quantity"')))
+            .when(key % 101 == 11, F.regexp_replace(raw, '"quantity":[0-9.E]+,', ""))
+            .when(key % 103 == 12, F.regexp_replace(raw, '"description":"item ([0-9]+)"', '"description":$1'))
             .otherwise(raw)
         )
         stop = F.when(key % 41 == 0, "max_tokens").when(key % 43 == 1, "refusal").otherwise("end_turn")

@@ -13,10 +13,10 @@ from ledgerloom.plans.intake import take_in
 from ledgerloom.schemas import MAX_UPLOAD_BYTES, RECEIPTS
 from ledgerloom.sources import readers, sinks
 
-PDF = b"%PDF-1.7\n...rest of the document..."
-JPEG = bytes.fromhex("FFD8FFE000104A46")
-PNG = bytes.fromhex("89504E470D0A1A0A0000")
-GIF = b"GIF89a\x01\x00"
+PDF = b"%PDF-1.4 own filler"
+JPEG = b"\xff\xd8\xff" + b"own filler"
+PNG = b"\x89PNG\r\n\x1a\n" + b"own filler"
+GIF = b"GIF89a own filler"
 WEBP = b"RIFF\x24\x00\x00\x00WEBPVP8 "
 WAV = b"RIFF\x24\x00\x00\x00WAVEfmt "
 FILE = (
@@ -67,7 +67,11 @@ def test_text_intake(spark):
     rows = [(i, t, dt.datetime(2026, 1, 1)) for i, t in
             enumerate(["ok", "", None, "x" * 10_000, "x" * 10_001, "\U0001F600" * 5_001])]
     texts = spark.createDataFrame(rows, "id int, text string, created_at timestamp")
-    assert [r.id for r in uploads.pending_texts(texts, F.lit("p")).orderBy("id").collect()] == [0, 3]
+    assert [r.id for r in uploads.pending_texts(texts, F.lit("p")).orderBy("id").collect()] == [0, 3, 5]
+    refused = uploads.rejected(uploads.check_texts(texts)).orderBy("id").collect()
+    assert [(r.id, r.reject_reason) for r in refused] == [
+        (1, "The text is empty."), (2, "The text is empty."), (4, "The text is longer than 10000 characters."),
+    ]
 
 
 def extraction_json(**changes):
@@ -237,3 +241,36 @@ def test_batches_see_only_earlier_ones_and_can_be_repeated(spark, tmp_path):
     assert rows["bad"].status == "failed" and rows["bad"].receipt_month == sinks.NO_MONTH
     assert (rows["b"].total_eur, rows["a"].total_eur) == (Decimal("2.25"), Decimal("4.50"))
     assert spark.read.parquet(f"{root}/bridge").count() == 12
+
+
+@pytest.mark.parametrize(
+    "changes",
+    [
+        {"merchant": 42}, {"merchant": {"a": 1}}, {"merchant": ["a"]}, {"total_amount": "4.5"}, {"total_amount": True},
+        {"confidence_score": None}, {"is_suspicious": None}, {"is_suspicious": 0}, {"categories": "Food"},
+        {"categories": [1]}, {"categories": [None]}, {"line_items": None}, {"line_items": [1]}, {"line_items": [None]},
+        {"line_items": [{"description": "x", "category": "Food"}]},
+        {"line_items": [{"description": "x", "quantity": 1, "category": "Food"}, {"description": "x", "category": "Food"}]},
+        {"line_items": [{"description": 5, "quantity": 1, "category": "Food"}]},
+        {"line_items": [{"description": "x", "quantity": "1", "category": "Food"}]},
+        {"line_items": [{"description": "x", "quantity": 1, "category": "Food", "price": 2}]},
+        {"extra": 1},
+    ],
+)
+def test_types_and_keys_are_strict(spark, changes):
+    rows = spark.createDataFrame([("1", extraction_json(**changes), "end_turn")], "id string, raw_response string, stop_reason string")
+    assert extraction.parse(rows).first().extraction is None
+
+
+@pytest.mark.parametrize(
+    ("date", "stored"),
+    [
+        ("2026-08-15", dt.date(2026, 8, 15)), ("2026-08-15T10:00", dt.date(2026, 8, 15)),
+        ("2026-08-15 10:00:00", dt.date(2026, 8, 15)), (None, None),
+        ("2026-08", "failed"), ("2026", "failed"), ("2026-02-30", "failed"), ("soon", "failed"), ("2026-08-155", "failed"),
+    ],
+)
+def test_only_full_days_are_stored(spark, date, stored):
+    rows = spark.createDataFrame([("1", extraction_json(date=date), "end_turn")], "id string, raw_response string, stop_reason string")
+    row = extraction.complete(rows).first()
+    assert (row.status if row.status == "failed" else row.receipt_date) == stored

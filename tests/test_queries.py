@@ -7,6 +7,8 @@ import pytest
 
 import __spark_entry__ as registry
 from check_queries import compare, open_tables
+from ledgerloom.catalog.checks_sql import all_checks
+from ledgerloom.catalog.queries import all_queries
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="supplied tables are absent")
@@ -17,7 +19,7 @@ def db():
     return open_tables(FOLDER)
 
 
-@pytest.mark.parametrize("name", list(registry.queries()))
+@pytest.mark.parametrize("name", list(all_queries()))
 def test_same_rows_as_sql(spark, db, name):
     same, note = compare(spark, db, FOLDER, name)
     assert same, note
@@ -25,6 +27,7 @@ def test_same_rows_as_sql(spark, db, name):
 
 def test_every_sql_belongs_to_a_query():
     assert set(registry.oracle_sql()) <= set(registry.queries())
+    assert set(all_checks()) <= set(all_queries()) <= set(registry.queries())
 
 
 def test_entry(spark):
@@ -37,7 +40,7 @@ def plan_of(spark, name):
     return frame._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", list(registry.queries()))
+@pytest.mark.parametrize("name", list(all_queries()))
 def test_no_cross_joins_and_no_python(spark, name):
     plan = plan_of(spark, name)
     assert "CartesianProduct" not in plan
