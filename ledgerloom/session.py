@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -34,9 +37,26 @@ def pin_utc(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the cluster names it.
+    """The folder all executors share, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only a session without that setting (a local test) gets a folder of its own.
+    Only where driver and executors are one process (a local session) may it be unset; that
+    process then uses one temporary folder of its own.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    return named or tempfile.mkdtemp(prefix="ledgerloom-")
+    if named:
+        return named
+    master = spark.sparkContext.master
+    if not _one_process(master):
+        raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
+    return _own_folder()
+
+
+def _one_process(master: str) -> bool:
+    return master == "local" or master.startswith("local[")
+
+
+@functools.cache
+def _own_folder() -> str:
+    folder = tempfile.mkdtemp(prefix="ledgerloom-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
