@@ -415,7 +415,8 @@ def stored_dimension(spark) -> DataFrame:
 
 def category_bridge(spark, folder):
     bridge = untidy_bridge(Tables(spark, folder))
-    dimension = categories.extend_dimension(stored_dimension(spark), bridge)
+    # Stored once, so that it is not derived at every use and Spark knows how small it is.
+    dimension = written(categories.extend_dimension(stored_dimension(spark), bridge))
     return categories.named_bridge(categories.bridge_ids(bridge, dimension), dimension)
 
 

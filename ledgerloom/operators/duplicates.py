@@ -33,25 +33,25 @@ def keyed(receipts: DataFrame) -> DataFrame:
     )
 
 
-def earliest(history: DataFrame, order: tuple[str, ...] = ("created_at", "id")) -> DataFrame:
-    """The earliest completed receipt of each key; combined before the shuffle."""
-    rows = keyed(history.filter((F.col("status") == COMPLETED) & complete_key()))
-    first = F.min(F.struct(*order))
-    return rows.groupBy(*KEY).agg(first.alias("first")).select(
-        *KEY, F.col("first.id").alias("match_id"), F.col("first.created_at").alias("match_at")
+def _completed(history: DataFrame) -> DataFrame:
+    return keyed(history.filter((F.col("status") == COMPLETED) & complete_key()))
+
+
+def _earliest(rows: DataFrame, order: tuple[str, ...]) -> DataFrame:
+    """The earliest of the keyed rows for each key, and their number; combined before the shuffle."""
+    first = F.min(F.struct(*order)).alias("first")
+    return rows.groupBy(*KEY).agg(first, F.count("*").alias("copies")).select(
+        *KEY, F.col("first.id").alias("match_id"), F.col("first.created_at").alias("match_at"), "copies"
     )
 
 
-def match_earliest(
-    receipts: DataFrame, history: DataFrame, order: tuple[str, ...] = ("created_at", "id")
-) -> DataFrame:
+def _matched(receipts: DataFrame, lookup: DataFrame) -> DataFrame:
     """Every receipt with ``match_id`` and ``match_at`` of its earlier copy, or nulls.
 
-    A group of copies may be a large part of the input: its rows are spread over
-    salted sub-keys, and nothing but the earliest row of the group is ever gathered.
+    The lookup has one row per key that can match; a group of copies that is a large part of
+    the input is a skewed partition of this join, which adaptive execution splits.
     """
-    rows = keyed(receipts)
-    matched = salted_lookup(rows, earliest(history, order), KEY, "id")
+    matched = salted_lookup(keyed(receipts), lookup.drop("copies"), KEY, "id")
     usable = complete_key() & (F.col("match_id") != F.col("id"))
     return matched.withColumns(
         {
@@ -61,15 +61,28 @@ def match_earliest(
     ).drop(*KEY)
 
 
+def match_earliest(
+    receipts: DataFrame, history: DataFrame, order: tuple[str, ...] = ("created_at", "id")
+) -> DataFrame:
+    """Every receipt with the earliest completed receipt of ``history`` that has its key.
+
+    Only keys that the receipts have are looked for in the history.
+    """
+    wanted = keyed(receipts.filter(complete_key())).select(*KEY).distinct()
+    return _matched(receipts, _earliest(_completed(history).join(wanted, KEY, "left_semi"), order))
+
+
 def snapshot_duplicates(batch: DataFrame, history: DataFrame) -> DataFrame:
     """New receipts that repeat one already completed; ``history`` holds none of them."""
     return match_earliest(batch, history).filter(F.col("match_id").isNotNull())
 
 
-def replay_duplicates(receipts: DataFrame) -> DataFrame:
+def replay_duplicates(receipts: DataFrame, order: tuple[str, ...] = ("created_at", "id")) -> DataFrame:
     """Completed receipts that repeat an earlier one of the same table.
 
-    "Earlier" is (created_at, id) order; all copies point at the first of them.
+    "Earlier" is (created_at, id) order; all copies point at the first of them. Only keys that
+    several receipts have are looked up.
     """
     completed = receipts.filter(F.col("status") == COMPLETED)
-    return match_earliest(completed, completed).filter(F.col("match_id").isNotNull())
+    repeated = _earliest(_completed(completed), order).filter(F.col("copies") > 1)
+    return _matched(completed, repeated).filter(F.col("match_id").isNotNull())

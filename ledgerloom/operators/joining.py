@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -44,17 +45,17 @@ def salted_lookup(
     keys: list[str],
     spread_by: str,
     extra: Column | None = None,
-    hot: list[int] | None = None,
+    hot: Sequence[int] = (),
     salts: int = SALTS,
 ) -> DataFrame:
     """Left join of ``rows`` to a much smaller ``lookup`` on equal keys, hot keys split.
 
-    Rows of a hot key are spread over ``salts`` sub-keys by ``spread_by``; only the
-    lookup rows of hot keys are repeated for each of them. Every row is kept. ``extra``
-    is a further condition on columns of both sides.
+    No job runs here: skewed partitions of ``rows`` are split at run time by adaptive
+    execution. Where hot keys are known beforehand (``hot_hashes``), their rows are spread over
+    ``salts`` sub-keys by ``spread_by`` instead, and only their lookup rows are repeated for each of
+    them. Every row is kept. ``extra`` is a further condition on columns of both sides.
     """
-    if hot is None:
-        hot = hot_hashes(rows, keys)
+    hot = list(hot)
     names = {k: f"_{k}" for k in keys}
     right = lookup.select(*[F.col(c).alias(names.get(c, c)) for c in lookup.columns])
     same = reduce(lambda a, b: a & b, [F.col(k) == F.col(n) for k, n in names.items()])

@@ -56,3 +56,22 @@ def test_filters_and_columns_reach_the_scan(spark):
     assert any("GreaterThanOrEqual(ts" in p or "ts" in p for p in pushed)
     schema = re.search(r"ReadSchema: struct<([^>]*)>", plan_of(spark, "text_intake")).group(1)
     assert schema == "doc_id:bigint,text:string"
+
+
+@pytest.mark.parametrize("name", ["duplicates_snapshot", "duplicates_replay", "delete_propagation", "pair_listing"])
+def test_building_a_lookup_starts_no_job(spark, name):
+    spark.range(1).count()
+    group = f"build-{name}"
+    spark.sparkContext.setJobGroup(group, name)
+    try:
+        all_queries()[name](spark, FOLDER)
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup(group)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    # Reading the footer of a Parquet file is a job of one task.
+    assert all(len(spark.sparkContext.statusTracker().getJobInfo(j).stageIds) == 1 for j in jobs)
+
+
+def test_category_joins_meet_a_broadcast_dimension(spark):
+    plan = plan_of(spark, "category_bridge")
+    assert not re.search(r"SortMergeJoin \[category(_id)?#", plan)
