@@ -9,7 +9,7 @@ from ..functions.text import money_text, plural
 from ..operators.categories import by_category
 from ..operators.filters import Day, reportable
 from ..operators.totals import category_totals, period
-from .requests import REVERSED
+from .requests import REVERSED, within_span
 
 # The lines around the figures of a period report.
 EMPTY_PERIOD = "No completed receipts fall in this period, so there is nothing to report on."
@@ -120,10 +120,7 @@ def daily_category_totals(receipts: DataFrame, bridge: DataFrame) -> DataFrame:
 
 def in_periods(periods: DataFrame, daily: DataFrame) -> DataFrame:
     """Day rows with every period (period_id, first, last) they fall in, by month."""
-    months = F.sequence(
-        F.trunc("first", "month"), F.trunc("last", "month"), F.expr("interval 1 month")
-    )
-    spread = periods.filter(F.col("first") <= F.col("last")).withColumn("month", F.explode(months))
+    spread = within_span(periods.filter(F.col("first") <= F.col("last")), "first", "last", daily)
     on_month = F.trunc("receipt_date", "month") == F.col("month")
     inside = F.col("receipt_date").between(F.col("first"), F.col("last"))
     return daily.join(spread, on_month & inside).drop("month")

@@ -87,7 +87,11 @@ def take_in(responses: DataFrame, rates: DataFrame, root: str, batch: int) -> No
     parsed = complete(responses, "created_at")
     write_table(parsed, root, "parsed", batch)
     rows = spark.read.schema(parsed.schema).parquet(f"{root}/parsed/batch={batch}")
-    fresh = with_eur(rows.filter(F.col("status") == COMPLETED), rates)
+    # The batch's own day stands for today, so that a later rerun gives the same rates; stored once,
+    # because everything below starts from these rows.
+    converted = with_eur(rows.filter(F.col("status") == COMPLETED), rates, F.to_date("created_at"))
+    write_table(converted, root, "fresh", batch)
+    fresh = spark.read.schema(converted.schema).parquet(f"{root}/fresh/batch={batch}")
     bridge = bridge_from_lists(fresh)
     history = stored(spark, root, "receipts", HISTORY_SCHEMA, batch)
     counts = stored(spark, root, "value_counts", COUNTS_SCHEMA, batch)

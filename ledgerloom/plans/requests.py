@@ -110,12 +110,24 @@ def parse_requests(requests: DataFrame) -> DataFrame:
     )
 
 
-def months_of(requests: DataFrame) -> DataFrame:
-    """A request once per calendar month it touches, for an equality join."""
-    months = F.sequence(
-        F.trunc("from_day", "month"), F.trunc("to_day", "month"), F.expr("interval 1 month")
+def months_of(requests: DataFrame, receipts: DataFrame) -> DataFrame:
+    """A request once per calendar month it touches and the receipts have, for an equality join.
+
+    However wide a request is, it comes in no more rows than the receipts span months.
+    """
+    return within_span(requests, "from_day", "to_day", receipts)
+
+
+def within_span(ranges: DataFrame, first: str, last: str, dated: DataFrame) -> DataFrame:
+    """Ranges of days once per ``month``, clipped to the span of ``receipt_date``."""
+    span = dated.agg(F.min("receipt_date").alias("low"), F.max("receipt_date").alias("high"))
+    low, high = span.select("low").scalar(), span.select("high").scalar()
+    start, end = F.greatest(F.col(first), low), F.least(F.col(last), high)
+    clipped = ranges.withColumns({"_start": start, "_end": end}).filter(
+        low.isNotNull() & (F.col("_start") <= F.col("_end"))
     )
-    return requests.withColumn("month", F.explode(months))
+    months = F.sequence(F.trunc("_start", "month"), F.trunc("_end", "month"), F.expr("interval 1 month"))
+    return clipped.withColumn("month", F.explode(months)).drop("_start", "_end")
 
 
 def matches() -> Column:
@@ -144,7 +156,8 @@ def matched_receipts(parsed: DataFrame, receipts: DataFrame, bridge: DataFrame)
     wanted = months_of(
         parsed.filter(F.col("error").isNull()).select(
             "spec_id", "from_day", "to_day", "wanted", "needle", "min_total", "max_total"
-        )
+        ),
+        slim,
     )
     on_month = F.col("receipt_month") == F.col("month")
     if fits(wanted, MAX_BROADCAST_REQUEST_MONTHS):

@@ -135,3 +135,12 @@ def test_answers_broadcast_and_salted(spark, monkeypatch, most):
 
 def test_categories_match_the_fixed_list():
     assert len(TAXONOMY) == len(set(TAXONOMY)) == 15
+
+
+def test_a_request_for_all_time_has_no_more_rows_than_the_data_has_months(spark):
+    days = spark.sql("select date'2026-01-15' as receipt_date union all select date'2026-04-02'")
+    asked = spark.sql("select 1 as spec_id, date'0001-01-01' as from_day, date'9999-12-31' as to_day union all "
+                      "select 2, date'2027-01-01', date'2027-02-01'")
+    rows = R.months_of(asked, days).collect()
+    assert sorted((r.spec_id, str(r.month)) for r in rows) == [(1, f"2026-0{m}-01") for m in (1, 2, 3, 4)]
+    assert R.months_of(asked, days.limit(0)).count() == 0
