@@ -127,7 +127,10 @@ def usage_total(lines: DataFrame) -> DataFrame:
 
 
 def register_price_function(spark: SparkSession, prices: DataFrame) -> None:
-    """Make ``model_price_at(model, at)`` usable in SQL: no row or one price row."""
+    """Make ``model_price_at(model, at)`` usable in SQL: no row or one price row.
+
+    A model meets the list through its own prefixes, so the planner has an equality to join on.
+    """
     prices.createOrReplaceTempView("model_prices")
     spark.sql(
         """
@@ -136,8 +139,9 @@ def register_price_function(spark: SparkSession, prices: DataFrame) -> None:
                        output DECIMAL(10,4), cache_read DECIMAL(10,4), cache_write DECIMAL(10,4))
         RETURN
           SELECT model_prefix, valid_from, input, output, cache_read, cache_write
-          FROM model_prices
-          WHERE startswith(p_model, model_prefix) AND valid_from <= p_at
+          FROM (SELECT explode(transform(sequence(0, length(p_model)), n -> left(p_model, n))) AS prefix)
+          JOIN model_prices ON model_prefix = prefix
+          WHERE valid_from <= p_at
           ORDER BY length(model_prefix) DESC, valid_from DESC
           LIMIT 1
         """
