@@ -49,10 +49,12 @@ def ranked(rows: DataFrame, *order: str) -> DataFrame:
     counts = placed.groupBy(part.alias("part")).count().collect()
     starts, total = [], 0
     for row in sorted(counts, key=lambda r: r.part):
-        starts += [F.lit(row.part), F.lit(total)]
+        starts.append((row.part, total))
         total += row["count"]
-    start = F.create_map(*starts)[part] if starts else F.lit(0)
-    return placed.withColumn("rank", (start + inside).cast("bigint")).drop("_place")
+    # One row per partition of the sort, so the broadcast does not grow with the rows.
+    offsets = rows.sparkSession.createDataFrame(starts, "_part bigint, _start bigint")
+    met = placed.withColumn("_part", part).join(F.broadcast(offsets), "_part")
+    return met.withColumn("rank", F.col("_start") + inside).drop("_place", "_part", "_start")
 
 
 #: Groups of more than this share of all rows are met by a broadcast instead of a shuffle.
