@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from ..functions.numbers import per_million
 from ..schemas import TOKEN_PRICES
 from .filters import Day, called_between
+from ..sources.sinks import written
 from .joining import fits, salted_lookup
 
 MAX_BROADCAST_INTERVALS = 100_000
@@ -66,7 +67,8 @@ def price_calls(calls: DataFrame, prices: DataFrame, models: DataFrame | None =
     and otherwise joined on the model with the calls of hot models spread.
     """
     models = calls.select("model").distinct() if models is None else models
-    intervals = price_intervals(models, prices)
+    # Stored once: the ledger is read for its models here, and for the join.
+    intervals = written(price_intervals(models, prices))
     on_day = in_force(F.to_date("created_at"))
     if fits(intervals, MAX_BROADCAST_INTERVALS):
         joined = calls.join(F.broadcast(intervals), of_model() & on_day, "left")

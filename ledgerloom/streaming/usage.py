@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.numbers import per_million
 from ..operators.pricing import cost, priced_days
 from ..schemas import TOKEN_PRICES
-from ..sources.sinks import write_table
+from ..sources.sinks import write_table, written
 
 
 def windowed_usage(calls: DataFrame, lateness: str = "1 day") -> DataFrame:
@@ -54,11 +54,15 @@ def start_daily_usage(
     come later than ``lateness`` allows are dropped. In ``update`` mode each micro-batch
     writes the days it changed, and the row of the largest batch is the current one.
     """
+    def store(rows: DataFrame, batch: int) -> None:
+        # The day sums are stored first, so that the stateful aggregation runs once a batch.
+        write_table(priced(written(rows), prices), root, "usage", batch)
+
     writer = (
         windowed_usage(calls, lateness)
         .writeStream.outputMode(mode)
         .option("checkpointLocation", checkpoint)
-        .foreachBatch(lambda rows, batch: write_table(priced(rows, prices), root, "usage", batch))
+        .foreachBatch(store)
     )
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
