@@ -37,6 +37,7 @@ SEED = 20_240_229
 SPACE_MARK = "▁"
 WORD = re.compile(" *[^ ]+| +")
 CHUNK_CHARACTERS = 500_000
+ROWS_AT_ONCE = 1000
 
 class Vocabulary:
     """Pieces of a model file as a trie with log weights, and what each id decodes to."""
@@ -209,6 +210,12 @@ def sampled(texts: list[str], seeds: list[int], vocabulary: Vocabulary) -> tuple
     return ids, np.bincount(np.repeat(owner, width), minlength=len(texts))
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, ROWS_AT_ONCE):
+            yield batch.slice(start, ROWS_AT_ONCE)
+
+
 def _chunks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
     """Rows in groups of bounded length."""
     start, size = 0, 0
@@ -231,7 +238,7 @@ def encoded(documents: DataFrame, model_file: str, key: str = "doc_id", text: st
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary(model_file, sharpness)
-        for whole in batches:
+        for whole in _slices(batches):
             texts = whole.column("text").to_pylist()
             seeds = [row_seed(k, seed) for k in whole.column("key").to_pylist()]
             for a, b in _chunks(texts):
@@ -253,7 +260,7 @@ def decoded(rows: DataFrame, model_file: str, ids: str = "ids") -> DataFrame:
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         meaning = np.array(Vocabulary(model_file).meaning, dtype=object)
-        for batch in batches:
+        for batch in _slices(batches):
             lists = batch.column(ids)
             texts = [b"".join(meaning[x.values.to_numpy()]).decode() if x.is_valid else None for x in lists]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*fields, "decoded"])
