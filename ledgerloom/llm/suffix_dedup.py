@@ -33,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -112,12 +113,13 @@ def covered(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Rows in groups of bounded size, with their bodies."""
     for batch in batches:
-        bodies = batch.column("body").to_pylist()
+        sizes = pc.binary_length(batch.column("body")).to_pylist()
         start = size = 0
-        for i, body in enumerate(bodies):
-            size += len(body)
-            if size > GROUP_BYTES or i == len(bodies) - 1:
-                yield batch.slice(start, i + 1 - start), bodies[start : i + 1]
+        for i, length in enumerate(sizes):
+            size += length
+            if size > GROUP_BYTES or i == len(sizes) - 1:
+                rows = batch.slice(start, i + 1 - start)
+                yield rows, rows.column("body").to_pylist()
                 start, size = i + 1, 0
 
 
