@@ -127,7 +127,8 @@ class Lattice:
         end = np.concatenate([*ends, place[alone] + 1])
         piece = np.concatenate([*ids, -1 - code])
         weight = np.concatenate([*weights, n_bytes * vocabulary.byte_weight])
-        order = np.lexsort((start, end))
+        # No piece is longer than the search went, so one number orders by end, then by start.
+        order = np.argsort(end * (offset + 1) + start - end + offset)
         self.start, self.piece = start[order], piece[order]
         self._filter(end[order], weight[order])
 
