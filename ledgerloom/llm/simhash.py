@@ -15,8 +15,9 @@ would gather the fingerprints of all documents there.
 
 ``similar_texts`` finds groups by the similarity of their shingle sets instead, 0.8 or more, which a radius of two
 bits would mostly miss. There a text belongs to shards by pairs of its smallest shingle hashes under several
-permutations, the trees are searched with a wide radius, and what they find is confirmed by the
-share of equal values in sketches of ``SKETCH`` permutations.
+permutations, and the trees are searched with a wide radius. Of what they find, pairs whose sketches of ``SKETCH``
+permutations may belong to similar texts are confirmed by the whole sets; only texts in such a pair
+are hashed again, and only they travel with their sets.
 
 Defined cases: a null, empty or blank text has fingerprint zero and is linked like any other; a text of
 fewer words than a shingle is one shingle; null keys sort after all others, so a component has a null
@@ -26,7 +27,7 @@ result; other columns are ignored; very long texts are counted in pieces of boun
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -226,12 +227,25 @@ SKETCH = 256
 BANDS = 8
 WIDE_RADIUS = 20
 SIMILARITY = 0.8
+#: Candidates are pairs whose sketches agree in no less than the similarity minus this: six standard errors.
+SLACK = 0.15
 _random = np.random.default_rng(SEED)
 _TIMES = _random.integers(1, 1 << 63, SKETCH, dtype=np.uint64) | np.uint64(1)
 _FLIP = _random.integers(1, 1 << 63, SKETCH, dtype=np.uint64)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+def distinct_hashes(text: bytes | None, shingle: int) -> np.ndarray:
+    """The sorted set of a text's shingle hashes."""
+    pieces = list(shingle_hashes(text, shingle))
+    return np.unique(np.concatenate(pieces)) if pieces else np.zeros(0, np.uint64)
+
+
+def text_node(text: bytes | None) -> int:
+    """One number for all texts of the same words."""
+    return xxhash.xxh64_intdigest(b" ".join(text.lower().split()) if text else b"") - (1 << 63)
+
+
 def sketch(pieces: list[np.ndarray]) -> tuple[list[int], bytes]:
     """Shard keys from pairs of smallest values, and two bytes of the smallest value of each permutation."""
     least = np.full(SKETCH, np.iinfo(np.uint64).max, np.uint64)
@@ -243,62 +257,134 @@ def sketch(pieces: list[np.ndarray]) -> tuple[list[int], bytes]:
     return keys, ((least * _MIX) >> np.uint64(48)).astype(np.uint16).tobytes()
 
 
-def similar_links(fps: list[int], sketches: list[bytes], members: list[bool], radius: int, similarity: float) -> list[tuple[int, int]]:
-    """Numbers of pairs that link the nodes of a shard: near fingerprints, and sketches that agree enough."""
-    tree, numbers = BKTree(), []
-    for i, member in enumerate(members):
-        if member:
-            tree.add(fps[i])
-            numbers.append(i)
-    table = np.frombuffer(b"".join(sketches), np.uint16).reshape(len(fps), -1)
-    group, pairs = list(range(len(fps))), []
+class SimilarTree:
+    """The members of a tree with their sketches, and which of all texts seen so far are linked."""
 
-    def root(i: int) -> int:
-        while group[i] != i:
-            group[i] = group[group[i]]
-            i = group[i]
+    def __init__(self, radius: int, similarity: float):
+        self.radius, self.similarity = radius, similarity
+        self.tree, self.places, self.nodes, self.sketches, self.sets = BKTree(), [], [], [], []
+        self.group: list[int] = []
+
+    def root(self, i: int) -> int:
+        while self.group[i] != i:
+            self.group[i] = self.group[self.group[i]]
+            i = self.group[i]
         return i
 
-    for i, fp in enumerate(fps):
-        near = np.array([numbers[j] for j in tree.near(fp, radius)], np.int64)
-        if len(near):
-            for j in near[(table[near] == table[i]).mean(axis=1) >= similarity].tolist():
-                a, b = root(i), root(j)
-                if a != b:
-                    group[max(a, b)] = min(a, b)
-                    pairs.append((i, j))
-    return pairs
+    def candidates(self, fp: int, values: bytes) -> list[int]:
+        """Members near in fingerprint whose sketch agrees so far that the sets may be similar, likeliest first."""
+        near = list(self.tree.near(fp, self.radius))
+        if not near:
+            return []
+        table = np.frombuffer(b"".join([self.sketches[j] for j in near]), np.uint16).reshape(len(near), -1)
+        share = (table == np.frombuffer(values, np.uint16)).mean(axis=1)
+        order = np.argsort(-share, kind="stable")
+        return [near[j] for j in order[share[order] >= self.similarity - SLACK].tolist()]
+
+    def add(self, node: int, fp: int, values: bytes, hashes: np.ndarray | None = None) -> None:
+        self.tree.add(fp)
+        self.nodes.append(node), self.sketches.append(values), self.sets.append(hashes)
+
+    def links(self, node: int, fp: int, values: bytes, hashes: np.ndarray, member: bool) -> list[tuple[int, int]]:
+        """Links of the next text to members, each confirmed by the whole sets. Pairs that are linked already by way of
+        others are not compared."""
+        place, found = len(self.group), []
+        self.group.append(place)
+        for j in self.candidates(fp, values):
+            a, b = self.root(place), self.root(self.places[j])
+            if a != b and overlap(hashes, self.sets[j]) >= self.similarity:
+                self.group[max(a, b)] = min(a, b)
+                found.append((node, self.nodes[j]))
+        if member:
+            self.places.append(place)
+            self.add(node, fp, values, hashes)
+        return found
 
 
-def _similar(radius: int, similarity: float):
+def overlap(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sets of hashes."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / max(1, len(a) + len(b) - both)
+
+
+#: Rows of a batch that are Python objects at a time.
+SLICE = 256
+
+
+def _rows(batch: pa.RecordBatch, names: list[str]) -> Iterator[tuple]:
+    for i in range(0, batch.num_rows, SLICE):
+        yield from zip(*(batch.column(c).slice(i, SLICE).to_pylist() for c in names))
+
+
+def _alike(radius: int, similarity: float):
+    """(shard, cut, member, node) of the texts of a tree that have a candidate there; members come before visitors."""
+    names = ["shard", "cut", "member", "node"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, nodes, fps, sketches, members = None, [], [], [], []
+        last, tree, hit = None, None, set()
 
-        def done():
-            if len(nodes) < 2:
-                return []
-            return [(nodes[i], nodes[j]) for i, j in similar_links(fps, sketches, members, radius, similarity)]
+        def batch_of(rows):
+            kinds = (pa.int64(), pa.int32(), pa.bool_(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
+
+        for batch in batches:
+            out = []
+            for shard, cut, member, node, fp, values in _rows(batch, [*names, "fp", "sketch"]):
+                if (shard, cut) != last:
+                    out += [(*last, True, tree.nodes[j]) for j in hit] if last else []
+                    last, tree, hit = (shard, cut), SimilarTree(radius, similarity), set()
+                fp &= (1 << 64) - 1
+                near = tree.candidates(fp, values)
+                hit.update(near)
+                if member:
+                    if near:
+                        hit.add(len(tree.nodes))
+                    tree.add(node, fp, values)
+                elif near:
+                    out.append((shard, cut, False, node))
+            yield batch_of(out)
+        yield batch_of([(*last, True, tree.nodes[j]) for j in hit] if last else [])
+
+    return run
 
-        def batch_of(pairs):
-            sides = [pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)]
-            return pa.RecordBatch.from_arrays(sides, ["a", "b"])
 
+def _similar(radius: int, similarity: float):
+    """(a, b): confirmed links of each tree; members come before visitors, whose sets are not held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, tree = None, None
         for batch in batches:
             pairs = []
-            columns = (batch.column(c).to_pylist() for c in ("shard", "cut", "member", "node", "fp", "sketch"))
-            for shard, cut, member, node, fp, values in zip(*columns):
+            for shard, cut, member, node, fp, values, hashes in _rows(batch, ["shard", "cut", "member", "node", "fp", "sketch", "hashes"]):
                 if (shard, cut) != last:
-                    pairs += done()
-                    last, nodes, fps, sketches, members = (shard, cut), [], [], [], []
-                nodes.append(node), fps.append(fp & ((1 << 64) - 1)), sketches.append(values), members.append(member)
-            yield batch_of(pairs)
-        yield batch_of(done())
+                    last, tree = (shard, cut), SimilarTree(radius, similarity)
+                pairs += tree.links(node, fp & ((1 << 64) - 1), values, np.frombuffer(hashes, np.uint64), member)
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     return run
 
 
-def _link_texts(nodes: DataFrame, radius: int, similarity: float, tree: int) -> DataFrame:
-    """(a, b): links between distinct texts that spread over each shard's groups."""
+def _shingle_sets(documents: DataFrame, key: str, text: str, shingle: int, firsts: DataFrame) -> DataFrame:
+    """(node, hashes): the sorted distinct shingle hashes of the texts ``firsts`` (node, least), read again from the
+    documents, as few texts have a candidate."""
+    wanted = firsts.select(F.col("least.key").alias("_key"), F.col("least.mark").alias("_mark"))
+    same = documents[key].eqNullSafe(wanted["_key"]) & (F.xxhash64(documents[text]) == wanted["_mark"])
+    rows = documents.join(wanted, same, "left_semi").select(F.col(text).cast("binary").alias("body"))
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, SLICE):
+                texts = batch.column("body").slice(i, SLICE).to_pylist()
+                sets = [distinct_hashes(body, shingle).tobytes() for body in texts]
+                yield pa.RecordBatch.from_arrays([pa.array([text_node(b) for b in texts], pa.int64()), pa.array(sets, pa.binary())], ["node", "hashes"])
+
+    # Rows that repeat key and text are one node.
+    return rows.mapInArrow(hashed, "node bigint, hashes binary").groupBy("node").agg(F.first("hashes").alias("hashes"))
+
+
+def _link_texts(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], radius: int, similarity: float, tree: int) -> DataFrame:
+    """(a, b): links between distinct texts that spread over each shard's groups; ``sets`` gives the shingle
+    sets (node, hashes) of some nodes."""
     keyed = written(nodes.select("node", F.posexplode("bands").alias("band", "shard")))
     sizes = keyed.groupBy("shard").agg(F.count("*").alias("size")).where("size > 1")
     dealt = with_group(keyed, written(sizes), "shard")
@@ -314,9 +400,17 @@ def _link_texts(nodes: DataFrame, radius: int, similarity: float, tree: int) ->
     own = F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int")
     spread = every.withColumn("cuts", cuts).select("node", "shard", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("cut"))
     rows = spread.select("node", "shard", "cut", (F.col("cut") == F.col("own")).alias("member"))
-    rows = rows.join(nodes.select("node", "fp", "sketch"), "node").repartition("shard", "cut")
-    rows = rows.sortWithinPartitions("shard", "cut", "node")
-    return rows.mapInArrow(_similar(radius, similarity), "a bigint, b bigint")
+    described = nodes.select("node", "fp", "sketch")
+
+    def in_order(rows: DataFrame) -> DataFrame:
+        return rows.repartition("shard", "cut").sortWithinPartitions("shard", "cut", F.desc("member"), "node")
+
+    alike = written(
+        in_order(rows.join(described, "node")).mapInArrow(_alike(radius, similarity), "shard bigint, cut int, member boolean, node bigint")
+    )
+    found = written(sets(nodes.select("node", "least").join(alike.select("node").distinct(), "node")))
+    whole = alike.join(described, "node").join(found, "node")
+    return in_order(whole).mapInArrow(_similar(radius, similarity), "a bigint, b bigint")
 
 
 def similar_texts(
@@ -332,8 +426,7 @@ def similar_texts(
             for body in batch.column("body").to_pylist():
                 pieces = list(shingle_hashes(body, shingle))
                 keys, small = sketch(pieces)
-                words = b" ".join(body.lower().split()) if body else b""
-                nodes.append(xxhash.xxh64_intdigest(words) - (1 << 63))
+                nodes.append(text_node(body))
                 fps.append(majority(pieces)), bands.append(keys), values.append(small)
             columns = [pa.array(nodes, pa.int64()), pa.array(fps, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(values, pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("mark"), *columns], ["key", "mark", "node", "fp", "bands", "sketch"])
@@ -347,7 +440,8 @@ def similar_texts(
             F.min(order).alias("least"), F.count("*").alias("size"), F.min("fp").alias("fp"), F.min("bands").alias("bands"), F.min("sketch").alias("sketch")
         )
     )
-    joined = components(_link_texts(nodes, radius, similarity, tree))
+    sets = lambda firsts: _shingle_sets(documents, key, text, shingle, firsts)
+    joined = components(_link_texts(nodes, sets, radius, similarity, tree))
     rooted = written(nodes.join(joined, "node", "left").select("node", "least", "size", F.coalesce("root", "node").alias("root")))
     sums = rooted.groupBy("root").agg(F.min("least").alias("first"), F.sum("size").alias("documents"), F.count("*").alias("texts"))
     named = with_group(rooted, written(sums), "root", "texts").select("node", "size", "first", "documents")

@@ -241,6 +241,34 @@ def test_similar_messy_texts(spark):
     assert simhash.similar_texts(empty(spark)).count() == 0
 
 
+def brute_similar(texts, shingle=5, similarity=0.8):
+    """Key of the first text of each text's group, by the exact similarity of all pairs."""
+    sets = [{tuple(t.lower().split()[i : i + shingle]) for i in range(max(1, len(t.split()) - shingle + 1))} for _, t in texts]
+    groups = brute_groups(sets, lambda a, b: len(a & b) / len(a | b) >= similarity)
+    return {key: texts[g][0] for (key, _), g in zip(texts, groups)}
+
+
+def similar_to_a_degree(seed, groups, least, most):
+    """Texts, and changed copies of them whose similarity to them lies between ``least`` and ``most``."""
+    rng = random.Random(seed)
+    texts = []
+    for _ in range(groups):
+        base = words(rng, rng.randrange(150, 400))
+        n = len(base) - 4
+        tail = int(n / rng.uniform(least, most)) - n
+        texts += [(len(texts), " ".join(base)), (len(texts) + 1, " ".join(base + words(rng, tail)))]
+    return texts
+
+
+@pytest.mark.parametrize("tree", [4, 2048])
+def test_similarity_is_that_of_the_whole_sets(spark, tree):
+    texts = similar_to_a_degree(8, 80, 0.75, 0.85)
+    want = brute_similar(texts)
+    assert 20 < sum(k != c for k, c in want.items()) < 60
+    found = collected(simhash.similar_texts(documents(spark, texts), tree=tree))
+    assert {r["key"]: r["component"] for r in found} == want
+
+
 # byte strings ----------------------------------------------------------------------------
 
 
