@@ -269,6 +269,27 @@ def test_similarity_is_that_of_the_whole_sets(spark, tree):
     assert {r["key"]: r["component"] for r in found} == want
 
 
+def test_repeated_sentences_do_not_hide_a_similarity(spark):
+    """The sets of both texts are nearly equal, the counts of their shingles are not."""
+    rng, texts = random.Random(9), []
+    for i in range(12):
+        base = words(rng, 400)
+        texts += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(base + base[:15] * (10, 20, 100)[i % 3]))]
+    want = brute_similar(texts)
+    assert want == {k: k - k % 2 for k, _ in texts}
+    found = collected(simhash.similar_texts(documents(spark, texts)))
+    assert {r["key"]: r["component"] for r in found} == want
+
+
+def test_the_wide_radius_misses_few_of_small_sets():
+    rng, near = np.random.default_rng(10), 0
+    for _ in range(20_000):
+        hashes = rng.integers(0, 1 << 63, 5, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, 5, dtype=np.uint64)
+        a, b = (simhash.majority([h]) & (1 << 64) - 1 for h in (hashes, hashes[:4]))
+        near += (a ^ b).bit_count() <= simhash.WIDE_RADIUS
+    assert near >= 20_000 - 2
+
+
 # byte strings ----------------------------------------------------------------------------
 
 
