@@ -231,6 +231,8 @@ WIDE_RADIUS = 28
 SIMILARITY = 0.8
 #: Candidates are pairs whose sketches agree in no less than the similarity minus this: six standard errors.
 SLACK = 0.15
+#: A tree holds so many shingles for each of its texts on average.
+VOLUME = 1024
 _random = np.random.default_rng(SEED)
 _TIMES = _random.integers(1, 1 << 63, SKETCH, dtype=np.uint64) | np.uint64(1)
 _FLIP = _random.integers(1, 1 << 63, SKETCH, dtype=np.uint64)
@@ -384,22 +386,28 @@ def _shingle_sets(documents: DataFrame, key: str, text: str, shingle: int, first
     return rows.mapInArrow(hashed, "node bigint, hashes binary").groupBy("node").agg(F.first("hashes").alias("hashes"))
 
 
+def _with_cuts(keyed: DataFrame, tree: int) -> tuple[DataFrame, Column]:
+    """The rows (node, shingles, shard) of shards with several texts, with ``size`` and ``volume`` (shingles) of the shard, and
+    the number of trees that it takes."""
+    sizes = keyed.groupBy("shard").agg(F.count("*").alias("size"), F.sum("shingles").alias("volume")).where("size > 1")
+    cuts = F.ceil(F.greatest(F.col("size"), F.col("volume") / VOLUME) / tree).cast("int")
+    return with_group(keyed, written(sizes), "shard"), F.greatest(cuts, F.lit(1))
+
+
 def _link_texts(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], radius: int, similarity: float, tree: int) -> DataFrame:
     """(a, b): links between distinct texts that spread over each shard's groups; ``sets`` gives the shingle
     sets (node, hashes) of some nodes."""
-    keyed = written(nodes.select("node", F.posexplode("bands").alias("band", "shard")))
-    sizes = keyed.groupBy("shard").agg(F.count("*").alias("size")).where("size > 1")
-    dealt = with_group(keyed, written(sizes), "shard")
-    large = F.col("size") > tree
-    # A shard too large for a tree is divided by each other band of its texts.
-    hot = dealt.where(large).select("node", "band", "shard").join(nodes.select("node", "bands"), "node")
-    finer = hot.select("node", F.col("band").alias("of"), "shard", F.posexplode("bands").alias("band", "value")).where("band <> of")
-    finer = written(finer.select("node", F.xxhash64("shard", "band", "value").alias("shard")))
-    finer_sizes = finer.groupBy("shard").agg(F.count("*").alias("size")).where("size > 1")
-    finer = with_group(finer, written(finer_sizes), "shard")
-    cuts = F.ceil(F.col("size") / tree).cast("int")
-    every = dealt.where(~large).select("node", "shard", "size").unionByName(finer.select("node", "shard", "size"))
+    keyed = written(nodes.select("node", "shingles", F.explode("bands").alias("shard")))
+    dealt, cuts = _with_cuts(keyed, tree)
+    # A shard too large for a tree is divided by ranges of the number of shingles. Numbers of similar texts differ by no more
+    # than the similarity, so their levels are equal or neighbours; a range holds two levels, and any similar pair shares one.
+    level = F.floor(F.log(F.greatest("shingles", F.lit(1))) / -np.log(similarity - 1e-6))
+    ranges = F.explode(F.array(level, level + 1)).alias("range")
+    finer = dealt.where(cuts > 1).select("node", "shingles", "shard", ranges)
+    finer, _ = _with_cuts(written(finer.select("node", "shingles", F.xxhash64("shard", "range").alias("shard"))), tree)
+    every = dealt.where(cuts == 1).unionByName(finer)
     own = F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int")
+    # What is still too large is cut into trees that each member visits.
     spread = every.withColumn("cuts", cuts).select("node", "shard", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("cut"))
     rows = spread.select("node", "shard", "cut", (F.col("cut") == F.col("own")).alias("member"))
     described = nodes.select("node", "fp", "sketch")
@@ -424,24 +432,24 @@ def similar_texts(
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, fps, bands, values = [], [], [], []
+            nodes, counts, fps, bands, values = [], [], [], [], []
             for body in batch.column("body").to_pylist():
                 hashes = distinct_hashes(body, shingle)
                 # Each shingle counts once, as it does in the similarity.
                 pieces = [hashes[i : i + PIECE] for i in range(0, len(hashes), PIECE)]
                 keys, small = sketch(pieces)
-                nodes.append(text_node(body))
+                nodes.append(text_node(body)), counts.append(len(hashes))
                 fps.append(majority(pieces)), bands.append(keys), values.append(small)
-            columns = [pa.array(nodes, pa.int64()), pa.array(fps, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(values, pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("mark"), *columns], ["key", "mark", "node", "fp", "bands", "sketch"])
+            columns = [pa.array(nodes, pa.int64()), pa.array(counts, pa.int64()), pa.array(fps, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(values, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("mark"), *columns], ["key", "mark", "node", "shingles", "fp", "bands", "sketch"])
 
     kind = dict(rows.dtypes)["key"]
-    made = written(rows.mapInArrow(sketched, f"key {kind}, mark bigint, node bigint, fp bigint, bands array<bigint>, sketch binary"))
+    made = written(rows.mapInArrow(sketched, f"key {kind}, mark bigint, node bigint, shingles bigint, fp bigint, bands array<bigint>, sketch binary"))
     # Copies of a text are one node.
     order = F.struct(F.col("key").isNull().alias("last"), "key", "mark")
     nodes = written(
         made.groupBy("node").agg(
-            F.min(order).alias("least"), F.count("*").alias("size"), F.min("fp").alias("fp"), F.min("bands").alias("bands"), F.min("sketch").alias("sketch")
+            F.min(order).alias("least"), F.count("*").alias("size"), F.min("shingles").alias("shingles"), F.min("fp").alias("fp"), F.min("bands").alias("bands"), F.min("sketch").alias("sketch")
         )
     )
     sets = lambda firsts: _shingle_sets(documents, key, text, shingle, firsts)

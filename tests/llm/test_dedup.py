@@ -290,6 +290,23 @@ def test_the_wide_radius_misses_few_of_small_sets():
     assert near >= 20_000 - 2
 
 
+@pytest.mark.parametrize("tree", [2, 2048])
+def test_candidates_do_not_depend_on_the_size_of_a_shard(spark, tree):
+    """Every text has one band in common with all, and no other with any."""
+    texts = similar_to_a_degree(11, 10, 0.81, 0.9)
+    rows = []
+    for key, text in texts:
+        hashes = simhash.distinct_hashes(text.encode(), 5)
+        fp = simhash.majority([hashes])
+        bands = [7] + [1000 * (key + 1) + b for b in range(1, simhash.BANDS)]
+        rows.append((key, len(hashes), fp, bands, bytearray(simhash.sketch([hashes])[1]), bytearray(hashes.tobytes())))
+    kinds = "node bigint, shingles bigint, fp bigint, bands array<bigint>, sketch binary, hashes binary"
+    table = spark.createDataFrame(rows, kinds).withColumn("least", simhash.F.lit(0))
+    sets = lambda firsts: table.select("node", "hashes").join(firsts.select("node"), "node")
+    links = simhash._link_texts(table, sets, simhash.WIDE_RADIUS, 0.8, tree).collect()
+    assert {(min(r.a, r.b), max(r.a, r.b)) for r in links} == {(2 * i, 2 * i + 1) for i in range(10)}
+
+
 # byte strings ----------------------------------------------------------------------------
 
 
