@@ -10,6 +10,9 @@ as the lines agree. A window that has occurred before is a repeat: its lines are
 a smaller key, or further up in the same document; the very first occurrence stays. Runs are judged on the
 input, not on what is left, and may overlap.
 
+With ``long_words``, a window is also one line that alone has so many words. Its fingerprint is its own hash, apart
+from those of runs, so a long repeated line goes wherever it stands, while a short one needs a neighbour.
+
 Only DataFrame functions: windows are cut inside each row, and what is shuffled is one narrow row
 per window. A fingerprint or window that very many documents share is counted before the shuffle and met
 by a bounded broadcast.
@@ -23,7 +26,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import with_group, written
+from .common import ASCII_SPACES, with_group, written
 
 RUN = 2
 COUNTS = ("n_lines", "n_removed")
@@ -33,9 +36,18 @@ def _trimmed_lines(text: Column) -> Column:
     return F.transform(F.split(text, "\n"), lambda line: F.regexp_replace(line, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""))
 
 
-def _windows(documents: DataFrame, key: str, text: str, run: int) -> DataFrame:
+def _n_words(line: Column, least: int) -> Column:
+    """Words of a trimmed line, zero where its length rules out so many as ``least``."""
+    return F.when(F.length(line) >= 2 * least - 1, F.size(F.split(line, ASCII_SPACES))).otherwise(0)
+
+
+def _windows(documents: DataFrame, key: str, text: str, run: int, long_words: int | None = None) -> DataFrame:
     """One row per window: document, place, the numbers of its lines, fingerprint, hash of all its lines."""
-    numbered = F.transform(_trimmed_lines(F.col(text)), lambda line, at: F.struct(F.length(line).alias("n"), F.xxhash64(line).alias("hash"), at.alias("at")))
+    is_long = (lambda line: [(_n_words(line, long_words) >= long_words).alias("long")]) if long_words else (lambda line: [])
+    numbered = F.transform(
+        _trimmed_lines(F.col(text)),
+        lambda line, at: F.struct(F.length(line).alias("n"), F.xxhash64(line).alias("hash"), at.alias("at"), *is_long(line)),
+    )
     lines = documents.where(F.col(text).isNotNull()).select(
         F.col(key).alias("key"), F.xxhash64(text).alias("mark"), F.filter(numbered, lambda line: line["n"] > 0).alias("lines")
     )
@@ -60,12 +72,21 @@ def _windows(documents: DataFrame, key: str, text: str, run: int) -> DataFrame:
     cut = F.transform(together, window)
     # Neighbouring windows often choose the same line; it is one fingerprint.
     fresh = F.transform(cut, lambda w, i: F.struct(w["place"], w["ats"], w["low"], w["window"], ((i == 0) | (F.get(cut, i - 1)["low_at"] != w["low_at"])).alias("fresh")))
+    if long_words:
+        def alone(line: Column, place: Column) -> Column:
+            own = F.xxhash64(F.lit("one line"), line["hash"])
+            window = F.struct(
+                place.alias("place"), F.array(line["at"]).alias("ats"), own.alias("low"), own.alias("window"), F.lit(True).alias("fresh")
+            )
+            return F.when(line["long"], window)
+
+        fresh = F.concat(fresh, F.filter(F.transform("lines", alone), lambda w: w.isNotNull()))
     return lines.select("key", "mark", F.explode(fresh).alias("w")).select("key", "mark", "w.*")
 
 
-def repeated_windows(documents: DataFrame, key: str, text: str, run: int) -> DataFrame:
+def repeated_windows(documents: DataFrame, key: str, text: str, run: int, long_words: int | None = None) -> DataFrame:
     """(key, mark, ats): every window that has occurred before."""
-    windows = written(_windows(documents, key, text, run))
+    windows = written(_windows(documents, key, text, run, long_words))
     met = windows.groupBy("low").agg(
         F.count_if("fresh").alias("fingerprints"), F.count("*").alias("size")
     )
@@ -76,10 +97,12 @@ def repeated_windows(documents: DataFrame, key: str, text: str, run: int) -> Dat
     return later.where(occurrence > F.col("first")).select("key", "mark", "ats")
 
 
-def without_repeated_lines(documents: DataFrame, key: str = "doc_id", text: str = "text", run: int = RUN) -> DataFrame:
+def without_repeated_lines(
+    documents: DataFrame, key: str = "doc_id", text: str = "text", run: int = RUN, long_words: int | None = None
+) -> DataFrame:
     """The documents with their columns, ``text`` without its repeated lines, and after these columns
     ``n_lines`` (lines that are not blank) and ``n_removed``."""
-    repeats = repeated_windows(documents, key, text, run)
+    repeats = repeated_windows(documents, key, text, run, long_words)
     deleted = repeats.groupBy("key", "mark").agg(F.array_distinct(F.flatten(F.collect_list("ats"))).alias("_deleted"))
     found = deleted.select(F.col("key").alias("_key"), F.col("mark").alias("_mark"), "_deleted")
     same = documents[key].eqNullSafe(found["_key"]) & (F.xxhash64(documents[text]) == found["_mark"])

@@ -106,6 +106,31 @@ def test_lines_of_messy_rows(spark):
     assert line_dedup.without_repeated_lines(empty(spark)).count() == 0
 
 
+def test_long_single_lines_go_and_short_ones_stay(spark):
+    rng = random.Random(12)
+    passage = lambda n: " ".join(f"w{rng.randrange(99)}" for _ in range(n))
+    lines = [passage(n) for n in (50, 51, 60, 49, 48, 3, 1)] + ["x" * 200, "a", "b", "", " "]
+    texts = [(i, "\n".join(rng.choice(lines) + rng.choice(["", " "]) for _ in range(rng.randrange(5)))) for i in range(60)]
+    texts += [(70, lines[0]), (71, f"p\n{lines[1]}\nq"), (72, None), (None, lines[2])]
+    both = {key: set() for key, _ in texts}
+    solid = lambda text: [(i, s) for i, line in enumerate((text or "").split("\n")) if (s := line.strip(" \t\n\v\f\r"))]
+    seen = set()
+    for key, text in sorted(texts, key=lambda r: last(r[0])):
+        found = solid(text)
+        windows = [found[n : n + 2] for n in range(len(found) - 1)] + [[x] for x in found if len(x[1].split()) >= 50]
+        for window in sorted(windows, key=lambda w: w[0][0]):
+            if tuple(s for _, s in window) in seen:
+                both[key].update(i for i, _ in window)
+            seen.add(tuple(s for _, s in window))
+    want = {}
+    for key, text in texts:
+        kept = None if text is None else "\n".join(s for i, s in enumerate(text.split("\n")) if i not in both[key])
+        want[key] = (kept, len(solid(text)), len(both[key]))
+    got = collected(line_dedup.without_repeated_lines(documents(spark, texts), long_words=50))
+    assert {r["doc_id"]: (r["text"], r["n_lines"], r["n_removed"]) for r in got} == want
+    assert want[70] == ("", 1, 1) and want[71] == ("p\nq", 3, 1)
+
+
 # near copies -----------------------------------------------------------------------------
 
 

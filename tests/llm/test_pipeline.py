@@ -112,6 +112,13 @@ def test_repeated_lines_go_and_lengths_follow(spark, folder):
     assert kept == {1: ("a\nb\nc", 5), 2: ("d", 1), 4: (None, 0), 5: ("", 0), 6: (LONG, len(LONG)), 7: ("a", 1)}
 
 
+def test_a_long_repeated_line_goes_without_its_neighbours(spark, folder):
+    long, short = prose(7, 52), prose(8, 49)
+    texts = [(1, f"a\n{long}\nb\n{short}"), (2, f"c\n{long}\nd\n{short}\ne"), (3, long), (4, short)]
+    kept = {k: t for k, t, _ in out(spark, corpus_pipeline.drop_repeated_lines, texts, folder)}
+    assert kept == {1: texts[0][1], 2: f"c\nd\n{short}\ne", 4: short}
+
+
 def test_one_document_of_each_group_stays(spark, folder):
     base = prose(1, 200).split()
     near = list(base)
