@@ -6,9 +6,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..sources.sinks import written
+from ..sources.sinks import new_folder, written
 
-__all__ = ["ASCII_SPACES", "bodies", "components", "held_out", "kept_and_body", "ranked", "table", "with_group", "words_of", "written"]
+__all__ = ["ASCII_SPACES", "bodies", "components", "held_out", "kept_and_body", "new_folder", "ranked", "table", "with_group", "words_of", "written"]
 
 # The ASCII white space of the contracts, as a Java and RE2 class.
 ASCII_SPACES = r"[\x20\x09-\x0D]+"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, exact_dedup, html_text, line_dedup, pieces, quality, simhash, suffix_dedup, toxicity, url_filter
+from . import decontaminate, exact_dedup, html_text, line_dedup, pieces, quality, simhash, suffix_dedup, token_files, toxicity, url_filter
 from .common import held_out, table
 
 
@@ -220,6 +220,18 @@ def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+TOKEN_VOCABULARY = "byte_bpe_50k.json"
+TOKEN_END = 2
+
+
+def op12_token_files(spark: SparkSession, folder: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    vocabulary = f"{tokenizers}/{TOKEN_VOCABULARY}"
+    found = token_files.written_and_read(table(spark, folder, "documents"), vocabulary, TOKEN_END)
+    return found.select(
+        F.col("key").alias("doc_id"), "start", F.col("n_ids").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")
+    )
+
+
 QUERIES = {
     "op1_html_text": op1_html_text,
     "op2_simhash": op2_simhash,
@@ -231,6 +243,7 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_decontaminate": op9_decontaminate,
     "op10_quality": op10_quality,
+    "op12_token_files": op12_token_files,
 }
 CHECKS = {
     "op4_exact_dedup": OP4_SQL,
