@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..sources.sinks import new_folder, written
 
-__all__ = ["ASCII_SPACES", "bodies", "components", "held_out", "kept_and_body", "new_folder", "ranked", "table", "with_group", "words_of", "written"]
+__all__ = ["ASCII_SPACES", "bodies", "components", "folded", "held_out", "kept_and_body", "new_folder", "ranked", "table", "with_group", "words_of", "written"]
 
 # The ASCII white space of the contracts, as a Java and RE2 class.
 ASCII_SPACES = r"[\x20\x09-\x0D]+"
@@ -23,6 +23,10 @@ _FOLD = bytes(
 )
 
 
+def folded(text: bytes) -> bytes:
+    return text.translate(_FOLD)
+
+
 def words_of(text: bytes | None) -> list[bytes]:
     return text.translate(_FOLD).split() if text else []
 

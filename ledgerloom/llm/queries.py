@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, exact_dedup, html_text, line_dedup, pieces, quality, simhash, suffix_dedup, token_files, toxicity, url_filter
+from . import decontaminate, exact_dedup, html_text, line_dedup, pieces, quality, resampling, simhash, suffix_dedup, token_files, toxicity, url_filter
 from .common import held_out, table
 
 
@@ -220,6 +220,58 @@ def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    found = resampling.resampled(table(spark, folder, "documents"), table(spark, folder, "benchmark"), percent=5)
+    return found.select(F.col("key").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
+OP11_SQL = r"""
+with folds as (
+    select 0 as side, row_number() over () as n, doc_id,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                              '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+    from documents
+    union all
+    select 1, row_number() over (), null,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                              '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')
+    from benchmark
+), feats as (
+    select side, n, array_to_string(w[i : i + k - 1], ' ') as feature
+    from (select side, n, w, k, unnest(range(1, len(w) - k + 2)) as i from folds, range(1, 4) as sizes(k) where len(w) >= k)
+), counted as (select side, n, feature, count(*) as c from feats group by all),
+steps as (
+    select list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k:
+        case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, i)) as step
+), sums as (
+    select feature, xor(list_reduce(
+        list_transform(range(octet_length(encode(feature))), lambda i: cast('0x' || substr(hex(encode(feature)), cast(2 * i + 1 as int), 2) as bigint)),
+        lambda c, b: xor(c >> 8, step[cast(xor(c, b) & 255 as int) + 1]), 4294967295), 4294967295) % 10000 as bucket
+    from (select distinct feature from counted), steps
+), held as (select side, n, c, bucket from counted join sums using (feature)),
+totals as (
+    select bucket, coalesce(sum(c) filter (where side = 0), 0) as s, coalesce(sum(c) filter (where side = 1), 0) as t
+    from (select side, bucket, c from held union all select 0, range, 0 from range(10000)) group by bucket
+), gains as (
+    select bucket, cast(floor(1000 * ln((t + 1)::double * (sum(s) over () + 10000)::double
+                                        / ((s + 1)::double * (sum(t) over () + 10000)::double))) as bigint) as gain
+    from totals
+), weighed as (select n, sum(c) as n_features, sum(c * gain) as weight from held join gains using (bucket) where side = 0 group by n),
+scored as (
+    select f.n, doc_id, len(w) as n_words, cast(coalesce(n_features, 0) as bigint) as n_features, cast(coalesce(weight, 0) as bigint) as weight,
+           cast(coalesce(weight, 0) as bigint) + cast(floor(-1000 * ln(-ln((
+               cast('0x' || substr(sha256('42:' || coalesce(cast(doc_id as varchar), '')), 1, 8) as bigint) + 0.5::double) / 4294967296::double))) as bigint) as score
+    from folds f left join weighed using (n) where side = 0
+), drawn as (
+    select n, row_number() over (order by score desc, doc_id nulls last, n_features) as place
+    from scored where n_words >= 20
+)
+select doc_id, n_features, weight, score,
+       case when place <= (select 5 * count(*) // 100 from drawn) then place end as rank
+from scored left join drawn using (n)
+"""
+
+
 TOKEN_VOCABULARY = "byte_bpe_50k.json"
 TOKEN_END = 2
 
@@ -243,6 +295,7 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_decontaminate": op9_decontaminate,
     "op10_quality": op10_quality,
+    "op11_resampling": op11_resampling,
     "op12_token_files": op12_token_files,
 }
 CHECKS = {
@@ -250,6 +303,7 @@ CHECKS = {
     "op6_url_filter": _op6_sql(),
     "op8_line_dedup": OP8_SQL,
     "op9_decontaminate": OP9_SQL,
+    "op11_resampling": OP11_SQL,
 }
 
 
