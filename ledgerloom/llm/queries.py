@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, exact_dedup, html_text, line_dedup, pieces, quality, resampling, simhash, suffix_dedup, token_files, toxicity, url_filter
+from . import decontaminate, exact_dedup, html_text, line_dedup, phrases, pieces, quality, resampling, simhash, suffix_dedup, token_files, toxicity, url_filter
 from .common import held_out, table
 
 
@@ -272,6 +272,44 @@ from scored left join drawn using (n)
 """
 
 
+def op13_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(table(spark, folder, "documents"))
+
+
+OP13_SQL = r"""
+with pieces as (
+    select coalesce(lang, 'und') as lang, row_number() over () as piece, regexp_extract_all(words, '[^\x20\x09]+') as w
+    from (select lang, unnest(regexp_split_to_array(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as words
+        from documents)
+), runs as (
+    select lang, k, array_to_string(w[i : i + k - 1], ' ') as phrase, count(*) as f
+    from (select lang, w, k, unnest(range(1, len(w) - k + 2)) as i from pieces, range(1, 4) as sizes(k) where len(w) >= k)
+    group by all
+), totals as (select lang, cast(sum(len(w)) as bigint) as n from pieces group by lang),
+candidates as (select lang, k as size, phrase, f as a, string_split(phrase, ' ') as w from runs where k > 1 and f >= 10),
+cuts as (
+    select lang, size, phrase, a, k, array_to_string(w[1 : k], ' ') as head, array_to_string(w[k + 1 : size], ' ') as tail
+    from (select *, unnest(range(1, size)) as k from candidates)
+), best as (
+    select lang, phrase, a, l, r, score from (
+        select c.lang, c.phrase, c.a, h.f as l, t.f as r, c.k,
+               cast(cast(1000000 as hugeint) * c.a * c.a // (cast(h.f as hugeint) * t.f) as bigint) as score
+        from cuts c join runs h on c.lang = h.lang and c.head = h.phrase join runs t on c.lang = t.lang and c.tail = t.phrase
+    ) qualify row_number() over (partition by lang, phrase order by score, k) = 1
+), held as (
+    select lang, inner_phrase as phrase, max(a) as longer
+    from (select lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) as inner_phrase
+          from candidates where size = 3)
+    group by all
+)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score
+from best left join held using (lang, phrase) join totals using (lang)
+where longer is null or 100 * longer < 50 * a
+qualify rank <= 2000
+"""
+
+
 TOKEN_VOCABULARY = "byte_bpe_50k.json"
 TOKEN_END = 2
 
@@ -297,6 +335,7 @@ QUERIES = {
     "op10_quality": op10_quality,
     "op11_resampling": op11_resampling,
     "op12_token_files": op12_token_files,
+    "op13_phrases": op13_phrases,
 }
 CHECKS = {
     "op4_exact_dedup": OP4_SQL,
@@ -304,6 +343,7 @@ CHECKS = {
     "op8_line_dedup": OP8_SQL,
     "op9_decontaminate": OP9_SQL,
     "op11_resampling": OP11_SQL,
+    "op13_phrases": OP13_SQL,
 }
 
 
