@@ -30,7 +30,7 @@ def test_same_rows_as_sql(spark, name):
 
 def test_all_are_registered():
     numbers = sorted(int(re.match(r"op(\d+)_", name)[1]) for name in QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert set(QUERIES) | {"pipeline"} <= set(registry.queries())
 
 
