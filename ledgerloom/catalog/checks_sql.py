@@ -283,6 +283,10 @@ def anomalies() -> dict[str, str]:
                 ' is more than 4x the ', cast(cast(exact as decimal(38,2)) as varchar), cur,
                 ' 90th percentile of ', sample_size, ' earlier ', category, ' receipts.') as reason
             from fired""",
+        "sketched_spread": _with(RECEIPTS, BRIDGE) + """
+            select category, count(*) as sample_size, true as near
+            from receipts r join bridge b on b.receipt_id = r.id
+            where r.status = 'completed' and r.total_amount is not null group by 1""",
         "duplicates_replay": _with(RECEIPTS, firsts_all) + """
             select id, match_id as duplicate_of, cast(match_at as date) as submitted
             from matches where id in (select id from receipts where status = 'completed')""",

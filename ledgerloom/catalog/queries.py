@@ -233,6 +233,19 @@ def outliers_replay(spark, folder):
     return outlier_rows(t.receipts(), rows)
 
 
+def sketched_spread(spark, folder):
+    """Per category the sketch of all days: how many totals, and whether the share of them up to its percentile is near 90 %."""
+    t = Tables(spark, folder)
+    counts = written(replay.daily_counts(t.receipts(), t.receipt_categories()))
+    sketches = replay.daily_sketches(t.receipts(), t.receipt_categories())
+    after = counts.groupBy("category").agg((F.max("day") + 1).alias("day"))
+    found = replay.sketched_spreads_before(sketches, after).select("category", "sample_size", "p90")
+    upto = F.sum(F.when(F.col("cents") <= F.round(F.col("p90") * 100), F.col("n")).otherwise(0))
+    ranks = counts.join(found, "category").groupBy("category", "sample_size").agg((upto / F.sum("n")).alias("rank"))
+    near = F.abs(F.col("rank") - 0.9) <= 0.03 + F.lit(1.0) / F.col("sample_size")
+    return ranks.select("category", "sample_size", near.alias("near"))
+
+
 def duplicate_rows(rows: DataFrame) -> DataFrame:
     return rows.select(
         "id", F.col("match_id").alias("duplicate_of"), F.to_date("match_at").alias("submitted")
@@ -559,7 +572,7 @@ def all_queries():
         month_totals, category_totals, month_totals_eur, query_totals, query_totals_filtered,
         receipts_with_categories, spending_summary, fx_asof, eur_conversion, response_view, receipt_lookup,
         price_asof, usage_summary, usage_total, price_function, usage_stream,
-        category_spread, category_spread_by_currency, outliers, outliers_snapshot, outliers_replay,
+        category_spread, category_spread_by_currency, outliers, outliers_snapshot, outliers_replay, sketched_spread,
         duplicates_replay, duplicates_snapshot, weekend_flags, missing_fields,
         reconcile_totals, verdict, verdict_snapshot,
         query_validation, query_batch, period_report,
