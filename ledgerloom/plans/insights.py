@@ -8,8 +8,13 @@ from ..functions.dates import day_text, month_key
 from ..functions.text import money_text, plural
 from ..operators.categories import by_category
 from ..operators.filters import Day, reportable
+from ..operators.running import UPTO, running_sums
 from ..operators.totals import category_totals, period
-from .requests import REVERSED, within_span
+from ..sources.sinks import written
+from .requests import REVERSED
+
+#: Days per bucket of the running sums.
+DAYS_WIDTH = 366.0
 
 # The lines around the figures of a period report.
 EMPTY_PERIOD = "No completed receipts fall in this period, so there is nothing to report on."
@@ -97,10 +102,7 @@ def is_empty(summary: dict[str, DataFrame]) -> bool:
 
 
 def daily_totals(receipts: DataFrame) -> DataFrame:
-    """Sums per day and currency: all that month lines of any period need.
-
-    Its size follows the calendar, so the periods are joined to it and not to receipts.
-    """
+    """Sums per day and currency: all that month lines of any period need. Its size follows the calendar."""
     dated = reportable(receipts).filter(F.col("receipt_date").isNotNull())
     return dated.groupBy("receipt_date", "currency").agg(
         F.count("*").alias("receipts"),
@@ -118,12 +120,76 @@ def daily_category_totals(receipts: DataFrame, bridge: DataFrame) -> DataFrame:
     )
 
 
-def in_periods(periods: DataFrame, daily: DataFrame) -> DataFrame:
-    """Day rows with every period (period_id, first, last) they fall in, by month."""
+def within_span(ranges: DataFrame, first: str, last: str, dated: DataFrame) -> DataFrame:
+    """Ranges of days once per ``month``, clipped to the span of ``receipt_date`` (columns ``start``, ``end``)."""
+    span = dated.agg(F.min("receipt_date").alias("low"), F.max("receipt_date").alias("high"))
+    low, high = span.select("low").scalar(), span.select("high").scalar()
+    clipped = ranges.withColumns({"start": F.greatest(F.col(first), low), "end": F.least(F.col(last), high)}).filter(
+        low.isNotNull() & (F.col("start") <= F.col("end"))
+    )
+    months = F.sequence(F.trunc("start", "month"), F.trunc("end", "month"), F.expr("interval 1 month"))
+    return clipped.withColumn("month", F.explode(months))
+
+
+def _up_to(daily: DataFrame, edges: DataFrame, group: list[str], sums: list[str]) -> DataFrame:
+    """The sums of each group's days up to each edge (group, ``edge``)."""
+    points = daily.select(*group, F.col("receipt_date").alias("day"), *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in sums])
+    number = lambda c: F.unix_date(c).cast("bigint")
+    found = running_sums(
+        points.withColumn("place", number("day")).drop("day"),
+        edges.select(*group, number("edge").alias("place"), F.lit(UPTO).alias("kind"), "edge"),
+        group, "place", sums, DAYS_WIDTH,
+    )
+    return found.select(*group, "edge", *sums)
+
+
+def _difference(asked: DataFrame, sums_up_to: DataFrame, group: list[str], join: list[str], sums: list[str]) -> DataFrame:
+    """Asked ranges (``low``, ``high`` edges) with the sums of their days, per group that has any."""
+    upper = asked.join(sums_up_to.withColumnRenamed("edge", "high"), [*join, "high"])
+    lower = sums_up_to.select(*[F.col(c).alias(f"_{c}") for c in (*group, "edge", *sums)])
+    same = F.col("low") == F.col("_edge")
+    for c in group:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    both = upper.join(lower, same, "left")
+    rest = [(F.col(c) - F.coalesce(F.col(f"_{c}"), F.lit(0))).alias(c) for c in sums]
+    return both.select("period_id", *group, *rest).filter("receipts > 0")
+
+
+def months_in_periods(periods: DataFrame, daily: DataFrame) -> DataFrame:
+    """Sums per period, month and currency: differences of the running sums inside a month.
+
+    A month that lies whole in a period is met at its last day, like in every other period.
+    """
+    sums = ["receipts", "total", "converted", "total_eur"]
+    group = ["month", "currency"]
     spread = within_span(periods.filter(F.col("first") <= F.col("last")), "first", "last", daily)
-    on_month = F.trunc("receipt_date", "month") == F.col("month")
-    inside = F.col("receipt_date").between(F.col("first"), F.col("last"))
-    return daily.join(spread, on_month & inside).drop("month")
+    asked = spread.select(
+        "period_id", "month",
+        F.when(F.col("start") > F.col("month"), F.date_sub("start", 1)).alias("low"),
+        F.least("end", F.last_day("month")).alias("high"),
+    )
+    monthly = daily.withColumn("month", F.trunc("receipt_date", "month"))
+    edges = asked.select("month", F.explode(F.array_compact(F.array("low", "high"))).alias("edge")).distinct()
+    edges = edges.join(monthly.select(*group).distinct(), "month")
+    return _difference(asked, _up_to(monthly, edges, group, sums), group, ["month"], sums)
+
+
+def categories_in_periods(periods: DataFrame, daily: DataFrame) -> DataFrame:
+    """Sums per period, category and currency: differences of two lookups in the running sums since the first day.
+
+    An edge meets the groups that its year or an earlier one has, so that it needs no other key to find them.
+    """
+    sums, group = ["receipts", "total"], ["category", "currency"]
+    span = daily.agg(F.min("receipt_date").alias("low"), F.max("receipt_date").alias("high"))
+    low, high = span.select("low").scalar(), span.select("high").scalar()
+    asked = periods.filter(F.col("first") <= F.col("last")).filter((F.col("first") <= high) & (F.col("last") >= low)).select(
+        "period_id", F.when(F.col("first") > low, F.date_sub("first", 1)).alias("low"), F.least("last", high).alias("high")
+    )
+    edges = asked.select(F.explode(F.array_compact(F.array("low", "high"))).alias("edge")).distinct()
+    since = daily.groupBy(*group).agg(F.year(F.min("receipt_date")).alias("since"))
+    known = since.select(*group, F.explode(F.sequence("since", F.year(high))).alias("year"))
+    edges = edges.withColumn("year", F.year("edge")).join(known, "year").drop("year")
+    return _difference(asked, _up_to(daily, edges, group, sums), group, [], sums)
 
 
 def _in_order(*keys: Column, line: Column) -> Column:
@@ -162,12 +228,11 @@ def _left_out(count: Column) -> Column:
     return F.when(count > 0, note).otherwise("")
 
 
-def _month_parts(periods: DataFrame, receipts: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _month_parts(periods: DataFrame, daily: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Month lines and EUR lines of every period, from the same day sums."""
-    month = month_key(F.col("receipt_date")).alias("month")
-    per_month = in_periods(periods, daily_totals(receipts)).groupBy(
-        "period_id", month, "currency"
-    ).agg(*[F.sum(c).alias(c) for c in ("receipts", "total", "converted", "total_eur")])
+    month = month_key(F.col("month")).alias("month")
+    found = months_in_periods(periods, daily)
+    per_month = found.select("period_id", month, "currency", "receipts", "total", "converted", "total_eur")
     months = per_month.groupBy("period_id").agg(
         _in_order(
             F.col("month"), *_currency_last(), line=_over("month", "total", F.col("currency"))
@@ -186,10 +251,8 @@ def _month_parts(periods: DataFrame, receipts: DataFrame) -> tuple[DataFrame, Da
     return months, eur
 
 
-def _category_part(periods: DataFrame, receipts: DataFrame, bridge: DataFrame) -> DataFrame:
-    per_category = in_periods(periods, daily_category_totals(receipts, bridge)).groupBy(
-        "period_id", "category", "currency"
-    ).agg(F.sum("receipts").alias("receipts"), F.sum("total").alias("total"))
+def _category_part(periods: DataFrame, daily: DataFrame) -> DataFrame:
+    per_category = categories_in_periods(periods, daily)
     line = _over("category", "total", F.col("currency"))
     return per_category.groupBy("period_id").agg(
         _in_order(-F.col("total"), F.col("category"), *_currency_last(), line=line).alias(
@@ -200,8 +263,9 @@ def _category_part(periods: DataFrame, receipts: DataFrame, bridge: DataFrame) -
 
 def period_reports(periods: DataFrame, receipts: DataFrame, bridge: DataFrame) -> DataFrame:
     """Per period (period_id, first, last): ``error`` or the text block ``report``."""
-    months, eur = _month_parts(periods, receipts)
-    categories = _category_part(periods, receipts, bridge)
+    # Day sums are used several times and are small; stored, each is computed once.
+    months, eur = _month_parts(periods, written(daily_totals(receipts)))
+    categories = _category_part(periods, written(daily_category_totals(receipts, bridge)))
     none = F.array().cast("array<string>")
     heading = F.concat(
         F.lit("Period: "),

@@ -7,13 +7,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.dates import real_day
 from ..functions.labels import in_taxonomy
 from ..functions.numbers import valid_amount
-from ..functions.text import contains_ignoring_case, strip
+from ..functions.text import strip, utf16_length
 from ..operators.categories import with_categories
 from ..operators.filters import reportable
-from ..operators.joining import SALTS, fits
+from ..operators.joining import fits
+from ..operators.needles import holders
+from ..operators.running import BELOW, UPTO, block_at, blocks_in, day_place, running_sums
 from ..operators.totals import eur_columns
-from ..functions.text import utf16_length
 from ..schemas import MAX_MERCHANT_CHARS, TAXONOMY
+from ..sources.sinks import written
 
 # Argument names and the sentences that refuse a request.
 KEYS = ("from", "to", "categories", "merchant", "min_total", "max_total")
@@ -28,7 +30,6 @@ BAD_AMOUNTS = '"min_total" and "max_total" must be null or non-negative numbers.
 MIN_ABOVE_MAX = '"min_total" must not be larger than "max_total".'
 
 NUMBER_TYPES = r"^(BIGINT|DECIMAL.*|DOUBLE|FLOAT|INT|SMALLINT|TINYINT)$"
-MAX_BROADCAST_REQUEST_MONTHS = 500_000
 
 RESULT_TYPE = (
     "array<struct<currency:string,receipts:bigint,total:decimal(22,2),"
@@ -110,62 +111,144 @@ def parse_requests(requests: DataFrame) -> DataFrame:
     )
 
 
-def months_of(requests: DataFrame, receipts: DataFrame) -> DataFrame:
-    """A request once per calendar month it touches and the receipts have, for an equality join.
+# Which receipts a request can meet, by the filters it sets: all, those of a set of categories, or those of a merchant.
+ANY, SETS, MERCHANT = "any", "sets", "merchant"
+SUMS = ["receipts", "total", "total_eur", "unconverted"]
+#: Amounts per bucket of the running sums: a million cents.
+AMOUNT_WIDTH = 10_000.0
+#: Beyond every amount of a receipt.
+HIGHEST = 1e15
+#: Distinct day blocks that are broadcast, 20 bytes each; more are shuffled.
+MAX_BROADCAST_BLOCKS = 1 << 20
 
-    However wide a request is, it comes in no more rows than the receipts span months.
-    """
-    return within_span(requests, "from_day", "to_day", receipts)
 
+def asked_blocks(parsed: DataFrame) -> DataFrame:
+    """Accepted requests once per day block of their range: at most two blocks a size, however long the range.
 
-def within_span(ranges: DataFrame, first: str, last: str, dated: DataFrame) -> DataFrame:
-    """Ranges of days once per ``month``, clipped to the span of ``receipt_date``."""
-    span = dated.agg(F.min("receipt_date").alias("low"), F.max("receipt_date").alias("high"))
-    low, high = span.select("low").scalar(), span.select("high").scalar()
-    start, end = F.greatest(F.col(first), low), F.least(F.col(last), high)
-    clipped = ranges.withColumns({"_start": start, "_end": end}).filter(
-        low.isNotNull() & (F.col("_start") <= F.col("_end"))
+    ``scope`` says what else selects their receipts, ``valued`` whether an amount does.
+    """
+    scope = F.when(F.col("needle").isNotNull(), MERCHANT).when(F.col("wanted").isNotNull(), SETS).otherwise(ANY)
+    block = F.explode(blocks_in(day_place(F.col("from_day")), day_place(F.col("to_day")))).alias("_at")
+    rows = parsed.filter(F.col("error").isNull()).select(
+        "spec_id",
+        scope.alias("scope"),
+        (F.col("min_total").isNotNull() | F.col("max_total").isNotNull()).alias("valued"),
+        "wanted", "needle", "min_total", "max_total", block,
     )
-    months = F.sequence(F.trunc("_start", "month"), F.trunc("_end", "month"), F.expr("interval 1 month"))
-    return clipped.withColumn("month", F.explode(months)).drop("_start", "_end")
+    return rows.select("*", "_at.*").drop("_at")
 
 
-def matches() -> Column:
-    """The filters of a request on a receipt; a null filter lets everything through."""
-    date_ok = F.col("receipt_date").between(F.col("from_day"), F.col("to_day"))
-    category_ok = F.col("wanted").isNull() | F.arrays_overlap("categories", "wanted")
-    merchant_ok = F.col("needle").isNull() | contains_ignoring_case(
-        F.col("merchant"), F.col("needle")
+def _day_points(receipts: DataFrame, bridge: DataFrame, kinds: dict, merchants: DataFrame | None) -> DataFrame:
+    """Sums per day of every kind (scope, valued) of request that was asked."""
+    slim = reportable(receipts).filter(F.col("receipt_date").isNotNull()).select(
+        "id", "merchant", "receipt_date", "total_amount", "total_eur", "currency"
     )
-    min_ok = F.col("min_total").isNull() | (F.col("total_amount") >= F.col("min_total"))
-    max_ok = F.col("max_total").isNull() | (F.col("total_amount") <= F.col("max_total"))
-    return date_ok & category_ok & merchant_ok & min_ok & max_ok
+    scopes = {scope for scope, _ in kinds}
+    rows = slim
+    if scopes & {SETS, MERCHANT}:
+        rows = with_categories(slim, bridge)
+    else:
+        rows = rows.withColumn("categories", F.array().cast("array<string>"))
+    if merchants is not None:
+        named = merchants.select(F.col("text").alias("merchant"), F.lit(True).alias("named")).distinct()
+        rows = rows.join(named, "merchant", "left")
+    none = F.lit(None).cast("array<string>")
+    key_of = {
+        ANY: (F.lit(""), none, F.lit(True)),
+        SETS: (F.array_join("categories", "|"), F.col("categories"), F.size("categories") > 0),
+        MERCHANT: (F.col("merchant"), F.col("categories"), F.col("named") if merchants is not None else F.lit(False)),
+    }
+    value = lambda valued: F.col("total_amount").cast("double") if valued else F.lit(None).cast("double")
+    forms = [
+        F.when(
+            key_of[scope][2],
+            F.struct(
+                F.lit(scope).alias("scope"), F.lit(valued).alias("valued"), key_of[scope][0].alias("key"),
+                key_of[scope][1].alias("sets"), value(valued).alias("value"),
+            ),
+        )
+        for scope, valued in kinds
+    ]
+    spread = rows.withColumn("_form", F.explode(F.array_compact(F.array(*forms))))
+    return spread.groupBy("_form", "currency", day_place(F.col("receipt_date")).alias("place")).agg(
+        F.count("*").alias("receipts"), F.sum("total_amount").alias("total"), *eur_columns()
+    ).select("_form.*", "currency", "place", *SUMS)
+
+
+def _block_points(days: DataFrame, asked: DataFrame, kinds: dict) -> DataFrame:
+    """Sums of the day blocks that some request has."""
+    levels = F.lit(None).cast("array<int>")
+    for (scope, valued), used in kinds.items():
+        same = (F.col("scope") == scope) & (F.col("valued") == valued)
+        levels = F.when(same, F.array(*[F.lit(level) for level in sorted(used)])).otherwise(levels)
+    at = days.withColumn("level", F.explode(levels)).withColumn("block", block_at(F.col("place"), F.col("level")))
+    blocks = asked.select("scope", "valued", "level", "block").distinct()
+    if fits(blocks, MAX_BROADCAST_BLOCKS):
+        blocks = F.broadcast(blocks)
+    met = at.join(blocks, ["scope", "valued", "level", "block"], "left_semi")
+    key = ["scope", "valued", "key", "sets", "currency", "level", "block", "value"]
+    return met.groupBy(*key).agg(*[F.sum(c).alias(c) for c in SUMS])
 
 
-def matched_receipts(parsed: DataFrame, receipts: DataFrame, bridge: DataFrame) -> DataFrame:
-    """Receipts with each request they answer, joined on the month.
+def _keyed(asked: DataFrame, points: DataFrame, kinds: dict, merchants: DataFrame | None) -> DataFrame:
+    """Asked blocks with the key of the sums they meet: '', each set of categories with a wanted name, each merchant."""
+    scopes = {scope for scope, _ in kinds}
+    rows = asked.filter(F.col("scope") == ANY).withColumn("key", F.lit(""))
+    if SETS in scopes:
+        of = asked.filter(F.col("scope") == SETS)
+        sets = points.filter(F.col("scope") == SETS).select("key", F.explode("sets").alias("name"))
+        names = of.select("wanted", F.explode("wanted").alias("name")).distinct()
+        met = names.join(sets.distinct(), "name").select("wanted", "key").distinct()
+        rows = rows.unionByName(of.join(met, "wanted"))
+    if MERCHANT in scopes:
+        of = asked.filter(F.col("scope") == MERCHANT)
+        rows = rows.unionByName(of.join(merchants.select("needle", F.col("text").alias("key")), "needle"))
+    return rows
 
-    The requests are broadcast when a bounded count shows they are few. Otherwise both
-    sides are shuffled on month and salt: a month may hold a large part of all
-    receipts, so its receipts are spread and its requests repeated per salt.
+
+def request_totals(parsed: DataFrame, receipts: DataFrame, bridge: DataFrame) -> DataFrame:
+    """(spec_id, currency) with the sums of the receipts each accepted request lets through.
+
+    No request meets receipts: it meets sums per day block, by equality, of everything, of the sets of categories that
+    have a wanted name, or of the merchants that hold its needle. Amount limits are differences of running sums
+    along the amounts of such a block.
     """
-    slim = reportable(receipts).filter(F.col("receipt_date").isNotNull()).select(
-        "id", "merchant", "receipt_date", "total_amount", "total_eur", "currency"
-    )
-    rows = with_categories(slim, bridge).withColumn("receipt_month", F.trunc("receipt_date", "month"))
-    wanted = months_of(
-        parsed.filter(F.col("error").isNull()).select(
-            "spec_id", "from_day", "to_day", "wanted", "needle", "min_total", "max_total"
-        ),
-        slim,
+    asked = written(asked_blocks(parsed))
+    kinds: dict[tuple[str, bool], set[int]] = {}
+    # At most six kinds times the number of block sizes.
+    for row in asked.select("scope", "valued", "level").distinct().collect():
+        kinds.setdefault((row.scope, row.valued), set()).add(row.level)
+    merchants = None
+    if any(scope == MERCHANT for scope, _ in kinds):
+        texts = reportable(receipts).select(F.col("merchant").alias("text"))
+        merchants = written(holders(asked.select("needle"), texts))
+    points = written(_block_points(_day_points(receipts, bridge, kinds, merchants), asked, kinds)) if kinds else None
+    if points is None:
+        money = "decimal(38,2)"
+        return parsed.limit(0).select(
+            "spec_id", F.lit("").alias("currency"), F.lit(0).cast("bigint").alias("receipts"), F.lit(0).cast(money).alias("total"),
+            F.lit(0).cast(money).alias("total_eur"), F.lit(0).cast("bigint").alias("unconverted"),
+        )
+    keyed = _keyed(asked, points, kinds, merchants)
+    place = ["scope", "valued", "key", "level", "block"]
+    open_to = F.col("wanted").isNull() | (F.col("scope") != MERCHANT) | F.arrays_overlap("sets", "wanted")
+    whole = keyed.filter("not valued").join(points.filter("not valued"), place).filter(open_to).select("spec_id", "currency", *SUMS)
+
+    group = [*place, "sets", "currency"]
+    valued = points.filter("valued")
+    met = keyed.filter("valued").join(valued.select(*group).distinct(), place).filter(open_to)
+    limit = lambda bound, kind, sign: F.when(
+        bound.isNotNull(),
+        F.struct(F.least(bound, F.lit(HIGHEST)).alias("value"), F.lit(kind).alias("kind"), F.lit(sign).alias("sign")),
     )
-    on_month = F.col("receipt_month") == F.col("month")
-    if fits(wanted, MAX_BROADCAST_REQUEST_MONTHS):
-        return rows.join(F.broadcast(wanted), on_month & matches())
-    salted = rows.withColumn("row_salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
-    repeated = wanted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    same_salt = F.col("row_salt") == F.col("salt")
-    return salted.join(repeated, on_month & same_salt & matches())
+    limits = F.array_compact(F.array(
+        limit(F.col("min_total"), BELOW, -1), limit(F.coalesce("max_total", F.lit(HIGHEST)), UPTO, 1)
+    ))
+    lookups = met.select("spec_id", *group, F.explode(limits).alias("_limit")).select("spec_id", *group, "_limit.*")
+    upto = running_sums(valued, lookups, group, "value", SUMS, AMOUNT_WIDTH)
+    within = upto.select("spec_id", "currency", *[(F.col(c) * F.col("sign")).alias(c) for c in SUMS])
+    totals = whole.unionByName(within).groupBy("spec_id", "currency").agg(*[F.sum(c).alias(c) for c in SUMS])
+    return totals.filter("receipts > 0")
 
 
 def answer_requests(requests: DataFrame, receipts: DataFrame, bridge: DataFrame) -> DataFrame:
@@ -174,12 +257,9 @@ def answer_requests(requests: DataFrame, receipts: DataFrame, bridge: DataFrame)
     A refused request never meets the data; an accepted one that matches nothing gets
     an empty result.
     """
-    parsed = parse_requests(requests)
-    totals = matched_receipts(parsed, receipts, bridge).groupBy("spec_id", "currency").agg(
-        F.count("*").alias("receipts"),
-        F.sum("total_amount").alias("total"),
-        *eur_columns(),
-    )
+    parsed = written(parse_requests(requests))
+    totals = request_totals(parsed, receipts, bridge)
+    totals = totals.withColumns({c: F.col(c).cast("decimal(22,2)") for c in ("total", "total_eur")})
     line = F.struct(
         F.col("currency").isNull().alias("last"),
         "currency", "receipts", "total", "total_eur", "unconverted",

@@ -1,11 +1,13 @@
 import datetime as dt
 import json
+import random
+import re
 from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.plans import requests as R
+from ledgerloom.plans import insights, requests as R
 from ledgerloom.schemas import TAXONOMY
 
 BASE = {
@@ -121,9 +123,9 @@ EXPECTED = {
 }
 
 
-@pytest.mark.parametrize("most", [R.MAX_BROADCAST_REQUEST_MONTHS, 0])
-def test_answers_broadcast_and_salted(spark, monkeypatch, most):
-    monkeypatch.setattr(R, "MAX_BROADCAST_REQUEST_MONTHS", most)
+@pytest.mark.parametrize("most", [R.MAX_BROADCAST_BLOCKS, 0])
+def test_answers_with_broadcast_and_shuffled_blocks(spark, monkeypatch, most):
+    monkeypatch.setattr(R, "MAX_BROADCAST_BLOCKS", most)
     asked = spark.createDataFrame(
         [(i, json.dumps(r)) for i, r in enumerate(REQUESTS)], SHAPE
     )
@@ -141,6 +143,87 @@ def test_a_request_for_all_time_has_no_more_rows_than_the_data_has_months(spark)
     days = spark.sql("select date'2026-01-15' as receipt_date union all select date'2026-04-02'")
     asked = spark.sql("select 1 as spec_id, date'0001-01-01' as from_day, date'9999-12-31' as to_day union all "
                       "select 2, date'2027-01-01', date'2027-02-01'")
-    rows = R.months_of(asked, days).collect()
+    rows = insights.within_span(asked, "from_day", "to_day", days).collect()
     assert sorted((r.spec_id, str(r.month)) for r in rows) == [(1, f"2026-0{m}-01") for m in (1, 2, 3, 4)]
-    assert R.months_of(asked, days.limit(0)).count() == 0
+    assert insights.within_span(asked, "from_day", "to_day", days.limit(0)).count() == 0
+
+
+def brute_answer(request, receipts):
+    if set(request) - set(R.KEYS):
+        return None
+    out = {}
+    for _, merchant, day, total, eur, currency, status, names in receipts:
+        if status != "completed" or total is None or day is None or not request["from"] <= day <= request["to"]:
+            continue
+        if request["categories"] and not set(request["categories"]) & set(names):
+            continue
+        if request["merchant"] and (merchant is None or request["merchant"].strip().lower() not in merchant.lower()):
+            continue
+        low, high = request["min_total"], request["max_total"]
+        if (low is not None and float(total) < low) or (high is not None and float(total) > high):
+            continue
+        line = out.setdefault(currency, [0, Decimal(0), Decimal(0), 0])
+        line[0] += 1
+        line[1] += Decimal(total)
+        line[2] += Decimal(eur or 0)
+        line[3] += eur is None
+    return sorted(((c, *v) for c, v in out.items()), key=lambda r: (r[0] is None, r[0] or ""))
+
+
+def many(seed, count, asked):
+    rng = random.Random(seed)
+    day = lambda: str(dt.date(2025, 1, 1) + dt.timedelta(days=rng.choice([0, 31, rng.randrange(900)])))
+    names = ["Food", "Health", "Leisure", "Other"]
+    cents = lambda: rng.choice([0, 1, 999_999, 1_000_000, 1_000_001, rng.randrange(-500, 3_000_000)])
+    receipts = []
+    for i in range(count):
+        total = None if rng.random() < 0.05 else f"{Decimal(cents()) / 100}"
+        receipts.append((
+            i, rng.choice(["Corner Shop", "corner kiosk", "Ä Bakery", None, "Hall 9"]), None if rng.random() < 0.05 else day(),
+            total, None if total is None or rng.random() < 0.2 else total, rng.choice(["EUR", "USD", None]),
+            "completed" if rng.random() < 0.9 else "failed", rng.sample(names, rng.randrange(3)),
+        ))
+    requests = []
+    for _ in range(asked):
+        first, last = sorted((day(), day()))
+        limits = sorted(rng.choice([None, 0, 0.01, 9_999.99, 10_000.0, 10_000.005, rng.randrange(40_000), 1e300]) or 0 for _ in range(2))
+        requests.append({
+            "from": first, "to": rng.choice([last, last, "9999-12-31"]),
+            "categories": rng.choice([None, rng.sample(names, rng.randrange(1, 4))]),
+            "merchant": rng.choice([None, None, "corner", "ORNER S", "ä", "k", "none such"]),
+            "min_total": rng.choice([None, limits[0]]), "max_total": rng.choice([None, limits[1]]),
+        })
+    return receipts, requests
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_answers_equal_brute_force(spark, monkeypatch, seed):
+    receipts, asked = many(seed, 400, 150)
+    rows = [(i, m, d and dt.date.fromisoformat(d), t and Decimal(t), e and Decimal(e), c, s) for i, m, d, t, e, c, s, _ in receipts]
+    frame = spark.createDataFrame(
+        rows, "id bigint, merchant string, receipt_date date, total_amount decimal(12,2), total_eur decimal(12,2), currency string, status string"
+    )
+    bridge = spark.createDataFrame([(r[0], name) for r in receipts for name in r[7]], "receipt_id bigint, category string")
+    inputs = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(asked)], SHAPE)
+    for r in R.answer_requests(inputs, frame, bridge).collect():
+        assert [tuple(x) for x in r.result] == brute_answer(asked[r.spec_id], receipts), asked[r.spec_id]
+
+
+def test_a_request_meets_few_sums_however_long_it_is(spark):
+    asked = [{**BASE, "from": "0001-01-01", "to": "9999-12-31"}, {**BASE, "from": "2000-01-01", "to": "2029-12-31"}, BASE]
+    parsed = R.parse_requests(spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(asked)], SHAPE))
+    sizes = {r.spec_id: r["count"] for r in R.asked_blocks(parsed).groupBy("spec_id").count().collect()}
+    assert sizes[0] <= 44 and sizes[1] <= 28 and sizes[2] <= 14
+
+
+def test_no_request_is_compared_with_receipts(spark):
+    receipts, asked = many(3, 50, 40)
+    frame, bridge = frames(spark)
+    inputs = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(asked)], SHAPE)
+    plan = R.answer_requests(inputs, frame, bridge)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("NestedLoop|Cartesian", plan)
+
+
+def test_refused_requests_alone_have_no_result(spark):
+    inputs = spark.createDataFrame([(1, "{}"), (2, "x")], SHAPE)
+    assert all(r.error and r.result is None for r in R.answer_requests(inputs, *frames(spark)).collect())
