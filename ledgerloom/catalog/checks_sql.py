@@ -658,5 +658,10 @@ def scoring() -> dict[str, str]:
     }
 
 
+#: Queries that answer like another one, by other means.
+SAME_ANSWER = {"status_stream": "latest_status", "duplicates_stream": "duplicates_replay"}
+
+
 def all_checks() -> dict[str, str]:
-    return {**totals(), **usage(), **anomalies(), **requests(), **intake(), **scoring()}
+    found = {**totals(), **usage(), **anomalies(), **requests(), **intake(), **scoring()}
+    return found | {name: found[other] for name, other in SAME_ANSWER.items()}

@@ -26,6 +26,7 @@ from ..plans.score_report import score_report as score_lines
 from ..schemas import EXTRACTION, RECEIPTS
 from ..sources.sinks import new_folder, written
 from ..sources.tables import Tables
+from ..streaming import state
 from ..streaming.usage import current_usage, start_daily_usage
 from .checks_sql import CALL_FIRST, CALL_LAST, FIRST, LAST
 
@@ -413,6 +414,25 @@ def latest_status(spark, folder):
     return rows.select("id", "status", F.unix_timestamp("updated_at").alias("updated_at"))
 
 
+def status_stream(spark, folder):
+    """The current status, kept in a state store while the orders arrive."""
+    t, root = Tables(spark, folder), new_folder(spark)
+    events = t.arriving("orders").status_events()
+    state.start_status(events, root, f"{root}/checkpoint", retention="20000 days").awaitTermination()
+    rows = state.current_status(spark.read.parquet(f"{root}/status"))
+    return rows.select("id", "status", F.unix_timestamp("updated_at").alias("updated_at"))
+
+
+def duplicates_stream(spark, folder):
+    """Repeated submissions by the first copies that a state store keeps while the orders arrive."""
+    t, root = Tables(spark, folder), new_folder(spark)
+    state.start_first_copies(
+        t.arriving("orders").receipts(), root, f"{root}/checkpoint", retention="20000 days"
+    ).awaitTermination()
+    firsts = state.current_first_copies(spark.read.parquet(f"{root}/first_copies"))
+    return duplicate_rows(duplicates.linked(t.receipts(), firsts))
+
+
 def untidy_bridge(t: Tables) -> DataFrame:
     """Category lists with blanks, outer spaces and repeats, back as a clean bridge."""
     lists = categories.category_lists(t.receipt_categories())
@@ -577,7 +597,7 @@ def all_queries():
         reconcile_totals, verdict, verdict_snapshot,
         query_validation, query_batch, period_report,
         media_types, upload_checks, file_intake, text_intake, typed_parse, response_triage,
-        merged_categories, completion_cast, intake_in_two_batches, latest_status, category_bridge, category_dimension,
+        merged_categories, completion_cast, intake_in_two_batches, latest_status, status_stream, duplicates_stream, category_bridge, category_dimension,
         ledger_rows, price_seed, schema_backfill, delete_propagation,
         category_scores, micro_scores, exact_match, source_summary, flag_scores,
         flag_mismatches, pair_listing, pair_scores, pair_delta, mismatches, first_cases,

@@ -72,6 +72,12 @@ def match_earliest(
     return _matched(receipts, _earliest(_completed(history).join(wanted, KEY, "left_semi"), order))
 
 
+def linked(receipts: DataFrame, firsts: DataFrame) -> DataFrame:
+    """Completed receipts that repeat an earlier one, given the first copy of each key (KEY, match_id, match_at)."""
+    completed = receipts.filter(F.col("status") == COMPLETED)
+    return _matched(completed, firsts.withColumn("copies", F.lit(None))).filter(F.col("match_id").isNotNull())
+
+
 def snapshot_duplicates(batch: DataFrame, history: DataFrame) -> DataFrame:
     """New receipts that repeat one already completed; ``history`` holds none of them."""
     return match_earliest(batch, history).filter(F.col("match_id").isNotNull())

@@ -36,6 +36,13 @@ class Tables:
             self._read[name] = self.spark.read.parquet(path)
         return self._read[name]
 
+    def arriving(self, name: str) -> Tables:
+        """The same views with one table as a stream over its file."""
+        stream = self.spark.readStream.schema(self.table(name).schema)
+        views = Tables(self.spark, self.folder)
+        views._read[name] = stream.option("pathGlobFilter", f"{name}.parquet").parquet(self.folder)
+        return views
+
     # receipts -----------------------------------------------------------------
 
     def receipts(self) -> DataFrame:
