@@ -659,7 +659,12 @@ def scoring() -> dict[str, str]:
 
 
 #: Queries that answer like another one, by other means.
-SAME_ANSWER = {"status_stream": "latest_status", "duplicates_stream": "duplicates_replay"}
+SAME_ANSWER = {
+    "status_stream": "latest_status",
+    "duplicates_stream": "duplicates_replay",
+    "fx_asof_in_order": "fx_asof",
+    "price_asof_in_order": "price_asof",
+}
 
 
 def all_checks() -> dict[str, str]:

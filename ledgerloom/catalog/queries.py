@@ -106,6 +106,13 @@ def fx_asof(spark, folder):
     return rows.select("id", number("fx_rate"), "fx_date")
 
 
+def fx_asof_in_order(spark, folder):
+    """Rates by sorting receipts and rates together, a hot currency in four parts."""
+    t = Tables(spark, folder)
+    rows = fx.with_rate_in_order(t.receipts(), t.fx_rates(), F.lit(TODAY).cast("date"), salts=4)
+    return rows.select("id", number("fx_rate"), "fx_date")
+
+
 def eur_conversion(spark, folder):
     return converted(Tables(spark, folder)).select(
         "id", "currency", number("total_amount"), number("total_eur")
@@ -146,6 +153,14 @@ def price_asof(spark, folder):
     )
 
 
+def price_asof_in_order(spark, folder):
+    t = Tables(spark, folder)
+    rows = pricing.price_calls_in_order(t.calls(), t.prices())
+    return rows.select(
+        "id", "model", "model_prefix", "valid_from", *[number(c) for c in pricing.PRICE_COLUMNS]
+    )
+
+
 def usage_lines(spark, folder):
     t = Tables(spark, folder)
     return pricing.usage_summary(t.calls(), t.prices(), CALL_FIRST, CALL_LAST)
@@ -590,8 +605,8 @@ def score_report(spark, folder):
 def all_queries():
     functions = [
         month_totals, category_totals, month_totals_eur, query_totals, query_totals_filtered,
-        receipts_with_categories, spending_summary, fx_asof, eur_conversion, response_view, receipt_lookup,
-        price_asof, usage_summary, usage_total, price_function, usage_stream,
+        receipts_with_categories, spending_summary, fx_asof, fx_asof_in_order, eur_conversion, response_view, receipt_lookup,
+        price_asof, price_asof_in_order, usage_summary, usage_total, price_function, usage_stream,
         category_spread, category_spread_by_currency, outliers, outliers_snapshot, outliers_replay, sketched_spread,
         duplicates_replay, duplicates_snapshot, weekend_flags, missing_fields,
         reconcile_totals, verdict, verdict_snapshot,

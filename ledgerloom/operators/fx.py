@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.numbers import to_money
 from ..schemas import RATE
+from .asof import latest_before
 
 BASE_CURRENCY = "EUR"
 
@@ -53,15 +54,38 @@ def with_rate(receipts: DataFrame, rates: DataFrame, today: Column | None = None
     hinted: Spark broadcasts the rate table when it fits its own size check and
     otherwise shuffles on (currency, day), which spreads any one currency by date.
     """
-    today = F.current_date() if today is None else today
-    wanted = F.col("total_amount").isNotNull() & (F.length("currency") > 0)
-    base = F.when(wanted, folded(F.col("currency")))
-    keyed = receipts.withColumn("_base", base)
+    keyed = receipts.withColumn("_base", _base_of())
     on_day = keyed.join(
         daily_rates(rates),
         (F.col("_base") == F.col("fx_currency")) & (F.col("receipt_date") == F.col("fx_day")),
         "left",
     )
+    return _rated(on_day, receipts.columns, rates, today)
+
+
+#: Days per bucket of the sorted lookup.
+RATE_DAYS = 32
+
+
+def with_rate_in_order(receipts: DataFrame, rates: DataFrame, today: Column | None = None, salts: int = 1) -> DataFrame:
+    """As ``with_rate``, by sorting receipts and rates together: no row per calendar day, for rates that come at any distance."""
+    keyed = receipts.withColumns({"_base": _base_of(), "_at": F.unix_date("receipt_date")})
+    facts = published(rates).select(
+        F.col("currency").alias("_base"), F.unix_date("rate_date").alias("since"), F.col("rate").cast(RATE).alias("rate"), "rate_date"
+    )
+    found = latest_before(keyed, facts, ["_base"], "_at", "since", RATE_DAYS, salts)
+    dated = found.select("*", F.col("fact.rate").alias("day_rate"), F.col("fact.rate_date").alias("day_date"))
+    return _rated(dated, receipts.columns, rates, today)
+
+
+def _base_of() -> Column:
+    wanted = F.col("total_amount").isNotNull() & (F.length("currency") > 0)
+    return F.when(wanted, folded(F.col("currency")))
+
+
+def _rated(on_day: DataFrame, columns: list[str], rates: DataFrame, today: Column | None) -> DataFrame:
+    """The receipt's columns with rate and date, from the rate of its day (``day_rate``, ``day_date``) or the last one."""
+    today = F.current_date() if today is None else today
     on_last = on_day.join(
         latest_rates(rates), F.col("_base") == F.col("last_currency"), "left"
     )
@@ -78,7 +102,7 @@ def with_rate(receipts: DataFrame, rates: DataFrame, today: Column | None = None
         .otherwise(F.col("day_date"))
     )
     return on_last.select(
-        *[receipts[c] for c in receipts.columns if c not in ("fx_rate", "fx_date")],
+        *[F.col(c) for c in columns if c not in ("fx_rate", "fx_date")],
         rate.alias("fx_rate"),
         rate_date.alias("fx_date"),
     )

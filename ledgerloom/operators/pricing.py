@@ -8,6 +8,7 @@ from ..functions.numbers import per_million
 from ..schemas import TOKEN_PRICES
 from .filters import Day, called_between
 from ..sources.sinks import written
+from .asof import latest_before
 from .joining import fits, salted_lookup
 
 MAX_BROADCAST_INTERVALS = 100_000
@@ -78,6 +79,20 @@ def price_calls(calls: DataFrame, prices: DataFrame, models: DataFrame | None =
     return joined.drop("priced_model", "starts", "ends")
 
 
+#: Microseconds per bucket of the sorted lookup: a week.
+PRICE_SPAN = 7 * 86_400_000_000
+
+
+def price_calls_in_order(calls: DataFrame, prices: DataFrame, salts: int = 1) -> DataFrame:
+    """As ``price_calls``, by sorting calls and price changes together: for price lists of any size and moments of any kind."""
+    names = ["model_prefix", "valid_from", *PRICE_COLUMNS]
+    changes = price_intervals(calls.select("model").distinct(), prices).select(
+        F.col("priced_model").alias("model"), F.unix_micros(F.col("starts").cast("timestamp")).alias("since"), *names
+    )
+    found = latest_before(calls.withColumn("_at", F.unix_micros("created_at")), changes, ["model"], "_at", "since", PRICE_SPAN, salts)
+    return found.select(*calls.columns, *[F.col("fact")[n].alias(n) for n in names])
+
+
 def daily_usage(calls: DataFrame) -> DataFrame:
     """Calls and token sums per endpoint, model and day.
 
