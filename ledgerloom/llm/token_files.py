@@ -14,9 +14,9 @@ Ranks are by frequency in the block and not in the corpus: so texts are encoded
 file, and a lost task repeats only its own blocks. Files are written by Spark's text writer, which copies the bytes as they are,
 so they reach any store that Spark can write, and attempts of a lost task leave nothing behind.
 
-Encoding looks up whole units, white space with the word behind it: no token reaches from a word into the white
-space behind it, so a text's ids are those of its units in turn. Only units that a worker has not met
-are given to the tokenizers library.
+Encoding tells the words of a slice of texts apart by Arrow, and looks up the units of each distinct word once: white space with the
+word or the marks behind it. No token reaches from a word into the white space or the marks behind it, so a text's
+ids are those of its units in turn. Only units that a worker does not remember are given to the tokenizers library.
 
 Defined cases: a null text is the empty text and has the end id only; a null key sorts last and comes back null;
 documents that repeat a key are ordered by the checksum of their text and the text; an empty
@@ -26,6 +26,7 @@ longer than others.
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 import struct
@@ -34,6 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -44,16 +46,39 @@ HEADER = struct.Struct(">8s7Q")
 #: Text in one shard, which one task writes; the driver gathers one number per shard.
 SHARD_BYTES = 32 << 20
 #: Ids after which a block is closed.
-BLOCK_IDS = 4 << 20
-#: Units that a worker remembers at most, and those looked up in one step.
-MOST_UNITS = 600_000
-STEP_UNITS = 1 << 18
-
-UNIT = re.compile(r"\s*\S+|\s+")
-#: White space to Python but not to the tokenizer's expression.
+BLOCK_IDS = 2 << 20
+#: Units that a worker remembers at most, and text that is encoded in one step.
+MOST_UNITS = 500_000
+STEP_BYTES = 6 << 20
+
+# ASCII characters that the vocabulary's expression takes for neither letters nor digits.
+MARKS = r"!-/:-@\[-`{-~"
+#: White space, then either marks with the word behind them or a word.
+UNIT = re.compile(rf"\s*(?:[{MARKS}]+[^\s{MARKS}]*|[^\s{MARKS}]+)|\s+")
+WORD = re.compile(r"\s*\S+|\s+")
+# ASCII and Latin-1 letters, and where a unit surely ends inside a word (in the syntax of Arrow's library).
+LETTERS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
+UNIT_END = rf"([0-9{LETTERS}])([{MARKS}])"
+#: Units that the vocabulary's expression does not divide.
+ONE_PIECE = re.compile(f" ?[{LETTERS}]+")
+#: In no text that is told apart by Arrow.
+SEPARATOR = "\x1c"
+#: White space to Python but not to the vocabulary's expression.
 NOT_SPACE = re.compile("[\x1c-\x1f]")
+#: Those, and characters other than ASCII and the letters of Latin-1: whether they are letters is left to the library.
+OTHER = re.compile("[^\x00-\x1b\x20-\x7f\xc0-\xd6\xd8-\xf6\xf8-\xff]")
+#: Texts with more than single spaces, and one or two line feeds, between words (in the syntax of Arrow's library).
+UNEVEN = (
+    r"[\t\r\f\v\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+    r"|^ | \z|  | \n|\n |\n\n\n|\n\n\z"
+)
 #: Lengths of the four ranks of each control byte.
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8) + 1
+#: Ids under this are counted in a table instead of sorted.
+DENSE_IDS = 1 << 22
+#: The sign that stands for each byte in this kind of vocabulary: printable bytes for themselves, the others for those from 256 on.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_SIGNS = {b: b for b in _PRINTED} | {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 _PLACES = np.arange(4, dtype=np.uint8)
 
 
@@ -62,11 +87,18 @@ _PLACES = np.arange(4, dtype=np.uint8)
 
 def pack(ids: np.ndarray) -> tuple[np.ndarray, bytes, bytes]:
     """The id of each rank, control bytes and data bytes of a run of ids."""
-    values, place, counts = np.unique(ids, return_inverse=True, return_counts=True)
-    order = np.lexsort((values, -counts))
-    rank_of = np.empty(len(order), np.uint32)
-    rank_of[order] = np.arange(len(order), dtype=np.uint32)
-    ranks = rank_of[place.ravel()].astype("<u4")
+    if len(ids) and int(ids.max()) < DENSE_IDS:
+        counts = np.bincount(ids)
+        values, rank_of = np.flatnonzero(counts), np.zeros(len(counts), np.uint32)
+        order = np.argsort(-counts[values], kind="stable")
+        rank_of[values[order]] = np.arange(len(order), dtype=np.uint32)
+        ranks = rank_of[ids].astype("<u4")
+    else:
+        values, place, counts = np.unique(ids, return_inverse=True, return_counts=True)
+        order = np.argsort(-counts, kind="stable")
+        rank_of = np.empty(len(order), np.uint32)
+        rank_of[order] = np.arange(len(order), dtype=np.uint32)
+        ranks = rank_of[place.ravel()].astype("<u4")
     extra = np.zeros(-(-len(ranks) // 4) * 4, np.uint8)
     extra[: len(ranks)] = (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
     quads = extra.reshape(-1, 4)
@@ -130,53 +162,117 @@ class UnitCoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self._forget()
+        pieces = self.tokenizer.pre_tokenizer
+        # The units are those of this kind of vocabulary; with another, a whole text is one unit.
+        self.divides = (
+            type(pieces).__name__ == "ByteLevel" and pieces.use_regex and not pieces.add_prefix_space and self.tokenizer.normalizer is None
+        )
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.divides &= all(re.search(f"[{MARKS}]", a) and not re.search(r"\s", a) for a in added)
+        self.places: dict[str, int] = {}
+        self.flat, self.ends, self.used = np.empty(0, np.uint32), np.zeros(1, np.int64), np.empty(0, np.int64)
 
     def _forget(self) -> None:
-        self.places: dict[str, int] = {}
-        self.flat, self.ends = np.empty(0, np.uint32), np.zeros(1, np.int64)
+        """Keep the half of the units that was looked up most."""
+        keep = np.sort(np.argsort(-self.used, kind="stable")[: MOST_UNITS // 2])
+        units = list(self.places)  # in the order of their places
+        self.places = {units[k]: n for n, k in enumerate(keep.tolist())}
+        self.flat, sizes = self._ids_at(keep)
+        self.ends = np.concatenate([[0], sizes.cumsum()])
+        self.used = np.zeros(len(keep), np.int64)
 
     def _learn(self, units: list[str]) -> None:
-        found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(units, add_special_tokens=False)]
-        self.flat = np.concatenate([self.flat, *found])
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(f) for f in found])])
+        model, found = self.tokenizer.model, []
+        rest = []
+        for unit in units:
+            if self.divides and ONE_PIECE.fullmatch(unit):
+                found.append([t.id for t in model.tokenize(unit.encode().decode("latin-1").translate(BYTE_SIGNS))])
+            else:
+                rest.append(len(found))
+                found.append(unit)
+        for k, encoded in zip(rest, self.tokenizer.encode_batch([found[k] for k in rest], add_special_tokens=False)):
+            found[k] = encoded.ids
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        self.flat = np.concatenate([self.flat, np.fromiter(itertools.chain.from_iterable(found), np.uint32, sizes.sum())])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + sizes.cumsum()])
+        self.used = np.concatenate([self.used, np.zeros(len(units), np.int64)])
         self.places.update(zip(units, range(len(self.places), len(self.places) + len(units))))
 
-    def _step(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all units in turn, and the number of ids of each unit."""
-        if len(self.places) > MOST_UNITS:
-            self._forget()
-        places = list(map(self.places.get, units))
-        if None in places:
-            self._learn(list(dict.fromkeys(u for u, p in zip(units, places) if p is None)))
-            places = list(map(self.places.get, units))
-        at = np.array(places, np.int64)
+    def _ids_at(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         starts, sizes = self.ends[at], self.ends[at + 1] - self.ends[at]
-        shifts = starts - np.cumsum(sizes) + sizes
-        return self.flat[np.repeat(shifts, sizes) + np.arange(sizes.sum())], sizes
-
-    def encode(self, texts: list[str], end: int) -> Iterator[np.ndarray]:
+        return _gathered(self.flat, starts, sizes), sizes
+
+    def _places(self, units: list[str]) -> np.ndarray:
+        at = np.fromiter(map(self.places.get, units, itertools.repeat(-1)), np.int64, len(units))
+        unknown = np.flatnonzero(at < 0).tolist()
+        if unknown:
+            self._learn(list(dict.fromkeys(units[k] for k in unknown)))
+            at[unknown] = [self.places[units[k]] for k in unknown]
+        self.used += np.bincount(at, minlength=len(self.used))
+        return at
+
+    def encode(self, texts: pa.Array, end: int) -> Iterator[np.ndarray]:
         """Per text its ids and the end id."""
-        waiting: list[list[str]] = []
-        held = 0
-        for text in texts:
-            units = [text] if NOT_SPACE.search(text) else UNIT.findall(text)
-            waiting.append(units)
-            held += len(units)
-            if held >= STEP_UNITS:
-                yield from self._texts(waiting, end)
-                waiting, held = [], 0
-        yield from self._texts(waiting, end)
-
-    def _texts(self, waiting: list[list[str]], end: int) -> Iterator[np.ndarray]:
-        units = [u for one in waiting for u in one]
-        steps = [self._step(units[a : a + STEP_UNITS]) for a in range(0, len(units), STEP_UNITS)]
-        ids = np.concatenate([s[0] for s in steps] or [np.empty(0, np.uint32)])
-        ends = np.concatenate([[0], *(s[1] for s in steps)]).cumsum()
-        at = 0
-        for one in waiting:
-            yield np.append(ids[ends[at] : ends[at + len(one)]], np.uint32(end))
-            at += len(one)
+        sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+        step = sizes.cumsum() // STEP_BYTES
+        for part in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(step)) + 1):
+            if len(part):
+                yield from self._slice(texts.slice(part[0], len(part)), end)
+
+    def _slice(self, texts: pa.Array, end: int) -> Iterator[np.ndarray]:
+        if len(self.places) > MOST_UNITS:
+            self._forget()
+        uneven = pc.match_substring_regex(texts, UNEVEN) if self.divides else pa.array([True] * len(texts))
+        even, at = self._even(texts.filter(pc.invert(uneven))), 0
+        for text, alone in zip(texts, uneven.to_pylist()):
+            if alone:
+                ids, _ = self._ids_at(self._places(self._units(text.as_py())))
+            else:
+                ids, at = even[0][even[1][at] : even[1][at + 1]], at + 1
+            yield np.append(ids, np.uint32(end))
+
+    def _units(self, text: str) -> list[str]:
+        if not self.divides:
+            return [text]
+        if not OTHER.search(text):
+            return UNIT.findall(text)
+        return [text] if NOT_SPACE.search(text) else WORD.findall(text)
+
+    def _even(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in turn, and where each text's begin; each distinct word of the slice is looked at once."""
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+        found = lists.flatten().dictionary_encode()
+        words, codes, starts = found.dictionary, found.indices.to_numpy().astype(np.int64), lists.offsets.to_numpy()
+        starts = starts - starts[0]
+        spaced = pc.binary_join_element_wise(pa.scalar(" "), words, pa.scalar(""))
+        # The first word of a text has no space before it, nor has one behind a line feed.
+        firsts, first_code = np.unique(codes[starts[:-1]], return_inverse=True)
+        codes[starts[:-1]] = len(words) + first_code.ravel()
+        words = pa.concat_arrays([pc.if_else(pc.starts_with(words, "\n"), words, spaced), words.take(pa.array(firsts))])
+
+        parts = pc.split_pattern(pc.replace_substring_regex(words, UNIT_END, rf"\1{SEPARATOR}\2"), SEPARATOR)
+        units = parts.flatten().dictionary_encode()
+        places = self._places(units.dictionary.to_numpy(zero_copy_only=False).tolist())
+        ids, sizes = self._ids_at(places[units.indices.to_numpy()])
+        sizes = _summed(sizes, np.diff(parts.offsets.to_numpy()))
+        every = sizes[codes]
+        flat = _gathered(ids, (sizes.cumsum() - sizes)[codes], every)
+        return flat, np.concatenate([[0], every.cumsum()])[starts]
+
+
+def _gathered(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Runs of values one after another, given where each starts and its size."""
+    total = int(sizes.sum())
+    kind = np.int32 if max(total, len(values)) < 1 << 31 else np.int64
+    shifts = (starts - sizes.cumsum() + sizes).astype(kind)
+    return values[np.repeat(shifts, sizes) + np.arange(total, dtype=kind)]
+
+
+def _summed(sizes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Sums of so many neighbouring sizes each."""
+    ends = np.concatenate([[0], sizes.cumsum()])
+    upto = counts.cumsum()
+    return ends[upto] - ends[upto - counts]
 
 
 _CODERS: dict[str, UnitCoder] = {}
@@ -202,7 +298,7 @@ def _blocks(vocabulary: str, end: int, block_ids: int):
 
         for batch in batches:
             names = batch.column("key").to_pylist()
-            for key, ids in zip(names, _coder(vocabulary).encode(batch.column("body").to_pylist(), end)):
+            for key, ids in zip(names, _coder(vocabulary).encode(batch.column("body"), end)):
                 keys.append(key)
                 sizes.append(len(ids))
                 parts.append(ids)
