@@ -40,13 +40,12 @@ def check_texts(texts: DataFrame) -> DataFrame:
     return texts.withColumn("reject_reason", text_problem(F.col("text")))
 
 
-def rejection(kind: str) -> Column:
+def rejection(kind: str, size: Column) -> Column:
     """Why a file of this kind is refused, or null; the first failing check wins.
 
-    Columns: declared_type, declared_size, content (null when no file was sent).
+    Columns: declared_type, declared_size, content (null when no file was sent); ``size`` is the actual size.
     """
     noun, accepted = NOUN[kind], ACCEPTED[kind]
-    size = F.length("content")
     limit = F.lit(MAX_UPLOAD_BYTES)
     typed = WRONG_TYPE.format(accepted=", ".join(accepted), verb="are" if len(accepted) > 1 else "is")
     signed = is_pdf(F.col("content")) if kind == PDF else image_type(F.col("content")).isNotNull()
@@ -64,9 +63,13 @@ def rejection(kind: str) -> Column:
 
 
 def check_uploads(files: DataFrame) -> DataFrame:
-    """Add ``reject_reason`` and, for accepted files, ``media_type`` read from the bytes."""
+    """Add ``reject_reason`` and, for accepted files, ``media_type`` read from the bytes.
+
+    ``content`` may be the leading bytes only, where a column ``size`` says how many there are.
+    """
     is_image = F.col("kind") == IMAGE
-    reason = F.when(is_image, rejection(IMAGE)).otherwise(rejection(PDF))
+    size = F.col("size") if "size" in files.columns else F.length("content")
+    reason = F.when(is_image, rejection(IMAGE, size)).otherwise(rejection(PDF, size))
     seen = F.when(is_image, image_type(F.col("content"))).otherwise(F.lit("application/pdf"))
     return files.withColumn("reject_reason", reason).withColumn(
         "media_type", F.when(F.col("reject_reason").isNull(), seen)

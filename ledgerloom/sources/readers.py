@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..schemas import CALLS, IMAGE, PDF, RATE
+from .headers import read_headers
 
 # The type a file declares by its name, where nothing else declares one.
 TYPE_BY_SUFFIX = {
@@ -40,9 +41,9 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """Uploaded files: name, bytes, actual size, and the type their name declares."""
-    files = spark.read.format("binaryFile").load(path)
+def read_files(spark: SparkSession, path: str, by_spark: bool | None = None) -> DataFrame:
+    """Uploaded files: name, actual size, the type their name declares, and as ``content`` their leading bytes only."""
+    files = read_headers(spark, path, by_spark=by_spark)
     name = F.element_at(F.split("path", "/"), -1)
     suffix = F.lower(F.element_at(F.split(name, r"\."), -1))
     pairs = [F.lit(x) for pair in TYPE_BY_SUFFIX.items() for x in pair]
@@ -53,7 +54,9 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
         F.when(declared == TYPE_BY_SUFFIX["pdf"], PDF).otherwise(IMAGE).alias("kind"),
         declared.alias("declared_type"),
         F.col("length").alias("declared_size"),
-        "content",
+        F.col("length").alias("size"),
+        # A file over the limit may come without bytes; it was sent all the same.
+        F.coalesce("head", F.lit(b"")).alias("content"),
         F.col("modificationTime").alias("created_at"),
     )
 
