@@ -508,6 +508,24 @@ def intake() -> dict[str, str]:
               case when failure_reason is null then cast(e.total_amount as double) end as total_amount,
               cast(c.total_eur as double) as total_eur, s.is_suspicious, s.flag_reason, s.duplicate_of
             from extracted e left join stored s on s.id = e.id left join converted c on c.id = e.id""",
+        "intake_whole": _with(BRIDGE, RESPONSES) + """,
+            inputs as (
+              select *, id % 7 > 0 as known, epoch(cast(o_orderdate as timestamp)) as answered,
+                case when id % 7 = 0 or id % 5 < 2 then 'text' when id % 5 = 2 then 'pdf' else 'image' end as kind from extracted)
+            select 'receipt' as part, cast(id as varchar) as id, concat_ws('/',
+              case when failure_reason is null then 'completed' else 'failed' end, kind,
+              case when known and kind <> 'text' then concat('file-', id) else '-' end,
+              case when known and kind <> 'text' then cast(id % 1000 as varchar) else '-' end,
+              case when known and kind = 'text' then concat('receipt ', id) else '-' end,
+              case when known then 'prompt' else '-' end,
+              cast(answered - case when known then 3600 else 0 end as bigint), cast(answered as bigint)) as detail
+            from inputs
+            union all
+            select 'call', cast(id as varchar), concat_ws('/', kind, case when id % 3 = 0 then 'm-a' else 'm-b-2' end, id % 4, 1,
+              (id % 4) * (id % 100), (id % 4) * 10) from inputs where id % 4 > 0
+            union all
+            select 'bridge', cast(id as varchar), array_to_string(list_sort(string_split(categories, '|')), '|')
+            from extracted where failure_reason is null and categories <> ''""",
         "latest_status": _with(RECEIPTS, STATUS) + """
             select id, arg_max(status, (updated_at, status <> 'pending')) as status,
               cast(epoch(max(updated_at)) as bigint) as updated_at from status_events group by 1""",
@@ -653,11 +671,104 @@ def scoring() -> dict[str, str]:
               array_to_string(list_sort(list_filter(got, lambda x: not list_contains(expected, x))), '|')
                 as spurious, error
             from results where skipped is null and not {_EXACT}""",
+        "score_report": _report(pair_parts),
         "first_cases": """
             select o_orderkey as id from orders order by o_orderkey limit 100""",
     }
 
 
+def _percent(share: str) -> str:
+    return f"cast(cast(round(cast({share} * 100 as decimal(20,10)), 1) as decimal(10,1)) as varchar) || '%'"
+
+
+def _points(share: str) -> str:
+    value = f"cast(round(cast({share} * 100 as decimal(20,10)), 1) as decimal(10,1))"
+    return f"case when {share} >= 0 then '+' else '' end || cast({value} as varchar) || 'pp'"
+
+
+def _padded(text: str, width: int) -> str:
+    return f"case when length({text}) >= {width} then {text} else rpad({text}, {width}, ' ') end"
+
+
+def _report(pair_parts: str) -> str:
+    """Every line of the report with its number: (section, key, line number) rows, sorted."""
+    cells = " || ".join(_padded(_percent(c), 7) for c in ("precision", "recall", "f1"))
+    names = lambda c: f"array_to_string({c}, ', ')"
+    gone = "list_sort(list_filter(expected, lambda x: not list_contains(got, x)))"
+    extra = "list_sort(list_filter(got, lambda x: not list_contains(expected, x)))"
+    key = "lpad(cast(id as varchar), 20, '0') || ' ' || cast(id as varchar)"
+
+    def lines(section: int, order: str, rows: str, *texts: str) -> str:
+        listed = ", ".join(texts)
+        return f"""select {section} as section, {order} as key, i as line_no, [{listed}][i] as line
+            from {rows}, range(1, {len(texts) + 1}) as t(i) where [{listed}][i] is not null"""
+
+    head = "'" + "category".ljust(24) + "support".ljust(9) + "P".ljust(7) + "R".ljust(7) + "F1".ljust(7) + "tp/fp/fn'"
+    wide, narrow = "'" + "-" * 72 + "'", "'" + "-" * 48 + "'"
+    some = "complete_pairs > 0"
+    parts = [
+        lines(10, "''", "micro", "'=== Category classification [whole table] ==='", "''", head, wide),
+        lines(11, "lpad(cast(1000000000000000000 - tp - fn as varchar), 20, '0') || category", "labels",
+              f"{_padded('category', 24)} || {_padded('cast(tp + fn as varchar)', 9)} || {cells} || concat_ws('/', tp, fp, fn)"),
+        lines(12, "''", "micro", wide, f"'{'MICRO AVG'.ljust(33)}' || {cells}", "''"),
+        lines(13, "''", "matches", f"concat('Exact set match: ', {_percent('rate')}, ' (', exact, '/', cases, ')   Errors: ', errors, '   Skipped: ', skipped)"),
+        lines(20, "''", "(select * from matches where skipped > 0)", "''", "concat('Skipped (', skipped, '), scored as nothing either way:')"),
+        lines(21, key, "(select * from results where skipped is not null)", f"concat('  ', {_padded('cast(id as varchar)', 30)}, ' ', skipped)"),
+        lines(30, "''", "pair_counts", "''", "'=== Photo vs text ==='", "''",
+              f"""case when {some} then concat('  ', complete_pairs, ' paired receipts, same expectations on both sides')
+                else '  no complete pairs (an image case needs a "same_as" text case, and both have to run)' end""",
+              f"case when {some} then '' end", f"case when {some} then '{' ' * 18}{'exact match'.ljust(15)}{'micro F1'.ljust(15)}' end",
+              f"case when {some} then {narrow} end"),
+        lines(31, "case side when 'text' then '0' else '1' end", "summaries",
+              f"case side when 'text' then '{'clean text'.ljust(18)}' else '{'photograph'.ljust(18)}' end || "
+              f"{_padded(_percent('exact_rate'), 15)} || {_padded(_percent('micro_f1'), 15)}"),
+        lines(32, "''", "(select * from delta where pairs > 0)", narrow, f"'{'delta'.ljust(18)}' || {_padded(_points('de'), 15)} || {_padded(_points('df'), 15)}"),
+        lines(33, "''", "(select * from pair_counts where half_pairs > 0)", f"case when {some} then '' end",
+              f"case when {some} then '  excluded, only one side ran:' else '  incomplete pairs:' end"),
+        lines(34, key, "(select * from joined where not (skipped is null and text_id is not null))", "concat('    ', id)"),
+        lines(40, "''", "flag_sums", "''", "'=== Anomaly flag ==='", "''",
+              f"""case when labelled = 0 then '  no labelled cases (add expected_suspicious to a case to score it)' else
+                concat('  labelled: ', labelled, '   P ', {_percent('precision')}, '   R ', {_percent('recall')}, '   F1 ', {_percent('f1')},
+                  '   accuracy ', {_percent('(tp + tn) / labelled')}, '   tp/fp/fn/tn ', concat_ws('/', tp, fp, fn, tn)) end"""),
+        lines(41, "''", "(select count(*) as n from flag_wrong having count(*) > 0)", "''", "concat('  Flag mismatches (', n, '):')"),
+        lines(42, key, "flag_wrong", "''", "concat('    ', id)", f"concat('      ', {_padded('source', 9)}, ': document ', id)",
+              "concat('      expected : ', expected_suspicious, '   got: ', suspicious)",
+              "case when suspicious then '      reason   : A short text.' end"),
+        lines(50, "''", "(select count(*) as n from wrong having count(*) > 0)", "''", "concat('Mismatches (', n, '):')"),
+        lines(51, key, "wrong", "''", "concat('  ', id)", f"concat('    ', {_padded('source', 9)}, ': ', input)",
+              f"concat('    expected : ', coalesce(nullif({names('expected')}, ''), '(none)'))",
+              f"concat('    got      : ', coalesce(nullif({names('got')}, ''), '(none)'))",
+              f"case when len({gone}) > 0 then concat('    missing  : ', {names(gone)}) end",
+              f"case when len({extra}) > 0 then concat('    spurious : ', {names(extra)}) end",
+              "case when id % 4 = 0 then concat('    evidence : read from ', input) end",
+              "case when error is not null then concat('    error    : ', error) end"),
+    ]
+    rated = f"select *, {_F1} as f1 from (select *, {_RATES_OF} from"
+    return _with(BRIDGE, RESULTS, _MARKED, FLAGS) + pair_parts + f""",
+        labels as ({rated} counts)),
+        micro as ({rated} (select sum(tp) as tp, sum(fp) as fp, sum(fn) as fn from counts))),
+        matches as (
+          select count(*) filter (where skipped is null) as cases, count(*) filter (where {_EXACT}) as exact,
+            count(*) filter (where skipped is null and error is not null) as errors, count(*) filter (where skipped is not null) as skipped,
+            count(*) filter (where {_EXACT}) / count(*) filter (where skipped is null) as rate from results),
+        pair_counts as (
+          select count(*) filter (where skipped is null and text_id is not null) as complete_pairs,
+            count(*) filter (where not (skipped is null and text_id is not null)) as half_pairs from joined),
+        delta as (
+          select sum(case side when 'photo' then exact_rate else -exact_rate end) as de,
+            sum(case side when 'photo' then micro_f1 else -micro_f1 end) as df, max(cases) as pairs from summaries),
+        flag_sums as ({rated} (
+          select count(*) as labelled, count(*) filter (where expected_suspicious and suspicious) as tp,
+            count(*) filter (where not expected_suspicious and suspicious) as fp,
+            count(*) filter (where expected_suspicious and not suspicious) as fn,
+            count(*) filter (where not expected_suspicious and not suspicious) as tn
+          from flag_results where expected_suspicious is not null))),
+        flag_wrong as (select * from flag_results where expected_suspicious <> suspicious),
+        wrong as (select *, concat('order ', id % 300000000) as input from results where skipped is null and not {_EXACT})
+        select row_number() over (order by section, key, line_no) as number, line from (
+          {' union all '.join(parts)})"""
+
+
 #: Queries that answer like another one, by other means.
 SAME_ANSWER = {
     "status_stream": "latest_status",

@@ -22,7 +22,7 @@ from ..operators import (
 )
 from ..operators.categories import with_categories
 from ..plans import insights, intake, requests
-from ..plans.score_report import score_report as score_lines
+from ..plans.score_report import numbered, score_report as score_lines
 from ..schemas import EXTRACTION, RECEIPTS
 from ..sources.sinks import new_folder, written
 from ..sources.tables import Tables
@@ -424,6 +424,40 @@ def intake_in_two_batches(spark, folder):
     )
 
 
+def intake_whole(spark, folder):
+    """What one batch leaves: receipts with their source, the ledger with the calls of failed ones, category ids."""
+    t, root = Tables(spark, folder), new_folder(spark)
+    key = F.col("id")
+    call = F.struct(
+        F.when(key % 3 == 0, "m-a").otherwise("m-b-2").alias("model"), (key % 100).cast("int").alias("input_tokens"),
+        F.lit(10).alias("output_tokens"), F.lit(0).alias("cache_read_input_tokens"), F.lit(1).alias("cache_creation_input_tokens"),
+    )
+    responses = t.responses().withColumn("calls", F.array_repeat(call, (key % 4).cast("int")))
+    is_text = key % 5 < 2
+    pending = t.responses().filter(key % 7 > 0).select(
+        "id", F.when(is_text, F.concat(F.lit("receipt "), key.cast("string"))).alias("raw_text"), F.lit("prompt").alias("prompt_used"),
+        F.when(is_text, "text").when(key % 5 == 2, "pdf").otherwise("image").alias("source_type"),
+        F.when(~is_text, F.concat(F.lit("file-"), key.cast("string"))).alias("source_filename"),
+        F.when(~is_text, (key % 1000).cast("int")).alias("source_bytes"),
+        (F.col("created_at") - F.expr("interval 1 hour")).alias("created_at"),
+    )
+    intake.take_in(responses, t.fx_rates(), root, 0, pending)
+    read = lambda table: spark.read.parquet(f"{root}/{table}")
+    whole = lambda c: F.coalesce(c.cast("string"), F.lit("-"))
+    receipts = read("receipts").select(
+        F.lit("receipt").alias("part"), "id",
+        F.concat_ws("/", "status", "source_type", whole(F.col("source_filename")), whole(F.col("source_bytes")), whole(F.col("raw_text")),
+                    whole(F.col("prompt_used")), F.unix_timestamp("created_at").cast("string"), F.unix_timestamp("updated_at").cast("string")).alias("detail"),
+    )
+    ledger = read("calls").groupBy(F.col("receipt_id").alias("id")).agg(
+        F.concat_ws("/", F.min("endpoint"), F.min("model"), F.count("*").cast("string"), F.count_distinct("request_id").cast("string"),
+                    F.sum("input_tokens").cast("string"), F.sum("output_tokens").cast("string")).alias("detail")
+    ).select(F.lit("call").alias("part"), "id", "detail")
+    named = categories.named_bridge(read("bridge").select("receipt_id", "category_id"), read("categories"))
+    bridge = categories.category_lists(named).select(F.lit("bridge").alias("part"), "id", joined("categories").alias("detail"))
+    return receipts.unionByName(ledger).unionByName(bridge)
+
+
 def latest_status(spark, folder):
     rows = lifecycle.latest_status(Tables(spark, folder).status_events())
     return rows.select("id", "status", F.unix_timestamp("updated_at").alias("updated_at"))
@@ -597,9 +631,18 @@ def first_cases(spark, folder):
 
 
 def score_report(spark, folder):
+    """The whole report, every line with its number; some cases carry the evidence of their answer."""
     t = Tables(spark, folder)
+    key = F.col("id") % 4
+    cases = t.results().withColumns(
+        {"position": F.col("id"), "evidence": F.when(key == 0, F.concat(F.lit("read from "), "input")).when(key == 1, "")}
+    )
+    flags = t.flag_results().withColumns({
+        "position": F.col("id"), "input": F.concat(F.lit("document "), F.col("id").cast("string")),
+        "flag_reason": F.when(F.col("suspicious"), "A short text."),
+    })
     # The report reads the results many times, so they are stored once.
-    return score_lines(written(t.results()), "whole table", t.flag_results())
+    return numbered(score_lines(written(cases), "whole table", written(flags)))
 
 
 def all_queries():
@@ -612,7 +655,7 @@ def all_queries():
         reconcile_totals, verdict, verdict_snapshot,
         query_validation, query_batch, period_report,
         media_types, upload_checks, file_intake, text_intake, typed_parse, response_triage,
-        merged_categories, completion_cast, intake_in_two_batches, latest_status, status_stream, duplicates_stream, category_bridge, category_dimension,
+        merged_categories, completion_cast, intake_in_two_batches, intake_whole, latest_status, status_stream, duplicates_stream, category_bridge, category_dimension,
         ledger_rows, price_seed, schema_backfill, delete_propagation,
         category_scores, micro_scores, exact_match, source_summary, flag_scores,
         flag_mismatches, pair_listing, pair_scores, pair_delta, mismatches, first_cases,

@@ -47,23 +47,44 @@ def extend_dimension(categories: DataFrame, bridge: DataFrame) -> DataFrame:
     New ids run on from the largest old one without gaps. Names are numbered in
     hash buckets and the buckets are stacked, so no single task orders all names.
     """
-    fresh = (
-        bridge.select(F.col("category").alias("name"))
-        .distinct()
-        .join(categories, "name", "left_anti")
-        .withColumn("bucket", F.pmod(F.xxhash64("name"), F.lit(ID_BUCKETS)))
-    )
+    last = categories.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last")).scalar()
+    numbered = _placed(_new_names(categories, bridge)).select((last + F.col("place")).cast("int").alias("id"), "name")
+    return categories.select("id", "name").unionByName(numbered)
+
+
+def _new_names(categories: DataFrame, bridge: DataFrame) -> DataFrame:
+    return bridge.select(F.col("category").alias("name")).distinct().join(categories, "name", "left_anti")
+
+
+def _placed(names: DataFrame) -> DataFrame:
+    """Names with a ``place`` from 1, without a task that orders all of them."""
+    fresh = names.withColumn("bucket", F.pmod(F.xxhash64("name"), F.lit(ID_BUCKETS)))
     stacked = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sizes = fresh.groupBy("bucket").agg(F.count("*").alias("names"))
     offsets = sizes.select(
         "bucket", F.coalesce(F.sum("names").over(stacked), F.lit(0)).alias("offset")
     )
-    last = categories.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last")).scalar()
     place = F.row_number().over(Window.partitionBy("bucket").orderBy("name"))
-    numbered = fresh.join(offsets, "bucket").select(
-        (last + F.col("offset") + place).cast("int").alias("id"), "name"
-    )
-    return categories.select("id", "name").unionByName(numbered)
+    return fresh.join(offsets, "bucket").select("name", (F.col("offset") + place).alias("place"))
+
+
+#: Ids that a batch may give: its own range starts at its number times this.
+BATCH_IDS = 1 << 32
+
+
+def reserved_ids(categories: DataFrame, bridge: DataFrame, batch: int) -> DataFrame:
+    """(id, name) of the names that earlier batches lack, from the range of ids that belongs to the batch.
+
+    A batch looks only at earlier ones and writes only its own range, so batches that run again, in any order, give the same
+    ids, and no two batches can give one id to two names.
+    """
+    placed = _placed(_new_names(categories, bridge))
+    return placed.select((F.lit(batch * BATCH_IDS) + F.col("place")).cast("bigint").alias("id"), "name")
+
+
+def first_ids(stored: DataFrame) -> DataFrame:
+    """One id per name from the rows of several batches: that of the earliest."""
+    return stored.groupBy("name").agg(F.min("id").alias("id")).select("id", "name")
 
 
 def bridge_ids(bridge: DataFrame, categories: DataFrame) -> DataFrame:

@@ -6,15 +6,16 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.dates import month_key
 from ..operators.anomalies import united
-from ..operators.categories import bridge_from_lists, by_category
+from ..operators.categories import bridge_from_lists, by_category, first_ids, reserved_ids
 from ..operators.duplicates import KEY, keyed, match_earliest
 from ..operators.extraction import complete
 from ..operators.fx import with_eur
 from ..operators.joining import fits
+from ..operators.lifecycle import ledger_rows, with_request_ids
 from ..operators.percentiles import percentile_points
 from ..operators.spreads import compare, spread_counts
-from ..schemas import COMPLETED, OUTLIER_QUANTILE
-from ..sources.sinks import NO_MONTH, write_receipts, write_table
+from ..schemas import COMPLETED, OUTLIER_QUANTILE, RECEIPTS, TEXT, TOKEN_PRICES
+from ..sources.sinks import NO_MONTH, write_calls, write_receipts, write_table
 
 MAX_BROADCAST_KEYS = 1_000_000
 HISTORY = ["id", "merchant", "receipt_date", "total_amount", "currency", "status", "created_at"]
@@ -22,6 +23,8 @@ HISTORY_SCHEMA = (
     "id string, merchant string, receipt_date date, total_amount decimal(12,2), currency string,"
     " status string, created_at timestamp, receipt_month string, batch string"
 )
+CATEGORY_SCHEMA = "id bigint, name string, batch string"
+SOURCE_COLUMNS = ["raw_text", "prompt_used", "source_type", "source_filename", "source_bytes"]
 COUNTS_SCHEMA = "category string, cents bigint, n bigint, batch string"
 
 
@@ -75,8 +78,49 @@ def judge(
     return united(matched, compare(by_category(tested, bridge), spreads))
 
 
-def take_in(responses: DataFrame, rates: DataFrame, root: str, batch: int) -> None:
-    """Store one batch of responses under ``root``: receipts, bridge and value counts.
+def with_source(rows: DataFrame, pending: DataFrame | None) -> DataFrame:
+    """Parsed responses with what is known of their input: text, prompt, source, and when it came in.
+
+    ``pending`` are the rows of ``uploads``; a response without one came as text at the time of the response.
+    ``updated_at`` is the time of the response.
+    """
+    answered = rows.withColumnRenamed("created_at", "updated_at")
+    kinds = {f.name: f.dataType for f in RECEIPTS.fields}
+    if pending is None:
+        given = {c: F.lit(None).cast(kinds[c]) for c in SOURCE_COLUMNS}
+        joined = answered.withColumns({**given, "created_at": F.col("updated_at")})
+    else:
+        names = [*SOURCE_COLUMNS, "created_at"]
+        columns = [F.col(c).cast(kinds[c]).alias(c) if c in pending.columns else F.lit(None).cast(kinds[c]).alias(c) for c in names]
+        inputs = pending.select(F.col("id").cast("string").alias("id"), *columns)
+        joined = answered.join(inputs, "id", "left").withColumn("created_at", F.coalesce("created_at", "updated_at"))
+    return joined.withColumn("source_type", F.coalesce("source_type", F.lit(TEXT)))
+
+
+def calls_made(responses: DataFrame, rows: DataFrame) -> DataFrame:
+    """Ledger rows of every response, answered or failed: a refused or broken one has cost tokens as well.
+
+    ``calls`` of a response is an array of (model, token counters).
+    """
+    fields = ["model", *TOKEN_PRICES]
+    kind = rows.select("id", F.col("source_type").alias("endpoint"))
+    made = responses.select("id", F.col("id").alias("receipt_id"), "created_at", *[F.col(f"calls.{c}").alias(c) for c in fields])
+    return ledger_rows(with_request_ids(made.join(kind, "id"), "receipt_id", "created_at"))
+
+
+def with_category_ids(bridge: DataFrame, root: str, batch: int) -> DataFrame:
+    """The bridge with ids; names that no earlier batch has are stored under the batch."""
+    spark = bridge.sparkSession
+    known = first_ids(stored(spark, root, "categories", CATEGORY_SCHEMA, batch))
+    write_table(reserved_ids(known, bridge, batch), root, "categories", batch)
+    own = spark.read.schema("id bigint, name string").parquet(f"{root}/categories/batch={batch}")
+    ids = known.unionByName(own).select(F.col("id").alias("category_id"), F.col("name").alias("category"))
+    return bridge.join(ids, "category").select("receipt_id", "category", "category_id")
+
+
+def take_in(responses: DataFrame, rates: DataFrame, root: str, batch: int, pending: DataFrame | None = None) -> None:
+    """Store one batch of responses under ``root``: receipts, bridge, categories, value counts and, where responses
+    carry ``calls``, the ledger.
 
     Reads only batches before this one and overwrites its own, so running it again gives
     the same result. The parsed receipts are written before they are judged, which cuts
@@ -84,12 +128,15 @@ def take_in(responses: DataFrame, rates: DataFrame, root: str, batch: int) -> No
     """
     spark = responses.sparkSession
     responses = responses.withColumn("id", F.col("id").cast("string"))
-    parsed = complete(responses, "created_at")
+    parsed = with_source(complete(responses, "created_at"), pending)
     write_table(parsed, root, "parsed", batch)
     rows = spark.read.schema(parsed.schema).parquet(f"{root}/parsed/batch={batch}")
+    if "calls" in responses.columns:
+        # First of all, so that a failure further on does not lose what the calls have cost.
+        write_calls(calls_made(responses, rows), root, batch)
     # The batch's own day stands for today, so that a later rerun gives the same rates; stored once,
     # because everything below starts from these rows.
-    converted = with_eur(rows.filter(F.col("status") == COMPLETED), rates, F.to_date("created_at"))
+    converted = with_eur(rows.filter(F.col("status") == COMPLETED), rates, F.to_date("updated_at"))
     write_table(converted, root, "fresh", batch)
     fresh = spark.read.schema(converted.schema).parquet(f"{root}/fresh/batch={batch}")
     bridge = bridge_from_lists(fresh)
@@ -100,5 +147,5 @@ def take_in(responses: DataFrame, rates: DataFrame, root: str, batch: int) -> No
     write_receipts(
         judged.unionByName(failed.drop("categories"), allowMissingColumns=True), root, batch
     )
-    write_table(bridge, root, "bridge", batch)
+    write_table(with_category_ids(bridge, root, batch), root, "bridge", batch)
     write_table(spread_counts(fresh, bridge), root, "value_counts", batch)

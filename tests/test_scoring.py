@@ -104,3 +104,31 @@ def test_report_without_pairs_or_labels(spark):
     assert any(line.startswith("  no complete pairs") for line in lines)
     assert any(line.startswith("  no labelled cases") for line in lines)
     assert not any(line.startswith("Mismatches") for line in lines)
+
+
+def test_cases_stand_in_file_order_with_all_their_lines(spark):
+    from pyspark.sql import functions as F
+
+    from ledgerloom.plans.score_report import numbered
+
+    rows = [result("t", ["Food"], ["Health"]), result("a", ["Food"], []), result("z", ["Food"], ["Food"])]
+    frame = spark.createDataFrame(rows, RESULT).withColumns({
+        "position": F.when(F.col("id") == "t", 2).when(F.col("id") == "a", 10).otherwise(1),
+        "evidence": F.when(F.col("id") == "t", "line 3").when(F.col("id") == "a", ""),
+    })
+    flags = spark.createDataFrame(
+        [("f", "text", 1, "some text", True, False, "Odd."), ("g", "text", 2, None, False, True, None)],
+        "id string, source string, position int, input string, expected_suspicious boolean, suspicious boolean, flag_reason string",
+    )
+    report = score_report(frame, None, flags)
+    lines = [r.line for r in in_reading_order(report).collect()]
+    assert lines.index("  t") < lines.index("  a")
+    assert [line for line in lines if line.startswith("    evidence")] == ["    evidence : line 3"]
+    assert lines[lines.index("    f") + 1 :][:3] == ["      text     : some text", "      expected : true   got: false", "      reason   : Odd."]
+    got = sorted((r.number, r.line) for r in numbered(report).collect())
+    assert [n for n, _ in got] == list(range(1, len(lines) + 1)) and [line for _, line in got] == lines
+
+
+def test_a_blank_line_before_excluded_pairs(spark, results):
+    lines = [r.line for r in in_reading_order(score_report(results)).collect()]
+    assert lines[lines.index("  excluded, only one side ran:") - 1] == ""
