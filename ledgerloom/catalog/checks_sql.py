@@ -775,9 +775,29 @@ SAME_ANSWER = {
     "duplicates_stream": "duplicates_replay",
     "fx_asof_in_order": "fx_asof",
     "price_asof_in_order": "price_asof",
+    "stored_scores": "category_scores",
 }
 
 
+#: A period that holds every receipt and call.
+EVER = ("1990-01-01", "2030-12-31")
+
+
+def _insights(summary: str, usage: str) -> str:
+    """The two reports of the whole period in one, with what is said of an empty and of a reversed one."""
+    summary = summary.replace(FIRST, EVER[0]).replace(LAST, EVER[1])
+    usage = usage.replace(CALL_FIRST, EVER[0]).replace(CALL_LAST, EVER[1])
+    return f"""
+        select 'whole' as period, section, name, currency, receipts, total, unconverted from ({summary})
+        union all
+        select 'whole', 'usage', concat_ws(' ', endpoint, model), 'USD', calls, cost_usd, unpriced_calls from ({usage})
+        union all
+        select 'empty', 'summary', 'No completed receipts fall in this period, so there is nothing to report on.', null, null, null, null
+        union all
+        select 'reversed', 'error', '"from" must not be later than "to".', null, null, null, null"""
+
+
 def all_checks() -> dict[str, str]:
     found = {**totals(), **usage(), **anomalies(), **requests(), **intake(), **scoring()}
+    found["insights_result"] = _insights(found["spending_summary"], found["usage_summary"])
     return found | {name: found[other] for name, other in SAME_ANSWER.items()}

@@ -24,11 +24,11 @@ from ..operators.categories import with_categories
 from ..plans import insights, intake, requests
 from ..plans.score_report import numbered, score_report as score_lines
 from ..schemas import EXTRACTION, RECEIPTS
-from ..sources.sinks import new_folder, written
+from ..sources.sinks import new_folder, write_scores, written
 from ..sources.tables import Tables
 from ..streaming import state
 from ..streaming.usage import current_usage, start_daily_usage
-from .checks_sql import CALL_FIRST, CALL_LAST, FIRST, LAST
+from .checks_sql import CALL_FIRST, CALL_LAST, EVER, FIRST, LAST
 
 TODAY = "2001-12-31"
 
@@ -100,6 +100,17 @@ def spending_summary(spark, folder):
     )
 
 
+def insights_result(spark, folder):
+    """All that is told about a long period, one without receipts and a reversed one."""
+    t = Tables(spark, folder)
+    receipts = written(converted(t))
+    parts = [
+        insights.period_insights(receipts, t.receipt_categories(), t.calls(), t.prices(), first, last).withColumn("period", F.lit(name))
+        for name, first, last in (("whole", *EVER), ("empty", "2150-01-01", "2150-12-31"), ("reversed", "2150-12-31", "2150-01-01"))
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def fx_asof(spark, folder):
     t = Tables(spark, folder)
     rows = fx.with_rate(t.receipts(), t.fx_rates(), F.lit(TODAY).cast("date"))
@@ -579,6 +590,15 @@ def category_scores(spark, folder):
     return rounded(rows, "precision", "recall", "f1")
 
 
+def stored_scores(spark, folder):
+    """Scores of labels as they come back from a stored evaluation."""
+    results, root = Tables(spark, folder).results(), new_folder(spark)
+    scores = {"labels": scoring.label_scores(results)}
+    write_scores(scores, scoring.compared(results), root)
+    shape = "category string, tp bigint, fp bigint, fn bigint, support bigint, precision double, recall double, f1 double"
+    return rounded(spark.read.schema(shape).json(f"{root}/scores/labels"), "precision", "recall", "f1")
+
+
 def micro_scores(spark, folder):
     labels = scoring.label_scores(Tables(spark, folder).results())
     return rounded(scoring.micro_scores(labels), "precision", "recall", "f1")
@@ -648,7 +668,7 @@ def score_report(spark, folder):
 def all_queries():
     functions = [
         month_totals, category_totals, month_totals_eur, query_totals, query_totals_filtered,
-        receipts_with_categories, spending_summary, fx_asof, fx_asof_in_order, eur_conversion, response_view, receipt_lookup,
+        receipts_with_categories, spending_summary, insights_result, fx_asof, fx_asof_in_order, eur_conversion, response_view, receipt_lookup,
         price_asof, price_asof_in_order, usage_summary, usage_total, price_function, usage_stream,
         category_spread, category_spread_by_currency, outliers, outliers_snapshot, outliers_replay, sketched_spread,
         duplicates_replay, duplicates_snapshot, weekend_flags, missing_fields,
@@ -657,7 +677,7 @@ def all_queries():
         media_types, upload_checks, file_intake, text_intake, typed_parse, response_triage,
         merged_categories, completion_cast, intake_in_two_batches, intake_whole, latest_status, status_stream, duplicates_stream, category_bridge, category_dimension,
         ledger_rows, price_seed, schema_backfill, delete_propagation,
-        category_scores, micro_scores, exact_match, source_summary, flag_scores,
+        category_scores, stored_scores, micro_scores, exact_match, source_summary, flag_scores,
         flag_mismatches, pair_listing, pair_scores, pair_delta, mismatches, first_cases,
         score_report,
     ]

@@ -8,6 +8,7 @@ from ..functions.dates import day_text, month_key
 from ..functions.text import money_text, plural
 from ..operators.categories import by_category
 from ..operators.filters import Day, reportable
+from ..operators.pricing import usage_summary
 from ..operators.running import UPTO, running_sums
 from ..operators.totals import category_totals, period
 from ..sources.sinks import written
@@ -98,6 +99,29 @@ def is_empty(summary: dict[str, DataFrame]) -> bool:
     return summary["months"].isEmpty()
 
 
+def period_insights(
+    receipts: DataFrame, bridge: DataFrame, calls: DataFrame, prices: DataFrame, first: Day, last: Day
+) -> DataFrame:
+    """All that is told about one period, a ``section`` on every row: the summary, the usage of the model (name: endpoint and
+    model, receipts: calls, total: USD, unconverted: calls without a price) and, for a period without receipts, one
+    sentence instead of a text. A reversed period is refused with one row."""
+    spark = receipts.sparkSession
+    if str(first) > str(last):
+        row = [("error", REVERSED, None, None, None, None)]
+        return spark.createDataFrame(row, "section string, name string, currency string, receipts bigint, total double, unconverted bigint")
+    summary = spending_summary(receipts, bridge, first, last)
+    usage = usage_summary(calls, prices, first, last).select(
+        F.lit("usage").alias("section"), F.concat_ws(" ", "endpoint", "model").alias("name"), F.lit("USD").alias("currency"),
+        F.col("calls").alias("receipts"), F.col("cost_usd").cast("double").alias("total"), F.col("unpriced_calls").alias("unconverted"),
+    )
+    none = lambda kind: F.lit(None).cast(kind)
+    empty = summary["months"].limit(1).agg(F.count("*").alias("n")).filter("n = 0").select(
+        F.lit("summary").alias("section"), F.lit(EMPTY_PERIOD).alias("name"), none("string").alias("currency"),
+        none("bigint").alias("receipts"), none("double").alias("total"), none("bigint").alias("unconverted"),
+    )
+    return summary_rows(summary).unionByName(usage).unionByName(empty)
+
+
 # many periods -------------------------------------------------------------------
 
 
