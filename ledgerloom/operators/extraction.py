@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.dates import real_day, stored_day
@@ -23,19 +25,24 @@ DOES_NOT_FIT = "A value does not fit its column."
 def _type_pattern(kind: T.DataType, nullable: bool) -> str:
     """What the schema text of a JSON value of this kind may look like."""
     if isinstance(kind, T.ArrayType):
-        return "ARRAY<(STRING|VOID)>" if isinstance(kind.elementType, T.StringType) else "ARRAY<.*>"
+        if isinstance(kind.elementType, T.StringType):
+            return "ARRAY<(STRING|VOID)>"
+        # The schema of a list is that of all its items together; an empty list has none.
+        return f"ARRAY<({_object([(f.name, f.dataType, f.name in MISSABLE) for f in kind.elementType.fields])}|VOID)>"
     name = {"string": "STRING", "boolean": "BOOLEAN", "double": r"(BIGINT|DOUBLE|DECIMAL\(\d+,\d+\))"}[kind.simpleString()]
     return f"({name}|VOID)" if nullable else name
 
 
-def _shape(fields: list[tuple[str, T.DataType, bool]]) -> str:
+def _object(fields: list[tuple[str, T.DataType, bool]]) -> str:
     """An object with exactly these keys; schema texts list keys in order."""
     inside = ", ".join(f"{name}: {_type_pattern(kind, nullable)}" for name, kind, nullable in sorted(fields))
-    return f"^OBJECT<{inside}>$"
+    return f"OBJECT<{inside}>"
 
 
-RECORD_SHAPE = _shape([(f.name, f.dataType, f.name not in EXTRACTION_NOT_NULL) for f in EXTRACTION.fields])
-ITEM_SHAPE = _shape([(f.name, f.dataType, f.name == "quantity") for f in EXTRACTION["line_items"].dataType.elementType.fields])
+#: Keys of an item whose value may be null.
+MISSABLE = ("quantity",)
+ITEM_KEYS = [f.name for f in EXTRACTION["line_items"].dataType.elementType.fields]
+SHAPE = f"^{_object([(f.name, f.dataType, f.name not in EXTRACTION_NOT_NULL) for f in EXTRACTION.fields])}$"
 
 
 def parse(responses: DataFrame) -> DataFrame:
@@ -45,18 +52,22 @@ def parse(responses: DataFrame) -> DataFrame:
     record and in each of its items, and every label must be a taxonomy name. Broken rows stay,
     with a null.
     """
-    # Through explode, so that the columns below refer to one parse of each text.
+    # Through explode, so that the columns below refer to one parse of each text. One schema text per
+    # record tells wrong types and foreign keys, in items as well; what it cannot tell is an item that lacks a key or has a
+    # null where others have a value, so the items' keys are looked up one by one.
     parsed = responses.withColumn("_json", F.explode(F.array(F.try_parse_json("raw_response"))))
-    shaped = F.col("_json").isNotNull() & F.schema_of_variant("_json").rlike(RECORD_SHAPE)
-    whole = F.when(shaped, F.col("_json"))
-    items = F.try_variant_get(whole, "$.line_items", "array<variant>")
-    whole_items = F.forall(items, lambda i: F.coalesce(F.schema_of_variant(i).rlike(ITEM_SHAPE), F.lit(False)))
+    whole = F.when(F.schema_of_variant("_json").rlike(SHAPE), F.col("_json"))
     record = F.try_variant_get(whole, "$", EXTRACTION.simpleString())
-    typed = parsed.withColumn("_typed", F.explode(F.array(F.when(whole_items, record))))
+    typed = parsed.withColumn("_typed", F.explode(F.array(record)))
+    given = lambda i, key: F.try_variant_get(i, f"$.{key}", "variant").isNotNull()
+    items = F.try_variant_get("_json", "$.line_items", "array<variant>")
+    keyed = F.forall(items, lambda i: reduce(lambda a, b: a & b, [given(i, k) for k in MISSABLE]))
+    valued = F.forall("_typed.line_items", lambda i: reduce(lambda a, b: a & b, [i.getField(k).isNotNull() for k in ITEM_KEYS if k not in MISSABLE]))
+    whole_items = F.col("_typed").isNotNull() & keyed & valued
     good = in_taxonomy(F.col("_typed.categories")) & in_taxonomy(
         F.transform("_typed.line_items", lambda i: i.getField("category"))
     )
-    extraction = F.when(F.coalesce(good, F.lit(False)), F.col("_typed"))
+    extraction = F.when(F.coalesce(whole_items & good, F.lit(False)), F.col("_typed"))
     return typed.withColumn("extraction", extraction).drop("_json", "_typed")
 
 

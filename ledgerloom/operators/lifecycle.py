@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..schemas import PENDING, PRICES, RECEIPT_DEFAULTS, TOKEN_PRICES
 from .joining import salted_lookup
+from .pruning import with_maybe
 
 
 def latest_status(events: DataFrame) -> DataFrame:
@@ -62,18 +63,24 @@ def to_schema(rows: DataFrame, schema: T.StructType, defaults: dict = RECEIPT_DE
     return rows.select(*columns)
 
 
+def may_refer(rows: DataFrame, reference: str, deleted: DataFrame) -> DataFrame:
+    """The rows, with ``maybe`` where the reference may be one of the deleted ids."""
+    return with_maybe(rows, reference, deleted, "id")
+
+
 def _forget(rows: DataFrame, reference: str, deleted: DataFrame) -> DataFrame:
     """Null out references to deleted ids.
 
-    Rows without a reference skip the join: their common null key would otherwise put
-    them all into one partition. Many copies of one original are spread as well.
+    Rows without a reference, or with one that a filter of the deleted ids rules out, go straight through; the few
+    others are joined. Many copies of one original are spread as well.
     """
+    told = may_refer(rows, reference, deleted)
     gone = deleted.select(F.col("id").alias(reference), F.lit(True).alias("gone")).distinct()
-    linked = salted_lookup(rows.filter(F.col(reference).isNotNull()), gone, [reference], "id")
+    linked = salted_lookup(told.filter("maybe").drop("maybe"), gone, [reference], "id")
     kept = linked.withColumn(
         reference, F.when(F.col("gone").isNull(), F.col(reference))
     ).drop("gone")
-    return rows.filter(F.col(reference).isNull()).unionByName(kept)
+    return told.filter("not maybe").drop("maybe").unionByName(kept)
 
 
 def delete_receipts(

@@ -274,3 +274,24 @@ def test_only_full_days_are_stored(spark, date, stored):
     rows = spark.createDataFrame([("1", extraction_json(date=date), "end_turn")], "id string, raw_response string, stop_reason string")
     row = extraction.complete(rows).first()
     assert (row.status if row.status == "failed" else row.receipt_date) == stored
+
+
+@pytest.mark.parametrize("items, usable", [
+    ([], True),
+    ([{"description": "x", "quantity": None, "category": "Food"}, {"description": "y", "quantity": 2.5, "category": "Food"}], True),
+    ([{"description": "x", "quantity": 1, "category": "Food"}, {"description": "y", "category": "Food"}], False),
+    ([{"description": "x", "quantity": 1, "category": "Food"}, {"quantity": 1, "category": "Food"}], False),
+    ([{"description": "x", "quantity": 1, "category": "Food"}, {"description": None, "quantity": 1, "category": "Food"}], False),
+    ([{"description": "x", "quantity": 1, "category": "Food"}, {"description": "y", "quantity": 1, "category": None}], False),
+    ([{"description": "x", "quantity": 1, "category": "Food"}, {"description": 5, "quantity": 1, "category": "Food"}], False),
+    ([{"description": "x", "quantity": 1, "category": "Food"}, {"description": "y", "quantity": "1", "category": "Food"}], False),
+    ([{"description": "x", "quantity": 1, "category": "Food"}, {"description": "y", "quantity": 1, "category": "Food", "price": 1}], False),
+    ([{"description": "x", "quantity": 1, "category": "Food"}, None], False),
+    ([{"description": "x", "quantity": 1, "category": "Food"}, "milk"], False),
+    ([None], False),
+    (["milk"], False),
+    ([{}], False),
+])
+def test_every_item_has_its_keys_and_types(spark, items, usable):
+    row = complete(spark, extraction_json(line_items=items))
+    assert row.status == ("completed" if usable else "failed")
