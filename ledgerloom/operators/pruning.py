@@ -18,8 +18,8 @@ PROBES = 2
 MOST_BLOCKS = 1 << 13
 
 
-def _block(key: Column, blocks: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
+def _block(key: Column, blocks: Column) -> Column:
+    return F.pmod(F.xxhash64(key), blocks).cast("int")
 
 
 def _bits(key: Column) -> list[Column]:
@@ -31,10 +31,11 @@ def _is_set(bitmap: Column, bit: Column) -> Column:
     return F.getbit(byte.cast("int"), bit % 8) == 1
 
 
-def key_filter(keys: DataFrame, key: str, most_blocks: int = MOST_BLOCKS) -> tuple[DataFrame, int]:
-    """Bitmaps (block, bitmap) of the bits that the keys set, and the number of blocks."""
+def key_filter(keys: DataFrame, key: str, most_blocks: int = MOST_BLOCKS) -> tuple[DataFrame, Column]:
+    """Bitmaps (block, bitmap) of the bits that the keys set, and the number of blocks; no job runs here."""
     named = keys.select(F.col(key).alias("key")).filter(F.col("key").isNotNull())
-    blocks = min(max(1, -(-named.count() * BITS_PER_KEY // BLOCK_BITS)), most_blocks)
+    needed = F.ceil(F.count("*") * BITS_PER_KEY / BLOCK_BITS)
+    blocks = named.agg(F.greatest(F.lit(1), F.least(needed, F.lit(most_blocks))).cast("bigint").alias("blocks")).scalar()
     bits = named.select(_block(F.col("key"), blocks).alias("block"), F.explode(F.array(*_bits(F.col("key")))).alias("bit"))
     return bits.groupBy("block").agg(F.expr("bitmap_construct_agg(bit)").alias("bitmap")), blocks
 
