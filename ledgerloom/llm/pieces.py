@@ -12,8 +12,9 @@ the model's space mark, while a space mark in the text itself, like every charac
 is spelt in byte pieces. So decoding gives back each text exactly.
 
 No piece reaches over the start of a word (a run of blanks and what follows it), so the lattice falls
-apart into words. The distinct words of a group of rows are filtered together, and all its words are
-sampled together, one piece a step. Whole texts are encoded; a word may be of any length.
+apart into words. A worker remembers the filtered lattices of words it has met, up to a bound; the new words of a group of rows are
+filtered together, and all its words are sampled together, one piece a step. A word's lattice does not depend on the
+words beside it, so what a worker remembers changes no result. Whole texts are encoded; a word may be of any length.
 
 Defined cases: a null text has null ids and decodes to null, an empty one has none; a null key seeds like
 the word "null"; rows that repeat a key and text get the same ids; an empty table gives an empty
@@ -22,6 +23,8 @@ result; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
+import itertools
 import math
 import re
 from collections.abc import Iterator
@@ -38,6 +41,8 @@ SPACE_MARK = "▁"
 WORD = re.compile(" *[^ ]+| +")
 CHUNK_CHARACTERS = 500_000
 ROWS_AT_ONCE = 1000
+#: Ways (pieces between two places) of the lattices that a worker remembers, 16 bytes each.
+MOST_WAYS = 2_500_000
 
 class Vocabulary:
     """Pieces of a model file as a trie with log weights, and what each id decodes to."""
@@ -68,6 +73,7 @@ class Vocabulary:
                 self.pieces[raw] = sharpness * weigh(scores[i]), i
         self.byte_weight = min(weight for weight, _ in self.pieces.values()) - math.log(256)
         self._build_trie()
+        self.known = KnownWords(self)
 
     def _build_trie(self) -> None:
         nodes, edges = {"": 0}, {}
@@ -161,6 +167,90 @@ class Lattice:
         self.bound = (end << 33) + bound
 
 
+class KnownWords:
+    """Filtered lattices of many words behind each other, added to as words come."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary = vocabulary
+        self.number: dict[str, int] = {}
+        self.begin, self.end, self.ways = np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(1, np.int64)
+        self.start, self.piece, self.bound = np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0, np.int64)
+        self.first = np.empty(0, np.int32)  # per position its first way
+        self.used = np.empty(0, np.int64)
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        """The number of each word; new ones are filtered first."""
+        if len(self.bound) > MOST_WAYS:
+            self._forget()
+        found = np.fromiter(map(self.number.get, words, itertools.repeat(-1)), np.int64, len(words))
+        unknown = np.flatnonzero(found < 0).tolist()
+        if unknown:
+            self._add(list(dict.fromkeys(words[k] for k in unknown)))
+            found[unknown] = [self.number[words[k]] for k in unknown]
+        self.used += np.bincount(found, minlength=len(self.used))
+        return found
+
+    def _add(self, words: list[str]) -> None:
+        new = Lattice(words, self.vocabulary)
+        shift = int(self.end[-1]) + 1 if len(self.end) else 0
+        ways = np.searchsorted(new.bound >> 33, new.end, side="right")
+        self.first = np.append(self.first, self._firsts(new.bound, int(new.end[-1]) + 1) + np.int32(len(self.bound)))
+        self.number.update(zip(words, range(len(self.number), len(self.number) + len(words))))
+        self.begin, self.end = np.append(self.begin, new.begin + shift), np.append(self.end, new.end + shift)
+        self.ways = np.append(self.ways, self.ways[-1] + ways)
+        self.start = np.append(self.start, (new.start + shift).astype(np.int32))
+        self.piece = np.append(self.piece, new.piece.astype(np.int32))
+        self.bound = np.append(self.bound, new.bound + (shift << 33))
+        self.used = np.append(self.used, np.zeros(len(words), np.int64))
+
+    @staticmethod
+    def _firsts(bound: np.ndarray, positions: int) -> np.ndarray:
+        return np.searchsorted(bound >> 33, np.arange(positions)).astype(np.int32)
+
+    def drawn(self, at: np.ndarray, draw: np.ndarray) -> np.ndarray:
+        """For each position the way into it whose share of the sum a draw of 32 bits falls in."""
+        way, key = self.first[at], (at << 33) + draw
+        below = np.arange(len(at))
+        while len(below):
+            below = below[self.bound[way[below]] <= key[below]]
+            way[below] += 1
+        return way
+
+    def _forget(self) -> None:
+        """Keep the words that were used most, up to half of the ways."""
+        order = np.argsort(-self.used, kind="stable")
+        sizes = np.diff(self.ways)
+        keep = np.sort(order[sizes[order].cumsum() <= MOST_WAYS // 2])
+        words = list(self.number)  # in the order of their numbers
+        self.number = {words[k]: n for n, k in enumerate(keep.tolist())}
+        sizes, lengths = sizes[keep], (self.end - self.begin)[keep]
+        rows = np.repeat(self.ways[keep] - sizes.cumsum() + sizes, sizes) + np.arange(sizes.sum())
+        end = (lengths + 1).cumsum() - 1
+        moved = end - lengths - self.begin[keep]
+        shift = np.repeat(moved, sizes)
+        self.start, self.piece = (self.start[rows] + shift).astype(np.int32), self.piece[rows]
+        self.bound = self.bound[rows] + (shift << 33)
+        self.begin, self.end, self.ways = end - lengths, end, np.r_[0, sizes.cumsum()]
+        self.first = self._firsts(self.bound, int(end[-1]) + 1 if len(end) else 0)
+        self.used = np.zeros(len(keep), np.int64)
+
+
+@functools.lru_cache(maxsize=1)
+def vocabulary_of(model_file: str, sharpness: float) -> Vocabulary:
+    """One a worker, which serves its later tasks as well."""
+    return Vocabulary(model_file, sharpness)
+
+
+@functools.lru_cache(maxsize=1)
+def meanings_of(model_file: str) -> np.ndarray:
+    """What each id decodes to."""
+    model = sentencepiece.SentencePieceProcessor(model_file=model_file)
+    names = [model.id_to_piece(i) for i in range(model.get_piece_size())]
+    hidden = lambda i: model.is_control(i) or model.is_unknown(i) or model.is_unused(i)
+    spelt = lambda i, name: bytes([int(name[3:-1], 16)]) if model.is_byte(i) else name.replace(SPACE_MARK, " ").encode()
+    return np.array([b"" if hidden(i) else spelt(i, name) for i, name in enumerate(names)], dtype=object)
+
+
 _STEP, _PLACE = 0x9E3779B97F4A7C15, np.uint64(0xD1342543DE82EF95)
 
 
@@ -174,13 +264,12 @@ def draws(seed: np.ndarray, place: np.ndarray, step: int) -> np.ndarray:
 
 def sampled(texts: list[str], seeds: list[int], vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """Ids of one sampled segmentation of each text, one after the other, and how many each has."""
-    number: dict[str, int] = {}
     parts = [WORD.findall(t) for t in texts]
-    words = np.array([number.setdefault(w, len(number)) for part in parts for w in part], np.int64)
     per_text = np.array([len(part) for part in parts], np.int64)
-    if not len(words):
+    if not per_text.sum():
         return np.zeros(0, np.int32), per_text
-    lattice = Lattice(list(number), vocabulary)
+    lattice = vocabulary.known
+    words = lattice.numbers(list(itertools.chain.from_iterable(parts)))
     text = np.repeat(np.arange(len(texts)), per_text)
     seed = np.array(seeds, np.uint64)[text]
     place = np.arange(len(words)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
@@ -189,10 +278,10 @@ def sampled(texts: list[str], seeds: list[int], vocabulary: Vocabulary) -> tuple
     taken, length = [], np.zeros(len(words), np.int64)
     while len(open_words):
         drawn = draws(seed[open_words], place[open_words], len(taken))
-        way = np.searchsorted(lattice.bound, (at << 33) + drawn, side="right")
+        way = lattice.drawn(at, drawn)
         taken.append((open_words, way))
         length[open_words] += 1
-        at = lattice.start[way]
+        at = lattice.start[way].astype(np.int64)
         going = at > stop[open_words]
         open_words, at = open_words[going], at[going]
     after = np.cumsum(length)
@@ -238,7 +327,7 @@ def encoded(documents: DataFrame, model_file: str, key: str = "doc_id", text: st
     rows = documents.select(F.col(key).alias("key"), F.col(text).alias("text"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(model_file, sharpness)
+        vocabulary = vocabulary_of(model_file, sharpness)
         for whole in _slices(batches):
             texts = whole.column("text").to_pylist()
             seeds = [row_seed(k, seed) for k in whole.column("key").to_pylist()]
@@ -260,7 +349,7 @@ def decoded(rows: DataFrame, model_file: str, ids: str = "ids") -> DataFrame:
     schema = ", ".join([*(f"`{name}` {kind}" for name, kind in kept.dtypes), "decoded string"])
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        meaning = np.array(Vocabulary(model_file).meaning, dtype=object)
+        meaning = meanings_of(model_file)
         for batch in _slices(batches):
             lists = batch.column(ids)
             texts = [b"".join(meaning[x.values.to_numpy()]).decode() if x.is_valid else None for x in lists]

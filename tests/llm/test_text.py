@@ -333,3 +333,18 @@ def test_toxicity_without_two_grades(spark):
         model = toxicity.fit(docs, labelled(spark, rows), toxicity.F.lit(True))
         assert {(r.severity, r.grade) for r in toxicity.severities(docs, model).collect()} == {(float(grade), grade)}
     assert toxicity.severities(empty(spark), model).count() == 0
+
+
+def test_a_worker_that_forgets_words_draws_the_same_pieces(vocabulary, monkeypatch):
+    texts = [LONG[:3000], "aab bba  abab aab", "", "ßé漢 🙂 aab", LONG[2000:6000], "aab bba  abab aab"]
+    seeds = list(range(len(texts)))
+    fresh = pieces.Vocabulary(MODEL)
+    whole = pieces.sampled(texts, seeds, fresh)
+    monkeypatch.setattr(pieces, "MOST_WAYS", 300)
+    small = pieces.Vocabulary(MODEL)
+    for _ in range(2):
+        parts = [pieces.sampled([t], [s], small) for t, s in zip(texts, seeds)]
+        assert [x for ids, _ in parts for x in ids.tolist()] == whole[0].tolist()
+        assert [int(c[0]) for _, c in parts] == whole[1].tolist()
+    assert len(small.known.number) < len(fresh.known.number)
+    assert list(pieces.meanings_of(MODEL)) == fresh.meaning
