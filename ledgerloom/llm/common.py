@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..sources.sinks import new_folder, written
 
-__all__ = ["ASCII_SPACES", "bodies", "components", "folded", "held_out", "kept_and_body", "new_folder", "ranked", "table", "with_group", "words_of", "written"]
+__all__ = ["ASCII_SPACES", "bodies", "components", "folded", "held_out", "kept_and_body", "new_folder", "ranked", "release_memory", "table", "with_group", "words_of", "written"]
 
 # The ASCII white space of the contracts, as a Java and RE2 class.
 ASCII_SPACES = r"[\x20\x09-\x0D]+"
@@ -31,6 +34,13 @@ def words_of(text: bytes | None) -> list[bytes]:
     return text.translate(_FOLD).split() if text else []
 
 
+def release_memory() -> None:
+    """Give back what this task no longer uses: a worker may wait long for its next task."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only some C libraries can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

@@ -32,7 +32,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import written
+from .common import release_memory, written
 
 LONGEST = 3
 LEAST = 10
@@ -40,11 +40,12 @@ TOP = 2000
 #: A phrase goes if a longer one that holds it has this percentage of its occurrences.
 HELD_PERCENT = 50
 NO_LANGUAGE = "und"
+LEAST_SALTS = 16
 #: Text of a portion, and text whose runs make up one hash partition.
 PORTION_BYTES = 8 << 20
-PART_BYTES = 64 << 20
-#: Partitions whose masses are broadcast, 16 bytes each; more are joined.
-MOST_MASSES = 1 << 20
+PART_BYTES = 32 << 20
+#: Counters of a summary, as a multiple of the least number that keeps every frequent run; with more, fewer others survive.
+SPARE = 2
 
 # Characters that end a piece.
 PIECE_ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
@@ -66,7 +67,7 @@ class Words:
         found = pc.split_pattern(spaced, b" ").flatten()
         found = found.filter(pc.greater(pc.binary_length(found), 0)).dictionary_encode()
         self.distinct = found.dictionary
-        self.ids = found.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        self.ids = found.indices.to_numpy(zero_copy_only=False)
         self.inside = self.ids != pc.index(self.distinct, pa.scalar(BREAK, pa.large_binary())).as_py()
 
     def starts(self, size: int) -> np.ndarray:
@@ -103,40 +104,66 @@ def _names(hashes: np.ndarray, parts: int) -> np.ndarray:
     return (high * np.uint64(parts) >> np.uint64(32)) << np.uint64(32) | _mixed(low + high * np.uint64(0x85EBCA6B)) & np.uint64(0xFFFFFFFF)
 
 
+LOW = np.uint64(0xFFFFFFFF)
+
+
 class Summary:
-    """A Misra-Gries summary of fixed capacity; what is taken off counters is bounded by mass over capacity."""
+    """A Misra-Gries summary of fixed capacity; what is taken off counters is bounded by mass over capacity.
+
+    A counter is one number, the name above its count, so that merging is one sort. A count stops at 2 ** 32 - 1, which
+    is beyond any least count.
+    """
 
     def __init__(self, capacity: int):
         self.capacity, self.lost = capacity, 0
-        self.names, self.counts = np.empty(0, np.uint32), np.empty(0, np.int64)
-        self.waiting: list[tuple[np.ndarray, np.ndarray]] = []
+        self.counters = np.empty(0, np.uint64)
+        self.waiting: list[np.ndarray] = []
         self.held = 0
 
     def add(self, names: np.ndarray, counts: np.ndarray) -> None:
-        self.waiting.append((names, counts))
+        self.waiting.append(names.astype(np.uint64) << np.uint64(32) | counts.astype(np.uint64))
         self.held += len(names)
         if self.held > self.capacity:
             self.merge()
 
     def merge(self) -> None:
-        names = np.concatenate([self.names, *(n for n, _ in self.waiting)])
-        counts = np.concatenate([self.counts, *(c for _, c in self.waiting)])
+        every = np.concatenate([self.counters, *self.waiting])
         self.waiting, self.held = [], 0
-        order = np.argsort(names, kind="stable")
-        names = names[order]
-        firsts = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]])) if len(names) else np.empty(0, np.int64)
-        self.names = names[firsts]
-        self.counts = np.add.reduceat(counts[order], firsts) if len(firsts) else np.empty(0, np.int64)
-        if len(self.names) > self.capacity:
-            off = int(np.partition(self.counts, -self.capacity - 1)[-self.capacity - 1])
-            self.lost += off
-            left = self.counts > off
-            self.names, self.counts = self.names[left], self.counts[left] - off
+        every.sort()
+        firsts = np.flatnonzero(np.concatenate([[len(every) > 0], (every[1:] ^ every[:-1]) > LOW]))
+        if len(firsts) == 0:
+            return
+        names, counts = every[firsts] & ~LOW, np.add.reduceat(every & LOW, firsts)
+        if len(names) > self.capacity:
+            off = np.partition(counts, -self.capacity - 1)[-self.capacity - 1]
+            self.lost += int(off)
+            left = counts > off
+            names, counts = names[left], counts[left] - off
+        self.counters = names | np.minimum(counts, LOW)
 
     def reaching(self, least: int) -> np.ndarray:
         """Names, in order, that may occur so often."""
         self.merge()
-        return self.names[self.counts + self.lost >= least]
+        able = (self.counters & LOW) + np.uint64(self.lost) >= np.uint64(least)
+        return (self.counters[able] >> np.uint64(32)).astype(np.uint32)
+
+
+def packed_names(names: np.ndarray) -> bytes:
+    """Sorted names as their gaps, byte by byte of all gaps, compressed: about half their size."""
+    return _planes(np.diff(names, prepend=np.uint32(0)))
+
+
+def names_of(packed: bytes) -> np.ndarray:
+    return _numbers(packed).cumsum(dtype=np.uint32)
+
+
+def _planes(numbers: np.ndarray) -> bytes:
+    return zstandard.compress(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def _numbers(packed: bytes) -> np.ndarray:
+    raw = np.frombuffer(zstandard.decompress(packed), np.uint8)
+    return np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").reshape(-1)
 
 
 # steps -----------------------------------------------------------------------------------
@@ -146,14 +173,16 @@ def _portions(portion_bytes: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[bytes]] = {}
         sizes: dict[str, int] = {}
-        number = TaskContext.get().partitionId() << 32
+        task, number = TaskContext.get().partitionId(), 0
 
         def flushed(language: str) -> pa.RecordBatch:
             nonlocal number
             number += 1
+            # Numbers of one language lie together: 15 bits of its hash, 24 of the task, 24 of the place in the task.
+            name = (xxhash.xxh32_intdigest(language.encode()) & 0x7FFF) << 48 | task << 24 | number
             body = zstandard.compress(b"\n".join(held.pop(language)).translate(NORMAL), 1)
             del sizes[language]
-            return pa.RecordBatch.from_pydict({"portion": [number], "lang": [language], "body": pa.array([body], pa.binary())})
+            return pa.RecordBatch.from_pydict({"portion": [name], "lang": [language], "body": pa.array([body], pa.binary())})
 
         for batch in batches:
             for language, body in zip(batch.column("lang").to_pylist(), batch.column("body")):
@@ -166,17 +195,29 @@ def _portions(portion_bytes: int):
                     yield flushed(max(sizes, key=sizes.get))
         for language in list(held):
             yield flushed(language)
+        release_memory()
 
     return pack
 
 
+def _counted_names(words: Words, language: str, parts: int, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct names of all runs, in order, and how often each occurs."""
+    every, held = np.empty(longest * len(words.ids), np.uint64), 0
+    for places, hashes in words.hashes(language, longest):
+        every[held : held + len(places)] = _names(hashes, parts)
+        held += len(places)
+    every = every[:held]
+    every.sort()
+    firsts = np.flatnonzero(np.concatenate([[held > 0], every[1:] != every[:-1]]))
+    return every[firsts], np.diff(firsts, append=held)
+
+
 def _summaries(parts: int, longest: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for portion, language, body in zip(*(batch.column(n) for n in ("portion", "lang", "body"))):
                 words = Words(zstandard.decompress(body.as_buffer()))
-                runs = [_names(h, parts) for _, h in words.hashes(language.as_py(), longest)]
-                names, counts = np.unique(np.concatenate(runs), return_counts=True)
+                names, counts = _counted_names(words, language.as_py(), parts, longest)
                 cuts = np.flatnonzero(np.diff(names >> np.uint64(32), prepend=np.uint64(parts))) if len(names) else []
                 ends = [*cuts[1:], len(names)]
                 low = names.astype(np.uint32)
@@ -185,38 +226,15 @@ def _summaries(parts: int, longest: int):
                         "portion": pa.array([portion.as_py()] * len(cuts), pa.int64()),
                         "part": pa.array([int(names[a] >> np.uint64(32)) for a in cuts], pa.int64()),
                         "mass": pa.array([int(counts[a:b].sum()) for a, b in zip(cuts, ends)], pa.int64()),
-                        "names": pa.array([low[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary()),
-                        "counts": pa.array([counts[a:b].astype(np.uint32).tobytes() for a, b in zip(cuts, ends)], pa.binary()),
+                        "names": pa.array([packed_names(low[a:b]) for a, b in zip(cuts, ends)], pa.binary()),
+                        "counts": pa.array([_planes(counts[a:b]) for a, b in zip(cuts, ends)], pa.binary()),
                     }
                 )
+        release_memory()
 
     return count
 
 
-def _survivors(least: int):
-    """Rows come by part; each part gives one row."""
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, summary = None, None
-
-        def closed() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict(
-                {"part": pa.array([part], pa.int64()), "names": pa.array([summary.reaching(least).tobytes()], pa.binary())}
-            )
-
-        for batch in batches:
-            for this, mass, names, counts in zip(*(batch.column(n) for n in ("part", "all_mass", "names", "counts"))):
-                if this.as_py() != part:
-                    if summary:
-                        yield closed()
-                    part, summary = this.as_py(), Summary(mass.as_py() // least + 1)
-                summary.add(np.frombuffer(names.as_buffer(), np.uint32), np.frombuffer(counts.as_buffer(), np.uint32).astype(np.int64))
-        if summary:
-            yield closed()
-
-    return merge
-
-
 def _met(names: np.ndarray, kept: np.ndarray) -> np.ndarray:
     """Which of the names are among the sorted ``kept``."""
     if not len(kept):
@@ -225,25 +243,43 @@ def _met(names: np.ndarray, kept: np.ndarray) -> np.ndarray:
     return kept[at] == names
 
 
-def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come by part, its survivors first; each portion's summary shrinks to the names that survive."""
-    kept = None
-    for batch in batches:
-        portions, parts, found = [], [], []
-        for portion, part, names in zip(*(batch.column(n) for n in ("portion", "part", "names"))):
-            these = np.frombuffer(names.as_buffer(), np.uint32)
-            if not portion.is_valid:
-                kept = these
-                continue
-            left = these[_met(these, kept)]
-            if len(left):
-                portions.append(portion.as_py())
-                parts.append(part.as_py())
-                found.append(left.tobytes())
-        yield pa.RecordBatch.from_pydict(
-            {"portion": pa.array(portions, pa.int64()), "part": pa.array(parts, pa.int64()), "names": pa.array(found, pa.binary())}
+def _answers(least: int):
+    """Rows come by part. A part's summaries are merged, and each portion's names shrink to those that survive.
+
+    The capacity follows from the mass of the whole part, so its summaries wait, packed, until all are there: about
+    two bytes for each name that a portion of the part has, which the size of a part bounds.
+    """
+
+    def answered(part: int, waiting: list[tuple[int, int, bytes, bytes]]) -> pa.RecordBatch:
+        summary = Summary(SPARE * sum(mass for _, mass, _, _ in waiting) // least + 1)
+        for _, _, names, counts in waiting:
+            summary.add(names_of(names), _numbers(counts))
+        kept = summary.reaching(least)
+        found = [(portion, these[_met(these, kept)]) for portion, these in ((w[0], names_of(w[2])) for w in waiting)]
+        found = [(portion, packed_names(names)) for portion, names in found if len(names)]
+        return pa.RecordBatch.from_pydict(
+            {
+                "portion": pa.array([portion for portion, _ in found], pa.int64()),
+                "part": pa.array([part] * len(found), pa.int64()),
+                "names": pa.array([names for _, names in found], pa.binary()),
+            }
         )
 
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, waiting = None, []
+        for batch in batches:
+            for portion, this, mass, names, counts in zip(*(batch.column(n) for n in ("portion", "part", "mass", "names", "counts"))):
+                if this.as_py() != part:
+                    if waiting:
+                        yield answered(part, waiting)
+                    part, waiting = this.as_py(), []
+                waiting.append((portion.as_py(), mass.as_py(), names.as_py(), counts.as_py()))
+        if waiting:
+            yield answered(part, waiting)
+        release_memory()
+
+    return merge
+
 
 def _exact(parts: int, longest: int):
     """Rows come by portion, the names that survive first; counts by words."""
@@ -255,13 +291,14 @@ def _exact(parts: int, longest: int):
                 if portion.as_py() != current:
                     current, kept = portion.as_py(), []
                 if not body.is_valid:
-                    kept.append(np.frombuffer(names.as_buffer(), np.uint32).astype(np.uint64) | np.uint64(part.as_py() << 32))
+                    kept.append(names_of(names.as_py()).astype(np.uint64) | np.uint64(part.as_py() << 32))
                     continue
                 words, lang = Words(zstandard.decompress(body.as_buffer())), language.as_py()
                 yield _rows(lang, 0, pa.array([""], pa.large_binary()), np.array([words.inside.sum()]))
                 alive = np.sort(np.concatenate(kept)) if kept else np.empty(0, np.uint64)
                 for size, (places, hashes) in enumerate(words.hashes(lang, longest), 1):
                     yield _counted(words, lang, size, places[_met(_names(hashes, parts), alive)])
+        release_memory()
 
     return count
 
@@ -269,7 +306,7 @@ def _exact(parts: int, longest: int):
 def _counted(words: Words, language: str, size: int, places: np.ndarray) -> pa.RecordBatch:
     """Exact counts of the runs that start at the places, told apart by all their words."""
     many = len(words.distinct)
-    key, bound = words.ids[places], many
+    key, bound = words.ids[places].astype(np.int64), many
     for k in range(1, size):
         if bound * many >= 1 << 63:
             kinds, key = np.unique(key, return_inverse=True)
@@ -309,27 +346,17 @@ def frequent_runs(
     portions = written(rows.mapInArrow(_portions(portion_bytes), "portion bigint, lang string, body binary"))
     size = rows.agg(F.sum(F.octet_length("body")).alias("bytes")).first()["bytes"] or 0
     parts = max(1, -(-size // part_bytes))
-    summaries = written(
-        portions.mapInArrow(_summaries(parts, longest), "portion bigint, part bigint, mass bigint, names binary, counts binary")
-    )
-    masses = summaries.groupBy("part").agg(F.sum("mass").alias("all_mass"))
-    if parts <= MOST_MASSES:
-        masses = F.broadcast(masses)
-    by_part = summaries.join(masses, "part").select("part", "all_mass", "names", "counts")
-    by_part = by_part.repartition("part").sortWithinPartitions("part")
-    kept = written(by_part.mapInArrow(_survivors(least), "part bigint, names binary"))
-
-    asked = kept.select(F.lit(None).cast("bigint").alias("portion"), "part", "names")
-    asked = asked.unionByName(summaries.select("portion", "part", "names"))
-    asked = asked.repartition("part").sortWithinPartitions(F.col("part"), F.col("portion").asc_nulls_first())
-    answers = written(asked.mapInArrow(_answers, "portion bigint, part bigint, names binary"))
+    summaries = portions.mapInArrow(_summaries(parts, longest), "portion bigint, part bigint, mass bigint, names binary, counts binary")
+    by_part = summaries.repartition("part").sortWithinPartitions("part")
+    answers = written(by_part.mapInArrow(_answers(least), "portion bigint, part bigint, names binary"))
 
     nothing = F.lit(None)
     told = answers.select("portion", "part", "names", nothing.cast("string").alias("lang"), nothing.cast("binary").alias("body"))
     told = told.unionByName(
         portions.select("portion", nothing.cast("bigint").alias("part"), nothing.cast("binary").alias("names"), "lang", "body")
     )
-    told = told.repartition("portion").sortWithinPartitions(F.col("portion"), F.col("part").asc_nulls_last())
+    # By range: portions of one language are neighbours, so a task's counts of them add up before the shuffle.
+    told = told.repartitionByRange("portion").sortWithinPartitions(F.col("portion"), F.col("part").asc_nulls_last())
     counted = told.mapInArrow(_exact(parts, longest), "lang string, size int, phrase string, n bigint")
     sums = counted.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n"))
     return sums.where((F.col("size") == 0) | (F.col("n") >= least))
@@ -378,12 +405,15 @@ def collocations(
     )
     scored = written(left.select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score"))
 
-    # The first of every salt, then the first of those, so that no task sorts a whole language.
-    salts = max(1, scored.count() // (20 * top))
     order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase").asc()]
-    salt = F.pmod(F.xxhash64("phrase"), F.lit(salts))
-    some = scored.withColumn("salt", salt).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order)))
-    some = some.where(F.col("rank") <= top).drop("rank", "salt")
-    first = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
+    best_of = lambda rows, *key: rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang", *key).orderBy(*order))).where(F.col("rank") <= top)
+    # A language may hold most phrases: the first of every salt of it, and again, until those are few enough for one task.
+    left, some = scored.count(), scored
+    salts = max(LEAST_SALTS, left // (20 * top))
+    while left > 2 * LEAST_SALTS * top or salts == LEAST_SALTS:
+        some = best_of(some.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(salts))), "salt").drop("rank", "salt")
+        left = salts * top
+        salts = left // (20 * top)
+    first = best_of(some)
     words = runs.where("size = 0").select("lang", "n")
     return first.join(words, "lang").select("lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "l", "r", "n", "score")

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 
@@ -128,20 +129,20 @@ def test_no_file_for_an_empty_table(spark):
     assert token_files.written_and_read(empty(spark), VOCABULARY, TOKEN_END).count() == 0
 
 
-@settings(deadline=None, max_examples=100)
-@given(st.lists(st.text("ab' ,.\n\t\r　\xa0\x1c1é<|endoftext|>", max_size=40), min_size=1, max_size=5))
+@settings(deadline=None, max_examples=400)
+@given(st.lists(st.text("ab'_s ,.-\n\t\r　\xa0\x1c1é²’漢<|endoftext|>", max_size=40) | st.text("ab, \n", max_size=12), min_size=1, max_size=6))
 def test_units_have_the_ids_of_the_whole_text(texts):
     coder = token_files._coder(VOCABULARY)
-    found = [ids.tolist() for ids in coder.encode(texts, 7)]
+    found = [ids.tolist() for ids in coder.encode(pa.array(texts, pa.string()), 7)]
     assert found == [coder.tokenizer.encode(t, add_special_tokens=False).ids + [7] for t in texts]
 
 
 def test_a_coder_that_forgets_gives_the_same_ids(monkeypatch):
     monkeypatch.setattr(token_files, "MOST_UNITS", 50)
-    monkeypatch.setattr(token_files, "STEP_UNITS", 16)
+    monkeypatch.setattr(token_files, "STEP_BYTES", 100)
     coder = token_files.UnitCoder(VOCABULARY)
     texts = [t or "" for _, t in MESSY] + [LONG[:5000], "x" * 5000, "漢字" * 500]
-    assert [i.tolist() for i in coder.encode(texts, 2)] == [tokenizer().encode(t, add_special_tokens=False).ids + [2] for t in texts]
+    assert [i.tolist() for i in coder.encode(pa.array(texts, pa.string()), 2)] == [tokenizer().encode(t, add_special_tokens=False).ids + [2] for t in texts]
 
 
 @settings(deadline=None, max_examples=60)
@@ -236,7 +237,21 @@ def test_summaries_keep_every_frequent_name(parts, least):
         summary.add(np.array(names, np.uint32), np.array([part[k] for k in names], np.int64))
     kept = set(summary.reaching(least).tolist())
     assert {k for k, c in whole.items() if c >= least} <= kept
-    assert len(summary.names) <= summary.capacity and summary.lost * (summary.capacity + 1) <= mass
+    assert len(summary.counters) <= summary.capacity and summary.lost * (summary.capacity + 1) <= mass
+
+
+def test_a_count_beyond_32_bits_stays_a_survivor():
+    summary = phrases.Summary(2)
+    for _ in range(3):
+        summary.add(np.array([5, 6, 7], np.uint32), np.array([2**32 - 1, 1, 1], np.int64))
+    assert 5 in summary.reaching(10) and phrases.Summary(5).reaching(1).tolist() == []
+
+
+@settings(deadline=None, max_examples=60)
+@given(st.sets(st.integers(0, 2**32 - 1), max_size=40))
+def test_packed_names_come_back(names):
+    names = np.array(sorted(names), np.uint32)
+    assert phrases.names_of(phrases.packed_names(names)).tolist() == names.tolist()
 
 
 def test_summaries_do_drop_rare_names():
@@ -244,7 +259,7 @@ def test_summaries_do_drop_rare_names():
     for start in range(0, 9_000, 500):
         summary.add(np.arange(start, start + 500, dtype=np.uint32), np.ones(500, np.int64))
     summary.add(np.array([77], np.uint32), np.array([1_000], np.int64))
-    assert 77 in summary.reaching(10) and len(summary.names) <= 1_001
+    assert 77 in summary.reaching(10) and len(summary.counters) <= 1_001
 
 
 def test_equal_names_of_other_words_are_counted_apart(spark, monkeypatch):
