@@ -64,18 +64,24 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 def _words(data: np.ndarray) -> np.ndarray:
     """The eight bytes from every position on, as one number (along the last axis)."""
+    if data.ndim == 1:
+        found = np.empty(len(data) - 7, np.uint64)
+        for start in range(min(8, len(found))):
+            whole = (len(data) - start) // 8
+            found[start::8] = np.frombuffer(data, "<u8", whole, start)
+        return found
     view = np.lib.stride_tricks.sliding_window_view(data, 8, axis=-1)
     return np.ascontiguousarray(view).view(np.uint64)[..., 0]
 
 
 def _hash(words: np.ndarray, offsets: list[int], width: int) -> np.ndarray:
-    """Hash of the strings that the words at these offsets make up, from ``width`` positions on."""
-    h = np.zeros(words.shape[:-1] + (width,), np.uint64)
-    for at in offsets:
-        h += words[..., at : at + width]
+    """Hash of the strings that the words at these offsets make up, from ``width`` positions on: a polynomial of the
+    words, scrambled at the end."""
+    h = words[..., offsets[0] : offsets[0] + width] + _M3
+    for at in offsets[1:]:
         h *= _M1
-        h ^= h >> np.uint64(32)
-    return _mixed(h)
+        h += words[..., at : at + width]
+    return _mixed(h * _M2)
 
 
 def _slid(values: np.ndarray, width: int, pick) -> np.ndarray:
@@ -97,16 +103,18 @@ def covered(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     names = _hash(_words(data), list(range(0, GRAM, 8)), n - GRAM + 1) >> np.uint64(64 - NAME_BITS)
     starts = np.r_[0, ends[:-1]]
-    least = _slid(names, SIDE + 1, np.minimum) + np.uint64(1)  # by window start
+    # The leading bits choose; names that share them are covered together.
+    rank = (names >> np.uint64(NAME_BITS - 31)).astype(np.uint32) + np.uint32(1)
+    least = _slid(rank, SIDE + 1, np.minimum)  # by window start
     inside = np.zeros(n + 1, np.int32)
     long = ends - starts >= LENGTH
     np.add.at(inside, starts[long], 1)
     np.add.at(inside, ends[long] - LENGTH + 1, -1)
     least[np.cumsum(inside)[: len(least)] == 0] = 0
-    padding = np.zeros(SIDE, np.uint64)
+    padding = np.zeros(SIDE, np.uint32)
     # A gram is covered if it is the least of some window that holds it.
     most = _slid(np.concatenate([padding, least, padding]), SIDE + 1, np.maximum)
-    at = np.flatnonzero(most[: len(names)] == names + np.uint64(1))
+    at = np.flatnonzero(most[: len(names)] == rank)
     return at, names[at]
 
 
@@ -483,17 +491,17 @@ def _remove(shared, bits: int):
     spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     window = np.arange(STARTS)
 
-    def cut(body: bytes, places: np.ndarray, met: list | None) -> list[list[int]]:
-        found = np.array([(x["place"], x["starts"]) for x in met or ()], np.int64).reshape(-1, 2)
+    def cut(body: bytes, places: np.ndarray, place: np.ndarray, starts: np.ndarray) -> list[list[int]]:
         # A covered place with a repeated name is its owner's or lost.
-        lost = np.setdiff1d(places, found[found[:, 1] == 0, 0])
-        full = _as_bits(_valid(np.minimum(lost, SIDE), np.minimum(len(body) - lost - GRAM, SIDE)))
-        part = found[found[:, 1] != 0]
-        if not len(lost) and not len(part):
+        lost = places[~np.isin(places, place[starts == 0])] if len(place) else places
+        some = starts != 0
+        if not len(lost) and not some.any():
             return []
-        starts = np.concatenate([full.astype(np.int64), part[:, 1]])
+        lost = np.unique(lost)
+        full = _as_bits(_valid(np.minimum(lost, SIDE), np.minimum(len(body) - lost - GRAM, SIDE)))
+        place, starts = np.concatenate([lost, place[some]]), np.concatenate([full.astype(np.int64), starts[some]])
         row, start = np.nonzero((starts[:, None] >> window) & 1)
-        begin = np.concatenate([lost, part[:, 0]])[row] - SIDE + start
+        begin = place[row] - SIDE + start
         depth = np.zeros(len(body) + 1, np.int32)
         np.add.at(depth, begin, 1)
         np.add.at(depth, begin + LENGTH, -1)
@@ -509,9 +517,13 @@ def _remove(shared, bits: int):
                 bodies = [unpack(p) for p in rows.column("packed").to_pylist()]
                 document, place, _ = _marked(bodies, chosen)
                 edges = np.searchsorted(document, np.arange(len(bodies) + 1))
+                met = rows.column("met")
+                told = np.r_[0, pc.fill_null(pc.list_value_length(met), 0).to_numpy().cumsum()]
+                at, starts = (met.flatten().field(n).to_numpy().astype(np.int64) for n in ("place", "starts"))
                 all_spans, kept = [], []
-                for i, (body, met) in enumerate(zip(bodies, rows.column("met").to_pylist())):
-                    spans = cut(body, place[edges[i] : edges[i + 1]], met)
+                for i, body in enumerate(bodies):
+                    mine = slice(told[i], told[i + 1])
+                    spans = cut(body, place[edges[i] : edges[i + 1]], at[mine], starts[mine])
                     ends = [0, *(x for span in spans for x in span), len(body)]
                     all_spans.append([{"start": a, "end": b} for a, b in spans])
                     kept.append(b"".join(body[a:b] for a, b in zip(ends[::2], ends[1::2])))
