@@ -130,6 +130,13 @@ def test_one_document_of_each_group_stays(spark, folder):
     assert len(out(spark, corpus_pipeline.drop_near_copies, twice, folder)) == 3
 
 
+def test_a_column_named_like_the_mark_stays(spark, folder):
+    rows = documents(spark, [(1, prose(1)), (2, prose(1)), (3, prose(2))]).selectExpr("*", "concat('m', doc_id) as _mark", "'n' as __mark")
+    kept = corpus_pipeline.drop_near_copies(spark, rows, folder)
+    assert kept.columns == rows.columns
+    assert sorted((r.doc_id, r["_mark"], r["__mark"]) for r in kept.collect()) == [(1, "m1", "n"), (3, "m3", "n")]
+
+
 def test_contaminated_documents_go(spark, folder):
     test_words = "Alpha, beta gamma; delta epsilon zeta eta THETA iota kappa"
     texts = [(1, f"x {test_words} y"), (2, "alpha beta gamma delta epsilon zeta eta theta iota"), (3, None), (4, ""), (None, "x"), (6, LONG + " " + test_words)]
