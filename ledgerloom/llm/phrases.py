@@ -42,7 +42,7 @@ HELD_PERCENT = 50
 NO_LANGUAGE = "und"
 LEAST_SALTS = 16
 #: Text of a portion, and text whose runs make up one hash partition.
-PORTION_BYTES = 8 << 20
+PORTION_BYTES = 6 << 20
 PART_BYTES = 32 << 20
 #: Counters of a summary, as a multiple of the least number that keeps every frequent run; with more, fewer others survive.
 SPARE = 2
@@ -68,6 +68,8 @@ class Words:
         found = found.filter(pc.greater(pc.binary_length(found), 0)).dictionary_encode()
         self.distinct = found.dictionary
         self.ids = found.indices.to_numpy(zero_copy_only=False)
+        del spaced, found
+        pa.default_memory_pool().release_unused()
         self.inside = self.ids != pc.index(self.distinct, pa.scalar(BREAK, pa.large_binary())).as_py()
 
     def starts(self, size: int) -> np.ndarray:
@@ -294,6 +296,7 @@ def _exact(parts: int, longest: int):
                     kept.append(names_of(names.as_py()).astype(np.uint64) | np.uint64(part.as_py() << 32))
                     continue
                 words, lang = Words(zstandard.decompress(body.as_buffer())), language.as_py()
+                release_memory()
                 yield _rows(lang, 0, pa.array([""], pa.large_binary()), np.array([words.inside.sum()]))
                 alive = np.sort(np.concatenate(kept)) if kept else np.empty(0, np.uint64)
                 for size, (places, hashes) in enumerate(words.hashes(lang, longest), 1):
