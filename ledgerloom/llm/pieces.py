@@ -35,6 +35,8 @@ import sentencepiece
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from .common import release_memory
+
 SHARPNESS = 0.5
 SEED = 20_240_229
 SPACE_MARK = "▁"
@@ -349,6 +351,9 @@ def decoded(rows: DataFrame, model_file: str, ids: str = "ids") -> DataFrame:
     schema = ", ".join([*(f"`{name}` {kind}" for name, kind in kept.dtypes), "decoded string"])
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Workers change roles from task to task; one that decodes needs no lattices.
+        vocabulary_of.cache_clear()
+        release_memory()
         meaning = meanings_of(model_file)
         for batch in _slices(batches):
             lists = batch.column(ids)
