@@ -1,6 +1,7 @@
 """The current status of receipts and the first copy of each submission, kept as streams arrive.
 
-Both keep one small record per key in Spark's state store, whatever the number of rows of a key, and tell only changes. A change is
+Both keep one small record per key in Spark's state store, whatever the number of rows of a key, and tell only changes. Records are
+read and stored by buckets of keys, because a call of Python per key would cost far more than the key's rows. A change is
 stored under its micro-batch, so the row of the largest batch is the current one, and a batch that is repeated after a
 failure replaces its own rows. Results equal those of the batch operators for all rows that are not late.
 
@@ -19,71 +20,77 @@ from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.duplicates import KEY, complete_key, keyed
 from ..schemas import COMPLETED, PENDING
 from ..sources.sinks import write_table
 
+#: Buckets of keys: a micro-batch reads and stores the records of each bucket that it has a row of. The number belongs to the
+#: checkpoint; more buckets make small micro-batches over very many keys cheaper, and large ones dearer.
+BUCKETS = 1 << 14
 PROVIDER_SETTING = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-class _Kept(StatefulProcessor):
-    """One record per key: ``best`` of the record and the key's new rows; a change gives a row."""
+class _Kept:
+    """What is kept of one key: the ``better`` of its records; ``columns`` name a record's values."""
 
-    def __init__(self, shape: str, columns: list[str], retention_ms: int):
-        self.shape, self.columns, self.retention_ms = shape, columns, retention_ms
+    columns: list[str]
 
-    def best(self, rows: pd.DataFrame) -> tuple:
+    def better(self, old: tuple, new: tuple) -> tuple:
         raise NotImplementedError
 
-    def init(self, handle) -> None:
-        self.handle = handle
-        self.kept = handle.getValueState("kept", self.shape + ", newest bigint")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        old = tuple(self.kept.get()) if self.kept.exists() else None
-        new, newest = (old[:-1], old[-1]) if old else (None, 0)
-        for part in rows:
-            newest = max(newest, int(part["at"].max()))
-            known = part if new is None else pd.concat([pd.DataFrame([new], columns=self.columns), part[self.columns]])
-            new = self.best(known)
-        if old is None or newest != old[-1] or new != old[:-1]:
-            self.kept.update((*new, newest))
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer[0] if isinstance(timer, tuple) else timer)
-            self.handle.registerTimer(newest // 1000 + self.retention_ms)
-        if old is None or new != old[:-1]:
-            yield pd.DataFrame([(*key, *new)])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.kept.clear()
-        return iter(())
-
-    def close(self) -> None:
-        pass
-
 
 class LatestStatus(_Kept):
     """At the same moment a final status outranks ``pending``, like in the batch form."""
 
-    def best(self, rows: pd.DataFrame) -> tuple:
-        order = rows.assign(final=rows["status"] != PENDING).sort_values(["at", "final", "status"])
-        last = order.iloc[-1]
-        return last["status"], int(last["at"])
+    columns = ["status", "at"]
+
+    def better(self, old: tuple, new: tuple) -> tuple:
+        rank = lambda record: (record[1], record[0] != PENDING, record[0])
+        return max(old, new, key=rank)
 
 
 class FirstCopy(_Kept):
     """The first submission of a key by time, then id."""
 
-    def best(self, rows: pd.DataFrame) -> tuple:
-        first = rows.sort_values(["at", "id"]).iloc[0]
-        return _plain(first["id"]), int(first["at"])
-
-
-def _plain(value):
-    return value.item() if hasattr(value, "item") else value
+    columns = ["id", "at"]
+
+    def better(self, old: tuple, new: tuple) -> tuple:
+        return min(old, new, key=lambda record: (record[1], record[0]))
+
+
+def _changes(key: list[str], kept: _Kept, retention_ms: int):
+    """Judges the new rows of one bucket of keys, which share a row of the state store; a changed record gives a row."""
+    width, names = len(key), [*key, *kept.columns]
+
+    def run(bucket: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        # Key and record, then the newest event of the key.
+        old = {r[:width]: r[width:] for r in map(tuple, state.get[0])} if state.exists else {}
+        records = dict(old)
+        for part in parts if not state.hasTimedOut else ():
+            keys, values = (zip(*[part[c].tolist() for c in columns]) for columns in (key, kept.columns))
+            for name, value, at in zip(keys, values, part["at"].tolist()):
+                known = records.get(name)
+                if known is None:
+                    records[name] = (*value, max(at, 0))
+                else:
+                    records[name] = (*kept.better(known[:-1], value), max(at, known[-1]))
+        told = [(*name, *r[:-1]) for name, r in records.items() if name not in old or r[:-1] != old[name][:-1]]
+        passed = state.getCurrentWatermarkMs()
+        ends = {name: r[-1] // 1000 + retention_ms for name, r in records.items()}
+        left = [(*name, *r) for name, r in records.items() if ends[name] > passed]
+        if left:
+            state.update((left,))
+            state.setTimeoutTimestamp(min(end for end in ends.values() if end > passed))
+        elif state.exists:
+            state.remove()
+        if told:
+            yield pd.DataFrame(told, columns=names)
+
+    return run
 
 
 def _milliseconds(duration: str) -> int:
@@ -92,7 +99,7 @@ def _milliseconds(duration: str) -> int:
 
 @contextmanager
 def _state_store(spark: SparkSession):
-    """Queries that start here keep their state in RocksDB, which timers need; the session's own setting comes back."""
+    """Queries that start here keep their state in RocksDB, outside the heap; the session's own setting comes back."""
     before = spark.conf.get(PROVIDER_SETTING)
     spark.conf.set(PROVIDER_SETTING, ROCKS)
     try:
@@ -102,13 +109,15 @@ def _state_store(spark: SparkSession):
 
 
 def _start(
-    rows: DataFrame, key: list[str], processor: _Kept, shape: str, time: str, lateness: str,
-    store: Callable[[DataFrame, int], None], checkpoint: str, trigger: dict | None,
+    rows: DataFrame, key: list[str], kept: _Kept, retention: str, shape: str, time: str, lateness: str,
+    store: Callable[[DataFrame, int], None], checkpoint: str, trigger: dict | None, buckets: int,
 ) -> StreamingQuery:
     spark = rows.sparkSession
     dated = rows.filter(F.col(time).isNotNull()).withColumn("at", F.unix_micros(time)).withWatermark(time, lateness)
-    changes = dated.groupBy(*key).transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=shape, outputMode="Update", timeMode="EventTime"
+    bucket = F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int").alias("_bucket")
+    changes = dated.select("*", bucket).groupBy("_bucket").applyInPandasWithState(
+        _changes(key, kept, _milliseconds(retention)), outputStructType=shape, stateStructType=f"records array<struct<{shape}, newest bigint>>",
+        outputMode="update", timeoutConf=GroupStateTimeout.EventTimeTimeout,
     )
     writer = changes.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(store)
     with _state_store(spark):
@@ -116,17 +125,18 @@ def _start(
 
 
 def start_status(
-    events: DataFrame, root: str, checkpoint: str, lateness: str = "1 day", retention: str = "30 days", trigger: dict | None = None
+    events: DataFrame, root: str, checkpoint: str, lateness: str = "1 day", retention: str = "30 days", trigger: dict | None = None,
+    buckets: int = BUCKETS,
 ) -> StreamingQuery:
     """Write changes of status (id, status, updated_at) of (id, status, updated_at) events under ``root``/status."""
     id_type = dict(events.dtypes)["id"]
-    processor = LatestStatus("status string, at bigint", ["status", "at"], _milliseconds(retention))
 
     def store(rows: DataFrame, batch: int) -> None:
         write_table(rows.select("id", "status", F.timestamp_micros("at").alias("updated_at")), root, "status", batch)
 
     known = events.filter("id is not null and status is not null").select("id", "status", "updated_at")
-    return _start(known, ["id"], processor, f"id {id_type}, status string, at bigint", "updated_at", lateness, store, checkpoint, trigger)
+    shape = f"id {id_type}, status string, at bigint"
+    return _start(known, ["id"], LatestStatus(), retention, shape, "updated_at", lateness, store, checkpoint, trigger, buckets)
 
 
 def current_status(rows: DataFrame) -> DataFrame:
@@ -136,21 +146,21 @@ def current_status(rows: DataFrame) -> DataFrame:
 
 
 def start_first_copies(
-    receipts: DataFrame, root: str, checkpoint: str, lateness: str = "1 day", retention: str = "365 days", trigger: dict | None = None
+    receipts: DataFrame, root: str, checkpoint: str, lateness: str = "1 day", retention: str = "365 days", trigger: dict | None = None,
+    buckets: int = BUCKETS,
 ) -> StreamingQuery:
     """Write the first completed receipt of each submission key, and every change of it, under ``root``/first_copies."""
     id_type = dict(receipts.dtypes)["id"]
-    processor = FirstCopy(f"id {id_type}, at bigint", ["id", "at"], _milliseconds(retention))
 
     def store(rows: DataFrame, batch: int) -> None:
-        named = rows.select(*KEY, F.col("first_id").alias("match_id"), F.timestamp_micros("at").alias("match_at"))
+        named = rows.select(*KEY, F.col("id").alias("match_id"), F.timestamp_micros("at").alias("match_at"))
         write_table(named, root, "first_copies", batch)
 
     known = keyed(receipts.filter((F.col("status") == COMPLETED) & complete_key() & F.col("id").isNotNull()))
     key_types = ", ".join(f"{n} {dict(known.dtypes)[n]}" for n in KEY)
     return _start(
-        known.select(*KEY, "id", "created_at"), KEY, processor, f"{key_types}, first_id {id_type}, at bigint", "created_at", lateness,
-        store, checkpoint, trigger,
+        known.select(*KEY, "id", "created_at"), KEY, FirstCopy(), retention, f"{key_types}, id {id_type}, at bigint", "created_at", lateness,
+        store, checkpoint, trigger, buckets,
     )
 
 

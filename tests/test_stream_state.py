@@ -108,3 +108,24 @@ def test_copies_further_apart_than_retention_are_not_linked(spark, tmp_path):
         state.start_first_copies(stream(spark, source, RECEIPT), root, checkpoint, **options).awaitTermination()
     told = spark.read.parquet(f"{root}/first_copies").filter(F.col("dup_merchant") == "shop")
     assert sorted((r.match_id, r.match_at) for r in told.collect()) == [(1, hours(0)), (3, hours(60))]
+
+
+def test_keys_share_rows_of_the_state_store(spark, tmp_path):
+    """One call of Python per bucket, not per key; records of a bucket are forgotten one by one."""
+    source, root, checkpoint = folders(tmp_path)
+    options = {"lateness": "1 hour", "retention": "5 hours", "buckets": 3}
+    steps = [
+        [(i, "pending", hours(0)) for i in range(200)] + [(500, "failed", hours(9))],
+        [(i, "completed", hours(9)) for i in range(0, 200, 2)],
+        [(700, "pending", hours(14))],
+    ]
+    records = []
+    for rows in steps:
+        put(spark, rows, EVENT, source)
+        query = state.start_status(stream(spark, source, EVENT), root, checkpoint, **options)
+        query.awaitTermination()
+        records += [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert 0 < max(records) <= 3
+    found = {(r.id, r.status, r.updated_at) for r in state.current_status(spark.read.parquet(f"{root}/status")).collect()}
+    old = {(i, "pending", hours(0)) for i in range(1, 200, 2)}
+    assert found == old | {(i, "completed", hours(9)) for i in range(0, 200, 2)} | {(500, "failed", hours(9)), (700, "pending", hours(14))}
