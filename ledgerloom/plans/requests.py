@@ -135,7 +135,9 @@ def asked_blocks(parsed: DataFrame) -> DataFrame:
         (F.col("min_total").isNotNull() | F.col("max_total").isNotNull()).alias("valued"),
         "wanted", "needle", "min_total", "max_total", block,
     )
-    return rows.select("*", "_at.*").drop("_at")
+    # Requests for the same merchants and categories share their sums.
+    shared = F.when(F.col("scope") == MERCHANT, F.to_json(F.struct("needle", "wanted"))).alias("filter")
+    return rows.select("*", shared, "_at.*").drop("_at")
 
 
 def _day_points(receipts: DataFrame, bridge: DataFrame, kinds: dict, merchants: DataFrame | None) -> DataFrame:
@@ -175,23 +177,31 @@ def _day_points(receipts: DataFrame, bridge: DataFrame, kinds: dict, merchants:
     ).select("_form.*", "currency", "place", *SUMS)
 
 
-def _block_points(days: DataFrame, asked: DataFrame, kinds: dict) -> DataFrame:
-    """Sums of the day blocks that some request has."""
+def _block_points(days: DataFrame, asked: DataFrame, kinds: dict, merchants: DataFrame | None) -> DataFrame:
+    """Sums of the day blocks that some request has; those of merchants for each filter of needle and categories."""
     levels = F.lit(None).cast("array<int>")
     for (scope, valued), used in kinds.items():
         same = (F.col("scope") == scope) & (F.col("valued") == valued)
         levels = F.when(same, F.array(*[F.lit(level) for level in sorted(used)])).otherwise(levels)
     at = days.withColumn("level", F.explode(levels)).withColumn("block", block_at(F.col("place"), F.col("level")))
-    blocks = asked.select("scope", "valued", "level", "block").distinct()
-    if fits(blocks, MAX_BROADCAST_BLOCKS):
-        blocks = F.broadcast(blocks)
-    met = at.join(blocks, ["scope", "valued", "level", "block"], "left_semi")
+    place = ["scope", "valued", "level", "block"]
+
+    def bounded(blocks: DataFrame) -> DataFrame:
+        return F.broadcast(blocks) if fits(blocks, MAX_BROADCAST_BLOCKS) else blocks
+
+    met = at.filter(F.col("scope") != MERCHANT).join(bounded(asked.select(*place).distinct()), place, "left_semi")
+    if merchants is not None:
+        of = asked.filter(F.col("scope") == MERCHANT).select(*place, "needle", "wanted", "filter").distinct()
+        named = at.filter(F.col("scope") == MERCHANT).join(merchants.select("needle", F.col("text").alias("key")), "key")
+        found = named.join(bounded(of), [*place, "needle"]).filter(F.col("wanted").isNull() | F.arrays_overlap("sets", "wanted"))
+        none = F.lit(None).cast("array<string>")
+        met = met.unionByName(found.withColumns({"key": F.col("filter"), "sets": none}).select(*met.columns))
     key = ["scope", "valued", "key", "sets", "currency", "level", "block", "value"]
     return met.groupBy(*key).agg(*[F.sum(c).alias(c) for c in SUMS])
 
 
-def _keyed(asked: DataFrame, points: DataFrame, kinds: dict, merchants: DataFrame | None) -> DataFrame:
-    """Asked blocks with the key of the sums they meet: '', each set of categories with a wanted name, each merchant."""
+def _keyed(asked: DataFrame, points: DataFrame, kinds: dict) -> DataFrame:
+    """Asked blocks with the key of the sums they meet: '', each set of categories with a wanted name, or their filter."""
     scopes = {scope for scope, _ in kinds}
     rows = asked.filter(F.col("scope") == ANY).withColumn("key", F.lit(""))
     if SETS in scopes:
@@ -201,8 +211,7 @@ def _keyed(asked: DataFrame, points: DataFrame, kinds: dict, merchants: DataFram
         met = names.join(sets.distinct(), "name").select("wanted", "key").distinct()
         rows = rows.unionByName(of.join(met, "wanted"))
     if MERCHANT in scopes:
-        of = asked.filter(F.col("scope") == MERCHANT)
-        rows = rows.unionByName(of.join(merchants.select("needle", F.col("text").alias("key")), "needle"))
+        rows = rows.unionByName(asked.filter(F.col("scope") == MERCHANT).withColumn("key", F.col("filter")))
     return rows
 
 
@@ -210,7 +219,7 @@ def request_totals(parsed: DataFrame, receipts: DataFrame, bridge: DataFrame) ->
     """(spec_id, currency) with the sums of the receipts each accepted request lets through.
 
     No request meets receipts: it meets sums per day block, by equality, of everything, of the sets of categories that
-    have a wanted name, or of the merchants that hold its needle. Amount limits are differences of running sums
+    have a wanted name, or of the receipts that its needle and categories let through; requests that share these share the sums. Amount limits are differences of running sums
     along the amounts of such a block.
     """
     asked = written(asked_blocks(parsed))
@@ -222,21 +231,20 @@ def request_totals(parsed: DataFrame, receipts: DataFrame, bridge: DataFrame) ->
     if any(scope == MERCHANT for scope, _ in kinds):
         texts = reportable(receipts).select(F.col("merchant").alias("text"))
         merchants = written(holders(asked.select("needle"), texts))
-    points = written(_block_points(_day_points(receipts, bridge, kinds, merchants), asked, kinds)) if kinds else None
+    points = written(_block_points(_day_points(receipts, bridge, kinds, merchants), asked, kinds, merchants)) if kinds else None
     if points is None:
         money = "decimal(38,2)"
         return parsed.limit(0).select(
             "spec_id", F.lit("").alias("currency"), F.lit(0).cast("bigint").alias("receipts"), F.lit(0).cast(money).alias("total"),
             F.lit(0).cast(money).alias("total_eur"), F.lit(0).cast("bigint").alias("unconverted"),
         )
-    keyed = _keyed(asked, points, kinds, merchants)
+    keyed = _keyed(asked, points, kinds)
     place = ["scope", "valued", "key", "level", "block"]
-    open_to = F.col("wanted").isNull() | (F.col("scope") != MERCHANT) | F.arrays_overlap("sets", "wanted")
-    whole = keyed.filter("not valued").join(points.filter("not valued"), place).filter(open_to).select("spec_id", "currency", *SUMS)
+    whole = keyed.filter("not valued").join(points.filter("not valued"), place).select("spec_id", "currency", *SUMS)
 
     group = [*place, "sets", "currency"]
     valued = points.filter("valued")
-    met = keyed.filter("valued").join(valued.select(*group).distinct(), place).filter(open_to)
+    met = keyed.filter("valued").join(valued.select(*group).distinct(), place)
     limit = lambda bound, kind, sign: F.when(
         bound.isNotNull(),
         F.struct(F.least(bound, F.lit(HIGHEST)).alias("value"), F.lit(kind).alias("kind"), F.lit(sign).alias("sign")),

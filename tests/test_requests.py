@@ -224,6 +224,21 @@ def test_no_request_is_compared_with_receipts(spark):
     assert not re.search("NestedLoop|Cartesian", plan)
 
 
+def test_requests_for_many_merchants_share_their_sums(spark, monkeypatch):
+    """A request meets a few sums of its needle, not some of every merchant that holds it."""
+    met, keyed = [], R._keyed
+    monkeypatch.setattr(R, "_keyed", lambda *given: met.append(keyed(*given)) or met[-1])
+    day = dt.date(2026, 6, 5)
+    rows = [(i, f"Shop {i}", day, Decimal("5.00"), Decimal("5.00"), "EUR", "completed") for i in range(300)]
+    receipts = spark.createDataFrame(rows, frames(spark)[0].schema)
+    bridge = spark.createDataFrame([(i, "Food") for i in range(0, 300, 3)], "receipt_id bigint, category string")
+    given = [{**BASE, "merchant": "shop", "min_total": 1}, {**BASE, "merchant": "SHOP"}, {**BASE, "merchant": "shop", "categories": ["Food"]}]
+    inputs = spark.createDataFrame([(i, json.dumps(given[i % 3])) for i in range(30)], SHAPE)
+    results = {r.spec_id: r.result[0].receipts for r in R.answer_requests(inputs, receipts, bridge).collect()}
+    assert results == {i: 100 if i % 3 == 2 else 300 for i in range(30)}
+    assert met[0].count() <= 30 * 14
+
+
 def test_refused_requests_alone_have_no_result(spark):
     inputs = spark.createDataFrame([(1, "{}"), (2, "x")], SHAPE)
     assert all(r.error and r.result is None for r in R.answer_requests(inputs, *frames(spark)).collect())
