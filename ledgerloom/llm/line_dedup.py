@@ -33,7 +33,7 @@ COUNTS = ("n_lines", "n_removed")
 
 
 def _trimmed_lines(text: Column) -> Column:
-    return F.transform(F.split(text, "\n"), lambda line: F.regexp_replace(line, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""))
+    return F.transform(F.split(text, "\n"), lambda line: F.btrim(line, F.lit(" \t\n\x0b\f\r")))
 
 
 def _n_words(line: Column, least: int) -> Column:

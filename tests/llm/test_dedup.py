@@ -106,6 +106,13 @@ def test_lines_of_messy_rows(spark):
     assert line_dedup.without_repeated_lines(empty(spark)).count() == 0
 
 
+def test_only_ascii_white_space_is_trimmed(spark):
+    """A space before another line terminator is inside the line, like in the SQL."""
+    texts = {1: "alpha beta \x85\nsecond line", 2: "alpha beta\x85\nsecond line", 3: " \talpha beta\x85\x0b\r\f\n\x0bsecond line "}
+    got = {r["doc_id"]: r["n_removed"] for r in collected(line_dedup.without_repeated_lines(documents(spark, texts.items())))}
+    assert got == {1: 0, 2: 0, 3: 2}
+
+
 def test_long_single_lines_go_and_short_ones_stay(spark):
     rng = random.Random(12)
     passage = lambda n: " ".join(f"w{rng.randrange(99)}" for _ in range(n))
