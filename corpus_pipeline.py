@@ -7,8 +7,9 @@ Parquet and read again. All but the last return the columns of documents.
    the held-out fold.
 2. line dedup: repeated runs of lines and repeated single lines of 50 words or more are deleted; a document that
    consisted of nothing else goes.
-3. SimHash near-dedup, on sets of five-word shingles that are similar by 0.8 or more: of each group the document
-   with the smallest doc_id stays (of rows that repeat doc_id and text, one).
+3. SimHash near-dedup: texts whose fingerprints differ in at most two bits are linked, and texts whose sets of five-word
+   shingles are similar by 0.8 or more. Of each group the document with the smallest doc_id stays (of rows that repeat doc_id and
+   text, one).
 4. benchmark decontamination: documents that hold a test passage go.
 5. SentencePiece: sampled piece ids of each document, and the text decoded from them.
 

@@ -13,8 +13,9 @@ distance to the parent, and a search follows only edges within the radius. A tas
 spanning forest of the links it finds, never all pairs. The trees are not sent through the driver: that
 would gather the fingerprints of all documents there.
 
-``similar_texts`` finds groups by the similarity of their shingle sets instead, 0.8 or more, which a radius of two
-bits would mostly miss. There a text belongs to shards by pairs of its smallest shingle hashes under several
+``similar_texts`` links texts by their fingerprints in the same way, and also links those whose sets of shingles are similar by 0.8 or
+more, most of which a radius of two bits would miss; a group is what both kinds of links join. For the second kind a text belongs
+to shards by pairs of its smallest shingle hashes under several
 permutations, and the trees are searched with a wide radius by fingerprints of the distinct shingles. Of what they find, pairs whose sketches of ``SKETCH``
 permutations may belong to similar texts are confirmed by the whole sets; only texts in such a pair
 are hashed again, and only they travel with their sets.
@@ -423,37 +424,53 @@ def _link_texts(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], radius
     return in_order(whole).mapInArrow(_similar(radius, similarity), "a bigint, b bigint")
 
 
+def _link_prints(nodes: DataFrame, radius: int, tree: int) -> DataFrame:
+    """(a, b): links between distinct texts whose fingerprints ``print`` differ in at most ``radius`` bits. Texts of one fingerprint
+    are linked to the first of them, and only that one to those of other fingerprints."""
+    firsts = written(nodes.groupBy("print").agg(F.min("node").alias("first"), F.count("*").alias("size")))
+    same = with_group(nodes.select("node", "print"), firsts.where("size > 1"), "print")
+    same = same.where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    links = written(link_fingerprints(firsts.select(F.col("print").alias("fp")), radius, tree).where("a <> b").distinct())
+    named = lambda side: firsts.select(F.col("print").alias(side), F.col("first").alias(f"first_{side}"))
+    near = links.join(named("a"), "a").join(named("b"), "b")
+    return same.unionByName(near.select(F.col("first_a").alias("a"), F.col("first_b").alias("b")))
+
+
 def similar_texts(
     documents: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = SIMILARITY, radius: int = WIDE_RADIUS, tree: int = TREE
 ) -> DataFrame:
     """One row per document: key, mark (hash of its text), component (smallest key of its group), kept (whether
-    it is the document that stays: the smallest key, then the smallest mark), size."""
+    it is the document that stays: the smallest key, then the smallest mark), size.
+
+    Texts are linked whose fingerprints, those of ``near_duplicates``, differ in at most ``RADIUS`` bits, or whose sets of
+    ``shingle`` words are similar by ``similarity``."""
     rows = documents.select(F.col(key).alias("key"), F.xxhash64(text).alias("mark"), F.col(text).cast("binary").alias("body"))
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, counts, fps, bands, values = [], [], [], [], []
+            nodes, prints, counts, fps, bands, values = [], [], [], [], [], []
             for body in batch.column("body").to_pylist():
                 hashes = distinct_hashes(body, shingle)
                 # Each shingle counts once, as it does in the similarity.
                 pieces = [hashes[i : i + PIECE] for i in range(0, len(hashes), PIECE)]
                 keys, small = sketch(pieces)
-                nodes.append(text_node(body)), counts.append(len(hashes))
+                nodes.append(text_node(body)), prints.append(fingerprint(body)), counts.append(len(hashes))
                 fps.append(majority(pieces)), bands.append(keys), values.append(small)
-            columns = [pa.array(nodes, pa.int64()), pa.array(counts, pa.int64()), pa.array(fps, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(values, pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("mark"), *columns], ["key", "mark", "node", "shingles", "fp", "bands", "sketch"])
+            columns = [pa.array(nodes, pa.int64()), pa.array(prints, pa.int64()), pa.array(counts, pa.int64()), pa.array(fps, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(values, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("mark"), *columns], ["key", "mark", "node", "print", "shingles", "fp", "bands", "sketch"])
 
     kind = dict(rows.dtypes)["key"]
-    made = written(rows.mapInArrow(sketched, f"key {kind}, mark bigint, node bigint, shingles bigint, fp bigint, bands array<bigint>, sketch binary"))
+    made = written(rows.mapInArrow(sketched, f"key {kind}, mark bigint, node bigint, print bigint, shingles bigint, fp bigint, bands array<bigint>, sketch binary"))
     # Copies of a text are one node.
     order = F.struct(F.col("key").isNull().alias("last"), "key", "mark")
     nodes = written(
         made.groupBy("node").agg(
-            F.min(order).alias("least"), F.count("*").alias("size"), F.min("shingles").alias("shingles"), F.min("fp").alias("fp"), F.min("bands").alias("bands"), F.min("sketch").alias("sketch")
+            F.min(order).alias("least"), F.count("*").alias("size"), F.min("print").alias("print"), F.min("shingles").alias("shingles"), F.min("fp").alias("fp"), F.min("bands").alias("bands"), F.min("sketch").alias("sketch")
         )
     )
     sets = lambda firsts: _shingle_sets(documents, key, text, shingle, firsts)
-    joined = components(_link_texts(nodes, sets, radius, similarity, tree))
+    links = _link_prints(nodes, RADIUS, tree).unionByName(_link_texts(nodes, sets, radius, similarity, tree))
+    joined = components(links)
     rooted = written(nodes.join(joined, "node", "left").select("node", "least", "size", F.coalesce("root", "node").alias("root")))
     sums = rooted.groupBy("root").agg(F.min("least").alias("first"), F.sum("size").alias("documents"), F.count("*").alias("texts"))
     named = with_group(rooted, written(sums), "root", "texts").select("node", "size", "first", "documents")

@@ -322,6 +322,25 @@ def test_the_wide_radius_misses_few_of_small_sets():
     assert near >= 20_000 - 2
 
 
+@pytest.mark.parametrize("tree", [2, 2048])
+def test_texts_of_near_fingerprints_are_one_group(spark, tree):
+    """Pairs, and chains of three, within two bits whose sets of five words are similar by less than 0.8."""
+    rng, texts, pairs = random.Random(12), [], 0
+    distance = lambda a, b: ((simhash.fingerprint(a.encode()) ^ simhash.fingerprint(b.encode())) & (1 << 64) - 1).bit_count()
+    while pairs < 8:
+        # One sentence over and over, with a few words in between: repeats decide the fingerprint, not the set.
+        base = words(rng, 12) * 30
+        text = " ".join(base)
+        other = " ".join(base + words(rng, 8))
+        if distance(text, other) <= 2:
+            pairs += 1
+            texts += [(3 * pairs, text), (3 * pairs + 1, other), (3 * pairs + 2, " ".join(words(rng, 100)))]
+    assert brute_similar(texts) == {k: k for k, _ in texts}
+    want = brute_groups([t for _, t in texts], lambda a, b: distance(a, b) <= 2)
+    found = collected(simhash.similar_texts(documents(spark, texts), tree=tree))
+    assert {r["key"]: r["component"] for r in found} == {k: texts[g][0] for (k, _), g in zip(texts, want)}
+
+
 @pytest.mark.parametrize("tree", [2, 2048])
 def test_candidates_do_not_depend_on_the_size_of_a_shard(spark, tree):
     """Every text has one band in common with all, and no other with any."""
