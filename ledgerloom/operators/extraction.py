@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.dates import real_day, stored_day
@@ -41,9 +39,37 @@ def _object(fields: list[tuple[str, T.DataType, bool]]) -> str:
 
 #: Keys of an item whose value may be null.
 MISSABLE = ("quantity",)
-ITEM_KEYS = [f.name for f in EXTRACTION["line_items"].dataType.elementType.fields]
 SHAPE = f"^{_object([(f.name, f.dataType, f.name not in EXTRACTION_NOT_NULL) for f in EXTRACTION.fields])}$"
 
+# The same shape in a record's own text as ``to_json`` writes a variant: no spaces, keys in order. Possessive throughout,
+# so that no text, however long, needs more than one pass or a deep stack.
+STRING_TEXT = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+NUMBER_TEXT = r"-?[0-9][0-9.E-]*+"
+# A number beyond all doubles is written in quotes.
+INFINITE, INFINITE_TEXT = 'Infinity"', '"-?Infinity"'
+
+
+def _text_pattern(kind: T.DataType, nullable: bool, number: str) -> str:
+    """What the text of a JSON value of this kind may look like."""
+    if isinstance(kind, T.ArrayType):
+        item = kind.elementType
+        one = STRING_TEXT if isinstance(item, T.StringType) else _object_text([(f.name, f.dataType, f.name in MISSABLE) for f in item.fields], number)
+        return rf"\[(?:{one}(?:,{one})*+)?+\]"
+    text = {"string": STRING_TEXT, "boolean": "(?:true|false)", "double": number}[kind.simpleString()]
+    return f"(?:{text}|null)" if nullable else f"(?:{text})"
+
+
+def _object_text(fields: list[tuple[str, T.DataType, bool]], number: str) -> str:
+    inside = ",".join(f'"{name}":{_text_pattern(kind, nullable, number)}' for name, kind, nullable in sorted(fields))
+    return rf"\{{{inside}\}}"
+
+
+def _record_text(number: str) -> str:
+    return rf"\A{_object_text([(f.name, f.dataType, f.name not in EXTRACTION_NOT_NULL) for f in EXTRACTION.fields], number)}\z"
+
+
+TEXT_SHAPE, INFINITE_SHAPE = _record_text(NUMBER_TEXT), _record_text(f"{NUMBER_TEXT}|{INFINITE_TEXT}")
+
 
 def parse(responses: DataFrame) -> DataFrame:
     """Add ``extraction``: the typed record, or null when the JSON breaks the shape.
@@ -52,23 +78,18 @@ def parse(responses: DataFrame) -> DataFrame:
     record and in each of its items, and every label must be a taxonomy name. Broken rows stay,
     with a null.
     """
-    # Through explode, so that the columns below refer to one parse of each text. One schema text per
-    # record tells wrong types and foreign keys, in items as well; what it cannot tell is an item that lacks a key or has a
-    # null where others have a value, so the items' keys are looked up one by one.
-    parsed = responses.withColumn("_json", F.explode(F.array(F.try_parse_json("raw_response"))))
-    whole = F.when(F.schema_of_variant("_json").rlike(SHAPE), F.col("_json"))
-    record = F.try_variant_get(whole, "$", EXTRACTION.simpleString())
-    typed = parsed.withColumn("_typed", F.explode(F.array(record)))
-    given = lambda i, key: F.try_variant_get(i, f"$.{key}", "variant").isNotNull()
-    items = F.try_variant_get("_json", "$.line_items", "array<variant>")
-    keyed = F.forall(items, lambda i: reduce(lambda a, b: a & b, [given(i, k) for k in MISSABLE]))
-    valued = F.forall("_typed.line_items", lambda i: reduce(lambda a, b: a & b, [i.getField(k).isNotNull() for k in ITEM_KEYS if k not in MISSABLE]))
-    whole_items = F.col("_typed").isNotNull() & keyed & valued
-    good = in_taxonomy(F.col("_typed.categories")) & in_taxonomy(
-        F.transform("_typed.line_items", lambda i: i.getField("category"))
-    )
-    extraction = F.when(F.coalesce(whole_items & good, F.lit(False)), F.col("_typed"))
-    return typed.withColumn("extraction", extraction).drop("_json", "_typed")
+    # Through explode, so that the columns below refer to one parse of each text. The text is written anew from its parsed
+    # form, with ordered keys, and matched once; what has the shape can be read as the typed record as it stands. Only an
+    # infinite number looks like a string there, so such a record's types are looked up as well.
+    variant = F.try_parse_json("raw_response")
+    parsed = responses.withColumn("_text", F.explode(F.array(F.to_json(variant))))
+    text = F.col("_text")
+    infinite = F.contains(text, F.lit(INFINITE)) & text.rlike(INFINITE_SHAPE) & F.schema_of_variant(variant).rlike(SHAPE)
+    whole = F.when(text.rlike(TEXT_SHAPE) | infinite, text)
+    typed = parsed.withColumn("_typed", F.explode(F.array(F.from_json(whole, EXTRACTION))))
+    good = in_taxonomy(F.col("_typed.categories")) & in_taxonomy(F.col("_typed.line_items.category"))
+    extraction = F.when(F.coalesce(F.col("_typed").isNotNull() & good, F.lit(False)), F.col("_typed"))
+    return typed.withColumn("extraction", extraction).drop("_text", "_typed")
 
 
 def triage(responses: DataFrame) -> DataFrame:
@@ -82,8 +103,7 @@ def triage(responses: DataFrame) -> DataFrame:
 
 
 def merged_categories() -> Column:
-    items = F.transform("extraction.line_items", lambda i: i.getField("category"))
-    return merged(F.col("extraction.categories"), items)
+    return merged(F.col("extraction.categories"), F.col("extraction.line_items.category"))
 
 
 def flattened(triaged: DataFrame, *kept: str) -> DataFrame:
@@ -102,8 +122,10 @@ def flattened(triaged: DataFrame, *kept: str) -> DataFrame:
             if f.name not in ("line_items", "categories")
         ],
         merged_categories().alias("categories"),
+        # A column of its own, because the reasons below refer to it many times.
+        weekend_reason(real_day(F.col("extraction.date"))).alias("_weekend"),
     )
-    return with_reasons(flat, weekend_reason(real_day(F.col("date"))))
+    return with_reasons(flat, F.col("_weekend")).drop("_weekend")
 
 
 def usable(triaged: DataFrame) -> DataFrame:

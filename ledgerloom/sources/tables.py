@@ -282,8 +282,9 @@ class Tables:
             F.col("l_quantity").alias("quantity"),
             "category",
         )
-        items = self.labelled_items().groupBy("l_orderkey").agg(
-            F.array_sort(F.collect_list(item)).alias("line_items")
+        # Items as a column before they are collected: what an aggregate is given as an expression runs without generated code.
+        items = self.labelled_items().select("l_orderkey", item.alias("item")).groupBy("l_orderkey").agg(
+            F.sort_array(F.collect_list("item")).alias("line_items")
         )
         customers = self.table("customer").select("c_custkey", "c_name", "c_nationkey")
         orders = self.table("orders")
@@ -293,14 +294,9 @@ class Tables:
         nation = F.col("c_nationkey") % 4
         none = F.lit(None).cast("string")
         listed = F.coalesce("line_items", F.array().cast("array<struct<description:string,quantity:double,category:string>>"))
-        names = F.array_sort(F.array_distinct(F.transform(listed, lambda i: i.getField("category"))))
-        own = F.array_compact(
-            F.array(
-                F.try_element_at(names, F.lit(1)),
-                F.when(key % 9 == 0, F.lit("Other")),
-                F.when(key % 83 == 8, F.lit("Dinners")),
-            )
-        )
+        names = F.sort_array(F.array_distinct(listed.getField("category")))
+        also = lambda told, name: F.when(told, F.array(F.lit(name))).otherwise(F.array().cast("array<string>"))
+        own = F.concat(F.slice(names, 1, 1), also(key % 9 == 0, "Other"), also(key % 83 == 8, "Dinners"))
         record = F.struct(
             F.col("c_name").alias("merchant"),
             none.alias("merchant_details"),
@@ -334,7 +330,10 @@ class Tables:
             .when(F.col("o_orderpriority") == "2-HIGH", "  ")
             .alias("flag_reason"),
         )
-        raw = F.to_json(record, {"ignoreNullFields": "false"})
+        written = rows.select(
+            key, "o_orderdate", "o_orderstatus", F.to_json(record, {"ignoreNullFields": "false"}).alias("raw")
+        )
+        raw = F.col("raw")
         broken = (
             F.when(key % 41 == 0, F.left(raw, F.length(raw) - 5))
             .when(key % 43 == 1, none)
@@ -348,7 +347,7 @@ class Tables:
             .otherwise(raw)
         )
         stop = F.when(key % 41 == 0, "max_tokens").when(key % 43 == 1, "refusal").otherwise("end_turn")
-        return rows.select(
+        return written.select(
             key.alias("id"),
             broken.alias("raw_response"),
             stop.alias("stop_reason"),
