@@ -72,6 +72,21 @@ def match_earliest(
     return _matched(receipts, _earliest(_completed(history).join(wanted, KEY, "left_semi"), order))
 
 
+def first_copies(receipts: DataFrame, new: Column, order: tuple[str, ...] = ("created_at", "id")) -> DataFrame:
+    """The earliest completed receipt for each key (KEY, match_id, match_at) that several have, at least one of them ``new``."""
+    found = _completed(receipts).groupBy(*KEY).agg(
+        F.min(F.struct(*order)).alias("first"), F.count("*").alias("copies"), F.bool_or(new).alias("asked")
+    )
+    return found.filter((F.col("copies") > 1) & F.col("asked")).select(
+        *KEY, F.col("first.id").alias("match_id"), F.col("first.created_at").alias("match_at")
+    )
+
+
+def match_firsts(receipts: DataFrame, firsts: DataFrame) -> DataFrame:
+    """Every receipt with its ``first_copies`` row, or nulls; a first one has none."""
+    return _matched(receipts, firsts.withColumn("copies", F.lit(None)))
+
+
 def linked(receipts: DataFrame, firsts: DataFrame) -> DataFrame:
     """Completed receipts that repeat an earlier one, given the first copy of each key (KEY, match_id, match_at)."""
     completed = receipts.filter(F.col("status") == COMPLETED)

@@ -18,6 +18,11 @@ def fits(small: DataFrame, max_rows: int) -> bool:
     return small.limit(max_rows + 1).count() <= max_rows
 
 
+def small_broadcast(side: DataFrame, max_rows: int) -> DataFrame:
+    """The side, hinted for broadcast where it ``fits``."""
+    return F.broadcast(side) if fits(side, max_rows) else side
+
+
 def hot_hashes(rows: DataFrame, keys: list[str], share: float = HOT_SHARE) -> list[int]:
     """Hashes of the keys that hold more than ``share`` of the rows.
 

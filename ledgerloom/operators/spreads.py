@@ -85,6 +85,12 @@ def _limit(p90: Column) -> Column:
     return p90 * F.lit(Decimal(OUTLIER_MULTIPLE))
 
 
+def above_floor(receipts: DataFrame, spreads: DataFrame) -> DataFrame:
+    """The receipts that can be outliers at all: no benchmark lies below the floor."""
+    lowest = F.broadcast(with_floor(spreads).agg(F.min("floor").alias("floor")))
+    return receipts.join(lowest, F.col("total_amount") > _limit(F.col("floor"))).drop("floor")
+
+
 def benchmark(candidates: DataFrame) -> DataFrame:
     """Per receipt the eligible category with the highest p90; a tie goes by name."""
     eligible = candidates.filter(

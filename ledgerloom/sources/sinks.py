@@ -52,8 +52,8 @@ def write_calls(calls: DataFrame, root: str, batch: str | int) -> None:
     rows.hint("rebalance", F.col("call_day")).write.mode("overwrite").partitionBy("call_day").parquet(_folder(root, "calls", batch))
 
 
-def write_table(rows: DataFrame, root: str, table: str, batch: str | int) -> None:
-    rows.write.mode("overwrite").parquet(_folder(root, table, batch))
+def write_table(rows: DataFrame, root: str, table: str, batch: str | int, **options: str) -> None:
+    rows.write.options(**options).mode("overwrite").parquet(_folder(root, table, batch))
 
 
 def write_scores(scores: dict[str, DataFrame], results: DataFrame, path: str) -> None:
