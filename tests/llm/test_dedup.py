@@ -421,6 +421,64 @@ def test_every_window_has_a_covered_position_that_its_content_decides():
     assert common
 
 
+def lost_strings(spark, texts):
+    found = collected(suffix_dedup.without_repeated_strings(documents(spark, texts)))
+    return sorted((last(r["key"]), r["n_bytes"], [[s["start"], s["end"]] for s in r["spans"]], bytes(r["kept"])) for r in found)
+
+
+def test_strings_that_differ_in_the_last_bytes_of_words(spark):
+    """Changes eight bytes apart that a polynomial of words, multiplied by a number that ends in 0x15, cancels out."""
+    rng = random.Random(21)
+    base = [rng.choice("cdfgh ") for _ in range(6000)]
+    other, third = list(base), list(base)
+    for at in range(60, 5900, 90):
+        base[at], base[at + 8], third[at], third[at + 8] = "azaz"
+        other[at], other[at + 8] = "be"
+        third[at + 45] = "x"
+    texts = [(k, "".join(t)) for k, t in enumerate((base, other, third))]
+    assert lost_strings(spark, texts) == brute_strings(texts)
+
+
+def test_jobs_of_strings_do_not_grow_with_the_parts(spark, monkeypatch):
+    texts, jobs = string_texts(8), []
+    scheduler = spark.sparkContext._jsc.sc().dagScheduler()
+    for parts in (4, 64):
+        monkeypatch.setattr(suffix_dedup, "_sizes", lambda total, parts=parts: (1 << 16, parts))
+        before = scheduler.numTotalJobs()
+        assert lost_strings(spark, texts) == brute_strings(texts)
+        jobs.append(scheduler.numTotalJobs() - before)
+    assert jobs[1] < jobs[0] + 10
+
+
+def test_rows_whose_hashes_are_equal(monkeypatch):
+    rng = np.random.default_rng(3)
+    name, triple, owner = (rng.integers(0, n, 400).astype(np.uint64) for n in (5, 7, 50))
+    gram = rng.integers(97, 99, (400, suffix_dedup.TRIPLE)).astype(np.uint8)
+    gram[:, 2:] = gram[:4, 2:][rng.integers(0, 4, 400)]
+    gram[:, 2 + rng.integers(0, 20)] = rng.integers(97, 99, 400)
+    gram[:, 0], gram[:, 1] = rng.integers(20, 27, 400), rng.integers(20, 27, 400)
+    groups = lambda order, differ: sorted(sorted(g.tolist()) for g in np.split(order, np.flatnonzero(differ)[1:]))
+    want, met = groups(*suffix_dedup._together(name, triple)), suffix_dedup.met_before(name, gram, owner)
+    monkeypatch.setattr(suffix_dedup, "_mixed", lambda h: h * np.uint64(0))
+    assert groups(*suffix_dedup._together(name, triple)) == want and len(want) == 35
+    assert (suffix_dedup.met_before(name, gram, owner) == met).all() and met.any()
+
+
+@pytest.mark.parametrize("size", [1, 200, 1 << 17])
+def test_pieces_and_portions_do_not_change_what_is_covered(monkeypatch, size):
+    rng = random.Random(4)
+    bodies = [bytes(rng.choice(b"ab ") for _ in range(rng.randrange(160))) for _ in range(60)] + [b""]
+    edges = np.cumsum([0, *map(len, bodies)])
+    want = []
+    for i, body in enumerate(bodies):
+        at, names = suffix_dedup.covered(np.frombuffer(body, np.uint8), np.array([len(body)]))
+        want += [(i, *x) for x in zip(at.tolist(), names.tolist())]
+    monkeypatch.setattr(suffix_dedup, "PIECE_BYTES", size)
+    found = suffix_dedup._marked(np.frombuffer(b"".join(bodies), np.uint8), edges)
+    assert [*zip(*(x.tolist() for x in found))] == want
+    assert all(b - a == 1 or edges[b] - edges[a] <= size for a, b in suffix_dedup._portions(edges, size))
+
+
 def test_strings_of_nothing(spark):
     assert suffix_dedup.without_repeated_strings(empty(spark)).count() == 0
 
