@@ -55,6 +55,7 @@ GROUP_BYTES = 1 << 24
 GROUP_ROW_BITS = 64 - NAME_BITS
 PART_BYTES = 1 << 24
 PACKED_BYTES = 1 << 19
+TRIPLES_AT_ONCE = 1 << 16
 NO_KEY = (1 << 63) - 1
 
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -264,7 +265,7 @@ def _least(values: np.ndarray, differ: np.ndarray) -> np.ndarray:
     return np.repeat(np.minimum.reduceat(values, heads), np.diff(heads, append=len(values)))
 
 
-def _in_map(bit_map: bytes, bits: int, width: int):
+def _in_map(bit_map: bytes | bytearray, bits: int, width: int):
     """Whether the leading bits of numbers of ``width`` bits are set in the map."""
     known, shift = np.frombuffer(bit_map, np.uint8), np.uint64(width - (bits.bit_length() - 1))
 
@@ -275,13 +276,13 @@ def _in_map(bit_map: bytes, bits: int, width: int):
     return test
 
 
-def _gathered(found: DataFrame, bits: int) -> bytes:
+def _gathered(found: DataFrame, bits: int) -> bytearray:
     """A bit map of bounded size from its parts (part, bits), which all tasks make at the same time."""
     whole = bytearray(bits // 8)
     for row in found.collect():
         size = len(row.bits)
         whole[row.part * size : (row.part + 1) * size] = row.bits
-    return bytes(whole)
+    return whole
 
 
 # 1. names --------------------------------------------------------------------------------
@@ -364,7 +365,7 @@ def _sizes(total: int) -> tuple[int, int]:
     return bits, min(_power_of_two(max(8, total // PART_BYTES)), bits // 8)
 
 
-def repeated_names(rows: DataFrame, bits: int, parts: int) -> bytes:
+def repeated_names(rows: DataFrame, bits: int, parts: int) -> bytearray:
     """A bit map over the leading bits of names: set where a name is in several documents."""
     blocks = rows.select("body").mapInArrow(_name_blocks(parts), "part bigint, block binary")
     dealt = blocks.repartition(parts, "part").sortWithinPartitions("part")
@@ -373,7 +374,7 @@ def repeated_names(rows: DataFrame, bits: int, parts: int) -> bytes:
 
 # 2. triples ------------------------------------------------------------------------------
 
-#: Blocks of owners by document (``SPOTS`` false) and of the numbers of their places.
+#: Blocks of owners by document, and (``spots`` true) of the numbers of their places.
 OWNERS = "spots boolean, part bigint, block binary"
 
 
@@ -498,7 +499,7 @@ def _dealt(owners: DataFrame, kind: str, parts: int) -> DataFrame:
     return owners.where(kind).select("part", "block").repartition(parts, "part").sortWithinPartitions("part")
 
 
-def spot_map(owners: DataFrame, bits: int, parts: int) -> bytes:
+def spot_map(owners: DataFrame, bits: int, parts: int) -> bytearray:
     """A bit map over the leading bits of the spots."""
     dealt = _dealt(owners, "spots", parts)
     return _gathered(dealt.mapInArrow(_spot_bits(parts, bits), "part bigint, bits binary"), bits)
@@ -521,7 +522,7 @@ def owned_places(owners: DataFrame, parts: int) -> DataFrame:
 
 # 3. and 4. remaining suffixes, adjacent prefixes -------------------------------------------
 
-CONTEXTS = "name bigint, triple binary, key bigint, mark int, place int"
+CONTEXTS = "name bigint, key bigint, mark int, place int, triple binary"
 LOST = "key bigint, mark int, place int, starts int, triple binary"
 
 
@@ -539,10 +540,11 @@ def _contexts(names, marked_spots, bits: int):
                 return met[asked(spots(key[document], mark[document], place))]
 
             document, place, name, table = _marked(*_values(rows.column("body")), chosen, lambda table: table)
-            triples = _binary(table.ravel(), np.arange(len(table) + 1) * TRIPLE)
-            columns = [pa.array(name.astype(np.int64)), triples, pa.array(key[document]), pa.array(mark[document])]
-            columns.append(pa.array(place.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays(columns, ["name", "triple", "key", "mark", "place"])
+            for first in range(0, len(name), TRIPLES_AT_ONCE):
+                some = slice(first, first + TRIPLES_AT_ONCE)
+                numbers = [name[some].astype(np.int64), key[document[some]], mark[document[some]], place[some].astype(np.int32)]
+                triples = _binary(table[some].ravel(), np.arange(len(numbers[0]) + 1) * TRIPLE)
+                yield pa.RecordBatch.from_arrays([*map(pa.array, numbers), triples], ["name", "key", "mark", "place", "triple"])
         release_memory()
 
     return run
